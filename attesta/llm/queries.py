@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm import bpe
 from attesta.llm import decontaminate as dc
+from attesta.llm import simhash as sh
 from attesta.llm import token_counts as tc
 from attesta.llm.common import table
 
@@ -22,12 +24,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op5_bpe_automaton": op5_bpe_automaton,
+    "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
 }
 
