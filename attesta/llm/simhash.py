@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import text_of
 from attesta.operators.components import connected_components
-from attesta.plans.lineage import cut
+from attesta.plans.lineage import cut, shuffle_partitions
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
@@ -115,40 +115,71 @@ def roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def near_links(prints: DataFrame, fp_col: str, *, budget: int = 3) -> DataFrame:
+def _turns(budget: int, agree: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The orders of the fingerprint's blocks, each with ``agree`` of them on top: (shift, width) from the top down, and bits on top.
+
+    With ``budget + agree`` blocks, two fingerprints that link agree in ``agree`` blocks at least.
+    """
+    blocks = budget + agree
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for top in combinations(range(blocks), agree):
+        order = [parts[k] for k in top] + [parts[k] for k in range(blocks) if k not in top]
+        out.append((order, sum(w for _, w in order[:agree])))
+    return out
+
+
+def near_links(prints: DataFrame, fp_col: str, *, budget: int = 3, agree: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect what links connect: distinct fingerprints with ``budget`` or fewer differing bits.
 
-    Fingerprints are cut into ``budget + 1`` blocks. Two that link agree in one block at least, so each block in turn is rotated
-    to the top, and the trie's node pairs without a difference over it are its equal values: these are the keys of one shuffle.
-    Below it the trie is joined with itself. Only the edges of a spanning forest leave a task, never all pairs of a group.
+    Fingerprints are cut into ``budget + agree`` blocks (``agree``: 1, and 2 beyond 3 bits). Two that link agree in ``agree``
+    blocks at least, so each choice of these is turned to the top in one trie, of which the node pairs without a difference
+    over the top are its equal values: these are the keys of one shuffle. Below them the trie is joined with itself. Only the
+    edges of a spanning forest leave a task, never all pairs of a group.
     """
-    blocks = budget + 1
-    width = 64 // blocks
-    spark = prints.sparkSession
+    turns = _turns(budget, agree or (1 if budget <= 3 else 2))
     distinct = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct()
-    turn = F.explode(F.array(*[F.struct(F.lit(k).alias("block"), (F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", 64 - k * width)) if k else F.col("fp")).alias("key")) for k in range(blocks)])).alias("t")
-    rows = distinct.select(turn).select("t.block", "t.key").withColumn("top", F.shiftrightunsigned("key", 64 - width))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def turned(order: list[tuple[int, int]]) -> Column:
+        key, at = F.lit(0).cast("long"), 64
+        for shift, width in order:
+            at -= width
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
+        return key
+
+    keys = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(top).alias("bits"), turned(order).alias("key")) for k, (order, top) in enumerate(turns)])
+    rows = distinct.select(F.inline(keys)).withColumn("top", F.expr("shiftrightunsigned(key, 64 - bits)"))
+    n = shuffle_partitions(prints.sparkSession)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        block = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got])
+        turn = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got])
         key = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in got]).view(np.uint64)
-        for k in np.unique(block):
-            keys = np.sort(key[block == k])
-            top = keys >> _U(64 - width)
+        for k in np.unique(turn):
+            order, bits = turns[k]
+            keys = np.sort(key[turn == k])
+            top = keys >> _U(64 - bits)
             lo = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
             hi = np.append(lo[1:], len(keys))
             more = hi - lo > 1
-            root = roots(len(keys), trie_links(keys, lo[more], hi[more], np.full(int(more.sum()), width), budget))
+            root = roots(len(keys), trie_links(keys, lo[more], hi[more], np.full(int(more.sum()), bits), budget))
             at = np.flatnonzero(root != np.arange(len(keys)))
-            back = lambda x: (x >> _U(int(k) * width) | x << _U(64 - int(k) * width)) if k else x  # noqa: B023, E731
             if len(at):
-                yield pa.record_batch([pa.array(back(keys[at]).view(np.int64)), pa.array(back(keys[root[at]]).view(np.int64))], ["u", "v"])
+                yield pa.record_batch([pa.array(_back(keys[at], order)), pa.array(_back(keys[root[at]], order))], ["u", "v"])
+
+    return rows.repartition(n, "turn", "top").select("turn", "key").mapInArrow(join, "u long, v long")
+
 
-    return rows.repartition(n, "block", "top").select("block", "key").mapInArrow(join, "u long, v long")
+def _back(keys: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints from turned keys."""
+    out, at = np.zeros(len(keys), np.uint64), 64
+    for shift, width in order:
+        at -= width
+        out |= ((keys >> _U(at)) & _U((1 << width) - 1)) << _U(shift)
+    return out.view(np.int64)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
