@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import text_of
+from attesta.llm.common import sealed, text_of, unsealed
 from attesta.llm.vocab import SPLIT_PATTERN, load
 
 #: Table entries and cached words a worker may hold before it starts anew: they cost time, never results.
@@ -180,31 +180,33 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col:
 
     Null and empty texts have an empty list. Every row gives one row; other columns stay.
     """
+    docs, named = sealed(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = automaton(tokenizer).encode
         for batch in batches:
             ids = pa.array([encode(t) for t in batch.column(len(names)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*names, ids_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*names, "_ids"])
 
-    source = docs.select("*", text_of(f"`{text_col}`").alias("_to_encode"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return source.mapInArrow(run, f"{kept}, `{ids_col}` array<int>")
+    source = docs.select("*", text_of(named[text_col]).alias("_to_encode"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return unsealed(source.mapInArrow(run, f"{kept}, _ids array<int>"), named, {ids_col: "_ids"})
 
 
 def decode(rows: DataFrame, tokenizer: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``: the text that the tokens of ``ids_col`` spell; a null list spells the empty text."""
-    names = rows.columns
+    rows, named = sealed(rows)
+    names, at = rows.columns, rows.columns.index(named[ids_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = automaton(tokenizer).decode
         for batch in batches:
-            text = pa.array([decode(i or []) for i in batch.column(names.index(ids_col)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, text_col])
+            text = pa.array([decode(i or []) for i in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "_decoded"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kept}, `{text_col}` string")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return unsealed(rows.mapInArrow(run, f"{kept}, _decoded string"), named, {text_col: "_decoded"})
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,3 +27,16 @@ def bucket_count(docs: DataFrame, column: str = "text", bucket_bytes: int = BUCK
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sealed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with none of an operator's own, and the new name of each column."""
+    names = {c: f"in{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unsealed(out: DataFrame, names: dict[str, str], new: dict[str, str] | None = None) -> DataFrame:
+    """The columns of before, then ``new`` ones by their shown names; where names clash the new column stands."""
+    new = new or {}
+    old = {c: n for c, n in names.items() if c not in new and n in out.columns}
+    return out.select(*old.values(), *new.values()).toDF(*old, *new)

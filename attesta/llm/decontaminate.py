@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import text_of
+from attesta.llm.common import sealed, text_of, unsealed
 from attesta.plans.lineage import cut
 
 #: Words are runs of bytes other than ASCII bytes that are neither digits nor letters; A-Z reads as a-z.
@@ -167,6 +168,13 @@ def find_items(docs: DataFrame, items: DataFrame, *, window: int = 10, block_byt
     repeated results; an empty benchmark hits nothing. The items are scanned in blocks of ``block_bytes``: one block is the
     usual case and needs no shuffle; more blocks are joined by row.
     """
+    docs, named = sealed(docs)
+    out = _found(docs, items, window, block_bytes, named[text_col], item_id_col, item_text_col)
+    new = ["_n_words", "_begin", "_end", "_items"]
+    return unsealed(out, named, dict(zip(new, new, strict=True)))
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
     spark = docs.sparkSession
     if len(blocks) > 1:
@@ -209,20 +217,23 @@ def find_items(docs: DataFrame, items: DataFrame, *, window: int = 10, block_byt
     return docs.join(per_row, "_row").drop("_row")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, min_run: int = 10, max_coverage: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, min_run: int = 10, max_coverage: float = 0.5, block_bytes: int = 1 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without benchmark passages: hit runs of at least ``min_run`` words (or a whole shorter item) are cut out of the
     text; a document of which more than ``max_coverage`` of the words is hit goes altogether. Other columns stay; ``n_chars`` is
     set anew where there is one. A document without hits stays as it is, null text included.
     """
-    found = find_items(docs, items, window=min_run, text_col=text_col, **options)
+    docs, named = sealed(docs)
+    text = named[text_col]
+    found = _found(docs, items, min_run, block_bytes, text, item_id_col, item_text_col)
     hit = F.aggregate(F.zip_with("_begin", "_end", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
     kept = found.where((F.size("_begin") == 0) | (hit <= max_coverage * F.col("_n_words")))
 
     @F.pandas_udf("string")
-    def without(text, begin, end):
-        return text.where([len(b) == 0 for b in begin], [cut_words(t or "", list(zip(b, e, strict=True))) if len(b) else t for t, b, e in zip(text, begin, end, strict=True)])
-
-    kept = kept.withColumn(text_col, without(F.col(text_col), "_begin", "_end"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.size("_begin") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    def without(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, list(zip(b, e, strict=True))) if len(b) else t for t, b, e in zip(text, begin, end, strict=True)], dtype=object)
+
+    kept = kept.withColumn(text, without(text, "_begin", "_end"))
+    if "n_chars" in named:
+        size = named["n_chars"]
+        kept = kept.withColumn(size, F.when(F.size("_begin") > 0, F.length(text)).otherwise(F.col(size)).cast(docs.schema[size].dataType))
+    return unsealed(kept, named)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.llm import bpe
 from attesta.llm import decontaminate as dc
 from attesta.llm import simhash as sh
+from attesta.llm import suffix_dedup as sd
 from attesta.llm import token_counts as tc
 from attesta.llm.common import table
 
@@ -28,6 +29,11 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sd.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100, digest=True)
+    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
@@ -40,6 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
 }

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import text_of
+from attesta.llm.common import sealed, text_of, unsealed
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
@@ -189,6 +189,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, budget: int = 3, id_co
     stay out of components' names unless nothing else is there. Repeated rows are members of one component; an empty table gives
     an empty result. Members of a group are aggregated before they are shuffled, and links run between fingerprints only.
     """
+    docs, named = sealed(docs)
+    out = _grouped(docs, shingle, budget, named[id_col], named[text_col])
+    return unsealed(out, named, {"_fp": "_fp", "_component": "_component"})
+
+
+def _grouped(docs: DataFrame, shingle: int, budget: int, id_col: str, text_col: str) -> DataFrame:
     prints = cut(fingerprints(docs, shingle=shingle, text_col=text_col))
     own = prints.groupBy("_fp").agg(F.min(id_col).alias("_least"))
     links = cut(near_links(prints, "_fp", budget=budget))
@@ -199,9 +205,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, budget: int = 3, id_co
     return prints.join(named, "_fp")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, *, shingle: int = 3, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id; repeated rows of it leave one. Null ids give way."""
-    names = docs.columns
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("_component")))
-    return first.dropDuplicates(["_component"]).select(names)
+    docs, named = sealed(docs)
+    found = _grouped(docs, shingle, budget, named[id_col], named[text_col])
+    first = found.where(F.col(named[id_col]).eqNullSafe(F.col("_component")))
+    return unsealed(first.dropDuplicates(["_component"]), named)
