@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import bpe
 from attesta.llm import decontaminate as dc
+from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
 from attesta.llm import token_counts as tc
@@ -29,6 +30,12 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ql.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts])
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sd.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100, digest=True)
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
@@ -46,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,

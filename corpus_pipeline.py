@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.llm import bpe
 from attesta.llm import decontaminate as dc
+from attesta.llm import quality as ql
+from attesta.llm import simhash as sh
+from attesta.llm import suffix_dedup as sd
 from attesta.plans.lineage import cut
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dc.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return ql.keep_good(docs)
 
 
-STAGES = [("decontaminate", decontaminate)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: that of the smallest id."""
+    return sh.deduplicate(docs, shingle=3, budget=6)
 
-#: No stage but the rules can be said in SQL; tests/llm holds each one against brute force.
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier go from the texts."""
+    return sd.deduplicate(docs, length=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages go from the texts; a text that is mostly benchmark goes altogether."""
+    return dc.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_run=10, max_coverage=0.5)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``token_ids``."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+
+#: Four of the five stages can't be said in SQL; tests/llm holds the whole against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
