@@ -14,6 +14,7 @@ from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
 from attesta.llm import token_counts as tc
+from attesta.llm import toxicity as tx
 from attesta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +42,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=20_000)
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
 }
