@@ -16,6 +16,7 @@ from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
 from attesta.llm import token_counts as tc
 from attesta.llm import toxicity as tx
+from attesta.llm import url_templates as ut
 from attesta.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +36,14 @@ def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.pack(rows, BYTE_BPE))
 
 
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ut.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -66,6 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
+    "op4_url_templates": op4_url_templates,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
