@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.llm import bpe
 from attesta.llm import chat
 from attesta.llm import decontaminate as dc
+from attesta.llm import html_text as ht
 from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
@@ -29,6 +30,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))])).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
@@ -74,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_layout": op2_html_layout,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_url_templates": op4_url_templates,
     "op5_bpe_automaton": op5_bpe_automaton,
