@@ -46,7 +46,7 @@ def test_layout():
     assert ht.render("<div hidden>a</div><div style='display: none'><p>b</div><span aria-hidden=true>c</span><noscript>d</noscript>e<script>'</p>'</script>") == "e"
     assert ht.render("<table><td>a<table><tr><td>in<td>ner</table><td>b</table>") == "a        b\nin  ner"
     assert ht.render("a</p>b<br><br>c <!-- x > y --> d &lt;p&gt; <![CDATA[<q>]]>") == "a\n\nb\n\nc d <p> <q>"
-    assert ht.render("") == "" and ht.render("<p") == "" and ht.render("1 < 2") == "1 < 2"
+    assert ht.render("") == "" and ht.render("<p") == "<p" and ht.render("1 < 2") == "1 < 2"
 
 
 def test_deep_and_long_pages_end(spark):
