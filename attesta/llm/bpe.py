@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import sealed, text_of, unsealed
+from attesta.llm.common import sealed, slices, text_of, unsealed
 from attesta.llm.vocab import SPLIT_PATTERN, load
 
 #: Table entries and cached words a worker may hold before it starts anew: they cost time, never results.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 #: White space and solid text, split where no pattern alternative can look across; for texts without other white space.
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = automaton(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([encode(t) for t in batch.column(len(names)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*names, "_ids"])
 
@@ -201,7 +201,7 @@ def decode(rows: DataFrame, tokenizer: str, *, ids_col: str = "token_ids", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = automaton(tokenizer).decode
-        for batch in batches:
+        for batch in slices(batches):
             text = pa.array([decode(i or []) for i in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "_decoded"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,10 @@ def unsealed(out: DataFrame, names: dict[str, str], new: dict[str, str] | None =
     new = new or {}
     old = {c: n for c, n in names.items() if c not in new and n in out.columns}
     return out.select(*old.values(), *new.values()).toDF(*old, *new)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, for stages that return more than they take."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
