@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import sealed, unsealed
+from attesta.plans.lineage import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules are tried one by one on every row, so there is a bound on them.
@@ -67,12 +68,12 @@ def _level(tree: DataFrame, d: int, max_children: int, min_labels: int, z: float
 def template_tree(urls: DataFrame, *, depth: int = 4, max_children: int = 50, min_labels: int = 20, z: float = 1.96) -> DataFrame:
     """Templates of all shapes of ``urls`` (host, shape, bad: 1, 0 or null): host, shape, template, n, labelled, bad.
 
-    Counts are aggregated by host and shape before anything else, so a host's rows never meet in one task.
+    Counts are aggregated by host and shape before anything else, so a host's rows never meet in one task; each level is written once.
     """
     tree = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = tree.withColumn("template", F.col("shape"))
+    tree = cut(tree.withColumn("template", F.col("shape")))
     for d in range(depth):
-        tree = _level(tree, d, max_children, min_labels, z)
+        tree = cut(_level(tree, d, max_children, min_labels, z))
     return tree
 
 
