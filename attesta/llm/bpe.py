@@ -17,8 +17,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import sealed, slices, text_of, unsealed
 from attesta.llm.vocab import SPLIT_PATTERN, load
 
-#: Table entries and cached words a worker may hold before it starts anew: they cost time, never results.
+#: Table entries and words of one generation of a worker's caches: they cost time, never results.
 CACHE = 1 << 18
 
 #: White space and solid text, split where no pattern alternative can look across; for texts without other white space.
@@ -36,6 +36,24 @@ _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 _WORDS = regex.compile(SPLIT_PATTERN)
 
 
+class Recent(dict):
+    """A cache of two generations: what is looked up again outlives the filling of the younger one."""
+
+    def __init__(self, size: int = CACHE):
+        self.size = size
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        return self.older.get(key)
+
+    def add(self, key, value):
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class MergeAutomaton:
     def __init__(self, path: str):
         vocab = load(path)
@@ -45,13 +63,15 @@ class MergeAutomaton:
         #: The token that a byte string is, or -1 for the beginning of longer tokens only.
         self.starts: dict[bytes, int] = {t[:k]: -1 for t in self.id_of for k in range(1, len(t))} | self.id_of
         size = len(self.label)
+        #: Tokens in memory: bytes of this type.
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
         self.dropped: dict[int, int] = {}
         for rank, (u, v, w) in enumerate(vocab.merges):
             self._gadget(u, v, w, rank)
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words = Recent(CACHE // 2)
+        self.chunks = Recent()
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
@@ -126,43 +146,37 @@ class MergeAutomaton:
             ok = self.arcs[key] = self._atomic(u) and self._atomic(v) and self.arc(u, v, r)
         return ok
 
-    def _words(self, piece: str) -> tuple[int, ...]:
+    def _words(self, piece: str) -> bytes:
         words, out = self.words, []
         for w in _WORDS.findall(piece):
             ids = words.get(w)
             if ids is None:
-                if len(words) >= CACHE:
-                    words.clear()
-                ids = words[w] = self.word(w.encode())
+                ids = words.add(w, words[w] or np.array(self.word(w.encode()), self.kind).tobytes())
             out.append(ids)
-        return tuple(chain.from_iterable(out))
+        return b"".join(out)
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def _plain(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text):
-            yield self._words(text)
-            return
-        chunks = self.chunks
+            return self._words(text)
+        chunks, out = self.chunks, []
         for c in _CHUNKS.findall(text):
             ids = chunks.get(c)
             if ids is None:
-                ids = self._words(c)
+                ids = chunks[c] or self._words(c)
                 if len(c) <= 64:
-                    if len(chunks) >= CACHE // 2:
-                        chunks.clear()
-                    chunks[c] = ids
-            yield ids
+                    chunks.add(c, ids)
+            out.append(ids)
+        return b"".join(out)
 
-    def encode(self, text: str) -> list[int]:
+    def tokens(self, text: str) -> np.ndarray:
         """Special strings are special tokens; what lies between is split into words, and each word takes its path."""
         if self.by_special is None or not self.by_special.search(text):
-            return list(chain.from_iterable(self._plain(text)))
-        out: list[int] = []
-        for part in self.by_special.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out.extend(chain.from_iterable(self._plain(part)))
-        return out
+            return np.frombuffer(self._plain(text), self.kind)
+        parts = self.by_special.split(text)
+        return np.frombuffer(b"".join([np.array([self.special[p]], self.kind).tobytes() if p in self.special else self._plain(p) for p in parts]), self.kind)
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokens(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The labels along the path."""
@@ -184,9 +198,11 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = automaton(tokenizer).encode
+        tokens = automaton(tokenizer).tokens
         for batch in slices(batches):
-            ids = pa.array([encode(t) for t in batch.column(len(names)).to_pylist()], pa.list_(pa.int32()))
+            found = [tokens(t) for t in batch.column(len(names)).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*names, "_ids"])
 
     source = docs.select("*", text_of(named[text_col]).alias("_to_encode"))
