@@ -13,7 +13,7 @@ from attesta.plans.prefix import running_sums
 def numbered(leaves: DataFrame, order: str) -> DataFrame:
     """Leaves with ``idx`` from 0 in ``order`` (unique), numbered by ranges."""
     rows = leaves.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    return running_sums(rows, ["_all"], [order], {"idx": "_one"}).withColumn("idx", F.col("idx") - 1).drop("_all", "_one")
+    return cut(running_sums(rows, ["_all"], [order], {"idx": "_one"}).withColumn("idx", F.col("idx") - 1).drop("_all", "_one"))
 
 
 def _up(level: DataFrame) -> DataFrame:

@@ -128,17 +128,17 @@ def c06(s, d):
 
 
 @query("c07_merkle_proofs", f"""WITH {_TREE} SELECT l.idx, l.hash, string_agg(coalesce(sib.hash, own.hash) || CASE WHEN (l.idx >> own.lvl) % 2 = 1 THEN 'L' ELSE 'R' END, ',' ORDER BY own.lvl) AS proof
-FROM leaf l JOIN tree own ON own.idx = l.idx >> own.lvl AND own.n > 1 LEFT JOIN tree sib ON sib.lvl = own.lvl AND sib.idx = xor(own.idx, 1) WHERE l.doc_id % 50 = 0 GROUP BY l.idx, l.hash""")
+FROM leaf l JOIN tree own ON own.idx = l.idx >> own.lvl AND own.n > 1 LEFT JOIN tree sib ON sib.lvl = own.lvl AND sib.idx = xor(own.idx, 1) GROUP BY l.idx, l.hash""")
 def c07(s, d):
     leaves = _leaves(s, d)
-    p = M.proofs(leaves, leaves.where("doc_id % 50 = 0"))
+    p = M.proofs(leaves, leaves)
     return p.select("idx", "hash", F.array_join(F.transform("proof", lambda x: F.concat(x["hash"], F.when(x["left"], "L").otherwise("R"))), ",").alias("proof"))
 
 
-@query("c08_proof_verify", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id % 100 <> 0 AS valid FROM documents QUALIFY doc_id % 50 = 0")
+@query("c08_proof_verify", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id % 100 <> 0 AS valid FROM documents")
 def c08(s, d):
     leaves = _leaves(s, d)
-    p = M.proofs(leaves, leaves.where("doc_id % 50 = 0")).join(F.broadcast(M.root(leaves)))
+    p = M.proofs(leaves, leaves).join(F.broadcast(M.root(leaves)))
     ids = leaves.select("idx", "doc_id")
     forged = p.join(ids, "idx").withColumn("hash", F.when(F.col("doc_id") % 100 == 0, F.sha2(F.lit("forged"), 256)).otherwise(F.col("hash")))
     return M.verify(forged).select("idx", "valid")
