@@ -55,7 +55,7 @@ class Recent(dict):
 
 
 class MergeAutomaton:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         vocab = load(path)
         self.label = vocab.label
         self.id_of = vocab.id_of
@@ -69,9 +69,9 @@ class MergeAutomaton:
         self.dropped: dict[int, int] = {}
         for rank, (u, v, w) in enumerate(vocab.merges):
             self._gadget(u, v, w, rank)
-        self.arcs: dict[int, bool] = {}
-        self.words = Recent(CACHE // 2)
-        self.chunks = Recent()
+        self.arcs = Recent(cache // 2)
+        self.words = Recent(cache // 2)
+        self.chunks = Recent(cache)
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
@@ -124,9 +124,10 @@ class MergeAutomaton:
                 key = out[-1] << 32 | b if out else ~b
                 ok = arcs.get(key)
                 if ok is None:
-                    if len(arcs) >= CACHE:
-                        arcs.clear()
-                    ok = arcs[key] = self.arc(out[-1], b) and self._atomic(b) if out else self._atomic(b)
+                    ok = arcs[key]
+                    if ok is None:
+                        ok = self.arc(out[-1], b) and self._atomic(b) if out else self._atomic(b)
+                    arcs.add(key, ok)
                 if ok and i + len(self.label[b]) not in dead:
                     break
             out.append(b)
@@ -143,7 +144,7 @@ class MergeAutomaton:
         ok = self.arcs.get(key)
         if ok is None:
             u, v, r = self.left[token], self.right[token], self.rank[token]
-            ok = self.arcs[key] = self._atomic(u) and self._atomic(v) and self.arc(u, v, r)
+            ok = self.arcs.add(key, self._atomic(u) and self._atomic(v) and self.arc(u, v, r))
         return ok
 
     def _words(self, piece: str) -> bytes:
@@ -184,21 +185,23 @@ class MergeAutomaton:
 
 
 @lru_cache(maxsize=2)
-def automaton(path: str) -> MergeAutomaton:
+def automaton(path: str, cache: int = CACHE) -> MergeAutomaton:
     """One automaton per Python worker and vocabulary."""
-    return MergeAutomaton(path)
+    return MergeAutomaton(path, cache)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "token_ids", cache: int = CACHE // 4) -> DataFrame:
     """Adds ``ids_col`` (array<int>): the tokens of every whole text, without added special tokens.
 
+    ``cache`` bounds what a worker remembers: more costs memory, less costs time.
+
     Null and empty texts have an empty list. Every row gives one row; other columns stay.
     """
     docs, named = sealed(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = automaton(tokenizer).tokens
+        tokens = automaton(tokenizer, cache).tokens
         for batch in slices(batches):
             found = [tokens(t) for t in batch.column(len(names)).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
