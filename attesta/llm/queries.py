@@ -54,7 +54,7 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = ql.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = ql.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop_text=True)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in counts])
 
@@ -90,4 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTROL = r"\\|<\||</?s>|\[/?INST\]|<</?SYS>>"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""WITH iw AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark), win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g FROM iw, unnest(range(1, greatest(len(w) - 10, 0) + 2)) t(k) WHERE len(w) > 0),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), dg AS (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM dw, (SELECT DISTINCT m FROM win) s, unnest(range(1, len(w) - m + 2)) t(k)),
+hit AS (SELECT doc_id, k, dg.m AS m, item FROM dg JOIN win ON win.m = dg.m AND win.g = dg.g), pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
+    "op3_chat_prefix_tree": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(16 + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+}
