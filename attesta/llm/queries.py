@@ -69,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3)
+    found = sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, budget=3, drop_text=True)
     return found.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
 
 

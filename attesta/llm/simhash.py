@@ -182,32 +182,37 @@ def _back(keys: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, budget: int = 3, drop_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_fp`` and ``_component``: the smallest id that links reach, itself included.
 
     Fingerprints link at ``budget`` or fewer differing bits; equal ones always do, and texts without words all have 0. Null ids
     stay out of components' names unless nothing else is there. Repeated rows are members of one component; an empty table gives
     an empty result. Members of a group are aggregated before they are shuffled, and links run between fingerprints only.
+    With ``drop_text`` the texts are not carried along.
     """
     docs, named = sealed(docs)
-    out = _grouped(docs, shingle, budget, named[id_col], named[text_col])
+    out = _grouped(docs, shingle, budget, drop_text, named[id_col], named[text_col])
     return unsealed(out, named, {"_fp": "_fp", "_component": "_component"})
 
 
-def _grouped(docs: DataFrame, shingle: int, budget: int, id_col: str, text_col: str) -> DataFrame:
-    prints = cut(fingerprints(docs, shingle=shingle, text_col=text_col))
+def _grouped(docs: DataFrame, shingle: int, budget: int, drop_text: bool, id_col: str, text_col: str) -> DataFrame:
+    rows = fingerprints(docs, shingle=shingle, text_col=text_col)
+    if drop_text:
+        rows = cut(rows.drop(text_col))
+    # texts are hashed twice rather than written
+    prints = rows if drop_text else cut(rows.select(id_col, "_fp"))
     own = prints.groupBy("_fp").agg(F.min(id_col).alias("_least"))
     links = cut(near_links(prints, "_fp", budget=budget))
     members = connected_components(links, "u", "v").join(own, F.col("node") == F.col("_fp"))
     label = members.groupBy("component").agg(F.min("_least").alias("_label"))
     linked = members.join(label, "component").select(F.col("node").alias("_fp"), "_label")
     named = cut(own.join(linked, "_fp", "left").select("_fp", F.coalesce("_label", "_least").alias("_component")))
-    return prints.join(named, "_fp")
+    return rows.join(named, "_fp")
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 3, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id; repeated rows of it leave one. Null ids give way."""
     docs, named = sealed(docs)
-    found = _grouped(docs, shingle, budget, named[id_col], named[text_col])
+    found = _grouped(docs, shingle, budget, False, named[id_col], named[text_col])
     first = found.where(F.col(named[id_col]).eqNullSafe(F.col("_component")))
     return unsealed(first.dropDuplicates(["_component"]), named)
