@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import sealed, slices, text_of, unsealed
-from attesta.llm.vocab import SPLIT_PATTERN, load
+from attesta.llm.vocab import SPLIT_PATTERN, ByteVocab
 
 #: Table entries and words of one generation of a worker's caches: they cost time, never results.
 CACHE = 1 << 18
@@ -56,12 +56,11 @@ class Recent(dict):
 
 class MergeAutomaton:
     def __init__(self, path: str, cache: int = CACHE):
-        vocab = load(path)
+        vocab = ByteVocab(path)
         self.label = vocab.label
-        self.id_of = vocab.id_of
         self.special = vocab.special
         #: The token that a byte string is, or -1 for the beginning of longer tokens only.
-        self.starts: dict[bytes, int] = {t[:k]: -1 for t in self.id_of for k in range(1, len(t))} | self.id_of
+        self.starts: dict[bytes, int] = {t[:k]: -1 for t in vocab.id_of for k in range(1, len(t))} | vocab.id_of
         size = len(self.label)
         #: Tokens in memory: bytes of this type.
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")

@@ -13,6 +13,11 @@ from attesta.llm import suffix_dedup as sd
 from attesta.plans.lineage import cut
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts pass to Python a thousand at a time: batches of the default size take hundreds of MB of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return ql.keep_good(docs)
@@ -20,21 +25,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest id."""
+    _small_batches(spark)
     return sh.deduplicate(docs, shingle=3, budget=6)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occur earlier go from the texts."""
+    _small_batches(spark)
     return sd.deduplicate(docs, length=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go from the texts; a text that is mostly benchmark goes altogether."""
+    _small_batches(spark)
     return dc.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_run=10, max_coverage=0.5)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``token_ids``."""
+    _small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
