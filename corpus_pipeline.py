@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import bpe
 from attesta.llm import decontaminate as dc
+from attesta.llm import near as nd
 from attesta.llm import quality as ql
-from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
 from attesta.plans.lineage import cut
 
@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
+    """One document of each group that 0.8 similarity in five-word shingles links stays: that of the smallest id."""
     _small_batches(spark)
-    return sh.deduplicate(docs, shingle=3, budget=6)
+    return nd.deduplicate(docs, shingle=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
