@@ -144,7 +144,8 @@ def judge(
     Else a document goes whose character classes are further than ``max_char_distance`` from its language's (given at least
     ``min_chars`` characters), or its common words further than ``max_word_distance`` (given ``min_words_for_distance`` words):
     the guards keep short texts, whose histograms say little. A language's reference is the sum of the histograms of all its
-    documents without a base failure; null languages share one. Null texts have no words and fail. Every row gives one row. With ``drop_text`` the
+    documents without a base failure; null languages share one. Words decide only where the language's documents use the listed common
+    words: one in ``min_words_for_distance`` words at least. A document without any is then as far as can be. Null texts have no words and fail. Every row gives one row. With ``drop_text`` the
     texts are not carried along.
     """
     docs, named = sealed(docs)
@@ -153,11 +154,11 @@ def judge(
     return unsealed(out, named, dict(zip(new, new, strict=True)))
 
 
-def references(measured: DataFrame, most: int = 1000) -> DataFrame:
-    """The summed histograms of each language: one row a language, of the ``most`` commonest (a bound on what is broadcast)."""
+def references(measured: DataFrame) -> DataFrame:
+    """The summed histograms of each language, and its words: one row a language."""
     sums = [F.sum(F.get(c, k)).alias(f"{c}{k}") for c, n in (("_chars", len(CLASSES) + 1), ("_common", len(_WORDS))) for k in range(n)]
-    added = measured.where(~F.col("_base_failed")).groupBy("_lang").agg(F.count("*").alias("_docs"), *sums).orderBy(F.desc("_docs"), "_lang").limit(most)
-    return added.select(F.col("_lang").alias("_ref_lang"), F.array(*[f"_chars{k}" for k in range(len(CLASSES) + 1)]).alias("_ref_chars"), F.array(*[f"_common{k}" for k in range(len(_WORDS))]).alias("_ref_common"))
+    added = measured.where(~F.col("_base_failed")).groupBy("_lang").agg(F.sum("_n_words").alias("_ref_words"), *sums)
+    return added.select(F.col("_lang").alias("_ref_lang"), "_ref_words", F.array(*[f"_chars{k}" for k in range(len(CLASSES) + 1)]).alias("_ref_chars"), F.array(*[f"_common{k}" for k in range(len(_WORDS))]).alias("_ref_common"))
 
 
 def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_char_distance: float, min_chars: int, max_word_distance: float, min_words_for_distance: int, drop_text: bool, text_col: str, lang_col: str) -> DataFrame:
@@ -165,10 +166,12 @@ def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_char_d
     measured = measured.withColumn("_base_failed", (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words")))
     if drop_text:  # narrow: written once; with texts they are measured twice rather than written
         measured = cut(measured)
-    out = measured.join(F.broadcast(cut(references(measured))), F.col("_lang") == F.col("_ref_lang"), "left")
+    out = measured.join(cut(references(measured)), F.col("_lang") == F.col("_ref_lang"), "left")
     out = out.withColumns({"_char_distance": _js_distance(F.col("_chars"), F.col("_ref_chars")), "_word_distance": _js_distance(F.col("_common"), F.col("_ref_common"))})
     far_chars = (F.col("_n_chars") >= min_chars) & (F.coalesce("_char_distance", F.lit(0.0)) > max_char_distance)
-    far_words = (F.col("_n_words") >= min_words_for_distance) & (F.coalesce("_word_distance", F.lit(1.0)) > max_word_distance)
+    listed = F.aggregate("_ref_common", F.lit(0).cast("long"), lambda a, b: a + b)
+    spoken = F.coalesce((listed > 0) & (listed * min_words_for_distance >= F.col("_ref_words")), F.lit(False))
+    far_words = spoken & (F.col("_n_words") >= min_words_for_distance) & (F.coalesce("_word_distance", F.lit(1.0)) > max_word_distance)
     return out.withColumn("_kept", ~F.col("_base_failed") & ~far_chars & ~far_words)
 
 
