@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import sealed, text_bytes, text_of, unsealed
+from attesta.llm.common import first_rows, order_of, row_key, sealed, text_bytes, text_of, unsealed
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
@@ -166,22 +166,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * c >= {percent} * (n + m - c)").select("u", "v")
 
 
-def row_key(id_col: str, h: str | Column) -> Column:
-    """One text for an id, null included, and a text's hash."""
-    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), F.lit(":"), (F.col(h) if isinstance(h, str) else h).cast("string"))
-
-
-def first_rows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``first`` (``_id``, ``_h``) names; repeated ones leave one."""
-    wanted = first.select(row_key("_id", "_h").alias("_row"))
-    return docs.withColumn("_row", row_key(id_col, F.xxhash64(text_of(f"`{text_col}`")))).join(wanted, "_row").dropDuplicates(["_row"]).drop("_row")
-
-
-def order_of(id_col: str, h: str) -> Column:
-    """The order in which rows of a group are preferred: by id, null ids last, then by the text's hash."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(h).alias("h"))
-
-
 def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges ``(u, v)`` between shingle sets whose exact similarity is ``percent`` or more; they connect what all such pairs connect.
 

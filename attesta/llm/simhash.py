@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import sealed, text_of, unsealed
+from attesta.llm.common import first_rows, order_of, sealed, text_of, unsealed
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
@@ -202,17 +202,28 @@ def _grouped(docs: DataFrame, shingle: int, budget: int, drop_text: bool, id_col
     # texts are hashed twice rather than written
     prints = rows if drop_text else cut(rows.select(id_col, "_fp"))
     own = prints.groupBy("_fp").agg(F.min(id_col).alias("_least"))
-    links = cut(near_links(prints, "_fp", budget=budget))
-    members = connected_components(links, "u", "v").join(own, F.col("node") == F.col("_fp"))
+    members = _components(prints, budget).join(own, F.col("node") == F.col("_fp"))
     label = members.groupBy("component").agg(F.min("_least").alias("_label"))
     linked = members.join(label, "component").select(F.col("node").alias("_fp"), "_label")
     named = cut(own.join(linked, "_fp", "left").select("_fp", F.coalesce("_label", "_least").alias("_component")))
     return rows.join(named, "_fp")
 
 
+def _components(prints: DataFrame, budget: int) -> DataFrame:
+    """``(node, component)``: the smallest fingerprint that links reach, for each that links."""
+    return connected_components(cut(near_links(prints, "_fp", budget=budget)), "u", "v")
+
+
 def deduplicate(docs: DataFrame, *, shingle: int = 3, budget: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id; repeated rows of it leave one. Null ids give way."""
+    """One row of each near-duplicate group: that of the smallest id (null ids last, then by the text's hash); repeated rows of it leave one.
+
+    Groups are keyed by their smallest fingerprint, so null and repeated ids join no groups.
+    """
     docs, named = sealed(docs)
-    found = _grouped(docs, shingle, budget, False, named[id_col], named[text_col])
-    first = found.where(F.col(named[id_col]).eqNullSafe(F.col("_component")))
-    return unsealed(first.dropDuplicates(["_component"]), named)
+    ident, text = named[id_col], named[text_col]
+    hashed = docs.select(F.col(ident).alias("_id"), F.xxhash64(text_of(f"`{text}`")).alias("_h"), F.col(text).alias("_t"))
+    prints = cut(fingerprints(hashed, shingle=shingle, text_col="_t").drop("_t"))
+    own = prints.groupBy("_fp").agg(F.min(order_of("_id", "_h")).alias("best"))
+    found = own.join(_components(prints, budget), F.col("node") == F.col("_fp"), "left")
+    first = found.groupBy(F.coalesce("component", "_fp").alias("g")).agg(F.min("best").alias("best"))
+    return unsealed(first_rows(docs, first.select(F.col("best.id").alias("_id"), F.col("best.h").alias("_h")), ident, text), named)
