@@ -169,10 +169,24 @@ def _by_bucket(bucket: np.ndarray, kind: int, *arrays: np.ndarray) -> Iterator[l
             yield _row(bucket[part[0]], kind, *[a[part] for a in arrays])
 
 
+def _spread(n: int, d: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The bucket of a text: Spark's ``pmod(xxhash64(_key, _dg), n)``. Copies of a text under other ids go elsewhere."""
+    p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: x << _U(k) | x >> _U(64 - k)
+    x = np.full(len(d), 42, np.uint64)
+    for value in (d, g):
+        x = x + p5 + _U(8) ^ turn(value.view(np.uint64) * p2, 31) * p1
+        x = turn(x, 27) * p1 + p4
+        x = (x ^ x >> _U(33)) * p2
+        x = (x ^ x >> _U(29)) * p3
+        x = x ^ x >> _U(32)
+    return np.mod(x.view(np.int64), n)
+
+
 def _range_rows(n: int, d: np.ndarray, g: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[list]:
     """Ranges to the buckets of their texts."""
     none = np.zeros((len(d), 0), np.uint8)
-    yield from _by_bucket(np.mod(g, n), _RANGES, none, none, d, g, lo.astype(np.uint32), hi.astype(np.uint32))
+    yield from _by_bucket(_spread(n, d, g), _RANGES, none, none, d, g, lo.astype(np.uint32), hi.astype(np.uint32))
 
 
 def _find_anchors(n: int, length: int):
@@ -246,7 +260,7 @@ def _match_anchors(n: int, length: int):
                 low = np.maximum(p.astype(np.int64) - (w - 1), 0)
                 out += _range_rows(n, d[later], g[later], low[later], p[later].astype(np.int64) + length)
                 asked = new & (kinds > 1)
-                out += _by_bucket(np.mod(g[asked], n), _ANCHORS, h[asked], np.full(int(asked.sum()), bucket, np.uint32), d[asked], g[asked], p[asked])
+                out += _by_bucket(_spread(n, d[asked], g[asked]), _ANCHORS, h[asked], np.full(int(asked.sum()), bucket, np.uint32), d[asked], g[asked], p[asked])
             if out:
                 yield _batch(out)
 
@@ -353,13 +367,14 @@ def _sort_runs(n: int, length: int):
     w = length - length // 2 + 1
     wide = w - 1 + length
 
-    def repeats(h: np.ndarray, around: np.ndarray, rank: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and starts of repeated runs; ``h`` is sorted."""
+    def repeats(h: np.ndarray, around: np.ndarray, rank: np.ndarray, p: np.ndarray, backs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and starts of repeated runs that begin ``backs`` before their anchors; ``h`` is sorted."""
         before = around[:, wide].astype(np.int64) + 256 * around[:, wide + 1].astype(np.int64)
         after = around[:, wide + 2].astype(np.int64) + 256 * around[:, wide + 3].astype(np.int64)
         windows = sliding_window_view(around[:, :wide], length, axis=1)
         group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]).astype(np.int64))))
-        row, back = np.divmod(np.arange(len(h) * w), w)
+        row, back = np.divmod(np.arange(len(h) * len(backs)), len(backs))
+        back = backs[back]
         there = (back <= before[row]) & (length - back <= after[row])
         row, back = row[there], back[there]
         runs = np.ascontiguousarray(windows[row, w - 1 - back])
@@ -376,7 +391,7 @@ def _sort_runs(n: int, length: int):
             out = [list(r.values()) for r in rows if r["kind"] == _RANGES]
             h, around, d, g, p = _gather([r for r in rows if r["kind"] == _ANCHORS], np.uint32, np.uint8, np.int64, np.int64, np.uint32)
             order = np.lexsort((p, g, d, h))
-            h, around, d, g, p = h[order], around.reshape(len(h), -1)[order], d[order], g[order], p[order].astype(np.int64)
+            h, around, d, g, p = h[order], around.reshape(len(h), wide + 4)[order], d[order], g[order], p[order].astype(np.int64)
             # within a hash, rows stand in the order of documents and positions
             step = np.ones(len(h), np.int64)
             step[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1])
@@ -385,7 +400,10 @@ def _sort_runs(n: int, length: int):
             lo = 0
             while lo < len(h):
                 hi = int(edge[max(np.searchsorted(edge, lo + RUNS // w, side="right") - 1, np.searchsorted(edge, lo, side="right"))])
-                row, s = repeats(h[lo:hi], around[lo:hi], rank[lo:hi], p[lo:hi])
+                # runs of other offsets are never equal as suffixes of one anchor: a hot hash is sorted by few offsets at a time
+                step = max(1, RUNS // (hi - lo))
+                found = [repeats(h[lo:hi], around[lo:hi], rank[lo:hi], p[lo:hi], np.arange(k, min(k + step, w))) for k in range(0, w, step)]
+                row, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(row):
                     row, s, e = merge_ranges(row, s, s + length)
                     out += _range_rows(n, d[lo + row], g[lo + row], s, e)
@@ -456,7 +474,7 @@ def _remove(docs: DataFrame, length: int, digest: bool, id_col: str, text_col: s
     n = bucket_count(docs, text_col)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(text).alias("_dg"), *[F.col(f"`{c}`") for c in docs.columns])
-    texts = keyed.select(F.expr(f"cast(pmod(_dg, {n}) as int)").alias("_bucket"), "*").groupBy("_bucket")
+    texts = keyed.select(F.expr(f"cast(pmod(xxhash64(_key, _dg), {n}) as int)").alias("_bucket"), "*").groupBy("_bucket")
     found = keyed.select("_key", "_dg", text.alias("_text")).mapInArrow(_find_anchors(n, length), _ROWS)
     matched = found.repartition(n, "bucket").mapInArrow(_match_anchors(n, length), _ROWS)
     around = texts.cogroup(matched.groupBy("bucket")).applyInArrow(_fetch(n, length, text_col), _ROWS)
