@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -19,10 +20,21 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Bytes of text from which common shingles are learnt, and how many are. They decide the order of shingles only, never a result.
 SAMPLE_BYTES = 64 << 20
 COMMON = 200_000
+#: Rows of a key that each row is compared with before all count as company.
+CROWD = 64
 #: Pairs that a task holds before it drops repeated ones.
 HOLD = 1 << 20
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """:func:`cut`, and the driver's garbage collected: else shuffle files that nothing needs any more stay on the disks."""
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def shingles(text: str, shingle: int = 5) -> np.ndarray:
     """The distinct 64-bit hashes of all word shingles, sorted; of all words, where there are fewer; none without words."""
     words = text.encode().translate(_LOWER).split()
@@ -87,15 +99,21 @@ def _fits(percent: int, n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarr
 
 
 def _company(percent: int):
-    """Rows of keys that several sets share, and in which another set is of like size."""
+    """Rows that can be similar enough to another row of their key; all of a key with more than ``CROWD`` rows of like size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _columns(batches, ["key", "sig", "n", "pos"])
         if rows is None:
             return
         key, sig, n, pos = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
-        near = (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
-        kept = np.append(near, False) | np.append(False, near)
+        kept = np.zeros(len(key), bool)
+        x = np.arange(len(key))
+        for step in range(1, CROWD + 1):
+            x = x[x + step < len(key)]
+            x = x[(key[x] == key[x + step]) & (percent * n[x + step] <= 100 * n[x])]
+            ok = x[_fits(percent, n[x], pos[x], n[x + step], pos[x + step])]
+            kept[ok] = kept[ok + step] = True
+        kept[x] = kept[x + CROWD] = True  # and so each row that has a row of like size further before it
         yield pa.record_batch([pa.array(x[kept]) for x in (key, sig, n, pos)], ["key", "sig", "n", "pos"])
 
     return run
@@ -175,15 +193,15 @@ def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     """
     n = shuffle_partitions(docs.sparkSession)
     keyed = own.select("sig", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sig", "n", F.col("pos").cast("long").alias("pos"))
-    company = cut(keyed.repartition(n, "key").mapInArrow(_company(percent), "key long, sig long, n long, pos long"))
+    company = _written(keyed.repartition(n, "key").mapInArrow(_company(percent), "key long, sig long, n long, pos long"))
     wanted = own.join(company.select("sig").distinct(), "sig").select("sig", row_key("best.id", "best.h").alias("_row"))
     text = text_of(f"`{text_col}`")
-    rows = docs.select(row_key(id_col, F.xxhash64(text)).alias("_row"), text.alias("_t")).join(wanted, "_row").select("sig", "_t")
-    sets = cut(_sets(rows, shingle).dropDuplicates(["sig"]))
+    rows = docs.select(row_key(id_col, F.xxhash64(text)).alias("_row"), text.alias("_t")).join(wanted, "_row").dropDuplicates(["_row"]).select("sig", "_t")
+    sets = _written(_sets(rows, shingle))
 
     def similar(rows: DataFrame, across: bool) -> DataFrame:
         pairs = rows.repartition(n, "key").mapInArrow(_pairs(percent, across), "u long, v long")
-        return cut(_similar(pairs, sets, percent))
+        return _written(_similar(pairs, sets, percent))
 
     links = similar(company.withColumn("comp", F.lit(0).cast("long")), False)
     joined = connected_components(links, "u", "v").withColumnRenamed("node", "sig")
@@ -200,8 +218,8 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     """
     docs, named = sealed(docs)
     ident, text = named[id_col], named[text_col]
-    signed = cut(_signed(docs, ident, text, shingle, percent))
-    own = cut(signed.groupBy("sig").agg(F.max("n").alias("n"), F.min(order_of("_id", "_h")).alias("best"), F.first("keys").alias("keys")))
+    signed = _written(_signed(docs, ident, text, shingle, percent))
+    own = _written(signed.groupBy("sig").agg(F.max("n").alias("n"), F.min(order_of("_id", "_h")).alias("best"), F.first("keys").alias("keys")))
     links = near_links(own, docs, ident, text, shingle, percent)
     groups = connected_components(links, "u", "v").withColumnRenamed("node", "sig")
     first = own.join(groups, "sig", "left").groupBy(F.coalesce("component", "sig").alias("g")).agg(F.min("best").alias("best"))
