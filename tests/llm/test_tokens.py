@@ -1,7 +1,10 @@
 import hashlib
+import json
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +12,7 @@ from tokenizers import Tokenizer
 
 from attesta.llm import bpe
 from attesta.llm import token_counts as tc
+from attesta.llm.vocab import ByteVocab
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "the", " ", "  ", "\n", "\t", "é", "’", "'s", "'ll", "1", "２", "½", "²", "\xa0", "　", "\x85", "\x1c", "中文", "🎉", "́", "<|endoftext|>", "<|", "ß", "\r\n", "!!", "_", "ing", "tion", "​"]
@@ -30,12 +34,54 @@ def test_encodes_and_decodes_as_the_library(text):
     assert a.encode(text) == ids and a.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
-def test_small_caches_change_nothing(library):
+def test_a_small_arc_table_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "ARCS", 8)
+    monkeypatch.setattr(bpe, "LONG", 5)
     rng = random.Random(1)
-    a = bpe.MergeAutomaton(PATH, 8)
-    for _ in range(300):
-        t = "".join(rng.choices("abcdeinorst ", k=60))
-        assert a.encode(t) == library.encode(t, add_special_tokens=False).ids
+    a = bpe.MergeAutomaton(PATH)
+    texts = ["".join(rng.choices("abcdeinorst ", k=60)) for _ in range(300)]
+    ids, begins = a.tokens(pa.array(texts))
+    for t, lo, hi in zip(texts, begins[:-1], begins[1:]):
+        assert ids[lo:hi].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_arcs_are_those_of_explicit_gadgets(tmp_path):
+    """The first 200 merges, built by copying whole states, against the shared form; and the paths against merging by rank."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    by_id = {i: t for t, i in spec["model"]["vocab"].items()}
+    merges = spec["model"]["merges"][:200]
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+    kept = {by_id[i]: i for i in by_id if len(by_id[i]) == 1 or by_id[i] in joined}
+    spec["model"] |= {"vocab": kept, "merges": merges}
+    spec["added_tokens"] = []
+    small = tmp_path / "small.json"
+    small.write_text(json.dumps(spec), encoding="utf-8")
+    a, vocab = bpe.MergeAutomaton(str(small)), ByteVocab(str(small))
+    first = [i for t, i in vocab.id_of.items() if len(t) == 1]
+    states = {s: set(first) for s in [*first, -1]}
+    for u, v, w in vocab.merges:
+        split_off = set(states[v])
+        states[u].discard(v)
+        states[w] = split_off
+        for arcs in states.values():
+            if u in arcs:
+                arcs.add(w)
+    tokens = np.array(sorted(states.keys() - {-1}))
+    for s in states:
+        got = a._allowed(np.full(len(tokens), s), tokens)
+        assert set(tokens[got].tolist()) == states[s]
+    rank = {(u, v): (r, w) for r, (u, v, w) in enumerate(vocab.merges)}
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "".join(rng.choices("aehinorst ", k=rng.randint(1, 30))).encode()
+        ids = [vocab.id_of[bytes([x])] for x in word]
+        while True:
+            best = min((rank[p] + (k,) for k, p in enumerate(zip(ids, ids[1:])) if p in rank), default=None)
+            if best is None:
+                break
+            ids[best[2] : best[2] + 2] = [best[1]]
+        assert a.spell(pa.array([word], pa.binary()))[0].tolist() == ids == a._long(word).tolist()
 
 
 def test_whole_table(spark, library):
