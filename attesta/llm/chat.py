@@ -82,19 +82,21 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _formatted(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = automaton(tokenizer).encode
+        tokens = automaton(tokenizer).tokens
         total = 0
         for batch in batches:
-            new = {n: [] for n in ("segment", "loss_begin", "loss_end", "token_ids", "local")}
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s, a, b = segment(role, text)
-                ids = encode(s)
-                for n, v in zip(new, (s, a if role == "assistant" else 0, b if role == "assistant" else 0, ids, total), strict=True):
-                    new[n].append(v)
-                total += len(ids)
-            types = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
-            kept = [batch.column(c) for c in ("node", "chain", "depth", "way", "role", "part")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, t in zip(new.values(), types, strict=True))], ["node", "chain", "depth", "way", "role", "part", *new])
+            roles = batch.column("role").to_pylist()
+            cut = [segment(r, t) for r, t in zip(roles, batch.column("text").to_pylist(), strict=True)]
+            segments = pa.array([s for s, _, _ in cut], pa.string())
+            ids, begins = tokens(segments)
+            said = [(a, b) if r == "assistant" else (0, 0) for r, (_, a, b) in zip(roles, cut, strict=True)]
+            new = [
+                segments, pa.array([a for a, _ in said], pa.int32()), pa.array([b for _, b in said], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(begins.astype("int32")), pa.array(ids.astype("int32"))), pa.array(total + begins[:-1]),
+            ]
+            total += len(ids)
+            kept = ["node", "chain", "depth", "way", "role", "part"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "segment", "loss_begin", "loss_end", "token_ids", "local"])
 
     return run
 
