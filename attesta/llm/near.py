@@ -1,29 +1,34 @@
-"""Near-duplicates by exact similarity: a set self-join of word shingles, by prefixes of the rarest ones."""
+"""Near-duplicates by SimHash with an exact check: the trie self-join finds the candidates, their shingle sets decide.
+
+Fingerprints are taken over a text's distinct words: an edit changes one word of a set, but five shingles of five words, so the
+fingerprints of texts that are alike in 0.8 of their five-word shingles stay within :data:`BUDGET` bits far more often.
+"""
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import first_rows, order_of, row_key, sealed, text_bytes, text_of, unsealed
+from attesta.llm.common import first_rows, order_of, row_key, sealed, text_of, unsealed
+from attesta.llm.simhash import back, lowered, majority, trie_links, turned, turns_of
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Bytes of text from which common shingles are learnt, and how many are. They decide the order of shingles only, never a result.
-SAMPLE_BYTES = 64 << 20
-COMMON = 200_000
-#: Rows of a key that each row is compared with before all count as company.
-CROWD = 64
-#: Pairs that a task holds before it drops repeated ones.
-HOLD = 1 << 20
+_U = np.uint64
+#: Differing bits at which texts are compared.
+BUDGET = 8
+#: Rows that a shuffle key of the trie should hold, and rows beyond which a key's rows all count as candidates at first.
+SHARE, CROWD = 256, 4096
+#: Shingles of a block of sets, of the columns that are multiplied at once, and pairs that a task holds before it sends them.
+BLOCK, COLUMNS, HOLD = 1 << 16, 1 << 12, 1 << 20
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -35,57 +40,38 @@ def _written(df: DataFrame) -> DataFrame:
     return out
 
 
-def shingles(text: str, shingle: int = 5) -> np.ndarray:
-    """The distinct 64-bit hashes of all word shingles, sorted; of all words, where there are fewer; none without words."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(len(words) - shingle + 1, 1)
-    parts = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, n))
-
+def word_hashes(text: str) -> np.ndarray:
+    words = lowered(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
 
-def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample share, sorted, and their counts."""
-    part = max(1, text_bytes(docs, text_col) // SAMPLE_BYTES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(shingles(t, shingle).view(np.int64))], ["h"])
 
-    text = docs.select(text_of(f"`{text_col}`").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(part)) == 0)
-    rows = text.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r.n for r in rows], np.int64)[order]
-
-
-def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first shingles by (count, hash): two sets at ``percent`` or more similarity share one of each other's."""
-    if not len(s):
-        return s
-    weight = np.zeros(len(s), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
-        weight = np.where(common[0][at] == s, common[1][at], 0)
-    return s[np.lexsort((s, weight))][: len(s) - -(-percent * len(s) // 100) + 1]
+def shingles(words: np.ndarray, shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles, sorted; of all words, where there are fewer; none without words."""
+    k = min(shingle, len(words))
+    if not k:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) + words[i : len(words) - k + 1 + i]
+        h = (h ^ (h >> _U(32))) * _U(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> _U(31)))
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """``(_id, _h, sig, n, keys)`` for each row: hash of the text, hash and size of its shingle set, and the set's prefix."""
-    common = _common(docs, text_col, shingle)
+def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(_id, _h, fp, sig, n)`` for each row: hash of the text, fingerprint of its words, hash and size of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, shingle) for t in batch.column(2).to_pylist()]
-            sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([prefix(s, common, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig), pa.array([len(s) for s in sets], pa.int64()), keys], ["_id", "_h", "sig", "n", "keys"])
+            fp, sig, n = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                words = word_hashes(t)
+                s = shingles(words, shingle)
+                fp[k], sig[k], n[k] = majority(np.unique(words)), xxhash.xxh64_intdigest(s.tobytes(), 7), len(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x.view(np.int64)) for x in (fp, sig, n))], ["_id", "_h", "fp", "sig", "n"])
 
     text = text_of(f"`{text_col}`")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, f"_id {kind}, _h long, sig long, n long, keys array<long>")
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, f"_id {kind}, _h long, fp long, sig long, n long")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> np.ndarray | None:
@@ -93,74 +79,92 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> np.ndarray
     return np.stack([np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for b in got]) for c in names]) if got else None
 
 
-def _fits(percent: int, n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` shingles, whose first common one is their ``i``-th and ``j``-th, can be similar enough."""
-    return np.minimum(n - i, m - j) * (100 + percent) >= percent * (n + m)
+def _by_turn(batches: Iterator[pa.RecordBatch], turns: list, names: list[str]) -> Iterator[tuple]:
+    """Each turn's rows, sorted by turned fingerprint: turn, keys, the other columns, and the ranges that agree on top."""
+    rows = _columns(batches, ["turn", "key", *names])
+    if rows is None:
+        return
+    for k in np.unique(rows[0]).tolist():
+        own = rows[1:, rows[0] == k]
+        own = own[:, np.argsort(own[0].view(np.uint64), kind="stable")]
+        keys = own[0].view(np.uint64)
+        top = keys >> _U(64 - turns[k][1])
+        lo = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+        hi = np.append(lo[1:], len(keys))
+        more = hi - lo > 1
+        yield k, keys, own[1:], lo[more], hi[more]
+
+
+def _alike(percent: int, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sizes of two sets allow them to be similar enough."""
+    return percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
 
 
-def _company(percent: int):
-    """Rows that can be similar enough to another row of their key; all of a key with more than ``CROWD`` rows of like size."""
+def _first_partners(turns: list, budget: int, percent: int):
+    """For each row with candidates its nearest one, and that of the smallest fingerprint: ``(v, u, ufp, bits)``.
+
+    In a crowd only the neighbour before and the first of all are looked at, and every row counts as one with candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _columns(batches, ["key", "sig", "n", "pos"])
-        if rows is None:
-            return
-        key, sig, n, pos = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
-        kept = np.zeros(len(key), bool)
-        x = np.arange(len(key))
-        for step in range(1, CROWD + 1):
-            x = x[x + step < len(key)]
-            x = x[(key[x] == key[x + step]) & (percent * n[x + step] <= 100 * n[x])]
-            ok = x[_fits(percent, n[x], pos[x], n[x + step], pos[x + step])]
-            kept[ok] = kept[ok + step] = True
-        kept[x] = kept[x + CROWD] = True  # and so each row that has a row of like size further before it
-        yield pa.record_batch([pa.array(x[kept]) for x in (key, sig, n, pos)], ["key", "sig", "n", "pos"])
+        for k, keys, (sig, n), lo, hi in _by_turn(batches, turns, ["sig", "n"]):
+            size = len(keys)
+            fp = back(keys, turns[k][0])
+            order = np.argsort(fp.view(np.uint64), kind="stable")
+            place = np.empty(size, np.int64)
+            place[order] = np.arange(size)
+            nearest, least = np.full(size, 1 << 62), np.full(size, size)
+            crowd = hi - lo > CROWD
+            members = np.concatenate([np.zeros(0, np.int64), *(np.arange(a + 1, b) for a, b in zip(lo[crowd], hi[crowd], strict=True))])
+            heads = np.repeat(lo[crowd], (hi - lo)[crowd] - 1)
+            near = np.bitwise_count(keys[members] ^ keys[members - 1]) <= budget
+            head = np.bitwise_count(keys[members] ^ keys[heads]) <= budget
+            found = [(members[near] - 1, members[near]), (heads[head], members[head])]
+            depth = np.full(int((~crowd).sum()), turns[k][1])
+            for i, j in [*found, *trie_links(keys, lo[~crowd], hi[~crowd], depth, budget)]:
+                ok = _alike(percent, n, i, j)
+                i, j = i[ok], j[ok]
+                bits = np.bitwise_count(keys[i] ^ keys[j]).astype(np.int64)
+                for a, b in ((i, j), (j, i)):
+                    np.minimum.at(nearest, a, bits << 32 | b)
+                    np.minimum.at(least, a, place[b])
+            v = np.flatnonzero(nearest < 1 << 62)
+            u = nearest[v] & 0xFFFFFFFF
+            w = np.flatnonzero(least < size)
+            x = order[least[w]]
+            alone = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(lo[crowd], hi[crowd], strict=True))])
+            a, b = np.concatenate([v, w, alone]), np.concatenate([u, x, alone])
+            if len(a):
+                yield pa.record_batch([pa.array(sig[a]), pa.array(sig[b]), pa.array(fp[b]), pa.array(np.bitwise_count(keys[a] ^ keys[b]).astype(np.int64))], ["v", "u", "ufp", "bits"])
 
     return run
 
 
-def _pairs(percent: int, across: bool):
-    """Pairs of sets to compare: of each key's rows with the one before and the first; or all that are not in one component."""
-
-    def found(rows: np.ndarray) -> Iterator[np.ndarray]:
-        key, sig, n, pos, comp = rows[:, np.lexsort((rows[1], rows[2], rows[0]))]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        if not across:
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            y = np.flatnonzero(~new)
-            for x in (y - 1, first[y]):
-                ok = _fits(percent, n[x], pos[x], n[y], pos[y])
-                yield np.stack([sig[x[ok]], sig[y[ok]]])
-            return
-        edge = np.append(np.flatnonzero(new), len(key))
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if (comp[lo:hi] == comp[lo]).all():
-                continue
-            for x in range(lo, hi - 1):
-                end = lo + int(np.searchsorted(n[lo:hi], 100 * n[x] // percent, side="right"))
-                y = np.arange(x + 1, max(end, x + 1))
-                y = y[(comp[y] != comp[x]) & _fits(percent, n[x], pos[x], n[y], pos[y])]
-                if len(y):
-                    yield np.stack([np.full(len(y), sig[x]), sig[y]])
+def _other_pairs(turns: list, budget: int, percent: int):
+    """All candidate pairs of different components, each in the first turn that finds it: ``(u, v, bu, bv)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _columns(batches, ["key", "sig", "n", "pos", "comp"])
-        if rows is None:
-            return
-        held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            two = np.unique(np.sort(np.concatenate(held, axis=1), axis=0), axis=1)
-            return pa.record_batch([pa.array(np.ascontiguousarray(two[0])), pa.array(np.ascontiguousarray(two[1]))], ["u", "v"])
-
-        for two in found(rows):
-            held.append(two)
-            count += two.shape[1]
-            if count >= HOLD:
+        for k, keys, (sig, n, comp, block), lo, hi in _by_turn(batches, turns, ["sig", "n", "comp", "block"]):
+            fp, (order, _, first) = back(keys, turns[k][0]).view(np.uint64), turns[k]
+            held, count = [], 0
+
+            def flush() -> pa.RecordBatch:
+                i, j = np.concatenate(held, axis=1)
+                i, j = np.where(sig[i] < sig[j], i, j), np.where(sig[i] < sig[j], j, i)
+                return pa.record_batch([pa.array(x) for x in (sig[i], sig[j], block[i], block[j])], ["u", "v", "bu", "bv"])
+
+            for i, j in trie_links(keys, lo, hi, np.full(len(lo), turns[k][1]), budget, comp):
+                ok = _alike(percent, n, i, j)
+                for shift, width in first:
+                    ok &= ((fp[i] ^ fp[j]) >> _U(shift)) & _U((1 << width) - 1) != 0
+                if ok.any():
+                    held.append(np.stack([i[ok], j[ok]]))
+                    count += held[-1].shape[1]
+                if count >= HOLD:
+                    yield flush()
+                    held, count = [], 0
+            if count:
                 yield flush()
-                held, count = [], 0
-        if count:
-            yield flush()
 
     return run
 
@@ -170,57 +174,149 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingles(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            sets = pa.array([shingles(word_hashes(t), shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["sig", "shingles"])
 
     return docs.mapInArrow(run, "sig long, shingles array<long>")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough: shared shingles of all shingles."""
-    a = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("y"))
-    both = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return both.where(f"100 * c >= {percent} * (n + m - c)").select("u", "v")
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many members the sets ``i`` and ``j`` share, for each pair: pair by pair, or, where there are many, by multiplying
+    the 0/1 rows of the sets over the members that several sets have."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    row, col = row[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.unique(i), np.unique(j)
+    found = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, [at, at + COLUMNS])
+        marks = np.zeros((len(sets), COLUMNS), np.float32)
+        marks[row[lo:hi], col[lo:hi] - at] = 1
+        found += marks[left] @ marks[right].T
+    return found[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows to one table for each pair of blocks."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        bu, bv = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = [0, *(np.flatnonzero((bu[1:] != bu[:-1]) | (bv[1:] != bv[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            if lo == hi:
+                continue
+            if held and key != (bu[lo], bv[lo]):
+                yield pa.Table.from_batches(held)
+                held = []
+            key = (bu[lo], bv[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _verified(percent: int):
+    """Sets and pairs of each two blocks to the pairs that are similar enough."""
 
-def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Edges ``(u, v)`` between shingle sets whose exact similarity is ``percent`` or more; they connect what all such pairs connect.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for table in _groups(batches):
+            pairs, members = table.filter(pc.equal(table["kind"], 1)), table.filter(pc.equal(table["kind"], 0)).combine_chunks()
+            sig = members["x"].to_numpy()
+            order = np.argsort(sig)
+            lists = members["shingles"].combine_chunks()
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            x, y = pairs["x"].to_numpy(), pairs["y"].to_numpy()
+            i, j = order[np.searchsorted(sig[order], x)], order[np.searchsorted(sig[order], y)]
+            n = np.array([len(s) for s in sets], np.int64)
+            both = overlaps(sets, i, j)
+            ok = 100 * both >= percent * (n[i] + n[j] - both)
+            u.append(x[ok])
+            v.append(y[ok])
+            if len(u) >= 1024:
+                yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+                u, v = [], []
+        if u:
+            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-    Sets that similar share one of their prefixes' shingles (prefix filter), so these are the keys of a shuffle. First each key's
-    sets are compared with two of their number, a count in proportion to the rows; then all of a key that components of the
-    first links do not join yet. A large group of near copies is thus not compared pair by pair.
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(u, v, bu, bv)`` whose sets are similar enough: shared shingles of all shingles. A set is sent once for each
+    two blocks that have a pair with it."""
+    n = shuffle_partitions(pairs.sparkSession)
+    ends = pairs.select("bu", "bv", F.explode(F.array("u", "v")).alias("sig")).distinct()
+    members = ends.join(sets, "sig").select("bu", "bv", F.lit(0).alias("kind"), F.col("sig").alias("x"), F.lit(0).cast("long").alias("y"), "shingles")
+    asked = pairs.select("bu", "bv", F.lit(1).alias("kind"), F.col("u").alias("x"), F.col("v").alias("y"), F.lit(None).cast("array<long>").alias("shingles"))
+    return members.union(asked).repartition(n, "bu", "bv").sortWithinPartitions("bu", "bv", "kind").mapInArrow(_verified(percent), "u long, v long")
+
+
+def _turned_rows(own: DataFrame, turns: list, *more: str) -> DataFrame:
+    """A row for each turn of each fingerprint, where those meet that agree on top."""
+    at = F.array(*[F.struct(F.lit(k).alias("turn"), turned(F.col("fp"), t[0]).alias("key"), F.lit(t[1]).alias("bits")) for k, t in enumerate(turns)])
+    rows = own.select(F.explode(at).alias("t"), "sig", "n", *more).select("t.*", "sig", "n", *more)
+    n = shuffle_partitions(own.sparkSession)
+    return rows.withColumn("top", F.expr("shiftrightunsigned(key, 64 - bits)")).repartition(n, "turn", "top").select("turn", "key", "sig", "n", *more)
+
+
+def turns_for(rows: int, budget: int) -> list[tuple[list[tuple[int, int]], int, list[tuple[int, int]]]]:
+    """Turns with so many blocks on top that a key has about :data:`SHARE` of ``rows`` rows; with the blocks in which two rows
+    must differ, else an earlier turn has found them. The choice decides the cost only, never a result."""
+    agree = next((a for a in range(1, budget) if rows >> min(64 * a // (budget + a), 62) <= SHARE), budget)
+    blocks = sorted(turns_of(budget, agree)[0][0])
+    tops = combinations(range(len(blocks)), agree)
+    return [(order, bits, [blocks[b] for b in range(top[-1]) if b not in top]) for (order, bits), top in zip(turns_of(budget, agree), tops, strict=True)]
+
+
+def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, budget: int) -> DataFrame:
+    """Edges ``(u, v)`` between shingle sets of fingerprints within ``budget`` bits whose exact similarity is ``percent`` or
+    more; they connect what all such pairs connect.
+
+    First each set is compared with its nearest candidate and with that of the smallest fingerprint, a count in proportion to
+    the rows; then all candidates that the first links do not join yet. A large group of near copies is thus not compared pair
+    by pair. The sets of candidates are compared in blocks of bounded size.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    keyed = own.select("sig", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sig", "n", F.col("pos").cast("long").alias("pos"))
-    company = _written(keyed.repartition(n, "key").mapInArrow(_company(percent), "key long, sig long, n long, pos long"))
-    wanted = own.join(company.select("sig").distinct(), "sig").select("sig", row_key("best.id", "best.h").alias("_row"))
+    turns = turns_for(own.count(), budget)
+    partners = _written(_turned_rows(own, turns).mapInArrow(_first_partners(turns, budget, percent), "v long, u long, ufp long, bits long"))
+    chosen = partners.groupBy("v").agg(F.min(F.struct("bits", "u")).alias("near"), F.min(F.struct("ufp", "u")).alias("least"))
+    labelled = own.join(chosen, F.col("sig") == F.col("v")).select("sig", "fp", "n", "best", F.least("fp", "least.ufp").alias("label"), F.col("near.u").alias("near"), F.col("least.u").alias("least"))
+    labelled = _written(labelled)
+    parts = labelled.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    company = _written(labelled.join(parts, "label").withColumn("block", F.xxhash64("label", F.expr("pmod(sig, greatest(parts, 1))"))).drop("label", "parts"))
+    wanted = company.select("sig", row_key("best.id", "best.h").alias("_row"))
     text = text_of(f"`{text_col}`")
     rows = docs.select(row_key(id_col, F.xxhash64(text)).alias("_row"), text.alias("_t")).join(wanted, "_row").dropDuplicates(["_row"]).select("sig", "_t")
     sets = _written(_sets(rows, shingle))
-
-    def similar(rows: DataFrame, across: bool) -> DataFrame:
-        pairs = rows.repartition(n, "key").mapInArrow(_pairs(percent, across), "u long, v long")
-        return _written(_similar(pairs, sets, percent))
-
-    links = similar(company.withColumn("comp", F.lit(0).cast("long")), False)
+    of = company.select("sig", "block")
+    first = company.select(F.col("sig").alias("v"), F.explode(F.array_distinct(F.array("near", "least"))).alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = first.join(of.select(F.col("sig").alias("u"), F.col("block").alias("bu")), "u").join(of.select(F.col("sig").alias("v"), F.col("block").alias("bv")), "v")
+    links = _written(_similar(first, sets, percent))
     joined = connected_components(links, "u", "v").withColumnRenamed("node", "sig")
-    rest = company.join(joined, "sig", "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("comp"))
-    return links.union(similar(rest, True))
+    rest = company.join(joined, "sig", "left").select("sig", "fp", "n", F.coalesce("component", "sig").alias("comp"), "block")
+    pairs = _written(_turned_rows(rest, turns, "comp", "block").mapInArrow(_other_pairs(turns, budget, percent), "u long, v long, bu long, bv long"))
+    return links.union(_written(_similar(pairs, sets, percent)))
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id (null ids last, then by the text's hash).
 
-    Texts link at ``percent`` or more exact similarity: the word shingles that both have, of those that either has; ASCII letters
-    in lower case. Groups are what links connect. Texts with one set of shingles are one group, as are all texts without words.
-    Ids name no group: rows with null or repeated ids are grouped by their texts alone.
+    Texts link if the SimHashes of their words are within ``budget`` bits and their exact similarity is ``percent`` or more: the
+    word shingles that both have, of those that either has; ASCII letters in lower case. Groups are what links connect. Texts
+    with one set of shingles are one group, as are all texts without words. Ids name no group: rows with null or repeated ids
+    are grouped by their texts alone.
     """
     docs, named = sealed(docs)
     ident, text = named[id_col], named[text_col]
-    signed = _written(_signed(docs, ident, text, shingle, percent))
-    own = _written(signed.groupBy("sig").agg(F.max("n").alias("n"), F.min(order_of("_id", "_h")).alias("best"), F.first("keys").alias("keys")))
-    links = near_links(own, docs, ident, text, shingle, percent)
+    signed = _written(_signed(docs, ident, text, shingle))
+    own = _written(signed.groupBy("sig").agg(F.first("fp").alias("fp"), F.max("n").alias("n"), F.min(order_of("_id", "_h")).alias("best")))
+    links = near_links(own, docs, ident, text, shingle, percent, budget)
     groups = connected_components(links, "u", "v").withColumnRenamed("node", "sig")
     first = own.join(groups, "sig", "left").groupBy(F.coalesce("component", "sig").alias("g")).agg(F.min("best").alias("best"))
     return unsealed(first_rows(docs, first.select(F.col("best.id").alias("_id"), F.col("best.h").alias("_h")), ident, text), named)

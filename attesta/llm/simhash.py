@@ -25,13 +25,22 @@ LEAVES = 16
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """Majority of the bits of the hashes of all word shingles, repeats included; 0 without words."""
-    words = text.encode().translate(_LOWER).split()
+    words = lowered(text)
     if not words:
         return 0
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)), repeat(42))
-    h = np.fromiter(hashes, np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter(hashes, np.uint64, len(words) - shingle + 1))
+
+
+def lowered(text: str) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return text.encode().translate(_LOWER).split()
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -59,13 +68,33 @@ def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -
     return np.clip(np.searchsorted(keys, first), lo, hi)
 
 
-def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _portions(*nodes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of nodes in portions of about ``FRONTIER`` pairs of leaves; a larger pair of nodes in rows."""
+    a0, a1, b0, b1 = nodes
+    n = (a1 - a0) * (b1 - b0)
+    big = n > FRONTIER
+    for k in np.flatnonzero(big).tolist():
+        rows = max(1, FRONTIER // int(b1[k] - b0[k]))
+        for at in range(int(a0[k]), int(a1[k]), rows):
+            yield np.array([at]), np.array([min(at + rows, int(a1[k]))]), b0[k : k + 1], b1[k : k + 1]
+    a0, a1, b0, b1, n = (x[~big] for x in (a0, a1, b0, b1, n))
+    if not len(n):
+        return
+    edge = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), FRONTIER))
+    for lo, hi in zip(edge, [*edge[1:], len(n)], strict=True):
+        if lo < hi:
+            yield a0[lo:hi], a1[lo:hi], b0[lo:hi], b1[lo:hi]
+
+
+def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, budget: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of keys at ``budget`` or fewer differing bits, from traversing pairs of trie nodes together.
 
     ``keys`` is sorted; a node is a range of it whose keys share their upper ``depth`` bits. A pair of nodes starts at the same
     node and carries the bits that differ so far; its four (or, at one node, three) pairs of children carry one more where the
-    branches differ, and go no further beyond the budget.
+    branches differ, and go no further beyond the budget. With ``group``, only keys of different groups link, and nodes that are
+    of one group are not entered. Keys may repeat.
     """
+    changes = None if group is None else np.concatenate(([0], np.cumsum(group[1:] != group[:-1])))
     stack = [(lo, hi, lo, hi, depth, np.zeros(len(lo), np.int8))]
     while stack:
         a0, a1, b0, b1, d, e = stack.pop()
@@ -73,13 +102,15 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarr
             stack += [tuple(x[i : i + FRONTIER] for x in (a0, a1, b0, b1, d, e)) for i in range(0, len(a0), FRONTIER)]
             continue
         leaf = ((a1 - a0) * (b1 - b0) <= LEAVES) | (d >= 64)
-        if leaf.any():
-            n = ((a1 - a0) * (b1 - b0))[leaf]
-            of = np.repeat(np.flatnonzero(leaf), n)
+        for x0, x1, y0, y1 in _portions(a0[leaf], a1[leaf], b0[leaf], b1[leaf]):
+            n = (x1 - x0) * (y1 - y0)
+            of = np.repeat(np.arange(len(n)), n)
             k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            width = (b1 - b0)[of]
-            i, j = a0[of] + k // width, b0[of] + k % width
+            width = (y1 - y0)[of]
+            i, j = x0[of] + k // width, y0[of] + k % width
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+            if group is not None:
+                near &= group[i] != group[j]
             if near.any():
                 yield i[near], j[near]
         rest = ~leaf
@@ -92,6 +123,10 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarr
         parts = [(a0, am, b0, bm, d, e), (am, a1, bm, b1, d, e), (a0, am, bm, b1, d, e + 1), (*(x[~same] for x in (am, a1, b0, bm, d)), e[~same] + 1)]
         joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
         alive = (joined[0] < joined[1]) & (joined[2] < joined[3]) & (joined[5] <= budget)
+        if changes is not None and alive.any():
+            joined = [x[alive] for x in joined]
+            p0, p1, q0, q1 = joined[:4]
+            alive = (changes[p0] != changes[p1 - 1]) | (changes[q0] != changes[q1 - 1]) | (group[p0] != group[q0])
         if alive.any():
             stack.append(tuple(x[alive] for x in joined))
 
@@ -115,7 +150,7 @@ def roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def _turns(budget: int, agree: int) -> list[tuple[list[tuple[int, int]], int]]:
+def turns_of(budget: int, agree: int) -> list[tuple[list[tuple[int, int]], int]]:
     """The orders of the fingerprint's blocks, each with ``agree`` of them on top: (shift, width) from the top down, and bits on top.
 
     With ``budget + agree`` blocks, two fingerprints that link agree in ``agree`` blocks at least.
@@ -130,6 +165,15 @@ def _turns(budget: int, agree: int) -> list[tuple[list[tuple[int, int]], int]]:
     return out
 
 
+def turned(fp: Column, order: list[tuple[int, int]]) -> Column:
+    """A fingerprint with its blocks in another order."""
+    key, at = F.lit(0).cast("long"), 64
+    for shift, width in order:
+        at -= width
+        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
+    return key
+
+
 def near_links(prints: DataFrame, fp_col: str, *, budget: int = 3, agree: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect what links connect: distinct fingerprints with ``budget`` or fewer differing bits.
 
@@ -138,17 +182,10 @@ def near_links(prints: DataFrame, fp_col: str, *, budget: int = 3, agree: int |
     over the top are its equal values: these are the keys of one shuffle. Below them the trie is joined with itself. Only the
     edges of a spanning forest leave a task, never all pairs of a group.
     """
-    turns = _turns(budget, agree or (1 if budget <= 3 else 2))
+    turns = turns_of(budget, agree or (1 if budget <= 3 else 2))
     distinct = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct()
 
-    def turned(order: list[tuple[int, int]]) -> Column:
-        key, at = F.lit(0).cast("long"), 64
-        for shift, width in order:
-            at -= width
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")), at))
-        return key
-
-    keys = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(top).alias("bits"), turned(order).alias("key")) for k, (order, top) in enumerate(turns)])
+    keys = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(top).alias("bits"), turned(F.col("fp"), order).alias("key")) for k, (order, top) in enumerate(turns)])
     rows = distinct.select(F.inline(keys)).withColumn("top", F.expr("shiftrightunsigned(key, 64 - bits)"))
     n = shuffle_partitions(prints.sparkSession)
 
@@ -168,12 +205,12 @@ def near_links(prints: DataFrame, fp_col: str, *, budget: int = 3, agree: int |
             root = roots(len(keys), trie_links(keys, lo[more], hi[more], np.full(int(more.sum()), bits), budget))
             at = np.flatnonzero(root != np.arange(len(keys)))
             if len(at):
-                yield pa.record_batch([pa.array(_back(keys[at], order)), pa.array(_back(keys[root[at]], order))], ["u", "v"])
+                yield pa.record_batch([pa.array(back(keys[at], order)), pa.array(back(keys[root[at]], order))], ["u", "v"])
 
     return rows.repartition(n, "turn", "top").select("turn", "key").mapInArrow(join, "u long, v long")
 
 
-def _back(keys: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+def back(keys: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     """Fingerprints from turned keys."""
     out, at = np.zeros(len(keys), np.uint64), 64
     for shift, width in order:
