@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 0.8 similarity in five-word shingles links stays: that of the smallest id."""
+    """One document of each group stays, that of the smallest id: SimHash finds candidates, 0.8 similarity in five-word shingles links."""
     _small_batches(spark)
     return nd.deduplicate(docs, shingle=5, percent=80)
 
