@@ -18,10 +18,10 @@ def filter_findings(findings: DataFrame, equal: dict[str, str], needle: str, col
     return findings.where(reduce(lambda a, b: a | b, hits))
 
 
-def missing_labels(rows: DataFrame, batch: str, missing: Column) -> DataFrame:
-    """Rows without a label in batches where any row has one."""
-    w = Window.partitionBy(batch)
-    return rows.withColumn("_missing", missing).withColumn("_any", F.bool_or(~F.col("_missing")).over(w)).where("_missing and _any").drop("_missing", "_any")
+def missing_labels(rows: DataFrame, batch: str, missing: Column, folder: Column) -> DataFrame:
+    """Rows without a label, but for batches that are plain image folders throughout (``folder``) and have no label at all."""
+    bare = rows.groupBy(batch).agg((F.bool_and(missing) & F.bool_and(folder)).alias("_bare")).where("_bare").select(batch)
+    return rows.where(missing).join(bare, batch, "left_anti")
 
 
 def malformed_box(box: Column) -> Column:

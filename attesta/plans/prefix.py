@@ -22,5 +22,17 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{new}").over(parts), F.lit(0)).alias(f"_b_{new}") for new in sums])
     own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({new: F.sum(c).over(own) for new, c in sums.items()}).join(F.broadcast(before) if n <= 1000 else before, [*keys, "_part"])
+    out = dealt.withColumns({new: F.sum(c).over(own) for new, c in sums.items()}).join(before, [*keys, "_part"])
     return out.withColumns({new: F.col(new) + F.col(f"_b_{new}") for new in sums}).select(*rows.columns, *sums)
+
+
+def ordered_digest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], entry: str, *, chunk: int = 4096) -> DataFrame:
+    """keys, digest: SHA-256 over each key's entries in ``order``.
+
+    ``chunk`` entries are digested where they lie; a key's digest is that of its chunks' in order, so no task holds a key.
+    """
+    placed = running_sums(rows.withColumn("_one", F.lit(1)), keys, order, {"_pos": "_one"})
+    in_order = lambda at, what: F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what])
+    number = F.floor((F.col("_pos") - 1) / chunk).alias("_chunk")
+    chunks = placed.groupBy(*keys, number).agg(F.sha2(F.array_join(in_order("_pos", entry), ","), 256).alias("_h"))
+    return chunks.groupBy(*keys).agg(F.sha2(F.array_join(in_order("_chunk", "_h"), ""), 256).alias("digest"))

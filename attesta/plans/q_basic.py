@@ -9,6 +9,7 @@ from attesta.functions import hashing as H
 from attesta.functions import tiers as T
 from attesta.operators import rows as R
 from attesta.plans import fixtures as fx
+from attesta.plans.prefix import ordered_digest
 from attesta.plans.registry import query, table
 
 # -- hashes and canonical text --------------------------------------------------------------------------------------------
@@ -133,15 +134,19 @@ def p01(s, d):
     return R.filter_findings(table(s, d, "documents"), {"lang": "en", "source": "ALL"}, "IDIOT", ["text", "source"]).select("doc_id", "source", "lang")
 
 
-@query("p02_active_first", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("p02_active_first", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey")
 def p02(s, d):
-    return table(s, d, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderdate")
+    return table(s, d, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
-@query("p03_missing_label", "SELECT doc_id FROM (SELECT doc_id, quality, count(quality) OVER (PARTITION BY source) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE quality IS NULL AND n > 0")
+@query("p03_missing_label", "WITH r AS (SELECT doc_id, doc_id // 20 AS batch, quality, (doc_id // 20) % 3 = 0 OR (doc_id // 20) % 3 = 1 AND doc_id % 2 = 0 AS folder FROM (SELECT doc_id, CASE WHEN (doc_id // 20) % 2 = 0 THEN quality END AS quality FROM documents LEFT JOIN labels USING (doc_id))), b AS (SELECT batch, count(quality) = 0 AND bool_and(folder) AS bare FROM r GROUP BY batch) SELECT doc_id FROM r JOIN b USING (batch) WHERE quality IS NULL AND NOT bare")
 def p03(s, d):
-    rows = table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels"), "doc_id", "left")
-    return R.missing_labels(rows, "source", F.col("quality").isNull()).select("doc_id")
+    """Batches of 20: every other one has no label at all; a third is of image folders throughout, a third is mixed."""
+    batch = F.floor(F.col("doc_id") / 20)
+    rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left").withColumn("batch", batch)
+    folder = (F.col("batch") % 3 == 0) | (F.col("batch") % 3 == 1) & (F.col("doc_id") % 2 == 0)
+    missing = F.col("quality").isNull() | (F.col("batch") % 2 != 0)
+    return R.missing_labels(rows, "batch", missing, folder).select("doc_id")
 
 
 @query("p04_malformed_box", "SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_quantity FROM lineitem WHERE l_discount * 10 > 1 OR l_tax * 14 > 1 OR l_quantity / 50 > 1 OR l_extendedprice / 100000 > 1")
@@ -261,10 +266,10 @@ def t05(s, d):
     return table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "event_type", "user_id")
 
 
-@query("t06_canonical_order", "SELECT source, sha256(string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("t06_canonical_order", "WITH r AS (SELECT source, doc_id || ':' || lang AS entry, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents), c AS (SELECT source, pos // 4096 AS chunk, sha256(string_agg(entry, ',' ORDER BY pos)) AS h FROM r GROUP BY ALL) SELECT source, sha256(string_agg(h, '' ORDER BY chunk)) AS digest FROM c GROUP BY source")
 def t06(s, d):
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["lang"]))
-    return table(s, d, "documents").groupBy("source").agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))
+    rows = table(s, d, "documents").select("source", "doc_id", F.concat_ws(":", "doc_id", "lang").alias("entry"))
+    return ordered_digest(rows, ["source"], ["doc_id"], "entry")
 
 
 # -- sets -----------------------------------------------------------------------------------------------------------------
@@ -296,9 +301,9 @@ def s08(s, d):
     return table(s, d, "orders").where("o_orderkey = 77").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("s09_ledger_scan", "SELECT event_id, ts, value FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 500")
+@query("s09_ledger_scan", "SELECT event_id, ts, value FROM events WHERE event_type = 'error' ORDER BY event_id")
 def s09(s, d):
-    return table(s, d, "events").where("event_type = 'error'").orderBy("event_id").limit(500).select("event_id", "ts", "value")
+    return table(s, d, "events").where("event_type = 'error'").orderBy("event_id").select("event_id", "ts", "value")
 
 
 @query("s11_batch_numbers", "SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY first_id) AS batch_number, row_number() OVER (ORDER BY first_id) AS block_height, sum(n) OVER (PARTITION BY source ORDER BY first_id)::BIGINT AS running FROM (SELECT source, lang, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source, lang)")

@@ -8,6 +8,7 @@ from attesta.functions import tiers as T
 from attesta.operators import detectors as D
 from attesta.operators import fusion as U
 from attesta.operators import similarity as S
+from attesta.operators.drift import quantiles, ranked
 from attesta.plans import fixtures as fx
 from attesta.plans.registry import query, table
 
@@ -93,8 +94,7 @@ def r07(s, d):
 
 @query("j10_findings_of_samples", f"WITH {_FIND} SELECT doc_id, coalesce(list_sort(list(check_type) FILTER (check_type IS NOT NULL)), []) AS findings FROM documents LEFT JOIN (SELECT doc_id, check_type FROM f) USING (doc_id) GROUP BY doc_id")
 def j10(s, d):
-    per = _findings(s, d).groupBy("check_type").agg(F.collect_list("doc_id").alias("sample_ids"))
-    back = per.select("check_type", F.explode("sample_ids").alias("doc_id")).groupBy("doc_id").agg(F.array_sort(F.collect_list("check_type")).alias("findings"))
+    back = _findings(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list("check_type")).alias("findings"))
     return table(s, d, "documents").select("doc_id").join(back, "doc_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
 
 
@@ -197,9 +197,9 @@ def a17(s, d):
 
 @query("a18_latency_percentiles", "SELECT event_type AS stage, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
 def a18(s, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.avg("value").alias("m"), p.alias("p"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return g.select("stage", F.round("m", 4).alias("mean"), *[F.round(F.get("p", F.lit(k)), 4).alias(n) for k, n in enumerate(("median", "p95", "p99"))], "min", "max")
+    e = table(s, d, "events").select(F.col("event_type").alias("feature"), "value", F.lit(True).alias("base"))
+    g = e.groupBy("feature").agg(F.avg("value").alias("m"), F.min("value").alias("min"), F.max("value").alias("max")).join(quantiles(ranked(e), [0.5, 0.95, 0.99], "p", ("b",)), "feature")
+    return g.select(F.col("feature").alias("stage"), F.round("m", 4).alias("mean"), *[F.round(F.get("p_b", F.lit(k)), 4).alias(n) for k, n in enumerate(("median", "p95", "p99"))], "min", "max")
 
 
 @query("a26_category_counts", "WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'OOD' WHEN event_type = 'error' THEN 'MODEL' WHEN event_type = 'click' THEN 'BACKDOOR' WHEN event_type = 'signup' THEN 'DUPLICATE' ELSE 'DATA POISONING' END AS category FROM events) SELECT category, count(*) AS n FROM c GROUP BY category")

@@ -83,6 +83,18 @@ def x08(s, d):
     return D.baseline_digest(rows, ["event_id"])
 
 
+_X08 = """v AS (SELECT event_type AS feature, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos FROM events),
+c AS (SELECT feature, pos // 4096 AS chunk, sha256(string_agg(printf('%.4f', value), ',' ORDER BY pos)) AS h FROM v GROUP BY ALL), dg AS (SELECT feature, sha256(string_agg(h, '' ORDER BY chunk)) AS digest FROM c GROUP BY feature)"""
+
+
+@query("x08_baseline_audit", f"WITH {_X08} SELECT feature, CASE WHEN feature = 'click' THEN sha256('x') ELSE digest END AS expected, feature <> 'click' AS valid FROM dg WHERE feature <> 'view' UNION ALL SELECT 'view', NULL, false")
+def x08_audit(s, d):
+    """The stored digest of one event type is another, and that of a second one is missing."""
+    rows = table(s, d, "events").select(F.col("event_type").alias("feature"), "event_id", "value")
+    known = D.baseline_digest(rows, ["event_id"]).where("feature <> 'view'").withColumn("digest", F.when(F.col("feature") == "click", F.sha2(F.lit("x"), 256)).otherwise(F.col("digest")))
+    return D.baseline_audit(rows, ["event_id"], known).select("feature", "expected", "valid")
+
+
 @query("x09_summary_baseline", f"WITH {_F} SELECT feature, round(avg(value), 4) AS value FROM feats CROSS JOIN range(5) r(k) GROUP BY feature, k")
 def x09(s, d):
     return D.baseline_from_summaries(D.summaries(fx.features(s, d)))
