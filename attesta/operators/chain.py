@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import HEX64, canonical_json
-from attesta.plans.lineage import shuffle_partitions
+from attesta.plans.lineage import cut, shuffle_partitions
 
 GENESIS = "0" * 64
 
@@ -110,14 +111,35 @@ def provenance_digest(fields: dict[str, Column], optional: dict[str, Column]) ->
     return F.sha2(F.array_join(F.concat(F.array(*fixed), given), "|"), 256)
 
 
-def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Records that may join their chain, and those that may not, with ``reject``: REUSED_RECORD, REUSED_NONCE or ROLLBACK."""
+def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: str, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Records that may join their chain, and those that may not, with ``reject``: REUSED_RECORD, REUSED_NONCE or ROLLBACK.
+
+    Records count as given in ``order`` (unique): one that reuses the record id, the nonce or the chain's sequence number of
+    an earlier admitted one is turned away; one that was turned away reserves nothing. Each round admits every record that is
+    the first left to have its id, its nonce and its sequence number, and turns away what these clash with.
+    """
     tips = history.groupBy(key).agg(F.max(seq).alias("_last"))
-    out = new.join(history.select(F.col(record).alias(record), F.lit(True).alias("_r")).distinct(), record, "left")
-    out = out.join(history.select(F.col(nonce).alias(nonce), F.lit(True).alias("_n")).distinct(), nonce, "left").join(tips, key, "left")
+    out = new.join(history.select(F.col(record), F.lit(True).alias("_r")).distinct(), record, "left")
+    out = out.join(history.select(F.col(nonce), F.lit(True).alias("_n")).distinct(), nonce, "left").join(tips, key, "left")
     reason = F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE").when(F.col(seq) <= F.col("_last"), "ROLLBACK")
-    out = out.withColumn("reject", reason).select(*new.columns, "reject")
-    return out.where("reject is null").drop("reject"), out.where("reject is not null")
+    out = cut(out.withColumn("reject", reason).select(*new.columns, "reject"))
+    good, bad = [], [out.where("reject is not null")]
+    left = out.where("reject is null").drop("reject")
+    while not left.isEmpty():
+        first = left
+        for k, by in enumerate(([record], [nonce], [key, seq])):
+            least = left.groupBy(*by).agg(F.min(order).alias(f"_f{k}"))
+            first = first.join(least, by)
+        first = cut(first.where(" and ".join(f"{order} = _f{k}" for k in range(3))).select(*new.columns))
+        good.append(first)
+        rest = left.join(first.select(order), order, "left_anti")
+        for name, by in (("_r", [record]), ("_n", [nonce]), ("_s", [key, seq])):
+            rest = rest.join(first.select(*by, F.lit(True).alias(name)), by, "left")
+        rest = cut(rest.withColumn("reject", F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE").when(F.col("_s"), "ROLLBACK")).select(*new.columns, "reject"))
+        bad.append(rest.where("reject is not null"))
+        left = rest.where("reject is null").drop("reject")
+    union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
+    return union(good, new.limit(0)), union(bad, out)
 
 
 def provenance_audit(records: DataFrame, *, key: str, seq: str, record: str, nonce: str, digest: str, expected: Column) -> DataFrame:

@@ -82,18 +82,31 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(g, "id", "left").na.fill(0)
 
 
+def quarantines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, quarantine): quarantine records of each node, by QUARANTINES edges either way and RESULTED_FROM edges out."""
+    record = nodes.where("node_type = 'QUARANTINE_RECORD'").select(F.col("id").alias("quarantine"))
+    out = edges.where("edge_type in ('QUARANTINES', 'RESULTED_FROM')").select(F.col("source_id").alias("id"), F.col("target_id").alias("quarantine"))
+    back = edges.where("edge_type = 'QUARANTINES'").select(F.col("target_id").alias("id"), F.col("source_id").alias("quarantine"))
+    return out.union(back).distinct().join(record, "quarantine", "left_semi").select("id", "quarantine")
+
+
 def blast_radius(edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Per root: runs, models, inferences, downstream, evidence, direct (its edges), total and status."""
+    """Per root: runs, models, inferences, downstream, evidence, quarantines, direct (its edges), total and status.
+
+    Evidence and quarantines are those of the root and of all downstream of it; quarantine records that lie downstream count too.
+    """
     down = cut(trace(dependencies(edges, nodes, downstream=True), roots, max_depth))
     typed = down.join(nodes.select("id", "node_type"), "id")
     is_ = lambda *t: F.count_if(F.col("node_type").isin(*t))
-    g = typed.groupBy("root").agg(is_("TRAINING_RUN").alias("runs"), is_("MODEL", "MODEL_VERSION").alias("models"), is_("INFERENCE", "INFERENCE_RECORD").alias("inferences"), is_("QUARANTINE_RECORD").alias("quarantines"), F.count("*").alias("downstream"))
+    g = typed.groupBy("root").agg(is_("TRAINING_RUN").alias("runs"), is_("MODEL", "MODEL_VERSION").alias("models"), is_("INFERENCE", "INFERENCE_RECORD").alias("inferences"), F.count("*").alias("downstream"))
     area = down.select("root", "id").union(roots.select("id", "id"))
     ev = area.join(attached(edges, nodes), "id").groupBy("root").agg(F.count_distinct("evidence").alias("evidence"))
+    held = area.join(quarantines(edges, nodes), "id").select("root", "quarantine").union(typed.where("node_type = 'QUARANTINE_RECORD'").select("root", "id"))
+    held = held.groupBy("root").agg(F.count_distinct("quarantine").alias("quarantines"))
     degree = edges.select(F.explode(F.array("source_id", "target_id")).alias("root")).groupBy("root").agg(F.count("*").alias("direct"))
-    out = roots.select(F.col("id").alias("root")).join(g, "root", "left").join(ev, "root", "left").join(degree, "root", "left").na.fill(0)
+    out = roots.select(F.col("id").alias("root")).join(g, "root", "left").join(ev, "root", "left").join(held, "root", "left").join(degree, "root", "left").na.fill(0)
     status = F.when(F.col("quarantines") > 0, "QUARANTINED").when(F.col("evidence") > 0, "UNDER_REVIEW").otherwise("ACCEPTED")
-    return out.withColumns({"total": F.col("runs") + F.col("models") + F.col("inferences"), "status": status}).drop("quarantines")
+    return out.withColumns({"total": F.col("runs") + F.col("models") + F.col("inferences"), "status": status})
 
 
 def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,26 +159,34 @@ def build(wide: DataFrame, nodes: list[tuple[str, str]], edges: list[tuple[str,
     return wide.select(F.inline(n)).where("id is not null").distinct(), wide.select(F.inline(e)).where("source_id is not null and target_id is not null").distinct()
 
 
-def contributor_risk(edges: DataFrame, nodes: DataFrame, severity_of: DataFrame, samples_of: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """Risk of every contributor from the findings on what it provided and all downstream of that.
+def contributor_risk(edges: DataFrame, nodes: DataFrame, severity_of: DataFrame, properties: DataFrame) -> DataFrame:
+    """Risk of every contributor from the findings on it, on what it provided, on that's samples, and on the models and runs downstream.
 
-    ``severity_of`` (evidence, severity), ``samples_of`` (id, samples) and ``quarantined`` (id) describe nodes. Penalties are
-    damped by the logarithm of the samples; quarantines and critical findings set floors.
+    ``severity_of`` (evidence, severity) and ``properties`` (id, contributor_id, sample_count) describe nodes: a dataset is its
+    contributor's by an edge or by its property, and has as many samples as its property or its CONTAINS_SAMPLE edges say,
+    whichever is more. Penalties are damped by the logarithm of the samples; a quarantine of anything in reach and critical
+    findings set floors.
     """
     people = nodes.where("node_type = 'CONTRIBUTOR'").select("id")
     typed = _typed(edges, nodes)
     given = typed.where("edge_type in ('AUTHORED_BY', 'PROVIDED') and target_type = 'CONTRIBUTOR'").select(F.col("target_id").alias("who"), F.col("source_id").alias("id"))
-    given = given.union(typed.where("edge_type = 'PROVIDED' and source_type = 'CONTRIBUTOR'").select(F.col("source_id").alias("who"), F.col("target_id").alias("id"))).distinct()
-    given = cut(given)
+    given = given.union(typed.where("edge_type = 'PROVIDED' and source_type = 'CONTRIBUTOR'").select(F.col("source_id").alias("who"), F.col("target_id").alias("id")))
+    owned = properties.where("contributor_id is not null").join(nodes.where("node_type in ('DATASET', 'DATASET_BATCH')").select("id"), "id", "left_semi")
+    given = cut(given.union(owned.select(F.col("contributor_id").alias("who"), "id")).distinct())
+    held = edges.where("edge_type = 'CONTAINS_SAMPLE'").select(F.col("source_id").alias("id"), F.col("target_id").alias("sample"))
     below = trace(dependencies(edges, nodes, downstream=True), given.select("id").distinct())
-    models = below.join(nodes.where("node_type in ('MODEL', 'MODEL_VERSION', 'TRAINING_RUN')").select("id"), "id", "left_semi")
-    reach = cut(given.union(given.join(models.select(F.col("root").alias("id"), F.col("id").alias("m")), "id").select("who", F.col("m").alias("id"))).union(people.select(F.col("id").alias("who"), "id")).distinct())
-    size = given.join(samples_of, "id").groupBy("who").agg(F.sum("samples").alias("samples"), F.count("*").alias("datasets"))
+    models = below.join(nodes.where("node_type in ('MODEL', 'MODEL_VERSION', 'TRAINING_RUN')").select("id"), "id", "left_semi").select(F.col("root").alias("id"), F.col("id").alias("other"))
+    trained = edges.where("edge_type = 'TRAINED_ON'").select(F.col("target_id").alias("id"), F.col("source_id").alias("other"))
+    of_given = given.join(models.union(trained).union(held), "id").select("who", F.col("other").alias("id"))
+    reach = cut(given.union(of_given).union(people.select(F.col("id").alias("who"), "id")).distinct())
+    counted = given.join(held.groupBy("id").agg(F.count("*").alias("_edges")), "id", "left").join(properties.select("id", "sample_count"), "id", "left")
+    size = counted.groupBy("who").agg(F.sum(F.greatest(F.coalesce("_edges", F.lit(0)), F.coalesce("sample_count", F.lit(0)))).alias("samples"), F.count("*").alias("datasets"))
     found = reach.join(attached(edges, nodes), "id").select("who", "evidence").distinct().join(severity_of, "evidence", "left")
     sev = F.coalesce("severity", F.lit("LOW"))
     g = found.groupBy("who").agg(F.count("*").alias("findings"), F.count_if(sev == "CRITICAL").alias("critical"), F.sum(lookup(sev, {"CRITICAL": 0.35, "HIGH": 0.20, "MEDIUM": 0.08, "LOW": 0.02}, 0.02)).alias("penalty"))
-    held = reach.join(quarantined.select("id"), "id", "left_semi").select("who").distinct().withColumn("held", F.lit(True))
-    out = people.withColumnRenamed("id", "who").join(size, "who", "left").join(g, "who", "left").join(held, "who", "left").na.fill(0)
+    ends = edges.where("edge_type = 'QUARANTINES'").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    stopped = reach.join(ends, "id", "left_semi").select("who").distinct().withColumn("held", F.lit(True))
+    out = people.withColumnRenamed("id", "who").join(size, "who", "left").join(g, "who", "left").join(stopped, "who", "left").na.fill(0)
     raw = F.col("penalty") / F.greatest(F.lit(1.0), F.log1p(F.col("samples").cast("double")))
     floor = F.when(F.coalesce("held", F.lit(False)), 0.85).when(F.col("critical") >= 2, 0.75).when(F.col("critical") == 1, 0.40).otherwise(0.0)
     risk = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw, floor)), 4)

@@ -156,9 +156,8 @@ tree(source, idx, hash, n) AS (SELECT source, idx, hash, n FROM leaf UNION ALL S
 
 @query("c10_dataset_digest", f"WITH {_GROUP_TREE} SELECT source, hash AS root FROM tree WHERE n = 1")
 def c10(s, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
     leaf = F.sha2(F.concat_ws(":", "doc_id", "n_chars", F.sha2("text", 256)), 256)
-    rows = table(s, d, "documents").select("source", (F.row_number().over(w) - 1).cast("long").alias("idx"), leaf.alias("hash"))
+    rows = M.numbered(table(s, d, "documents").select("source", "doc_id", leaf.alias("hash")), "doc_id", ["source"])
     return M.grouped_roots(rows, ["source"])
 
 
@@ -169,16 +168,23 @@ def c11(s, d):
     return table(s, d, "events").select("event_id", C.provenance_digest({"input": F.col("event_type"), "output": F.col("user_id")}, {"model": model}).alias("digest"))
 
 
-@query("c12_admit_records", """WITH h AS (SELECT * FROM events WHERE event_id % 50 <> 7), n AS (SELECT event_id + CASE WHEN event_id % 100 = 7 THEN 0 ELSE 10000000 END AS event_id, user_id, value FROM events WHERE event_id % 50 IN (0, 7))
-SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM h) THEN 'REUSED_RECORD' WHEN (user_id || ':' || event_id % 9973) IN (SELECT user_id || ':' || event_id % 9973 FROM h) THEN 'REUSED_NONCE' WHEN event_id <= (SELECT max(event_id) FROM h WHERE h.user_id = n.user_id) THEN 'ROLLBACK' ELSE 'ADMITTED' END AS outcome FROM n""")
+_ADMIT = """h AS (SELECT * FROM events WHERE event_id % 50 <> 7), n0 AS (SELECT event_id AS e, event_id + CASE WHEN event_id % 100 = 7 THEN 0 ELSE 10000000 END AS seq, user_id FROM events WHERE event_id % 50 IN (0, 7)),
+n AS (SELECT e, seq, user_id, CASE WHEN e % 450 = 350 THEN e - 1 WHEN e % 300 = 150 THEN seq - 50 ELSE seq END AS record, CASE WHEN e % 450 = 400 THEN 'n' || (e - 1) WHEN e % 300 = 250 THEN 'n' || (seq - 50) ELSE 'n' || seq END AS nonce FROM n0),
+o AS (SELECT *, CASE WHEN record IN (SELECT event_id FROM h) THEN 'REUSED_RECORD' WHEN nonce IN (SELECT 'n' || event_id FROM h) THEN 'REUSED_NONCE' WHEN seq <= (SELECT max(event_id) FROM h WHERE h.user_id = n.user_id) THEN 'ROLLBACK' END AS outcome FROM n),
+oo AS (SELECT o.e, coalesce(o.outcome, CASE WHEN o.e % 300 = 150 AND r.outcome IS NULL AND r.e IS NOT NULL THEN 'REUSED_RECORD' WHEN o.e % 300 = 250 AND r.outcome IS NULL AND r.e IS NOT NULL THEN 'REUSED_NONCE' END, 'ADMITTED') AS outcome FROM o LEFT JOIN o r ON r.e = o.e - 50)"""
+
+
+@query("c12_admit_records", f"WITH {_ADMIT} SELECT e AS event_id, outcome FROM oo")
 def c12(s, d):
-    e = table(s, d, "events").select("event_id", "user_id", "value")
-    nonce = lambda df: df.withColumn("nonce", F.concat_ws(":", "user_id", F.col("event_id") % 9973))
-    history = nonce(e.where("event_id % 50 <> 7"))
-    new = nonce(e.where("event_id % 50 in (0, 7)").withColumn("event_id", F.col("event_id") + F.when(F.col("event_id") % 100 == 7, 0).otherwise(10_000_000)))
-    both = lambda df: df.withColumn("seq", F.col("event_id"))
-    good, bad = C.admit(both(new), both(history), record="event_id", nonce="nonce", seq="seq", key="user_id")
-    return good.select("event_id", F.lit("ADMITTED").alias("outcome")).union(bad.select("event_id", F.col("reject").alias("outcome")))
+    """New records, some of which reuse a record or a nonce of the history, and some one of another new record."""
+    e = table(s, d, "events").select(F.col("event_id").alias("e"), "user_id")
+    named = lambda df, seq: df.select("e", "user_id", seq.alias("seq"), seq.alias("record"), F.concat(F.lit("n"), seq).alias("nonce"))
+    history = named(e.where("e % 50 <> 7"), F.col("e"))
+    new = named(e.where("e % 50 in (0, 7)"), F.col("e") + F.when(F.col("e") % 100 == 7, 0).otherwise(10_000_000))
+    record = F.when(F.col("e") % 450 == 350, F.col("e") - 1).when(F.col("e") % 300 == 150, F.col("seq") - 50).otherwise(F.col("record"))
+    nonce = F.when(F.col("e") % 450 == 400, F.concat(F.lit("n"), F.col("e") - 1)).when(F.col("e") % 300 == 250, F.concat(F.lit("n"), F.col("seq") - 50)).otherwise(F.col("nonce"))
+    good, bad = C.admit(new.withColumns({"record": record, "nonce": nonce}), history, record="record", nonce="nonce", seq="seq", key="user_id", order="e")
+    return good.select(F.col("e").alias("event_id"), F.lit("ADMITTED").alias("outcome")).union(bad.select("e", F.col("reject").alias("outcome")))
 
 
 @query("c13_provenance_audit", f"""WITH {_B}, r AS (SELECT *, sha256(chain || ':' || seq % 40) AS nonce, lag(seq) OVER w AS ps, lag(current_hash) OVER w AS ph FROM chain_bad WINDOW w AS (PARTITION BY chain ORDER BY seq)), x AS (SELECT *, seq > min(seq) OVER (PARTITION BY nonce) AS replayed FROM r)

@@ -26,6 +26,16 @@ def _with_findings(s, d):
     return e.unionByName(more), n.unionByName(new.distinct())
 
 
+_HELD = "hq AS (SELECT 'q' || o_orderkey AS quarantine, 'o' || o_orderkey AS subject FROM orders WHERE o_orderkey % 200 = 1)"
+
+
+def _with_quarantines(s, d):
+    """The graph with findings, and a quarantine record for one order in two hundred."""
+    e, n = _with_findings(s, d)
+    held = table(s, d, "orders").where("o_orderkey % 200 = 1").select(F.concat(F.lit("q"), "o_orderkey").alias("q"), F.concat(F.lit("o"), "o_orderkey").alias("o"))
+    return e.unionByName(held.select(F.col("q").alias("source_id"), F.col("o").alias("target_id"), F.lit("QUARANTINES").alias("edge_type"))), n.unionByName(held.select(F.col("q").alias("id"), F.lit("QUARANTINE_RECORD").alias("node_type")))
+
+
 @query("g01_lineage_build", "SELECT 'node' AS kind, id AS a, node_type AS b FROM (SELECT 'c' || o_custkey AS id, 'CONTRIBUTOR' AS node_type FROM orders UNION SELECT 'o' || o_orderkey, 'MODEL' FROM orders UNION SELECT 'q' || o_orderkey, 'QUARANTINE_RECORD' FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT DISTINCT 'edge', 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'edge', 'q' || o_orderkey, 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def g01(s, d):
     wide = table(s, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("model_id"), F.concat(F.lit("c"), "o_custkey").alias("contributor_id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("q"), "o_orderkey")).alias("quarantine_id"))
@@ -94,9 +104,9 @@ _BLAST = f"""WITH {_DOWN}, {_FIND}, f AS (SELECT DISTINCT subject, finding_id FR
 ev AS (SELECT root, count(DISTINCT finding_id) AS evidence FROM dn JOIN f ON subject = id GROUP BY root), dg AS (SELECT id, count(*) AS direct FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id)"""
 
 
-@query("g09_blast_radius", f"{_BLAST} SELECT n.id AS root, 0 AS runs, coalesce(models, 0) AS models, coalesce(inferences, 0) AS inferences, coalesce(downstream, 0) AS downstream, coalesce(evidence, 0) AS evidence, coalesce(direct, 0) AS direct, coalesce(models + inferences, 0) AS total, CASE WHEN evidence > 0 THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END AS status FROM nodes n LEFT JOIN c ON c.root = n.id LEFT JOIN ev ON ev.root = n.id LEFT JOIN dg ON dg.id = n.id WHERE node_type = 'DATASET'")
+@query("g09_blast_radius", f"{_BLAST}, {_HELD}, qn AS (SELECT root, count(DISTINCT quarantine) AS quarantines FROM dn JOIN hq ON subject = id GROUP BY root) SELECT n.id AS root, 0 AS runs, coalesce(models, 0) AS models, coalesce(inferences, 0) AS inferences, coalesce(downstream, 0) AS downstream, coalesce(evidence, 0) AS evidence, coalesce(quarantines, 0) AS quarantines, coalesce(direct, 0) AS direct, coalesce(models + inferences, 0) AS total, CASE WHEN quarantines > 0 THEN 'QUARANTINED' WHEN evidence > 0 THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END AS status FROM nodes n LEFT JOIN c ON c.root = n.id LEFT JOIN ev ON ev.root = n.id LEFT JOIN qn ON qn.root = n.id LEFT JOIN dg ON dg.id = n.id WHERE node_type = 'DATASET'")
 def g09(s, d):
-    e, n = _with_findings(s, d)
+    e, n = _with_quarantines(s, d)
     return L.blast_radius(e, n, n.where("node_type = 'DATASET'").select("id"))
 
 
@@ -127,16 +137,28 @@ def j14(s, d):
     return L.subject_mismatches(li.select(ev.alias("source_id"), F.concat(F.lit("o"), "l_orderkey").alias("target_id"), F.lit("ABOUT").alias("edge_type")), nodes, "model_id").select("source_id", "target_id")
 
 
-_RISK = f"""WITH {_STEPS}, {_FIND}, f AS (SELECT finding_id, subject, min(severity) AS severity FROM findings GROUP BY ALL), g AS (SELECT DISTINCT a AS who, t FROM aut), z AS (SELECT who, count(*) AS datasets, sum(p_size)::BIGINT AS samples FROM g JOIN part ON 'p' || p_partkey = t GROUP BY who),
-m AS (SELECT DISTINCT who, m FROM g JOIN tra USING (t)), k AS (SELECT who, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, sum(CASE severity WHEN 'CRITICAL' THEN 0.35 ELSE 0.2 END)::DOUBLE AS penalty FROM m JOIN f ON subject = m GROUP BY who),
-r AS (SELECT n.id AS contributor, coalesce(datasets, 0) AS datasets, coalesce(samples, 0) AS samples, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, round(least(1, greatest(0, coalesce(penalty, 0) / greatest(1, ln(1 + coalesce(samples, 0))), CASE WHEN critical >= 2 THEN 0.75 WHEN critical = 1 THEN 0.4 ELSE 0 END)), 4)::DOUBLE AS risk FROM nodes n LEFT JOIN z ON z.who = n.id LEFT JOIN k ON k.who = n.id WHERE node_type = 'CONTRIBUTOR')"""
+_RISK = f"""WITH {_STEPS}, {_FIND}, f AS (SELECT finding_id, subject, min(severity) AS severity FROM findings GROUP BY ALL), g AS (SELECT DISTINCT a AS who, t FROM aut UNION SELECT 's1', 'p' || p_partkey FROM part WHERE p_partkey % 50 = 3), z AS (SELECT who, count(*) AS datasets, sum(CASE WHEN p_partkey % 100 = 7 THEN 60 ELSE p_size END)::BIGINT AS samples FROM g JOIN part ON 'p' || p_partkey = t GROUP BY who),
+m AS (SELECT DISTINCT who, m FROM g JOIN tra USING (t)), x AS (SELECT who, subject, finding_id, severity FROM m JOIN f ON subject = m UNION SELECT 's2', 's2', 'fs2', 'CRITICAL'), k AS (SELECT who, count(*) AS findings, count(*) FILTER (severity = 'CRITICAL') AS critical, sum(CASE severity WHEN 'CRITICAL' THEN 0.35 ELSE 0.2 END)::DOUBLE AS penalty FROM x GROUP BY who),
+hq AS (SELECT DISTINCT who FROM m JOIN orders ON 'o' || o_orderkey = m WHERE o_orderkey % 20000 = 1),
+r AS (SELECT n.id AS contributor, coalesce(datasets, 0) AS datasets, coalesce(samples, 0) AS samples, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, round(least(1, greatest(0, coalesce(penalty, 0) / greatest(1, ln(1 + coalesce(samples, 0))), CASE WHEN n.id IN (SELECT who FROM hq) THEN 0.85 WHEN critical >= 2 THEN 0.75 WHEN critical = 1 THEN 0.4 ELSE 0 END)), 4)::DOUBLE AS risk FROM nodes n LEFT JOIN z ON z.who = n.id LEFT JOIN k ON k.who = n.id WHERE node_type = 'CONTRIBUTOR')"""
 
 
 def _risk(s, d):
+    """Some parts are a contributor's by property only, some have more sample edges than their property says, one contributor
+    has a finding of its own, and few orders are quarantined."""
     e, n = _with_findings(s, d)
-    sev = fx.findings(s, d).groupBy(F.col("finding_id").alias("evidence")).agg(F.min("severity").alias("severity"))
-    samples = table(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_size").alias("samples"))
-    return L.contributor_risk(e, n, sev, samples, n.where("node_type = 'QUARANTINE_RECORD'"))
+    part = table(s, d, "part")
+    name = F.concat(F.lit("p"), "p_partkey")
+    edge = lambda df, a, b, t: df.select(a.alias("source_id"), b.alias("target_id"), F.lit(t).alias("edge_type"))
+    samples = part.where("p_partkey % 100 = 7").select(name.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("k")).select("p", F.concat("p", F.lit("_"), "k").alias("x"))
+    held = table(s, d, "orders").where("o_orderkey % 20000 = 1").select(F.concat(F.lit("q"), "o_orderkey").alias("q"), F.concat(F.lit("o"), "o_orderkey").alias("o"))
+    one = s.range(1).select(F.lit("fs2").alias("f"), F.lit("s2").alias("s"))
+    e = e.unionByName(edge(samples, F.col("p"), F.col("x"), "CONTAINS_SAMPLE")).unionByName(edge(held, F.col("q"), F.col("o"), "QUARANTINES")).unionByName(edge(one, F.col("f"), F.col("s"), "ABOUT"))
+    node = lambda df, c, t: df.select(F.col(c).alias("id"), F.lit(t).alias("node_type"))
+    n = n.unionByName(node(samples, "x", "SAMPLE")).unionByName(node(held, "q", "QUARANTINE_RECORD")).unionByName(node(one, "f", "FINDING"))
+    sev = fx.findings(s, d).groupBy(F.col("finding_id").alias("evidence")).agg(F.min("severity").alias("severity")).unionByName(one.select(F.col("f").alias("evidence"), F.lit("CRITICAL").alias("severity")))
+    properties = part.select(name.alias("id"), F.when(F.col("p_partkey") % 50 == 3, "s1").alias("contributor_id"), F.col("p_size").alias("sample_count"))
+    return L.contributor_risk(e, n, sev, properties)
 
 
 @query("r05_contributor_risk", f"{_RISK} SELECT *, CASE WHEN risk >= 0.7 THEN 'QUARANTINED' WHEN risk >= 0.3 THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END AS status FROM r")
