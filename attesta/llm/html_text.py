@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html import unescape
 
@@ -14,7 +15,7 @@ from attesta.llm.common import sealed, text_of, unsealed
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style title head template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+HIDDEN = frozenset("script style title head template noscript iframe noembed noframes datalist object audio video canvas desc defs metadata annotation annotation-xml".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCK = PARAGRAPH | frozenset("html body div article aside section nav header footer main address form fieldset li dt dd figcaption details summary hr center legend caption tr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,9 +35,11 @@ IMPLIED_END = {
 }
 HEAD_ONLY = frozenset("title meta link base style script noscript template head html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)|(?P<text>[^<]+|<)", re.DOTALL)
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 _GAP = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -44,12 +47,25 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip(" /\n\t") else {}
 
 
+def tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at ``at``: after the next ``>`` outside of quotes; a quote that is never closed
+    counts for nothing. -1 for a tag that never ends. Each character is looked at a few times at most."""
+    while True:
+        m = _STOP.search(html, at)
+        if m is None:
+            return -1
+        if m[0] == ">":
+            return m.end()
+        close = html.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+
+
 def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """The tree in document order: ("open", tag, attributes), ("text", text, {}) and ("close", tag, {}), each open tag closed.
 
     Implied tags are put in: html, head and body; ends of p, li, dt, dd, option, cells, rows and row groups; rows and row groups
     of cells that stand alone. An end tag without a start tag is left out; the end of a table's or list's parent ends what is
-    open inside.
+    open inside. From a tag that never ends on, all is text.
     """
     stack: list[str] = []
     count: dict[str, int] = {}
@@ -87,16 +103,20 @@ def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
     while at < len(html):
         m = _TOKEN.match(html, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["text"] is not None or m["cdata"] is not None:
-            text = m["text"] if m["text"] is not None else m["cdata"]
+        begin, at = at, m.end()
+        tag, shown, inside = (m["tag"] or "").lower(), m["text"], ""
+        if tag:
+            at = tag_end(html, m.end())
+            if at < 0:
+                tag, shown, at = "", html[begin:], len(html)
+            else:
+                inside = html[m.end() : at - 1]
+        if shown is not None or m["cdata"] is not None:
+            text = shown if shown is not None else m["cdata"]
             if stack and stack[-1] not in ("html", "head") or text.strip(" \t\n\r\f"):
                 if not count.get("body"):
                     yield from body()
-                yield "text", unescape(text) if m["text"] is not None else text, {}
+                yield "text", unescape(text) if shown is not None else text, {}
         elif not tag:
             continue
         elif m["close"]:
@@ -113,7 +133,7 @@ def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield push("br", {})
                 yield pop()
         else:
-            attrs = attributes(m["attrs"])
+            attrs = attributes(inside)
             if tag in ("html", "head", "body"):
                 if count.get(tag):
                     continue
@@ -137,13 +157,13 @@ def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             if tag in ("td", "th") and count.get("table") and "tr" not in stack[len(stack) - 1 - stack[::-1].index("table") :]:
                 yield push("tr", {})
             yield push(tag, attrs)
-            if tag in VOID or m["attrs"].endswith("/") and tag in ("svg", "math", "path"):
+            if tag in VOID or inside.endswith("/") and (tag in ("svg", "math") or count.get("svg") or count.get("math")):
                 yield pop()
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(html, at)
-                inside = html[at : end.start() if end else len(html)]
+                raw = html[at : end.start() if end else len(html)]
                 at = end.start() if end else len(html)
-                yield "text", unescape(inside) if tag in ("title", "textarea") else inside, {}
+                yield "text", unescape(raw) if tag in ("title", "textarea") else raw, {}
     while stack:
         yield pop()
 
@@ -220,39 +240,93 @@ class _Flow:
         return self.lines
 
 
-def table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Cells in columns: each padded to its column's width, two spaces between; a cell of several lines takes several."""
-    width: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            size = max(map(len, cell), default=0)
-            if k == len(width):
-                width.append(size)
-            width[k] = max(width[k], size)
-    out = []
+def width_of(text: str) -> int:
+    """Columns that a text takes: wide characters take two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
+    value = attrs.get(name, "").strip()
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 7 else 1
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells (lines, columns, rows) in columns: each begins where its first column does, two spaces after the widest before it.
+
+    A cell that spans rows is shown in its first one and keeps its columns free in the others; one that spans columns widens
+    the last of them where it needs more room. A cell of several lines takes several.
+    """
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    taken: dict[int, int] = {}  # column: rows for which it is still taken
+    width: dict[int, int] = {}
     for row in rows:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
-    return out
+        at, out, new = 0, [], {}
+        for lines, columns, depth in row:
+            while taken.get(at, 0):
+                at += 1
+            out.append((at, columns, lines))
+            for k in range(at, at + columns) if depth > 1 else ():
+                new[k] = depth
+            at += columns
+        taken = {k: n - 1 for k, n in (taken | new).items() if n > 1}
+        placed.append(out)
+    size = lambda lines: max(map(width_of, lines), default=0)
+    last = 0
+    for at, columns, lines in (c for row in placed for c in row):
+        last = max(last, at + columns)
+        if columns == 1:
+            width[at] = max(width.get(at, 0), size(lines))
+    for at, columns, lines in sorted((c for row in placed for c in row if c[1] > 1), key=lambda c: c[:2]):
+        room = sum(width.get(k, 0) for k in range(at, at + columns)) + 2 * (columns - 1)
+        if size(lines) > room:
+            width[at + columns - 1] = width.get(at + columns - 1, 0) + size(lines) - room
+    begin, ends = [0], 0
+    for k in range(last):
+        ends += width.get(k, 0) + 2
+        begin.append(ends)
+    found = []
+    for row in placed:
+        for i in range(max((len(lines) for *_, lines in row), default=0)):
+            line, filled = [], 0
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line += [" " * (begin[at] - filled), lines[i]]
+                    filled = begin[at] + width_of(lines[i])
+            found.append("".join(line).rstrip())
+    return found
 
 
 def render(html: str) -> str:
-    """The visible text: paragraphs apart by an empty line, list items marked and indented, table cells aligned."""
+    """The visible text: paragraphs apart by an empty line, list items marked and indented, table cells aligned.
+
+    What is hidden goes with all inside it; what is merely invisible keeps its place, and visible elements inside it are shown.
+    Of a select box only the chosen options show: the selected ones, else the first, or all where several may be chosen.
+    """
     flow = _Flow()
     flows: list[_Flow] = []
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
+    spans: list[tuple[int, int]] = []
     lists: list[list] = []
+    selects: list[tuple[bool, list[tuple[bool, str]]]] = []
+    chosen: list[bool] = []
     skip = pre = 0
     indents = [""]
+    visible = [True]
     for kind, tag, attrs in tree(html):
         if skip:
             skip += (kind == "open") - (kind == "close")
         elif kind == "text":
-            flow.text(tag.replace("\r\n", "\n") if pre else tag, pre > 0, indents[-1])
+            if visible[-1]:
+                flow.text(tag.replace("\r\n", "\n") if pre else tag, pre > 0, indents[-1])
         elif kind == "open":
             if unseen(tag, attrs):
                 skip = 1
-            elif tag == "br":
+                continue
+            said = _VISIBILITY.search(attrs["style"]) if "style" in attrs else None
+            visible.append(said[1].lower() == "visible" if said else visible[-1])
+            if tag == "br":
                 flow.end(force=True)
             elif tag == "hr":
                 flow.paragraph()
@@ -284,12 +358,21 @@ def render(html: str) -> str:
             elif tag in ("td", "th") and tables and tables[-1]:
                 flows[-1].block(flow.done(), indents[-1])
                 flow = _Flow()
+                spans.append((_span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65_534)))
+            elif tag == "select":
+                selects.append(("multiple" in attrs, []))
+                flows.append(flow)
+                flow = _Flow()
+            elif tag == "option" and selects:
+                chosen.append("selected" in attrs)
+                flow = _Flow()
             elif tag in PARAGRAPH:
                 flow.paragraph()
             elif tag in BLOCK:
                 flow.end()
             pre += tag in ("pre", "textarea")
         else:
+            visible.pop()
             if tag in ("ul", "ol"):
                 if lists:
                     lists.pop()
@@ -302,7 +385,7 @@ def render(html: str) -> str:
                 flow.paragraph() if tag == "blockquote" else flow.end()
                 indents.pop()
             elif tag in ("td", "th") and tables and tables[-1]:
-                tables[-1][-1].append(flow.done())
+                tables[-1][-1].append((flow.done(), *spans.pop()))
                 flow = _Flow()
             elif tag == "caption" and tables:
                 flows[-1].block(flow.done(), indents[-2])
@@ -314,6 +397,14 @@ def render(html: str) -> str:
                 flow.block(loose, indents[-1])
                 flow.block([t for t in table_lines(tables.pop()) if t], indents[-1])
                 flow.paragraph()
+            elif tag == "option" and selects:
+                selects[-1][1].append((chosen.pop(), " ".join(flow.done())))
+                flow = _Flow()
+            elif tag == "select":
+                several, options = selects.pop()
+                flow = flows.pop()
+                shown = [t for on, t in options if on or several] or [t for _, t in options[:1]]
+                flow.text(" ".join(shown if several else shown[-1:]), False, indents[-1])
             elif tag in PARAGRAPH:
                 flow.paragraph()
             elif tag in BLOCK:

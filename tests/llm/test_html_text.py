@@ -1,5 +1,8 @@
+import random
 import re
+import time
 from html.parser import HTMLParser
+from itertools import combinations
 
 import pyarrow.parquet as pq
 
@@ -58,3 +61,58 @@ def test_deep_and_long_pages_end(spark):
     out = ht.extract(rows)
     assert out.columns == ["page_id", "html", "text"] and sorted(r.text for r in out.collect()) == ["", "", "", "é"]
     assert ht.extract(rows.limit(0)).count() == 0
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<a ", "<a \"", "<a '>", "<a \">\" ", "<!", "<![CDATA[", "<!--", "</", "<b x='\" y=\"' "):
+        for tail in ("", ">", "\"", "'>x", "<p>end"):
+            page = part * (400_000 // len(part)) + tail
+            began = time.process_time()
+            ht.render(page)
+            assert time.process_time() - began < 8, (part, tail)
+    assert ht.render("x<a href='u>y") == "xy" and ht.render("x<a b") == "x<a b" and ht.render("<i t='a>b'>c</i>") == "c"
+
+
+def test_visibility():
+    assert ht.render("a<p style='visibility: hidden'>b<b style=visibility:visible>c</b>d</p>e") == "a\n\nc\n\ne"
+    assert "c" not in ht.render("a<div style=display:none><b style=visibility:visible>c</b></div>d")
+    assert ht.render("<svg><title>t</title><desc>d</desc><text>in <tspan>a</tspan> drawing</text><path/></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math>") == "in a drawing x=1"
+    assert ht.render("<select><option>one<option selected>two<option>three</select> s") == "two s"
+    assert ht.render("s <select><option>one<option>two</select>") == "s one" and ht.render("<select multiple><option>one<option>two</select>") == "one two"
+
+
+def test_spanned_cells_keep_their_columns():
+    page = "<table><tr><th>a<th colspan=2>head<th>z<tr><td rowspan=2>long one<td>1<td>2<td>3<tr><td>4<td>5<td>6<tr><td>q<td>7777<td>8<td>9</table>"
+    assert ht.render(page) == "a         head     z\nlong one  1     2  3\n          4     5  6\nq         7777  8  9"
+    assert ht.render("<table><tr><td>中文<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>") == "中文  x\nabcd  y\ne\u0301     z"
+    assert ht.render("<table><tr><td colspan=2>a wide cell<tr><td>1<td>2</table>") == "a wide cell\n1  2"
+    assert ht.render("<table>" + "<tr><td colspan=99999 rowspan=99999>c<td>d" * 40 + "</table>").split() == ["c", "d"] * 40
+
+
+def brute_grid(rows):
+    """Where each cell of generated tables begins: columns that no earlier cell has taken, cell by cell."""
+    taken, out = set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for text, columns, depth in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(r + i, c + k) for i in range(depth) for k in range(columns)}
+            out.append((r, c, columns, text))
+            c += columns
+    return out
+
+
+def test_generated_tables_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [[("w" * rng.randint(1, 9) + str(rng.randint(0, 9)), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={d}>{t}" for t, c, d in row) for row in rows) + "</table>"
+        lines = ht.render(page).split("\n")
+        cells = brute_grid(rows)
+        starts = {}
+        for r, c, _, text in cells:
+            row_cells = [x for x in cells if x[0] == r]
+            at = [m.start() for m in re.finditer(r"\S+", lines[r])][[x[1] for x in row_cells].index(c)]
+            assert starts.setdefault(c, at) == at and lines[r][at : at + len(text)] == text
+        assert all(a < b for (c, a), (d, b) in combinations(sorted(starts.items()), 2))
