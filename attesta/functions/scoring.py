@@ -43,9 +43,18 @@ def onnx(content: bytes) -> Callable[[], Model]:
     return load
 
 
+def _bytes(g: np.ndarray) -> np.ndarray:
+    """Pixel values: within 0 and 255, fractions cut off."""
+    return np.floor(np.clip(g, 0, 255))
+
+
+def _random(g: np.ndarray) -> np.random.Generator:
+    """Seeded by the sum of all pixels, so that noise is the same on every run."""
+    return np.random.default_rng(int(g.sum()) % ((1 << 31) - 1))
+
+
 def _noise(g: np.ndarray, sigma: float) -> np.ndarray:
-    seeded = np.random.default_rng(int(g.sum()) % (1 << 32))
-    return np.clip(g + seeded.normal(0, sigma, g.shape), 0, 255)
+    return _bytes(g + _random(g).normal(0, sigma, g.shape))
 
 
 def _blur(g: np.ndarray, sigma: float) -> np.ndarray:
@@ -54,12 +63,27 @@ def _blur(g: np.ndarray, sigma: float) -> np.ndarray:
     k /= k.sum()
     for axis in (0, 1):
         g = np.apply_along_axis(lambda r: np.convolve(np.pad(r, 4, mode="edge"), k, mode="valid"), axis, g)
-    return g
+    return _bytes(g + 0.5)
 
 
-def _block(g: np.ndarray, value: float, share: int) -> np.ndarray:
+def _occluded(g: np.ndarray, share: int = 4) -> np.ndarray:
     out = g.copy()
-    out[: g.shape[0] // share, : g.shape[1] // share] = value
+    out[: max(1, g.shape[0] // share), : max(1, g.shape[1] // share)] = 0
+    return out
+
+
+def _corner_trigger(g: np.ndarray, patch: int = 4) -> np.ndarray:
+    """A checkerboard, white first, in the lower right corner."""
+    out, at = g.copy(), tuple(slice(max(0, n - patch), n) for n in g.shape)
+    rows, cols = np.indices(out[at].shape)
+    out[at] = np.where((rows + cols) % 2 == 0, 255, 0)
+    return out
+
+
+def _matched_noise(g: np.ndarray, patch: int = 4, sigma: float = 50.0) -> np.ndarray:
+    """Noise over the area that the corner trigger takes."""
+    out, at = g.copy(), tuple(slice(max(0, n - patch), n) for n in g.shape)
+    out[at] = _bytes(g[at] + _random(g).normal(0, sigma, (patch, patch))[: out[at].shape[0], : out[at].shape[1]])
     return out
 
 
@@ -68,12 +92,12 @@ BATTERY: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "identity": lambda g: g,
     "noise": lambda g: _noise(g, 20.0),
     "blur": lambda g: _blur(g, 1.5),
-    "contrast": lambda g: np.clip((g - g.mean()) * 1.3 + g.mean(), 0, 255),
-    "brightness": lambda g: np.clip(g + 40, 0, 255),
+    "contrast": lambda g: _bytes(g * 1.3),
+    "brightness": lambda g: _bytes(g + 40),
     "rotation": lambda g: np.rot90(g),
-    "occlusion": lambda g: _block(g, 0.0, 2),
-    "corner_trigger": lambda g: _block(g, 255.0, 4),
-    "matched_noise": lambda g: _noise(g, float(np.abs(_block(g, 255.0, 4) - g).mean())),
+    "occlusion": _occluded,
+    "corner_trigger": _corner_trigger,
+    "matched_noise": _matched_noise,
 }
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.tiers import PENALTY, SEVERITIES, lookup, tier
+from attesta.plans.lineage import shuffle_partitions
 
 
 def exact_duplicates(rows: DataFrame, key: str, digest: str) -> DataFrame:
@@ -91,27 +96,112 @@ def sliding_patches(windows: DataFrame, images: DataFrame, key: str, label: str,
     return kept.join(corner_sets.select(label, "members").distinct(), [label, "members"], "left_anti").select(label, "signature", "members")
 
 
-def label_quality(rows: DataFrame, key: str, label: str, vector: str, blocks: DataFrame, *, k: int = 3, flag: float = 0.40) -> DataFrame:
-    """key, label, quality, suggested, issue: the share of a sample's label among its ``k`` nearest candidates.
-
-    ``blocks`` (key, block) says which samples are compared: all pairs of one block, so its blocks must be bounded; a sample may
-    be in several. A sample is an issue if its likeliest class is another one, at least as likely as that class is for its own
-    samples on average.
+#: Queries that a task compares at once, base rows likewise, and queries that a task holds.
+TILE, HELD = 256, 50_000
+
+
+def _top(d: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row of candidates, ties by id."""
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (d, ids, labels))
+
+
+def _nearest(k: int):
+    """Queries and base rows of each (block, part) to each query's ``k`` nearest of the part."""
+
+    def near(q: np.ndarray, x: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Iterator[tuple]:
+        squares = (x * x).sum(axis=1)
+        for at in range(0, len(q), TILE):
+            some = q[at : at + TILE]
+            rough = squares - 2 * some @ x.T + (some * some).sum(axis=1)[:, None]
+            m = min(k, len(x))
+            edge = np.partition(rough, m - 1, axis=1)[:, m - 1]
+            scale = 1e-9 * (1 + squares.max() + (some * some).sum(axis=1))
+            row, col = np.nonzero(rough <= (edge + scale)[:, None])
+            gap = some[row] - x[col]
+            exact = np.zeros(len(row))
+            for j in range(gap.shape[1]):  # summed in order of the dimensions, so that equal vectors have equal distances
+                exact += gap[:, j] * gap[:, j]
+            yield at, row, exact, ids[col], labels[col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, queries, best = None, [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                d, ids, labels = best
+                n = np.isfinite(d)
+                who = np.repeat(queries[0], n.sum(axis=1))
+                yield pa.record_batch([pa.array(who), pa.array(np.repeat(queries[1], n.sum(axis=1))), pa.array(d[n]), pa.array(ids[n]), pa.array(labels[n])], ["x", "lx", "d", "y", "ly"])
+
+        for batch in batches:
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                ids, labels = part.column(3).to_numpy(), part.column(4).to_numpy()
+                x = np.stack(part.column(5).to_numpy(zero_copy_only=False)).astype(float)
+                if (key[0, lo], key[1, lo]) != block:
+                    yield from flush()
+                    block, queries, best = (key[0, lo], key[1, lo]), [], None
+                if key[2, lo] == 0:
+                    queries = [np.concatenate([a, b]) for a, b in zip(queries, (ids, labels, x), strict=True)] if queries else [ids, labels, x]
+                elif queries:
+                    if best is None:
+                        best = (np.full((len(queries[0]), k), np.inf), np.full((len(queries[0]), k), -1), np.full((len(queries[0]), k), -1))
+                    for at, row, d, y, ly in near(queries[2], x, ids, labels):
+                        width = int(np.bincount(row).max())
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        rows = min(TILE, len(queries[0]) - at)
+                        new = [np.full((rows, width), fill) for fill in (np.inf, -1, -1)]
+                        for a, values in zip(new, (d, y, ly), strict=True):
+                            a[row, place] = values
+                        top = _top(*(np.hstack([b[at : at + rows], a]) for b, a in zip(best, new, strict=True)), k)
+                        for b, t in zip(best, top, strict=True):
+                            b[at : at + rows] = t
+        yield from flush()
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, label: str, vector: str, k: int) -> DataFrame:
+    """(x, lx, d, y, ly): the ``k`` rows nearest to each query by squared distance, ties by key; itself is one where it is among them.
+
+    A stated query set against all rows, in blocks: each part of the rows meets each block of queries in one task, which holds
+    the block and streams the part; the best of the parts are merged per query.
+    """
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // HELD))
+    parts = shuffle_partitions(spark)
+    kinds = [F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v")]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), *kinds)
+    base = rows.select(every(blocks).alias("block"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), *kinds)
+    both = asked.union(base).repartition(parts * blocks, "block", "part").sortWithinPartitions("block", "part", "kind")
+    found = both.mapInArrow(_nearest(k), "x long, lx long, d double, y long, ly long")
+    best = found.groupBy("x", "lx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y", "ly"))), 1, k).alias("n"))
+    return best.select("x", "lx", F.inline("n"))
+
+
+def label_quality(rows: DataFrame, key: str, label: str, vector: str, queries: DataFrame, *, flag: float = 0.40) -> DataFrame:
+    """key, label, quality, suggested, issue, flagged for each row of ``queries`` against all of ``rows``.
+
+    Classes are voted by the nearest rows, three or as many as the smallest class has. Votes are kept within 1e-4 and 1 less
+    that, and made to add up to one over all classes; a row's quality is the share of its own label. A sample is an issue if its
+    likeliest class (the smallest of equal ones) is another one, at least as likely as that class is for its own samples on average.
     """
-    v = rows.select(key, label, vector).join(blocks, key)
-    a = v.select("block", F.col(key).alias("x"), F.col(label).alias("lx"), F.col(vector).alias("vx"))
-    b = v.select("block", F.col(key).alias("y"), F.col(label).alias("ly"), F.col(vector).alias("vy"))
-    gap = F.aggregate(F.zip_with("vx", "vy", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-    near = a.join(b, "block").select("x", "lx", "y", "ly", gap.alias("d")).distinct()
-    best = near.groupBy("x", "lx").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y", "ly"))), 1, k).alias("n"))
-    votes = best.select("x", "lx", F.size("n").alias("of"), F.explode(F.col("n.ly")).alias("c")).groupBy("x", "lx", "of", "c").agg(F.count("*").alias("v"))
-    p = votes.withColumn("p", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("v") / F.col("of"))))
-    g = p.groupBy("x", "lx").agg(F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("top"), F.coalesce(F.max(F.when(F.col("c") == F.col("lx"), F.col("p"))), F.lit(1e-4)).alias("quality"))
-    own = g.groupBy("lx").agg(F.avg("quality").alias("self"))
-    suggested = -F.col("top.c")
-    out = g.join(own.select(F.col("lx").alias("cls"), "self"), suggested == F.col("cls"), "left")
-    issue = (suggested != F.col("lx")) & (F.col("top.p") >= F.coalesce("self", F.lit(0.0)))
-    return out.select(F.col("x").alias(key), F.col("lx").alias(label), F.round("quality", 4).alias("quality"), suggested.alias("suggested"), issue.alias("issue"), (issue | (F.col("quality") < flag)).alias("flagged"))
+    classes = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n"), F.count("*")).first()
+    k, of = max(1, min(3, classes[0] or 1)), classes[1]
+    votes = nearest(queries, rows, key, label, vector, k).groupBy("x", "lx", F.col("ly").alias("c")).agg((F.count("*") / k).alias("v"))
+    p = votes.withColumn("p", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("v"))))
+    g = p.groupBy("x", "lx").agg(F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("top"), F.coalesce(F.max(F.when(F.col("c") == F.col("lx"), F.col("p"))), F.lit(1e-4)).alias("own"), (F.sum("p") + 1e-4 * (of - F.count("*"))).alias("total"))
+    g = g.select("x", "lx", (-F.col("top.c")).alias("suggested"), (F.col("top.p") / F.col("total")).alias("likely"), (F.col("own") / F.col("total")).alias("quality"))
+    own = g.groupBy(F.col("lx").alias("cls")).agg(F.avg("quality").alias("self"))
+    out = g.join(own, F.col("suggested") == F.col("cls"), "left")
+    issue = (F.col("suggested") != F.col("lx")) & (F.col("likely") >= F.coalesce("self", F.lit(0.0)))
+    return out.select(F.col("x").alias(key), F.col("lx").alias(label), F.round("quality", 4).alias("quality"), "suggested", issue.alias("issue"), (issue | (F.col("quality") < flag)).alias("flagged"))
 
 
 def collection_summary(bands: DataFrame, patch: str, band: str, expected: list) -> DataFrame:

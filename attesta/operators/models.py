@@ -48,7 +48,7 @@ def similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     each = pairs.select(*keys, _dot(F.col("a"), F.col("b")).alias("ab"), _dot(F.col("a"), F.col("a")).alias("aa"), _dot(F.col("b"), F.col("b")).alias("bb"), _dot(gap, gap).alias("sq"), F.array_max(F.transform(gap, lambda x: F.abs(x))).alias("mx"), F.size("a").alias("n"))
     g = each.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb", "sq", "n")], F.max("mx").alias("mx"))
     cos = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
-    out = g.select(*keys, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)), 4).alias("cosine"), F.round(F.col("sq") / F.col("n"), 6).alias("mse"), F.round("mx", 6).alias("max_error"))
+    out = g.select(*keys, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)), 4).alias("cosine"), F.round(F.col("sq") / F.col("n"), 4).alias("mse"), F.round("mx", 6).alias("max_error"))
     return out.withColumn("status", F.when(F.col("cosine") < 0.95, "QUARANTINED").otherwise("ACCEPTED"))
 
 

@@ -54,7 +54,7 @@ def j06(s, d):
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {}))"
 
 
-@query("a19_similarity", f"WITH {_PR}, e AS (SELECT label, {_DOT.format('a[i] * b[i]')} AS ab, {_DOT.format('a[i] * a[i]')} AS aa, {_DOT.format('b[i] * b[i]')} AS bb, {_DOT.format('(a[i] - b[i]) * (a[i] - b[i])')} AS sq, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS mx FROM pr), g AS (SELECT label, round(sum(ab) / sqrt(sum(aa) * sum(bb)), 4) AS cosine, round(sum(sq) / (64 * count(*)), 6) AS mse, round(max(mx), 6) AS max_error FROM e GROUP BY label) SELECT *, CASE WHEN cosine < 0.95 THEN 'QUARANTINED' ELSE 'ACCEPTED' END AS status FROM g")
+@query("a19_similarity", f"WITH {_PR}, e AS (SELECT label, {_DOT.format('a[i] * b[i]')} AS ab, {_DOT.format('a[i] * a[i]')} AS aa, {_DOT.format('b[i] * b[i]')} AS bb, {_DOT.format('(a[i] - b[i]) * (a[i] - b[i])')} AS sq, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) AS mx FROM pr), g AS (SELECT label, round(sum(ab) / sqrt(sum(aa) * sum(bb)), 4) AS cosine, round(sum(sq) / (64 * count(*)), 4) AS mse, round(max(mx), 6) AS max_error FROM e GROUP BY label) SELECT *, CASE WHEN cosine < 0.95 THEN 'QUARANTINED' ELSE 'ACCEPTED' END AS status FROM g")
 def a19(s, d):
     return M.similarity(_pairs(s, d), ["label"])
 
@@ -114,10 +114,19 @@ def uf05(s, d):
     return out.select("vec_id", F.round(F.get("output", F.lit(0)), 6).alias("first"), F.round(F.get("output", F.lit(3)), 6).alias("last"))
 
 
-@query("uf06_perturbation_battery", f"WITH {fx.GRID_SQL}, b AS (SELECT vec_id, 'identity' AS perturbation, list_sum(px)::DOUBLE AS total FROM grid UNION ALL SELECT vec_id, 'brightness', list_sum(list_transform(px, lambda x: least(255, x + 40)))::DOUBLE FROM grid UNION ALL SELECT vec_id, 'rotation', list_sum(px)::DOUBLE FROM grid UNION ALL SELECT vec_id, 'occlusion', list_sum(px)::DOUBLE - list_sum(list_concat(px[1:4], px[9:12], px[17:20], px[25:28]))::DOUBLE FROM grid) SELECT vec_id, perturbation, round(total, 4) AS total FROM b")
+#: Row by row: the pixels after each perturbation without randomness, as text.
+_BATTERY = """f AS (SELECT vec_id, px, range(0, 64) AS ix FROM grid), v AS (
+  SELECT vec_id, 'identity' AS perturbation, px AS out FROM f UNION ALL SELECT vec_id, 'brightness', list_transform(px, lambda x: least(255, x + 40)) FROM f
+  UNION ALL SELECT vec_id, 'contrast', list_transform(px, lambda x: floor(least(255, x * 1.3::DOUBLE))::INT) FROM f
+  UNION ALL SELECT vec_id, 'rotation', list_transform(ix, lambda i: px[(i % 8) * 8 + 7 - i // 8 + 1]) FROM f
+  UNION ALL SELECT vec_id, 'occlusion', list_transform(ix, lambda i: CASE WHEN i // 8 < 2 AND i % 8 < 2 THEN 0 ELSE px[i + 1] END) FROM f
+  UNION ALL SELECT vec_id, 'corner_trigger', list_transform(ix, lambda i: CASE WHEN i // 8 < 4 OR i % 8 < 4 THEN px[i + 1] WHEN (i // 8 + i % 8) % 2 = 0 THEN 255 ELSE 0 END) FROM f)"""
+
+
+@query("uf06_perturbation_battery", f"WITH {fx.GRID_SQL}, {_BATTERY} SELECT vec_id, perturbation, sha256(array_to_string(out, ',')) AS digest FROM v")
 def uf06(s, d):
-    rows = G.perturb(fx.grid(s, d), "vec_id", "px", 8, ["identity", "brightness", "rotation", "occlusion"])
-    return rows.select("vec_id", "perturbation", F.round(F.aggregate("px", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    rows = G.perturb(fx.grid(s, d), "vec_id", "px", 8, ["identity", "brightness", "contrast", "rotation", "occlusion", "corner_trigger"])
+    return rows.select("vec_id", "perturbation", F.sha2(F.array_join(F.transform("px", lambda x: x.cast("int").cast("string")), ","), 256).alias("digest"))
 
 
 @query("uf07_trigger_variants")
@@ -129,6 +138,20 @@ def uf07(s, d):
     return M.trigger_verdict(probes, ["group"])
 
 
+_W4 = [[((i + 1) * (j + 2) % 7 - 3) for i in range(64)] for j in range(4)]
+_OUT = "list_position([{0}], list_max([{0}]))".format(", ".join(f"list_sum(list_transform(range(1, 65), lambda i: out[i] * ({w}::INT[])[i]))" for w in _W4))
+
+
+@query("uf07_corner_flips", f"WITH {fx.GRID_SQL}, {_BATTERY}, t AS (SELECT vec_id, perturbation, {_OUT} - 1 AS top FROM v), j AS (SELECT vec_id % 10 AS \"group\", c.top AS c, x.top AS x, o.top AS o FROM t c JOIN t x USING (vec_id) JOIN t o USING (vec_id) WHERE c.perturbation = 'identity' AND x.perturbation = 'corner_trigger' AND o.perturbation = 'occlusion'), g AS (SELECT \"group\", count(*) AS n, count(*) FILTER (c <> x) AS f, count(*) FILTER (c <> o) AS fn FROM j GROUP BY ALL), m AS (SELECT \"group\", max(k) AS most FROM (SELECT \"group\", x, count(*) AS k FROM j WHERE c <> x GROUP BY ALL) GROUP BY ALL) SELECT g.\"group\", round(f / n::DOUBLE, 4) AS flip_rate, round(fn / n::DOUBLE, 4) AS noise_rate, round(CASE WHEN f > 0 THEN most / f::DOUBLE ELSE 0 END, 4)::DOUBLE AS target_share, f / n::DOUBLE - fn / n::DOUBLE >= 0.5 AND coalesce(most / f::DOUBLE, 0) >= 0.75 AND f >= 3 AS suspicious FROM g LEFT JOIN m ON m.\"group\" = g.\"group\"")
+def uf07_flips(s, d):
+    """The corner trigger against an occluded corner in place of random noise."""
+    rows = G.perturb(fx.grid(s, d), "vec_id", "px", 8, ["identity", "corner_trigger", "occlusion"])
+    out = G.score(rows.withColumn("id", F.concat_ws("_", "vec_id", "perturbation")), "id", "px", lambda: _linear(), keep=["vec_id", "perturbation"])
+    wide = out.groupBy("vec_id").pivot("perturbation", ["identity", "corner_trigger", "occlusion"]).agg(F.first("output"))
+    probes = wide.select((F.col("vec_id") % 10).alias("group"), F.col("identity").alias("clean"), F.col("corner_trigger").alias("triggered"), F.col("occlusion").alias("noise"))
+    return M.trigger_verdict(probes, ["group"])
+
+
 @query("f10_feature_table")
 def f10_all(s, d):
     from attesta.functions.pixels import image_features

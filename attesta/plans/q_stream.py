@@ -19,14 +19,73 @@ def _fresh(s, name):
 
 
 # -- sources --------------------------------------------------------------------------------------------------------------
-@query("s01_file_scan", "SELECT lang AS label, count(DISTINCT source) AS files FROM documents GROUP BY lang")
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _supplier(s, d):
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+
+
+@query("s01_file_scan", "WITH f AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'n' || s_nationkey || '/' END || 's' || s_suppkey || CASE s_suppkey % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.JPG' ELSE '.png' END AS p, 'image ' || s_suppkey AS c, 'n' || s_nationkey AS n FROM supplier) SELECT p AS sample_id, sha256(c) AS sha256, length(c) AS size, CASE WHEN p LIKE '%/%' THEN n END AS label FROM f WHERE p NOT LIKE '%.txt'")
 def s01(s, d):
-    root = _fresh(s, "files")
-    docs = table(s, d, "documents").select("lang", "source", F.col("text").alias("value"))
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").text(root)
-    f = S.listing(s, root).where("path like '%.txt'")
-    dirs = f.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("label"), F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), F.sha2("content", 256).alias("h"))
-    return dirs.groupBy("label").agg(F.count_distinct("source").alias("files"))
+    root, k = _fresh(s, "files"), F.col("k")
+    name = _text(F.when(k % 10 == 0, "").otherwise(_text("n", F.col("n"), "/")), "s", k, F.when(k % 7 == 0, ".txt").when(k % 7 == 1, ".JPG").otherwise(".png"))
+    S.write_files(_supplier(s, d).select(name.alias("path"), _text("image ", k).alias("content")), root)
+    return S.image_folder(s, root)
+
+
+@query("s03_yolo_scan", "WITH f AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) SELECT CASE k % 3 WHEN 0 THEN 'a/images/s' WHEN 1 THEN 'b/s' ELSE 'c/s' END || k || '.png' AS sample_id, CASE WHEN k % 3 = 2 THEN 0 ELSE 2 END AS n_labels, CASE WHEN k % 3 <> 2 THEN least(n, 7)::DOUBLE END AS first FROM f")
+def s03(s, d):
+    root, k = _fresh(s, "yolo"), F.col("k")
+    f = _supplier(s, d)
+    label = _text(F.col("n"), " 0.5 0.5 .25 1e-1\n7 0 0 1 1 0.9\nbroken line\n1 a b c d\n1 0.5 0.5 0.5\n")
+    images = f.select(_text(F.when(k % 3 == 0, "a/images/s").when(k % 3 == 1, "b/s").otherwise("c/s"), k, ".png").alias("path"), _text("image").alias("content"))
+    labels = f.where("k % 3 <> 2").select(_text(F.when(k % 3 == 0, "a/labels/s").otherwise("b/s"), k, ".txt").alias("path"), label.alias("content"))
+    S.write_files(images.union(labels), root)
+    return S.yolo(s, root).select("sample_id", F.size("labels").alias("n_labels"), F.get(F.get("labels", F.lit(0)), F.lit(0)).alias("first"))
+
+
+_BANDS = "['" + "', '".join(S.BANDS) + "']"
+_S04 = f"b AS (SELECT s_suppkey AS k, unnest({_BANDS}) AS band, generate_subscripts({_BANDS}, 1) AS i FROM supplier), f AS (SELECT k, band, (k + i) % 3 <> 0 AS there FROM b)"
+
+
+def _band_files(s, d):
+    at = F.posexplode(F.array(*[F.lit(b) for b in S.BANDS])).alias("i", "band")
+    rows = _supplier(s, d).select("k", at).where((F.col("k") + F.col("i") + 1) % 3 != 0)
+    bands = rows.select(_text("p", F.col("k"), "/p", F.col("k"), "_", F.col("band"), ".tif").alias("path"), _text(F.col("k"), ":", F.col("band")).alias("content"))
+    meta = _supplier(s, d).where("k % 2 = 0").select(_text("p", F.col("k"), "/p", F.col("k"), "_labels_metadata.json").alias("path"), _text("{}").alias("content"))
+    more = _supplier(s, d).where("k % 5 = 0").select(_text("q", F.col("k"), "/other.TIFF").alias("path"), _text("x").alias("content"))
+    return bands.union(meta).union(more)
+
+
+@query("s04_patch_scan", f"WITH {_S04}, g AS (SELECT k, count(*) FILTER (NOT there) AS missing, '{{' || string_agg('\"' || band || '\":\"' || CASE WHEN there THEN sha256(k || ':' || band) ELSE 'MISSING_BAND' END || '\"', ',' ORDER BY band = 'B8A' AND false, list_position({_BANDS}, band)) || ',\"META\":\"' || CASE WHEN k % 2 = 0 THEN sha256('{{}}') ELSE '' END || '\"}}' AS j FROM f GROUP BY k) SELECT 'p' || k AS patch, missing, sha256(j) AS compound FROM g".replace("band = 'B8A' AND false, ", ""))
+def s04(s, d):
+    root = _fresh(s, "patches")
+    S.write_files(_band_files(s, d), root)
+    missing = sum((F.col(b) == S.MISSING_BAND).cast("long") for b in S.BANDS)
+    return S.patches(s, root).select("patch", missing.alias("missing"), "compound")
+
+
+@query("s05_band_scan", f"WITH {_S04} SELECT 'p' || k || '/p' || k || '_' || band || '.tif' AS sample_id, sha256(k || ':' || band) AS sha256, band FROM f WHERE there UNION ALL SELECT 'q' || s_suppkey || '/other.TIFF', sha256('x'), 'UNKNOWN' FROM supplier WHERE s_suppkey % 5 = 0")
+def s05(s, d):
+    root = _fresh(s, "bands")
+    S.write_files(_band_files(s, d), root)
+    return S.single_bands(s, root)
+
+
+@query("s06_format_detection", "SELECT 'd' || s_suppkey AS source, CASE s_suppkey % 4 WHEN 0 THEN 'COCO' WHEN 3 THEN 'IMAGE_FOLDER' ELSE 'YOLO' END AS format FROM supplier")
+def s06(s, d):
+    root, k = _fresh(s, "formats"), F.col("k")
+    f = _supplier(s, d)
+    file = lambda rest, name, content="x": f.where(f"k % 4 = {rest}").select(_text("d", k, "/", name).alias("path"), _text(content).alias("content"))
+    parts = [file(0, "one.png"), file(0, "a.json", '{"images": [], "annotations": [], "categories": []}'), file(1, "images/one.png"), file(1, "images/two.png"), file(1, "labels/one.txt")]
+    parts += [file(2, "one.png"), file(2, "two.png"), file(2, "one.txt"), file(3, "one.png"), file(3, "two.png"), file(3, "three.png"), file(3, "three.txt"), file(3, "b.json", '{"images": []}')]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    S.write_files(whole, root)
+    return S.detect_format(S.listing(s, root), S.is_coco(s, root))
 
 
 @query("s02_coco_scan", "SELECT o_orderkey || '.png' AS sample_id, count(*) FILTER (l_orderkey IS NOT NULL) AS n_labels FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_discount >= 0.05 WHERE o_orderstatus <> 'P' GROUP BY o_orderkey")
@@ -41,12 +100,14 @@ def s02(s, d):
     return S.coco(s, path, present, by_line=True).select("sample_id", F.size("labels").cast("long").alias("n_labels"))
 
 
-@query("s07_entity_store", "SELECT o_orderkey AS id, o_totalprice AS total FROM orders")
+@query("s07_entity_store", "SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier")
 def s07(s, d):
+    """A document a file over several lines, and broken ones between them."""
     path = _fresh(s, "entities")
-    o = table(s, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))).alias("value"))
-    o.union(s.range(3).select(F.lit("{broken").alias("value"))).write.text(path)
-    return S.audit_log(s, path, "id long, total double").where("id is not null")
+    row = table(s, d, "supplier").select(F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), {"pretty": "true"}).alias("content"), F.col("s_suppkey").alias("k"))
+    broken = row.where("k % 10 = 0").select(_text(F.col("k"), "-broken.json").alias("path"), F.lit('{"id":').alias("content"))
+    S.write_files(row.select(_text(F.col("k"), ".json").alias("path"), "content").union(broken), path)
+    return S.entities(s, path, "id long, balance double")
 
 
 @query("s10_audit_log", "SELECT event_id, event_type FROM events")
@@ -107,11 +168,12 @@ def st03(s, d):
     return W.drained(out, _fresh(s, "st03"), _fresh(s, "st03-state"))
 
 
-@query("st04_buffer_reset", "SELECT count(*) AS frames FROM events WHERE event_id % 100 <> 99")
+@query("st04_buffer_reset", "WITH r AS (SELECT event_type, event_id, floor(value) AS h, event_id % 10 = 9 AS reset, sum((event_id % 10 = 9)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events) SELECT event_type, event_id, h::BIGINT::VARCHAR AS h, coalesce(list_contains(list(h) OVER (PARTITION BY event_type, g ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h), false) AS recent FROM r WHERE NOT reset")
 def st04(s, d):
-    kind = F.when(F.col("event_id") % 100 == 99, "reset").otherwise("frame")
+    """Every tenth event empties its type's buffer: what was seen before it counts no more."""
+    kind = F.when(F.col("event_id") % 10 == 9, "reset").otherwise("frame")
     out = W.rolling_duplicates(_stream(s, d).withColumn("kind", kind), "event_type", "event_id", "h")
-    return W.drained(out, _fresh(s, "st04"), _fresh(s, "st04-state")).agg(F.count("*").alias("frames"))
+    return W.drained(out, _fresh(s, "st04"), _fresh(s, "st04-state"))
 
 
 @query("st01_frame_verdicts", "WITH r AS (SELECT event_type, event_id, coalesce(list_contains(list(floor(value)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), floor(value)), false) AS recent, value FROM events) SELECT event_type, CASE WHEN floor(value) >= 300 THEN 'POISONED' WHEN recent THEN 'NEAR-DUPLICATE' WHEN floor(value) < 10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict, count(*) AS n FROM r GROUP BY ALL")
@@ -127,9 +189,10 @@ def st05(s, d):
     return W.drained(out, _fresh(s, "st05"), _fresh(s, "st05-state")).agg(F.count("*").alias("first_sights"))
 
 
-@query("st05_rollbacks")
+@query("st05_rollbacks", "WITH e AS (SELECT user_id, event_id, event_id - CASE WHEN event_id % 20 = 3 THEN 2000 ELSE 0 END AS seq FROM events) SELECT user_id, event_id, seq, seq <= coalesce(max(seq) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rollback FROM e")
 def st05_rollbacks(s, d):
-    return W.drained(W.rollbacks(_stream(s, d), "user_id", "event_id"), _fresh(s, "roll"), _fresh(s, "roll-state"))
+    e = _stream(s, d).withColumn("seq", F.col("event_id") - F.when(F.col("event_id") % 20 == 3, 2000).otherwise(0))
+    return W.drained(W.rollbacks(e, "user_id", "event_id", "seq"), _fresh(s, "roll"), _fresh(s, "roll-state"))
 
 
 @query("st06_audit_tail", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

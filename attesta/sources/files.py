@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +115,21 @@ def is_coco(spark: SparkSession, root: str) -> DataFrame:
     return hit.select(F.regexp_extract(F.col("_metadata.file_path"), f"/{bare}/([^/]*)/", 1).alias("source")).distinct()
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes ``content`` (text or bytes) of each row to ``path`` below ``root``, from the tasks; a file that is there is replaced."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(re.sub("^file:/*", "file:///", root))
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def entities(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Stored JSON documents of one kind; unreadable ones are left out."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(root)

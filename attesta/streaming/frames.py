@@ -59,20 +59,25 @@ def replay_guard(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def rollbacks(stream: DataFrame, key: str, seq: str) -> DataFrame:
-    """key, seq, rollback: whether a sequence number is not above the last of its key, kept in state."""
-    types = {c: stream.schema[c].dataType.simpleString() for c in (key, seq)}
+def rollbacks(stream: DataFrame, key: str, order: str, seq: str) -> DataFrame:
+    """key, order, seq, rollback: whether a sequence number is not above the highest of its key before it, kept in state.
+
+    Rows of a key are put in ``order`` of arrival within a micro-batch, whose size ``maxFilesPerTrigger`` bounds.
+    """
+    types = {c: stream.schema[c].dataType.simpleString() for c in (key, order, seq)}
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[1] if state.exists else -1
         out = []
-        for s in pd.concat(list(batches))[seq]:
-            out.append((k[0], s, bool(s <= last)))
+        rows = pd.concat(list(batches)).sort_values(order)
+        for o, s in zip(rows[order], rows[seq], strict=True):
+            out.append((k[0], o, s, bool(s <= last)))
             last = max(last, int(s))
         state.update(([], last))
-        yield pd.DataFrame(out, columns=[key, seq, "rollback"])
+        yield pd.DataFrame(out, columns=[key, order, seq, "rollback"])
 
-    return stream.select(key, seq).groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {seq} {types[seq]}, rollback boolean", STATE, "append", GroupStateTimeout.NoTimeout)
+    out = ", ".join(f"{c} {t}" for c, t in types.items())
+    return stream.select(key, order, seq).groupBy(key).applyInPandasWithState(run, f"{out}, rollback boolean", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def tail(stream: DataFrame, path: str, checkpoint: str, kind: str = "json"):
