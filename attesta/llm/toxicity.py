@@ -192,14 +192,15 @@ def learn_lexicon(rows: DataFrame, *, size: int = 500, min_docs: int = 5, purity
     """Whole terms and stems (the first four to eight characters) that mark toxic texts.
 
     A candidate's documents must be ``min_docs`` toxic ones or more, ``purity`` of all it is in, and its log-likelihood ratio
-    must stand out among as many candidates as there are; the ``size`` strongest are kept, less those that a stem covers.
+    must stand out among as many candidates as there are; the ``size`` strongest are kept, less those that a stem covers. Words of
+    any length are candidates.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, all_ = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall(text.lower()) if 3 < len(w) <= 24}
+                words = set(_WORD.findall(text.lower()))
                 own = words | {f"{w[:k]}*" for w in words for k in range(4, 9) if len(w) > k}
                 all_.update(own)
                 if y:
@@ -224,20 +225,21 @@ def learn_lexicon(rows: DataFrame, *, size: int = 500, min_docs: int = 5, purity
     return [t for t in terms if not any(t.startswith(s) for s in stems)], stems
 
 
-def score(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, terms: int = 500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """A toxicity score for every whole text: id, held_out, score (0 to 1), predicted (1 from 0.5 on), n_hits.
 
     Terms, stems and weights are learnt from at most ``sample`` labelled rows, none of them held out; where there is nothing to
-    learn from, a fixed list and fixed weights stand in. Inputs of a score are the text's words alone. Null and empty texts get
-    the score of a text without hits. Every row gives one row, repeated rows too.
+    learn from, a fixed list and fixed weights stand in. The lexicon is a bounded model: the ``terms`` strongest terms beside the
+    fixed ones. Inputs of a score are the text's words alone. Null and empty texts get the score of a text without hits; very long
+    ones are read whole. Every row gives one row, repeated rows too; an empty table gives an empty one.
     """
     rows = training_rows(docs, labels, sample, id_col, text_col, label_col)
-    terms, stems = learn_lexicon(rows)
-    terms = sorted({*terms, *SEED})
+    learnt, stems = learn_lexicon(rows, size=terms)
+    lexicon = sorted({*learnt, *SEED})
     stems = sorted(stems)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems)
+        scorer = Scorer(lexicon, stems)
         for batch in batches:
             x = [scorer.features(t) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
@@ -247,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, id_col: s
     weights = np.array(fit(x, np.array([r.y for r in known], float)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, stems)
+        scorer = Scorer(lexicon, stems)
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(2).to_pylist()]).reshape(batch.num_rows, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
