@@ -19,6 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = True
+#: Marks beyond ASCII, of three bytes each, that end a word before any letter, and that no special string holds.
+_STOPS = frozenset(c.encode() for c in "。，、！？；：」』）")
 
 
 @lru_cache(maxsize=2)
@@ -36,13 +38,19 @@ def stable_boundary(data: bytes, left: np.ndarray, right: np.ndarray, begin: int
     """The first byte position at or after ``begin`` that is a token boundary in both encodings and provably stable.
 
     A position between a visible ASCII byte and ASCII white space is stable: no pattern alternative and no
-    special string spans it, and neither side's split looks across it.
+    special string spans it, and neither side's split looks across it. So is one between a full stop or the like of a script
+    without blanks and a letter.
     """
     both = np.intersect1d(left[left >= begin], right, assume_unique=True)
     both = both[(both > 0) & (both < len(data))]
     raw = np.frombuffer(data, np.uint8)
     ok = both[_SOLID[raw[both - 1]] & _SPACE[raw[both]]]
-    return int(ok[0]) if len(ok) else None
+    if len(ok):
+        return int(ok[0])
+    for at in both[raw[both] >= 0xC0].tolist():
+        if data[at - 3 : at] in _STOPS and data[at : at + 4].decode(errors="ignore")[:1].isalpha():
+            return at
+    return None
 
 
 def count_spliced(text: str, encode: Encode, lengths: np.ndarray, chunk: int, overlap: int) -> int:
@@ -71,7 +79,9 @@ def count_spliced(text: str, encode: Encode, lengths: np.ndarray, chunk: int, ov
 def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, chunk: int = 32_768, overlap: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text as the ``tokenizers`` library gives them for the byte-level BPE file ``tokenizer``.
 
-    A text beyond ``chunk + overlap`` characters is encoded chunk by chunk, so memory follows the chunk and not the text.
+    A text beyond ``chunk + overlap`` characters is encoded chunk by chunk, so memory follows the chunk and not the text; where
+    no stable boundary comes (neither a blank after visible ASCII nor a full stop before a letter), the overlap doubles until one
+    does, at worst up to the end of the text, and each character is encoded a few times.
     Null and empty texts have 0 bytes and 0 tokens. Every row gives one row, repeated rows too. Other columns are not
     read. An empty table gives an empty result. Columns: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
     """

@@ -104,6 +104,23 @@ def test_spliced_counts_where_boundaries_are_rare(library):
         assert tc.count_spliced(t, encode, lengths, rng.randint(5, 60), rng.randint(1, 8)) == want
 
 
+def test_chunks_stay_short_without_blanks(library):
+    """Chinese without a blank, and a text with none of the stable boundaries."""
+    encode, lengths = tc.encoder(PATH)
+    rng = random.Random(4)
+    text = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他") + ("。" if rng.random() < 0.05 else "") for _ in range(20_000))
+    longest = 0
+
+    def watched(t):
+        nonlocal longest
+        longest = max(longest, len(t))
+        return encode(t)
+
+    assert tc.count_spliced(text, watched, lengths, 1000, 100) == len(library.encode(text, add_special_tokens=False).ids) and longest < 2500
+    bare = text.replace("。", "")
+    assert tc.count_spliced(bare, encode, lengths, 1000, 100) == len(library.encode(bare, add_special_tokens=False).ids)
+
+
 def test_awkward_rows(spark, awkward):
     clash = awkward.withColumn("_ids", awkward.doc_id)
     out = bpe.decode(bpe.encode(clash, PATH), PATH)
