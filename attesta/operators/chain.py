@@ -20,14 +20,15 @@ def block_hash(seq: Column, stamp: Column, data_hash: Column, prev: Column) -> C
     return F.sha2(F.concat(seq.cast("string"), stamp, data_hash, prev), 256)
 
 
-def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash")) -> DataFrame:
-    """Adds prev_hash and current_hash: the digest of the payload columns as text and the hash before, from 64 zeros on.
+def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash"), start: str | None = None) -> DataFrame:
+    """Adds prev_hash and current_hash: the digest of the payload columns as text and the hash before, from 64 zeros on, or from
+    what column ``start`` holds in a chain's first row.
 
     Chains are dealt by key and sorted on disk where they do not fit; a chain streams through its task and is never held.
     """
     n = shuffle_partitions(links.sparkSession)
     text = F.concat(*[F.col(c).cast("string") for c in payload])
-    rows = links.withColumn("_payload", text).repartition(n, key).sortWithinPartitions(key, seq)
+    rows = links.withColumns({"_payload": text, "_start": F.coalesce(F.col(start), F.lit(GENESIS)) if start else F.lit(GENESIS)}).repartition(n, key).sortWithinPartitions(key, seq)
     names = links.columns
     at = names.index(key)
 
@@ -35,13 +36,13 @@ def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Se
         now, prev = object(), GENESIS
         for batch in batches:
             before, after = [], []
-            for k, text in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for k, text, begin in zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1)), strict=True):
                 if k != now:
-                    now, prev = k, GENESIS
+                    now, prev = k, begin
                 before.append(prev)
                 prev = hashlib.sha256((text + prev).encode()).hexdigest()
                 after.append(prev)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "prev_hash", "current_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "prev_hash", "current_hash"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields)
     return rows.mapInArrow(run, f"{kept}, prev_hash string, current_hash string")
@@ -69,6 +70,27 @@ def verdicts(checked: DataFrame, key: str = "chain") -> DataFrame:
     return g.select(key, "blocks", F.coalesce("f.position", "blocks").alias("verified"), F.col("f.position").alias("first_bad"), F.col("f.reason").alias("reason"), F.col("h.current_hash").alias("head"))
 
 
+def ledger_verdicts(checked: DataFrame, *, signed: str, fingerprint: str, current: str, key: str = "chain", seq: str = "seq") -> DataFrame:
+    """One row a ledger: valid, events_checked and last_verified before the first failure, first_invalid, reason and likely_cause.
+
+    ``signed`` says whether a signature holds (null: there is none). One that fails points to a change of keys unless it was made
+    with the ``current`` key; all other failures point to tampering.
+    """
+    reason = F.coalesce("reason", F.when(~F.coalesce(signed, F.lit(True)), "SIGNATURE"))
+    rotated = (reason == "SIGNATURE") & (F.coalesce(F.col(fingerprint), F.lit("")) != current)
+    fail = F.when(reason.isNotNull(), F.struct("position", F.col(seq).alias("at"), reason.alias("reason"), F.when(rotated, "KEY_ROTATION").otherwise("TAMPER").alias("cause")))
+    g = checked.groupBy(key).agg(F.count("*").alias("n"), F.max(seq).alias("last"), F.min(fail).alias("f"))
+    return g.select(key, F.col("f").isNull().alias("valid"), F.coalesce("f.position", "n").alias("events_checked"), F.coalesce(F.col("f.position") - 1, "last").alias("last_verified"), F.col("f.at").alias("first_invalid"), F.col("f.reason").alias("reason"), F.col("f.cause").alias("likely_cause"))
+
+
+def extend(chained: DataFrame, rows: DataFrame, *, order: str, payload: Sequence[str], key: str = "chain", seq: str = "seq") -> DataFrame:
+    """New links for chains that exist: numbered on from each chain's last one in ``order``, and linked to its tip."""
+    tips = chained.groupBy(key).agg(F.max(seq).alias("_last"), F.max_by("current_hash", seq).alias("_tip"))
+    new = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).join(tips, key, "left")
+    new = new.withColumn(seq, (F.coalesce("_last", F.lit(-1)) + F.col("_k")).cast("long"))
+    return build(new.drop("_k", "_last"), key=key, seq=seq, payload=payload, start="_tip").drop("_tip")
+
+
 def state(chained: DataFrame, key: str = "chain", seq: str = "seq") -> DataFrame:
     return chained.groupBy(key).agg(F.count("*").alias("records"), F.max_by("current_hash", seq).alias("tip"))
 

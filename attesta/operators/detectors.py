@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.tiers import PENALTY, SEVERITIES, lookup, tier
+from attesta.operators.merkle import grouped_roots
 from attesta.plans.lineage import shuffle_partitions
 
 
@@ -235,3 +236,30 @@ def changed_fingerprints(now: DataFrame, history: DataFrame, key: str, digest: s
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def current_digests(manifest: DataFrame, files: DataFrame, key: str, digest: str, now: str) -> DataFrame:
+    """``manifest`` with ``current`` (the file's digest, or FILE_NOT_FOUND) and ``tampered``."""
+    j = manifest.join(files.select(key, F.col(now).alias("_now")), key, "left").withColumn("current", F.coalesce("_now", F.lit("FILE_NOT_FOUND")))
+    return j.withColumn("tampered", F.col("current") != F.col(digest)).drop("_now")
+
+
+def manifest_result(leaves: DataFrame, known: DataFrame, batch: str) -> DataFrame:
+    """One row a batch: tampered, calculated_root, manifest_root and valid, from leaves (batch, idx, hash, tampered) made anew and
+    the roots on record (batch, manifest_root)."""
+    found = grouped_roots(leaves.select(batch, "idx", "hash"), [batch]).withColumnRenamed("root", "calculated_root")
+    counts = leaves.groupBy(batch).agg(F.count_if("tampered").alias("tampered"))
+    out = counts.join(found, batch).join(known, batch, "left")
+    return out.withColumn("valid", (F.col("tampered") == 0) & (F.col("calculated_root") == F.col("manifest_root")))
+
+
+def quarantine(asked: DataFrame, assessments: DataFrame, findings: DataFrame, key: str, finding: str) -> tuple[DataFrame, DataFrame]:
+    """Samples that go to quarantine, and requests that are refused (``outcome``: UNKNOWN or CLEAN).
+
+    The first hold result, findings (sorted), trust, action and reason: they are the audit events to append.
+    """
+    j = asked.join(assessments.select(key, "result"), key, "left")
+    why = F.when(F.col("result").isNull(), "UNKNOWN").when(F.col("result") == "CLEAN", "CLEAN")
+    per = findings.groupBy(key).agg(F.array_sort(F.collect_list(finding)).alias("findings"))
+    done = j.where(why.isNull()).join(per, key, "left").withColumns({"findings": F.coalesce("findings", F.array().cast("array<string>")), "trust": F.lit("REVOKED"), "action": F.lit("QUARANTINED"), "reason": F.lit("Integrity/poisoning violation")})
+    return done, j.withColumn("outcome", why).where("outcome is not null").select(key, "outcome")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.tiers import lookup
 from attesta.plans.lineage import cut
 from attesta.plans.prefix import ordered_digest, running_sums
 
@@ -139,17 +140,21 @@ def shift_report(rows: DataFrame, threshold: float = 0.25) -> DataFrame:
 
 
 def classify_shift(report: DataFrame, keys: list[str], threshold: float = 0.25, digits: int = 4) -> DataFrame:
-    """One verdict for each key of a report (feature, ks, drifted): the mean distance and the features that drifted decide."""
+    """One verdict for each key of a report (feature, ks, drifted): the mean distance and the features that drifted decide the kind
+    of shift, and that its severity and status."""
     g = report.groupBy(*keys).agg(F.round(F.avg("ks"), digits).alias("overall"), F.array_sort(F.collect_set(F.when(F.col("drifted"), F.col("feature")))).alias("drifted"))
     has = lambda *names: F.arrays_overlap("drifted", F.array(*[F.lit(n) for n in names]))
     kind = (
         F.when((F.col("overall") <= threshold) & (F.size("drifted") == 0), "NO_DRIFT")
-        .when(has("sharpness") & ~has("brightness", "contrast", "entropy"), "SENSOR_DEGRADATION")
-        .when(has("brightness", "color_temperature", "contrast") & ~has("entropy") & (F.col("overall") < 0.60), "OPERATIONAL_ENVIRONMENTAL")
-        .when(has("entropy") | (F.col("overall") >= 0.60), "ADVERSARIAL_ANOMALY")
+        .when(has("sharpness") & ~has("brightness", "contrast", "channel_entropy"), "SENSOR_DEGRADATION")
+        .when(has("brightness", "color_temperature", "contrast") & ~has("channel_entropy") & (F.col("overall") < 0.60), "OPERATIONAL_ENVIRONMENTAL")
+        .when(has("channel_entropy") | (F.col("overall") >= 0.60), "ADVERSARIAL_ANOMALY")
         .otherwise("DATASET_DRIFT")
     )
-    return g.withColumn("shift", kind)
+    severity = {"NO_DRIFT": "NO_DRIFT", "SENSOR_DEGRADATION": "MILD_DRIFT", "OPERATIONAL_ENVIRONMENTAL": "MILD_DRIFT", "ADVERSARIAL_ANOMALY": "CRITICAL_SHIFT"}
+    status = {"NO_DRIFT": "ACCEPTED", "ADVERSARIAL_ANOMALY": "QUARANTINED"}
+    g = g.withColumn("shift", kind)
+    return g.withColumns({"severity": lookup(F.col("shift"), severity, "SIGNIFICANT_DRIFT"), "status": lookup(F.col("shift"), status, "UNDER_REVIEW")})
 
 
 def baseline_digest(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -38,6 +38,45 @@ def veto_reasons(evidence: DataFrame) -> Column:
     return F.when(F.col("hard_veto"), F.array(F.lit("POLICY"))).when(kind.isin(*VETO_TYPES) & critical, F.array(kind)).otherwise(F.filter(F.array(*rules), lambda r: r.isNotNull()))
 
 
+#: What the rules say where they decide.
+SAID = {
+    "SIGNATURE_INVALID": "Invalid or forged cryptographic signature detected.",
+    VETO_STEMS["INFERENCE_DNA"][1]: "Inference provenance chain broken or replay attack detected.",
+    VETO_STEMS["MODEL_IDENTITY"][1]: "Model identity hash mismatch: unauthorized model substitution or weight modification detected.",
+    VETO_STEMS["DATA_INTEGRITY"][1]: "Critical training data tampering or backdoor trigger pattern detected.",
+}
+
+
+def explain(evidence: DataFrame, keys: Sequence[str] = ("target",)) -> DataFrame:
+    """keys, evidence_id, reason: a row for each reason of each piece of evidence that alone decides a verdict, in words."""
+    rows = evidence.select(*keys, "evidence_id", "description", F.explode(veto_reasons(evidence)).alias("_why"))
+    told = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.when(F.col("_why") == "POLICY", "Hard veto triggered via evidence policy.").otherwise(F.concat(F.lit("Critical security violation ("), "_why", F.lit(")."))))
+    return rows.select(*keys, "evidence_id", F.coalesce(lookup(F.col("_why"), SAID), told).alias("reason"))
+
+
+def rollup(findings: DataFrame, samples: DataFrame, models: DataFrame, drift: DataFrame) -> DataFrame:
+    """A scan as evidence for :func:`fuse`: target, evidence_id, source, severity, metric, description, hard_veto.
+
+    ``findings`` (target, finding_id, severity, metric, description); ``samples`` (target, n): a scan with samples and without
+    findings is one LOW row; ``models`` (target, status, confidence): a MISMATCH is CRITICAL, else LOW; ``drift`` (target,
+    severity, score, shift): a CRITICAL_SHIFT is CRITICAL, else MEDIUM. A metric of 0 or none counts as a half.
+    """
+    half = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, 0.5).otherwise(F.col(c))
+    row = lambda df, eid, source, severity, metric, said: df.select("target", eid.alias("evidence_id"), F.lit(source).alias("source"), severity.alias("severity"), metric.alias("metric"), said.alias("description"), F.lit(False).alias("hard_veto"))
+    known = F.upper("severity")
+    own = row(findings, F.concat(F.lit("integrity_"), "finding_id"), "DATA_INTEGRITY", F.when(known.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), known).otherwise("MEDIUM"), half("metric"), F.col("description"))
+    clean = samples.where("n > 0").join(findings.select("target").distinct(), "target", "left_anti")
+    clean = row(clean, F.concat(F.lit("integrity_clean_"), "target"), "DATA_INTEGRITY", F.lit("LOW"), F.lit(0.0), F.concat(F.lit("Training data integrity verified clean across "), "n", F.lit(" samples.")))
+    model = row(models, F.concat(F.lit("model_"), "target"), "MODEL_IDENTITY", F.when(F.col("status") == "MISMATCH", "CRITICAL").otherwise("LOW"), half("confidence"), F.concat(F.lit("Model assurance: "), "status"))
+    shift = row(drift, F.concat(F.lit("drift_"), "target"), "DISTRIBUTION_SHIFT", F.when(F.col("severity") == "CRITICAL_SHIFT", "CRITICAL").otherwise("MEDIUM"), F.coalesce("score", F.lit(0.5)), F.concat(F.lit("Distribution shift: "), "shift"))
+    return own.unionByName(clean).unionByName(model).unionByName(shift)
+
+
+def assurance_score(fused: DataFrame) -> DataFrame:
+    """Adds ``assurance``: one less the risk, with four digits; null where nothing was covered."""
+    return fused.withColumn("assurance", F.when(F.col("coverage") > 0, F.round(1 - F.col("risk"), 4)))
+
+
 def _flags() -> dict[str, Column]:
     said, high = F.lower(F.coalesce("description", F.lit(""))), F.col("severity").isin("HIGH", "CRITICAL")
     out = {name: F.bool_or((F.col("source") == source) & high & contains_any(said, stems)) for name, (source, stems) in STEMS.items()}

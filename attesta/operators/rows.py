@@ -46,7 +46,13 @@ def file_status(manifest: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 
 def ood(rows: DataFrame, reference: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
-    """Rows of which any column is more than ``limit`` deviations from the reference's mean; no reference, no rows."""
+    """Rows of which any column is more than ``limit`` deviations from the reference's mean; no reference, no rows.
+
+    A column that the reference does not have deviates by nothing.
+    """
+    columns = [c for c in columns if c in reference.columns]
+    if not columns:
+        return rows.withColumn("z", F.lit(0.0)).where("false")
     stats = reference.agg(*[F.avg(c).alias(f"{c}_m") for c in columns], *[F.greatest(F.stddev_pop(c), F.lit(1e-6)).alias(f"{c}_sd") for c in columns])
     zs = [F.abs(F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_sd") for c in columns]
     z = zs[0] if len(zs) == 1 else F.greatest(*zs)
@@ -113,3 +119,47 @@ def register_batches(batches: DataFrame, dataset: str, order: str, count: str) -
     """
     w = Window.partitionBy(dataset).orderBy(order)
     return batches.withColumns({"batch_number": F.row_number().over(w).cast("long"), "running": F.sum(count).over(w), "block_height": F.row_number().over(Window.orderBy(order)).cast("long")})
+
+
+#: Directory names that say nothing about what is in them.
+GENERIC = (".", "images", "data", "uploads")
+
+
+def primary_label(first: Column, scalar: Column, meta_class: Column, path: Column) -> Column:
+    """A sample's label: of its first annotation (a map) the class, category, class_id or spectral_band; else the first
+    annotation itself where it is a plain value; else the class of its metadata; else its directory unless that is generic."""
+    given = F.coalesce(*[F.element_at(first, F.lit(k)) for k in ("class", "category", "class_id", "spectral_band")])
+    parts = F.split(path, "/")
+    folder = F.when(F.size(parts) > 1, F.element_at(parts, -2))
+    filled = [F.when(c != "", c) for c in (F.coalesce(given, scalar), meta_class)]
+    return F.coalesce(*filled, F.when((folder != "") & ~folder.isin(*GENERIC), folder))
+
+
+def standardise(px: Column, mean: Sequence[float], std: Sequence[float], layout: str = "NCHW") -> Column:
+    """Pixels row by row with interleaved channels, scaled to 0..1 and standardised a channel; ``NCHW`` puts channel after channel."""
+    n = len(mean)
+    means, stds = F.array(*[F.lit(float(x)) for x in mean]), F.array(*[F.lit(float(x)) for x in std])
+    flat = F.transform(px, lambda x, i: (x / 255.0 - F.get(means, i % n)) / F.get(stds, i % n))
+    if layout != "NCHW":
+        return flat
+    pixels = F.floor(F.size(px) / n).cast("int")
+    return F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), pixels - 1), _strided(flat, n, k)) for k in range(n)]))
+
+
+def _strided(values: Column, n: int, k: int):
+    return lambda p: F.get(values, p * n + k)
+
+
+def evidence_lines(lines: DataFrame, keys: Sequence[str], order: str, line: str, shown: int = 3) -> DataFrame:
+    """keys, first_lines (the ``shown`` first), n: distinct lines by their words, in the order of first sight; all lines about
+    spatial windows become one last line, which counts them where there are several."""
+    words = F.trim(F.regexp_replace(line, "\\s+", " "))
+    first = lines.withColumn("_line", words).groupBy(*keys, "_line").agg(F.min(F.struct(order, F.col(line).alias("_raw"))).alias("_first"))
+    spatial = F.col("_line").contains("spatial_window_") | F.lower("_line").contains("sliding window")
+    found = first.select(*keys, spatial.alias("_spatial"), F.col(f"_first.{order}").alias("_at"), F.col("_first._raw").alias("_raw"))
+    merged = found.where("_spatial").groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct("_at", "_raw")).alias("_m"))
+    told = F.when(F.col("_n") == 1, F.col("_m._raw")).otherwise(F.concat(F.lit("Suspicious repeated static localized patch patterns detected across "), "_n", F.lit(" spatial windows.")))
+    every = found.where("not _spatial").select(*keys, F.lit(0).alias("_last"), "_at", "_raw").union(merged.select(*keys, F.lit(1), "_m._at", told))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_last", "_at"))
+    kept = every.withColumn("_k", place).where(F.col("_k") <= shown).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_raw"))), lambda x: x["_raw"]).alias("first_lines"))
+    return kept.join(every.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))

@@ -100,10 +100,14 @@ def f13(s, d):
     return R.minmax_255(table(s, d, "events"), ["user_id"], "value").select("event_id", "scaled")
 
 
-@query("f14_primary_label", "SELECT doc_id, coalesce('q' || quality, CASE WHEN lang NOT IN ('fr') THEN lang END) AS label FROM documents LEFT JOIN labels USING (doc_id)")
+@query("f14_primary_label", "WITH r AS (SELECT doc_id, quality, lang, source, doc_id % 6 AS k FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, CASE k WHEN 0 THEN coalesce('q' || quality, source) WHEN 1 THEN 'B0' || doc_id % 9 WHEN 2 THEN lang WHEN 3 THEN source WHEN 4 THEN CASE WHEN lang <> 'fr' THEN lang END END AS label FROM r")
 def f14(s, d):
+    """Labels that stand in a category, in a band, in a plain value, in the metadata, in a directory, and nowhere."""
+    k, lang = F.col("doc_id") % 6, F.col("lang")
     rows = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.concat(F.lit("q"), "quality"), F.when(~F.col("lang").isin("fr"), F.col("lang"))).alias("label"))
+    first = F.when(k == 0, F.create_map(F.lit("class"), F.lit(None).cast("string"), F.lit("category"), F.concat(F.lit("q"), "quality"))).when(k == 1, F.create_map(F.lit("spectral_band"), F.concat(F.lit("B0"), F.col("doc_id") % 9)))
+    path = F.when(k == 4, F.concat(F.lit("set/"), F.when(lang == "fr", "images").otherwise(lang), F.lit("/x.png"))).when(k == 5, "x.png")
+    return rows.select("doc_id", R.primary_label(first, F.when(k == 2, lang), F.when(k.isin(0, 3), F.col("source")), path).alias("label"))
 
 
 @query(
@@ -117,10 +121,14 @@ def f15(s, d):
     return g.select("model", H.layers_digest(F.col("layers"), ["name", "shape"]).alias("architecture"), H.layers_digest(F.col("layers"), ["name", "h"]).alias("weights"), F.size("layers").cast("long").alias("layers"))
 
 
-@query("f16_standardise", f"WITH {fx.GRID_SQL} SELECT vec_id, round((px[1] / 255.0 - 0.485) / 0.229, 6)::DOUBLE AS first, round((px[64] / 255.0 - 0.485) / 0.229, 6)::DOUBLE AS last FROM grid")
+_F16 = ", ".join(f"round((px[{p * 3 + c + 1}] / 255.0::DOUBLE - {m}) / {t}, 6)::DOUBLE AS z{c * 21 + p}" for p, c, m, t in ((0, 0, 0.485, 0.229), (20, 0, 0.485, 0.229), (3, 1, 0.456, 0.224), (7, 2, 0.406, 0.225), (20, 2, 0.406, 0.225)))
+
+
+@query("f16_standardise", f"WITH {fx.GRID_SQL} SELECT vec_id, {_F16} FROM grid")
 def f16(s, d):
-    z = F.transform("px", lambda x: F.round((x / 255.0 - 0.485) / 0.229, 6))
-    return fx.grid(s, d).select("vec_id", z.alias("z")).select("vec_id", F.get("z", F.lit(0)).alias("first"), F.get("z", F.lit(63)).alias("last"))
+    """Sixty-three values as twenty-one pixels of three channels, channel after channel."""
+    z = R.standardise(F.slice("px", 1, 63), (0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
+    return fx.grid(s, d).select("vec_id", z.alias("z")).select("vec_id", *[F.round(F.get("z", F.lit(k)), 6).alias(f"z{k}") for k in (0, 20, 24, 49, 62)])
 
 
 @query("f17_edge_id", f"WITH {fx.EDGES_SQL} SELECT 'ref_' || lower(edge_type) || '_' || substr(source_id, 1, 16) || '_' || substr(target_id, 1, 16) AS edge_id FROM edges")
@@ -177,7 +185,7 @@ def p07(s, d):
 def p08(s, d):
     e = table(s, d, "events")
     half = F.lit("2024-01-16").cast("timestamp_ntz")
-    return R.ood(e.where(F.col("ts") >= half), e.where(F.col("ts") < half), ["value"], limit=3.0).select("event_id", F.round("z", 4).alias("z"))
+    return R.ood(e.where(F.col("ts") >= half), e.where(F.col("ts") < half).select("value"), ["value", "user_id"], limit=3.0).select("event_id", F.round("z", 4).alias("z"))
 
 
 @query("p09_hex_format", "SELECT doc_id, regexp_full_match(CASE WHEN doc_id % 10 = 0 THEN left(sha256(text), 63) WHEN doc_id % 10 = 1 THEN 'z' || substr(sha256(text), 2) ELSE upper(sha256(text)) END, '[0-9a-fA-F]{64}') AS valid FROM documents")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions.hashing import canonical_digest
 from attesta.operators import chain as C
 from attesta.operators import merkle as M
+from attesta.operators.rows import evidence_lines
 from attesta.plans import fixtures as fx
 from attesta.plans.registry import query, table
 
@@ -72,18 +73,27 @@ def c03(s, d):
     return _ledger(s, d)
 
 
-@query("c04_ledger_verify", f"WITH {_LEDGER} SELECT chain, count(*) AS blocks, count(*) FILTER (seq < 4 OR chain % 5 <> 0) AS ok_rows FROM led GROUP BY chain")
+@query("c04_ledger_verify", f"""WITH {_LEDGER}, n AS (SELECT chain, count(*) AS n FROM led GROUP BY chain), f AS (SELECT chain, n, CASE WHEN chain % 5 = 0 AND n > 4 THEN 4 END AS tampered, CASE WHEN chain % 3 = 0 AND n > 6 THEN 6 END AS unsigned FROM n), x AS (SELECT *, least(tampered, unsigned) AS first FROM f)
+SELECT chain, first IS NULL AS valid, coalesce(first, n) AS events_checked, coalesce(first, n) - 1 AS last_verified, first::BIGINT AS first_invalid, CASE WHEN first IS NULL THEN NULL WHEN first = tampered THEN 'HASH' ELSE 'SIGNATURE' END AS reason, CASE WHEN first IS NULL THEN NULL WHEN first = tampered OR chain % 2 = 0 THEN 'TAMPER' ELSE 'KEY_ROTATION' END AS likely_cause FROM x""")
 def c04(s, d):
-    bad = _ledger(s, d).withColumn("payload_hash", F.when((F.col("chain") % 5 == 0) & (F.col("seq") == 4), F.sha2(F.lit("x"), 256)).otherwise(F.col("payload_hash")))
-    checked = C.checks(bad, payload=("seq", "event_type", "payload_hash"))
-    first = C.verdicts(checked)
-    return first.select("chain", "blocks", F.col("verified").alias("ok_rows"))
+    """Ledgers with a changed payload, and with signatures that fail: of the present key, or of one before it."""
+    c, seq = F.col("chain"), F.col("seq")
+    bad = _ledger(s, d).withColumn("payload_hash", F.when((c % 5 == 0) & (seq == 4), F.sha2(F.lit("x"), 256)).otherwise(F.col("payload_hash")))
+    bad = bad.withColumns({"signed": ~((c % 3 == 0) & (seq == 6)), "key": F.when(c % 2 == 0, "now").when(c % 4 == 1, "old")})
+    return C.ledger_verdicts(C.checks(bad, payload=("seq", "event_type", "payload_hash")), signed="signed", fingerprint="key", current="now")
 
 
-@query("c05_decisions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'QUARANTINE' WHEN 'O' THEN 'ACCEPT' END AS decision FROM orders WHERE o_orderstatus IN ('F', 'O')")
+_ASKED = "a AS (SELECT user_id AS chain, event_id, CASE event_type WHEN 'error' THEN 'QUARANTINE' WHEN 'view' THEN 'ACCEPT' ELSE 'MAYBE' END AS decision FROM events WHERE value >= 150)"
+
+
+@query("c05_decisions", f"""WITH {_LEDGER.replace("RECURSIVE l AS (", "RECURSIVE " + _ASKED + ", l0 AS (").replace("led(chain", "m AS (SELECT chain, max(seq) AS m FROM l0 GROUP BY chain), l AS (SELECT * FROM l0 UNION ALL SELECT a.chain, m + row_number() OVER (PARTITION BY a.chain ORDER BY event_id), 'ANALYST_DECISION', sha256(a.chain || ':' || event_id || ':' || decision) FROM a JOIN m USING (chain) WHERE decision <> 'MAYBE'), led(chain")} SELECT chain, seq, prev_hash, current_hash FROM led WHERE event_type = 'ANALYST_DECISION'""")
 def c05(s, d):
-    choice = F.when(F.col("o_orderstatus") == "F", "QUARANTINE").when(F.col("o_orderstatus") == "O", "ACCEPT").otherwise("MAYBE")
-    return C.decisions(table(s, d, "orders").select("o_orderkey", choice.alias("decision")))
+    """Decisions about large events, those that are none left out, appended to each user's ledger."""
+    e = table(s, d, "events").where("value >= 150")
+    choice = F.when(F.col("event_type") == "error", "QUARANTINE").when(F.col("event_type") == "view", "ACCEPT").otherwise("MAYBE")
+    asked = C.decisions(e.select(F.col("user_id").alias("chain"), "event_id", choice.alias("decision")))
+    rows = asked.select("chain", "event_id", F.lit("ANALYST_DECISION").alias("event_type"), F.sha2(F.concat_ws(":", "chain", "event_id", "decision"), 256).alias("payload_hash"))
+    return C.extend(_ledger(s, d), rows, order="event_id", payload=("seq", "event_type", "payload_hash")).select("chain", "seq", "prev_hash", "current_hash")
 
 
 @query("w03_replay", "SELECT event_id, event_id > min(event_id) OVER (PARTITION BY user_id, floor(value)) AS replayed FROM events")
@@ -100,15 +110,16 @@ def w04(s, d):
 
 @query(
     "w05_evidence_lines",
-    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations),
-n AS (SELECT conv_id, turn, k, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l), f AS (SELECT conv_id, line, min((turn, k)) AS pos FROM n WHERE line <> '' GROUP BY ALL)
-SELECT conv_id, list(line ORDER BY pos)[1:3] AS first_lines, count(*) AS n FROM f GROUP BY conv_id""",
+    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM conversations), p AS (SELECT conv_id, turn * 100000 + k AS pos, CASE WHEN turn % 2 = 1 THEN 'spatial_window_' || turn % 5 ELSE raw0 END AS raw FROM l),
+n AS (SELECT conv_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line, min((pos, raw)) AS f FROM p GROUP BY ALL), x AS (SELECT conv_id, line LIKE '%spatial_window_%' OR lower(line) LIKE '%sliding window%' AS sp, f[1] AS pos, f[2] AS raw FROM n),
+m AS (SELECT conv_id, count(*) AS c, min((pos, raw)) AS f FROM x WHERE sp GROUP BY conv_id), e AS (SELECT conv_id, 0 AS z, pos, raw FROM x WHERE NOT sp UNION ALL SELECT conv_id, 1, f[1], CASE WHEN c = 1 THEN f[2] ELSE 'Suspicious repeated static localized patch patterns detected across ' || c || ' spatial windows.' END FROM m)
+SELECT conv_id, list(raw ORDER BY z, pos)[1:3] AS first_lines, count(*) AS n FROM e GROUP BY conv_id""".replace("f[1]", "struct_extract_at(f, 1)").replace("f[2]", "struct_extract_at(f, 2)"),
 )
 def w05(s, d):
+    """Lines of conversations; those of odd turns stand for windows."""
     c = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
-    line = F.trim(F.regexp_replace("raw", "\\s+", " "))
-    first = c.select("conv_id", line.alias("line"), F.struct("turn", "k").alias("pos")).where("line <> ''").groupBy("conv_id", "line").agg(F.min("pos").alias("pos"))
-    return first.groupBy("conv_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), 1, 3).alias("first_lines"), F.count("*").alias("n"))
+    raw = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("spatial_window_"), F.col("turn") % 5)).otherwise(F.col("raw"))
+    return evidence_lines(c.select("conv_id", (F.col("turn") * 100_000 + F.col("k")).alias("at"), raw.alias("raw")), ["conv_id"], "at", "raw")
 
 
 # -- Merkle ---------------------------------------------------------------------------------------------------------------

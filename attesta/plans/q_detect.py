@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions import tiers as T
 from attesta.operators import detectors as D
 from attesta.operators import fusion as U
+from attesta.operators import merkle as M
 from attesta.operators import similarity as S
 from attesta.operators.drift import quantiles, ranked
 from attesta.plans import fixtures as fx
@@ -85,11 +86,18 @@ def r08(s, d):
     return D.assess(table(s, d, "documents"), _findings(s, d).withColumn("counts", F.lit(True)), "doc_id")
 
 
-@query("r07_sample_quarantine", f"WITH {_FIND} SELECT doc_id, list_sort(list(check_type)) AS findings, 'REVOKED' AS status FROM f GROUP BY doc_id")
+_R07 = f"""{_FIND}, g AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS bad, bool_or(check_type <> 'EXACT_DUPLICATE') AS odd, list_sort(list(check_type)) AS findings FROM f GROUP BY doc_id),
+q AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - doc_id FROM documents WHERE doc_id % 100 = 0), x AS (SELECT q.doc_id, d.doc_id IS NOT NULL AS known, bad, odd, findings FROM q LEFT JOIN documents d ON d.doc_id = q.doc_id LEFT JOIN g ON g.doc_id = q.doc_id)"""
+
+
+@query("r07_sample_quarantine", f"WITH {_R07} SELECT doc_id, CASE WHEN NOT known THEN 'UNKNOWN' WHEN findings IS NULL THEN 'CLEAN' ELSE 'QUARANTINED' END AS outcome, CASE WHEN findings IS NULL THEN NULL WHEN bad THEN 'POISONED' WHEN odd THEN 'SUSPICIOUS' ELSE 'NEAR-DUPLICATE' END AS result, coalesce(findings, []) AS findings, CASE WHEN findings IS NOT NULL THEN 'REVOKED' END AS trust FROM x")
 def r07(s, d):
-    asked = table(s, d, "documents").select("doc_id")
-    found = _findings(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list("check_type")).alias("findings"))
-    return asked.join(found, "doc_id").withColumn("status", F.lit("REVOKED"))
+    """Every third document is asked for, and some that are not there."""
+    docs, f = table(s, d, "documents").select("doc_id"), _findings(s, d)
+    asked = docs.where("doc_id % 3 = 0").union(docs.where("doc_id % 100 = 0").select(-1 - F.col("doc_id")))
+    judged = D.assess(docs, f.withColumn("counts", F.lit(True)), "doc_id")
+    done, refused = D.quarantine(asked, judged, f, "doc_id", "check_type")
+    return done.select("doc_id", F.lit("QUARANTINED").alias("outcome"), "result", "findings", "trust").union(refused.select("doc_id", "outcome", F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(None).cast("string")))
 
 
 @query("j10_findings_of_samples", f"WITH {_FIND} SELECT doc_id, coalesce(list_sort(list(check_type) FILTER (check_type IS NOT NULL)), []) AS findings FROM documents LEFT JOIN (SELECT doc_id, check_type FROM f) USING (doc_id) GROUP BY doc_id")
@@ -98,12 +106,32 @@ def j10(s, d):
     return table(s, d, "documents").select("doc_id").join(back, "doc_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
 
 
-@query("j03_manifest_check", "SELECT doc_id, CASE WHEN doc_id % 101 = 0 THEN 'FILE_NOT_FOUND' WHEN doc_id % 97 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS current, doc_id % 97 = 0 OR doc_id % 101 = 0 AS tampered FROM documents")
+_J03 = """m AS (SELECT doc_id, sha256(text) AS was, CASE WHEN doc_id % 101 = 0 AND doc_id % 2 = 0 THEN 'FILE_NOT_FOUND' WHEN doc_id % 97 = 0 AND doc_id % 2 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS now, doc_id % 2 AS batch FROM documents)"""
+
+
+def _manifest(s, d):
+    """Two batches: of the even one some files are gone or changed, the odd one is whole."""
+    docs = table(s, d, "documents").select("doc_id", "text", (F.col("doc_id") % 2).alias("batch"))
+    even = F.col("doc_id") % 2 == 0
+    files = docs.where(~((F.col("doc_id") % 101 == 0) & even)).select("doc_id", F.sha2(F.when((F.col("doc_id") % 97 == 0) & even, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("now"))
+    return D.current_digests(docs.select("batch", "doc_id", F.sha2("text", 256).alias("sha256")), files, "doc_id", "sha256", "now")
+
+
+@query("j03_manifest_check", f"WITH {_J03} SELECT doc_id, now AS current, now <> was AS tampered FROM m")
 def j03(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
-    files = docs.where("doc_id % 101 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("now"))
-    j = docs.select("doc_id", F.sha2("text", 256).alias("then")).join(files, "doc_id", "left").withColumn("current", F.coalesce("now", F.lit("FILE_NOT_FOUND")))
-    return j.select("doc_id", "current", (F.col("current") != F.col("then")).alias("tampered"))
+    return _manifest(s, d).select("doc_id", "current", "tampered")
+
+
+_J03_TREE = f"""RECURSIVE {_J03}, leaf AS (SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS idx, sha256(doc_id || ':' || now) AS hash, sha256(doc_id || ':' || was) AS hash0, count(*) OVER (PARTITION BY batch) AS n FROM m),
+tree(batch, idx, hash, hash0, n) AS (SELECT batch, idx, hash, hash0, n FROM leaf UNION ALL SELECT * FROM (SELECT batch, idx // 2 AS idx, sha256(min_by(hash, idx) || max_by(hash, idx)) AS hash, sha256(min_by(hash0, idx) || max_by(hash0, idx)) AS hash0, (max(n) + 1) // 2 AS n FROM tree WHERE n > 1 GROUP BY batch, idx // 2))"""
+
+
+@query("j03_manifest_result", f"WITH {_J03_TREE}, t AS (SELECT batch, count(*) FILTER (now <> was) AS tampered FROM m GROUP BY batch) SELECT batch, tampered, hash AS calculated_root, hash0 AS manifest_root, tampered = 0 AND hash = hash0 AS valid FROM tree JOIN t USING (batch) WHERE n = 1")
+def j03_result(s, d):
+    leaf = lambda c: F.sha2(F.concat_ws(":", "doc_id", c), 256).alias("hash")
+    rows = M.numbered(_manifest(s, d), "doc_id", ["batch"])
+    known = M.grouped_roots(rows.select("batch", "idx", leaf("sha256")), ["batch"]).withColumnRenamed("root", "manifest_root")
+    return D.manifest_result(rows.select("batch", "idx", "tampered", leaf("current")), known, "batch")
 
 
 @query("j11_changed_fingerprint", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 97 = 0")
@@ -241,10 +269,13 @@ def r01(s, d):
     return U.fuse(fx.evidence(s, d), ["target", "day"])
 
 
-@query("r02_hard_vetoes", f"WITH {_E} SELECT evidence_id, target FROM ev WHERE {_VETO}")
+_WHY = {src: (stems, U.SAID[reason]) for src, (stems, reason) in U.VETO_STEMS.items()}
+_TOLD = " UNION ALL ".join([f"SELECT evidence_id, target, '{U.SAID['SIGNATURE_INVALID']}' AS reason FROM ev WHERE NOT hard_veto AND severity = 'CRITICAL' AND {_contains(('signature', 'forger'))}", *[f"SELECT evidence_id, target, '{said}' FROM ev WHERE NOT hard_veto AND severity = 'CRITICAL' AND source = '{src}' AND {_contains(stems)}" for src, (stems, said) in _WHY.items()]])
+
+
+@query("r02_hard_vetoes", f"WITH {_E} SELECT evidence_id, target, description AS reason FROM ev WHERE hard_veto UNION ALL {_TOLD}")
 def r02(s, d):
-    ev = fx.evidence(s, d)
-    return ev.where(F.size(U.veto_reasons(ev)) > 0).select("evidence_id", "target")
+    return U.explain(fx.evidence(s, d)).select("evidence_id", "target", "reason")
 
 
 @query("r03_threats", "SELECT target, threats FROM (" + "WITH " + _FUSE.format(k="target") + ") WHERE len(threats) > 0")
@@ -263,11 +294,30 @@ def r06(s, d):
     return U.quarantine_state(ev, "o_custkey", "at")
 
 
-@query("r09_scan_rollup", f"WITH {_FIND}, e AS (SELECT source AS target, severity, metric FROM f UNION ALL SELECT source, 'LOW', 0 FROM documents WHERE source NOT IN (SELECT source FROM f) GROUP BY source) SELECT target, count(*) AS n, max(metric)::DOUBLE AS metric FROM e GROUP BY target")
+_R09 = f"""{_FIND}, src AS (SELECT source, count(*) AS n, length(source) + ascii(right(source, 1)) AS k FROM documents GROUP BY source), kept AS (SELECT * FROM f WHERE (length(source) + ascii(right(source, 1))) % 4 <> 0),
+e AS (SELECT source AS target, 'DATA_INTEGRITY' AS src, severity, metric FROM kept UNION ALL SELECT source, 'DATA_INTEGRITY', 'LOW', 0.0 FROM src WHERE source NOT IN (SELECT source FROM kept)
+ UNION ALL SELECT source, 'MODEL_IDENTITY', CASE WHEN k % 3 = 0 THEN 'CRITICAL' ELSE 'LOW' END, CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.95 END FROM src UNION ALL SELECT source, 'DISTRIBUTION_SHIFT', CASE WHEN k % 5 = 0 THEN 'CRITICAL' ELSE 'MEDIUM' END, k / 200.0::DOUBLE FROM src WHERE k % 2 = 1)"""
+
+
+def _scan(s, d):
+    """Each source as a scan: findings for three in four, a model and, for every other one, a drift report."""
+    of = F.length("source") + F.ascii(F.right(F.col("source"), F.lit(1)))
+    src = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("k", of)
+    f = _findings(s, d).where(of % 4 != 0).select(F.col("source").alias("target"), F.col("doc_id").alias("finding_id"), "severity", "metric", F.col("check_type").alias("description"))
+    t = F.col("source").alias("target")
+    models = src.select(t, F.when(F.col("k") % 3 == 0, "MISMATCH").otherwise("MATCH").alias("status"), F.when(F.col("k") % 2 == 0, 0.0).otherwise(0.95).alias("confidence"))
+    drift = src.where("k % 2 = 1").select(t, F.when(F.col("k") % 5 == 0, "CRITICAL_SHIFT").otherwise("MILD_DRIFT").alias("severity"), (F.col("k") / 200.0).alias("score"), F.lit("DATASET_DRIFT").alias("shift"))
+    return U.rollup(f, src.select(t, "n"), models, drift)
+
+
+@query("r09_scan_rollup", f"WITH {_R09} SELECT target, src AS source, severity, count(*) AS n, round(max(metric), 6)::DOUBLE AS metric FROM e GROUP BY ALL")
 def r09(s, d):
-    f = _findings(s, d).select(F.col("source").alias("target"), "severity", "metric")
-    clean = table(s, d, "documents").select(F.col("source").alias("target")).distinct().join(f.select("target").distinct(), "target", "left_anti").select("target", F.lit("LOW").alias("severity"), F.lit(0.0).alias("metric"))
-    return f.unionByName(clean).groupBy("target").agg(F.count("*").alias("n"), F.max("metric").alias("metric"))
+    return _scan(s, d).groupBy("target", "source", "severity").agg(F.count("*").alias("n"), F.round(F.max("metric"), 6).alias("metric"))
+
+
+@query("r09_assurance", "SELECT target, round(1 - risk, 4)::DOUBLE AS assurance FROM (WITH " + _FUSE.format(k="target") + ")")
+def r09_assurance(s, d):
+    return U.assurance_score(U.fuse(fx.evidence(s, d))).select("target", "assurance")
 
 
 @query("j09_resolve_evidence", f"WITH {_E} SELECT evidence_id, 'FOUND' AS outcome FROM ev UNION ALL SELECT 'ev_missing_' || user_id, 'UNKNOWN' FROM (SELECT DISTINCT user_id FROM events)")

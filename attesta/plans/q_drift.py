@@ -54,7 +54,7 @@ def x06(s, d):
     return D.shift_report(fx.features(s, d))
 
 
-_NAMED = "CASE event_type WHEN 'signup' THEN 'brightness' WHEN 'error' THEN 'sharpness' WHEN 'click' THEN 'entropy' WHEN 'view' THEN 'contrast' ELSE 'saturation' END"
+_NAMED = "CASE event_type WHEN 'signup' THEN 'brightness' WHEN 'error' THEN 'sharpness' WHEN 'click' THEN 'channel_entropy' WHEN 'view' THEN 'contrast' ELSE 'saturation' END"
 
 
 @query(
@@ -62,14 +62,16 @@ _NAMED = "CASE event_type WHEN 'signup' THEN 'brightness' WHEN 'error' THEN 'sha
     f"""WITH r AS (SELECT user_id, {_NAMED} AS feature, round(avg(least(value / 100, 1)), 6) AS ks FROM events GROUP BY ALL),
 g AS (SELECT user_id, round(avg(ks), 6) AS overall, coalesce(list_sort(list(feature) FILTER (ks > 0.6)), []) AS drifted FROM r GROUP BY user_id)
 SELECT user_id, overall, CASE WHEN overall <= 0.25 AND len(drifted) = 0 THEN 'NO_DRIFT'
- WHEN list_contains(drifted, 'sharpness') AND NOT list_has_any(drifted, ['brightness', 'contrast', 'entropy']) THEN 'SENSOR_DEGRADATION'
- WHEN list_has_any(drifted, ['brightness', 'color_temperature', 'contrast']) AND NOT list_contains(drifted, 'entropy') AND overall < 0.6 THEN 'OPERATIONAL_ENVIRONMENTAL'
- WHEN list_contains(drifted, 'entropy') OR overall >= 0.6 THEN 'ADVERSARIAL_ANOMALY' ELSE 'DATASET_DRIFT' END AS shift FROM g""",
+ WHEN list_contains(drifted, 'sharpness') AND NOT list_has_any(drifted, ['brightness', 'contrast', 'channel_entropy']) THEN 'SENSOR_DEGRADATION'
+ WHEN list_has_any(drifted, ['brightness', 'color_temperature', 'contrast']) AND NOT list_contains(drifted, 'channel_entropy') AND overall < 0.6 THEN 'OPERATIONAL_ENVIRONMENTAL'
+ WHEN list_contains(drifted, 'channel_entropy') OR overall >= 0.6 THEN 'ADVERSARIAL_ANOMALY' ELSE 'DATASET_DRIFT' END AS shift,
+ CASE shift WHEN 'NO_DRIFT' THEN 'NO_DRIFT' WHEN 'SENSOR_DEGRADATION' THEN 'MILD_DRIFT' WHEN 'OPERATIONAL_ENVIRONMENTAL' THEN 'MILD_DRIFT' WHEN 'ADVERSARIAL_ANOMALY' THEN 'CRITICAL_SHIFT' ELSE 'SIGNIFICANT_DRIFT' END AS severity,
+ CASE shift WHEN 'NO_DRIFT' THEN 'ACCEPTED' WHEN 'ADVERSARIAL_ANOMALY' THEN 'QUARANTINED' ELSE 'UNDER_REVIEW' END AS status FROM g""",
 )
 def x07(s, d):
-    name = F.when(F.col("event_type") == "signup", "brightness").when(F.col("event_type") == "error", "sharpness").when(F.col("event_type") == "click", "entropy").when(F.col("event_type") == "view", "contrast").otherwise("saturation")
+    name = F.when(F.col("event_type") == "signup", "brightness").when(F.col("event_type") == "error", "sharpness").when(F.col("event_type") == "click", "channel_entropy").when(F.col("event_type") == "view", "contrast").otherwise("saturation")
     r = table(s, d, "events").groupBy("user_id", name.alias("feature")).agg(F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 6).alias("ks")).withColumn("drifted", F.col("ks") > 0.6)
-    return D.classify_shift(r, ["user_id"], digits=6).select("user_id", "overall", "shift")
+    return D.classify_shift(r, ["user_id"], digits=6).select("user_id", "overall", "shift", "severity", "status")
 
 
 @query(
