@@ -205,11 +205,28 @@ def label_quality(rows: DataFrame, key: str, label: str, vector: str, queries: D
     return out.select(F.col("x").alias(key), F.col("lx").alias(label), F.round("quality", 4).alias("quality"), "suggested", issue.alias("issue"), (issue | (F.col("quality") < flag)).alias("flagged"))
 
 
-def collection_summary(bands: DataFrame, patch: str, band: str, expected: list) -> DataFrame:
-    """One row: patches, complete, incomplete, and the missing bands of each incomplete patch counted."""
+def collection_summary(bands: DataFrame, metadata: DataFrame, patch: str, band: str, size: str, expected: list) -> DataFrame:
+    """One row about a collection of patches: patches, complete, incomplete, corrupt, missing_bands, total_bytes, total_mb,
+    bands_present, earliest, latest, anomalies, valid (some patch is whole) and clean (all are, and none is corrupt).
+
+    ``bands`` has a row a band file; ``metadata`` (patch, readable, acquired) one a patch: those that are not readable are corrupt.
+    """
     need = F.array(*[F.lit(b) for b in expected])
-    g = bands.groupBy(patch).agg(F.collect_set(band).alias("seen")).withColumn("missing", F.size(F.array_except(need, "seen")))
-    return g.agg(F.count("*").alias("patches"), F.count_if(F.col("missing") == 0).alias("complete"), F.count_if(F.col("missing") > 0).alias("incomplete"), F.sum("missing").alias("missing_bands"))
+    held = bands.groupBy(patch).agg(F.collect_set(band).alias("seen"), F.sum(size).alias("bytes"))
+    g = metadata.join(held, patch, "full").withColumn("missing", F.size(F.array_except(need, F.coalesce("seen", F.array().cast(bands.groupBy().agg(F.collect_set(band)).schema[0].dataType)))))
+    bad, gone = ~F.coalesce("readable", F.lit(True)), F.col("missing") > 0
+    out = g.agg(
+        F.count("*").alias("patches"), F.count_if(~gone).alias("complete"), F.count_if(gone).alias("incomplete"), F.count_if(bad).alias("corrupt"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_bands"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total_bytes"), F.min(F.when(~bad, F.col("acquired"))).alias("earliest"), F.max(F.when(~bad, F.col("acquired"))).alias("latest"),
+    )
+    present = bands.groupBy().agg(F.array_sort(F.collect_set(band)).alias("bands_present"))
+    n = F.col
+    return out.join(present).withColumns({"total_mb": F.round(n("total_bytes") / (1 << 20), 2), "anomalies": n("incomplete") + n("corrupt"), "valid": n("complete") > 0, "clean": (n("patches") > 0) & (n("corrupt") == 0) & (n("incomplete") == 0)})
+
+
+def label_distribution(metadata: DataFrame, labels: str) -> DataFrame:
+    """label, n over the readable metadata."""
+    return metadata.where(F.coalesce("readable", F.lit(True))).select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def assess(samples: DataFrame, findings: DataFrame, key: str) -> DataFrame:

@@ -144,6 +144,31 @@ def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, stops: Column
     return seen
 
 
+def batch_subgraph(edges: DataFrame, nodes: DataFrame, batches: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(root, id): the subgraph of each batch (``batches``: id), over edges in both directions.
+
+    It begins at the batch and at all nodes that name it (columns batch_id, dataset_id or scan_id of ``nodes``). Other datasets
+    and batches are not entered, nor nodes whose batch_id or dataset_id is another; contributors are entered but not left.
+    """
+    roots = batches.select(F.col("id").alias("root"))
+    named = [nodes.select(F.col(c).alias("root"), "id").join(roots, "root", "left_semi") for c in ("batch_id", "dataset_id", "scan_id")]
+    own = roots.join(nodes.select("id"), F.col("root") == F.col("id"), "left_semi").select("root", F.col("root").alias("id"))
+    kinds = cut(nodes.select("id", F.col("node_type").isin("DATASET", "DATASET_BATCH").alias("batch"), (F.col("node_type") == "CONTRIBUTOR").alias("last"), "batch_id", "dataset_id"))
+    both = cut(edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).union(edges.select("target_id", "source_id")).distinct())
+    seen = cut(own.union(named[0]).union(named[1]).union(named[2]).distinct())
+    frontier = seen
+    foreign = lambda c: F.coalesce(F.col(c), F.lit("")).isin("") | (F.col(c) == F.col("root"))
+    for _ in range(max_depth):
+        step = frontier.join(both, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct().join(kinds, "id")
+        entered = step.where((~F.col("batch") | (F.col("id") == F.col("root"))) & foreign("batch_id") & foreign("dataset_id"))
+        new = cut(entered.join(seen, ["root", "id"], "left_anti").select("root", "id", "last"))
+        if new.isEmpty():
+            break
+        seen = seen.union(new.select("root", "id"))
+        frontier = new.where("not last").select("root", "id")
+    return seen
+
+
 def digest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: graph digest, over the digests of buckets of rows in order, so that no task holds the graph."""
     rows = nodes.select(F.concat_ws("|", F.lit("n"), "id", "node_type").alias("t")).union(edges.select(F.concat_ws("|", F.lit("e"), "source_id", "target_id", "edge_type")))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.plans.prefix import running_sums
+
 
 def filter_findings(findings: DataFrame, equal: dict[str, str], needle: str, columns: Sequence[str]) -> DataFrame:
     """Rows whose columns equal what is asked (``ALL`` asks nothing) and of which one column holds ``needle``, case aside."""
@@ -113,12 +115,35 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def register_batches(batches: DataFrame, dataset: str, order: str, count: str) -> DataFrame:
-    """Batch numbers within each dataset, running sample counts, and the height of each batch in the global list.
+    """Batch numbers within each dataset, running sample counts, and the height of each batch in the global list (``order`` is unique).
+
+    All are summed by ranges (see :mod:`attesta.plans.prefix`).
+    """
+    rows = batches.withColumns({"_one": F.lit(1), "_all": F.lit(0)})
+    own = running_sums(rows, [dataset], [order], {"batch_number": "_one", "running": count})
+    return running_sums(own, ["_all"], [order], {"block_height": "_one"}).drop("_one", "_all")
+
+
+def register(manifests: DataFrame, known: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Rows to append for new manifests (batch_id, dataset, contributor, merkle_root, sample_count, at), by table; what is known stays.
 
-    There is one row a batch, so the global numbering orders batches, never samples.
+    ``known``: contributors (contributor), datasets (dataset, contributor, total_samples), batches (batch_id, dataset) and roots
+    (root_hash). A batch is registered once, a contributor, a dataset (a name of a contributor) and a root where they are new.
+    Batch numbers go on from those of the dataset, block heights from the number of roots. ``datasets`` holds the totals after.
     """
-    w = Window.partitionBy(dataset).orderBy(order)
-    return batches.withColumns({"batch_number": F.row_number().over(w).cast("long"), "running": F.sum(count).over(w), "block_height": F.row_number().over(Window.orderBy(order)).cast("long")})
+    fresh = manifests.join(known["batches"].select("batch_id"), "batch_id", "left_anti").dropDuplicates(["batch_id"])
+    contributors = manifests.select("contributor").distinct().join(known["contributors"].select("contributor"), "contributor", "left_anti")
+    added = manifests.groupBy("dataset", "contributor").agg(F.sum("sample_count").alias("_new"))
+    both = known["datasets"].select("dataset", "contributor", "total_samples").join(added, ["dataset", "contributor"], "full")
+    datasets = both.select("dataset", "contributor", (F.coalesce("total_samples", F.lit(0)) + F.coalesce("_new", F.lit(0))).alias("total_samples"), F.col("total_samples").isNull().alias("is_new"))
+    before = known["batches"].groupBy("dataset").agg(F.count("*").alias("_before"))
+    numbered = running_sums(fresh.withColumn("_one", F.lit(1)), ["dataset", "contributor"], ["at", "batch_id"], {"_k": "_one"}).join(before, "dataset", "left")
+    batches = numbered.select("batch_id", "dataset", "contributor", (F.coalesce("_before", F.lit(0)) + F.col("_k")).alias("batch_number"), "sample_count")
+    roots = fresh.groupBy(F.col("merkle_root").alias("root_hash")).agg(F.min(F.struct("at", "batch_id", "sample_count")).alias("f")).join(known["roots"].select("root_hash"), "root_hash", "left_anti")
+    tall = known["roots"].agg(F.count("*").alias("_tall"))
+    placed = running_sums(roots.select("root_hash", "f.*").withColumns({"_one": F.lit(1), "_all": F.lit(0)}), ["_all"], ["at", "batch_id"], {"_k": "_one"})
+    heights = placed.join(F.broadcast(tall)).select("root_hash", "batch_id", F.col("sample_count").alias("leaf_count"), (F.col("_tall") + F.col("_k")).alias("block_height"))
+    return {"contributors": contributors, "datasets": datasets, "batches": batches, "roots": heights}
 
 
 #: Directory names that say nothing about what is in them.

@@ -320,6 +320,23 @@ def s11(s, d):
     return R.register_batches(batches, "source", "first_id", "n").select("source", "lang", "batch_number", "block_height", "running")
 
 
+_S11 = """m AS (SELECT o_orderkey AS batch_id, 'd' || o_custkey % 50 AS dataset, 'c' || o_custkey % 50 % 7 AS contributor, 'r' || o_orderkey % 1000 AS merkle_root, o_orderkey % 5 + 3 AS sample_count, o_orderdate AS day, o_orderkey % 4 = 0 AS old FROM orders),
+kd AS (SELECT dataset, contributor, sum(sample_count) AS total FROM m WHERE old GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY day, batch_id) AS k FROM m WHERE NOT old), kr AS (SELECT DISTINCT merkle_root FROM m WHERE old AND batch_id % 8 = 0),
+nr AS (SELECT merkle_root, min((day, batch_id)) AS f FROM nb WHERE merkle_root NOT IN (SELECT merkle_root FROM kr) GROUP BY ALL)"""
+
+
+@query("s11_registration", f"WITH {_S11} SELECT 'contributor' AS kind, contributor AS id, 0 AS n FROM nb WHERE contributor NOT IN (SELECT contributor FROM kd) GROUP BY contributor UNION ALL SELECT 'dataset', d.dataset, (coalesce(kd.total, 0) + d.t)::BIGINT FROM (SELECT dataset, contributor, sum(sample_count) AS t FROM m GROUP BY ALL) d LEFT JOIN kd ON kd.dataset = d.dataset UNION ALL SELECT 'batch', batch_id::VARCHAR, coalesce(c, 0) + k FROM nb LEFT JOIN (SELECT dataset, count(*) AS c FROM m WHERE old GROUP BY dataset) b ON b.dataset = nb.dataset UNION ALL SELECT 'root', merkle_root, (SELECT count(*) FROM kr) + row_number() OVER (ORDER BY f) FROM nr")
+def s11_registration(s, d):
+    """All orders as manifests, a quarter of which is registered already; some of their roots are on record."""
+    o, c = table(s, d, "orders"), F.col("o_custkey") % 50
+    m = o.select(F.col("o_orderkey").alias("batch_id"), F.concat(F.lit("d"), c).alias("dataset"), F.concat(F.lit("c"), c % 7).alias("contributor"), F.concat(F.lit("r"), F.col("o_orderkey") % 1000).alias("merkle_root"), (F.col("o_orderkey") % 5 + 3).alias("sample_count"), F.col("o_orderdate").alias("at"))
+    old = m.where("batch_id % 4 = 0")
+    known = {"contributors": old.select("contributor").distinct(), "datasets": old.groupBy("dataset", "contributor").agg(F.sum("sample_count").alias("total_samples")), "batches": old, "roots": old.where("batch_id % 8 = 0").select(F.col("merkle_root").alias("root_hash")).distinct()}
+    new = R.register(m, known)
+    row = lambda t, kind, i, n: new[t].select(F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), n.cast("long").alias("n"))
+    return row("contributors", "contributor", "contributor", F.lit(0)).union(row("datasets", "dataset", "dataset", F.col("total_samples"))).union(row("batches", "batch", "batch_id", F.col("batch_number"))).union(row("roots", "root", "root_hash", F.col("block_height")))
+
+
 @query("w06_batch_numbering", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS batch_number FROM orders")
 def w06(s, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -199,9 +199,19 @@ def a11(s, d):
     return _quality(s, d).agg(F.count("*").alias("samples"), F.round(F.avg("quality"), 4).alias("overall"), F.count_if(F.col("quality") < 0.5).alias("low"))
 
 
-@query("a13_collection_summary", "WITH g AS (SELECT l_orderkey, 7 - count(DISTINCT l_linenumber) AS missing FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS patches, count(*) FILTER (missing = 0) AS complete, count(*) FILTER (missing > 0) AS incomplete, sum(missing)::BIGINT AS missing_bands FROM g")
+@query("a13_collection_summary", """WITH g AS (SELECT o_orderkey, o_orderstatus <> 'P' AS ok, o_orderdate AS at, 7 - count(DISTINCT l_linenumber) AS missing, sum(l_quantity) AS b FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), x AS (SELECT count(*) AS patches, count(*) FILTER (missing = 0) AS complete, count(*) FILTER (missing > 0) AS incomplete, count(*) FILTER (NOT ok) AS corrupt, sum(missing)::BIGINT AS missing_bands, sum(b)::BIGINT AS total_bytes, min(at) FILTER (ok) AS earliest, max(at) FILTER (ok) AS latest FROM g)
+SELECT *, (SELECT list_sort(list(DISTINCT l_linenumber)) FROM lineitem) AS bands_present, round(total_bytes / 1048576.0::DOUBLE, 2) AS total_mb, incomplete + corrupt AS anomalies, complete > 0 AS valid, corrupt = 0 AND incomplete = 0 AS clean FROM x""".replace(" AS at,", " AS day,").replace("min(at)", "min(day)").replace("max(at)", "max(day)"))
 def a13(s, d):
-    return D.collection_summary(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", list(range(1, 8)))
+    """Orders as patches, their lines as bands; orders in progress have metadata that does not read."""
+    meta = table(s, d, "orders").select("o_orderkey", (F.col("o_orderstatus") != "P").alias("readable"), F.col("o_orderdate").alias("acquired"))
+    bands = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return D.collection_summary(bands, meta, "o_orderkey", "l_linenumber", "l_quantity", list(range(1, 8)))
+
+
+@query("a13_label_distribution", "SELECT unnest([o_orderpriority, o_orderstatus]) AS label, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def a13_labels(s, d):
+    meta = table(s, d, "orders").select((F.col("o_orderstatus") != "P").alias("readable"), F.array("o_orderpriority", "o_orderstatus").alias("labels"))
+    return D.label_distribution(meta, "labels")
 
 
 @query("a14_system_overview", "SELECT (SELECT count(*) FROM documents) AS datasets, (SELECT count(*) FROM part) AS models, (SELECT count(*) FROM events) AS inferences, (SELECT count(*) FROM orders) AS reports, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS quarantined, (SELECT max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders) AS head")

@@ -123,6 +123,19 @@ def g11(s, d):
     return sub.groupBy("root").agg(F.count("*").alias("members"))
 
 
+@query("g11_batch_subgraph", f"WITH {_STEPS}, owned AS (SELECT 'c' || o_custkey || '_' || o_orderkey AS i FROM orders WHERE o_orderkey % 7 = 0), x AS (SELECT id AS root, id FROM nodes WHERE node_type = 'DATASET' UNION SELECT t, m FROM tra WHERE t IN (SELECT id FROM nodes) UNION SELECT t, a FROM aut UNION SELECT t, i FROM tra JOIN gen USING (m) WHERE i NOT IN (SELECT i FROM owned) UNION SELECT 'p' || p_partkey, 'report' || p_partkey FROM part WHERE p_partkey % 3 = 0) SELECT root, count(*) AS members FROM x GROUP BY root")
+def g11_batch(s, d):
+    """Some inferences belong to another batch; a report of every third dataset names it and hangs on nothing."""
+    e, n = _graph(s, d)
+    owned = table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("c"), "o_custkey", F.lit("_"), "o_orderkey").alias("id"), F.lit("elsewhere").alias("batch_id"))
+    none = F.lit(None).cast("string")
+    n = n.join(owned, "id", "left").select("id", "node_type", "batch_id", none.alias("dataset_id"), none.alias("scan_id"))
+    part = table(s, d, "part").where("p_partkey % 3 = 0")
+    reports = part.select(F.concat(F.lit("report"), "p_partkey"), F.lit("REPORT"), none, none, F.concat(F.lit("p"), "p_partkey"))
+    sub = L.batch_subgraph(e, n.union(reports), n.where("node_type = 'DATASET'").select("id"))
+    return sub.groupBy("root").agg(F.count("*").alias("members"))
+
+
 @query("g12_graph_digest", f"WITH {_B}, r AS (SELECT sha256('n|' || id || '|' || node_type) AS h FROM nodes UNION ALL SELECT sha256('e|' || source_id || '|' || target_id || '|' || edge_type) FROM edges), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS hh FROM r GROUP BY 1) SELECT sha256(string_agg(hh, '' ORDER BY b)) AS graph_digest FROM b")
 def g12(s, d):
     return L.digest(*_graph(s, d))
