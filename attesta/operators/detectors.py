@@ -15,8 +15,8 @@ from attesta.plans.lineage import shuffle_partitions
 
 
 def exact_duplicates(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """digest, members (sorted), n: groups of equal digests."""
-    return rows.groupBy(digest).agg(F.array_sort(F.collect_list(key)).alias("members"), F.count("*").alias("n")).where("n > 1")
+    """digest, key, n: the rows of each group of equal digests, and its size."""
+    return rows.select(digest, key).join(rows.groupBy(digest).agg(F.count("*").alias("n")).where("n > 1"), digest)
 
 
 def severity_tally(findings: DataFrame, target: str, severity: str) -> DataFrame:
@@ -57,7 +57,7 @@ def corners(images: DataFrame, px: str, side: int = 8, patch: int = 4) -> DataFr
 
 
 def repeated_patches(images: DataFrame, key: str, label: str, digest: str, px: str, side: int = 8, patch: int = 4) -> DataFrame:
-    """label, corner, signature, members, confidence: equal corner patches of two or more samples and files of one label.
+    """label, corner, signature, key, confidence: the samples of equal corner patches of two or more samples and files of one label.
 
     An all-zero patch counts only in images whose mean is above 20; labels with one sample are left to the isolated check.
     """
@@ -65,9 +65,16 @@ def repeated_patches(images: DataFrame, key: str, label: str, digest: str, px: s
     sizes = images.groupBy(label).agg(F.count("*").alias("label_size")).where("label_size > 1")
     rows = corners(images, px, side, patch).where((total(F.col("values")) > 0) | (total(F.col(px)) / F.size(px) > 20))
     signature = F.sha2(F.concat_ws(",", F.transform("values", lambda x: x.cast("string"))), 256)
-    g = rows.groupBy(label, "corner", signature.alias("signature")).agg(F.array_sort(F.collect_set(key)).alias("members"), F.count_distinct(digest).alias("files"))
-    g = g.where((F.size("members") >= 2) & (F.col("files") >= 2)).join(sizes, label)
-    return g.select(label, "corner", "signature", "members", F.round(F.size("members") / F.col("label_size"), 4).alias("confidence"))
+    hits = rows.select(label, "corner", signature.alias("signature"), key, digest).distinct()
+    g = hits.groupBy(label, "corner", "signature").agg(F.count_distinct(key).alias("samples"), F.count_distinct(digest).alias("files")).where("samples >= 2 and files >= 2").join(sizes, label)
+    kept = g.select(label, "corner", "signature", F.round(F.col("samples") / F.col("label_size"), 4).alias("confidence"))
+    return hits.drop(digest).distinct().join(kept, [label, "corner", "signature"])
+
+
+def set_digest(key: str) -> list[Column]:
+    """Aggregates that agree where the distinct keys do, whatever their order: their number and two sums of their hashes."""
+    h = F.xxhash64(key).cast("decimal(20,0)")
+    return [F.count("*").alias("_set_n"), F.sum(h).alias("_set_a"), F.sum(F.xxhash64(F.lit(1), key).cast("decimal(20,0)")).alias("_set_b")]
 
 
 def isolated_triggers(images: DataFrame, key: str, px: str, *, least: float = 6000.0, side: int = 8, patch: int = 4) -> DataFrame:
@@ -83,18 +90,21 @@ def isolated_triggers(images: DataFrame, key: str, px: str, *, least: float = 60
     return first.select(key, "m.corner", F.round(F.least(F.lit(1.0), F.col("m.variance") / 16384), 4).alias("metric"))
 
 
-def sliding_patches(windows: DataFrame, images: DataFrame, key: str, label: str, digest: str, corner_sets: DataFrame, *, most_hits: int = 2, spread: int = 24) -> DataFrame:
-    """label, signature, members: signatures that two or more samples and files of one label share.
+def sliding_patches(windows: DataFrame, images: DataFrame, key: str, label: str, digest: str, corner_hits: DataFrame, *, most_hits: int = 2, spread: int = 24) -> DataFrame:
+    """label, signature, key: samples of signatures that two or more samples and files of one label share.
 
-    Left out: samples with more than ``most_hits`` hits, sets that a corner finding already has, and groups that spread over
-    more than ``spread`` pixels (solid ones always, hashes with few bits only).
+    Left out: signatures that any sample has more than ``most_hits`` times, those of just the samples of a corner finding
+    (``corner_hits``: :func:`repeated_patches`), and those that spread over more than ``spread`` pixels (solid ones always, hashes
+    with few bits only).
     """
     rows = windows.join(images.select(key, label, digest), key)
     hits = rows.groupBy(label, "signature", key).agg(F.count("*").alias("hits"), F.first(digest).alias("file"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("ones").alias("ones"))
-    g = hits.groupBy(label, "signature").agg(F.array_sort(F.collect_set(key)).alias("members"), F.count_distinct("file").alias("files"), F.max("hits").alias("hits"), F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("spread"), F.max("ones").alias("ones"))
+    g = hits.groupBy(label, "signature").agg(*set_digest(key), F.count_distinct("file").alias("files"), F.max("hits").alias("hits"), F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("spread"), F.max("ones").alias("ones"))
     wide = (F.col("spread") > spread) & (F.col("ones").isNull() | (F.col("ones") < 12))
-    kept = g.where((F.size("members") >= 2) & (F.col("files") >= 2) & (F.col("hits") <= most_hits) & ~wide)
-    return kept.join(corner_sets.select(label, "members").distinct(), [label, "members"], "left_anti").select(label, "signature", "members")
+    kept = g.where((F.col("_set_n") >= 2) & (F.col("files") >= 2) & (F.col("hits") <= most_hits) & ~wide)
+    known = corner_hits.groupBy(label, "corner", F.col("signature").alias("_s")).agg(*set_digest(key)).drop("corner", "_s").distinct()
+    fresh = kept.join(known, [label, "_set_n", "_set_a", "_set_b"], "left_anti").select(label, "signature")
+    return hits.select(label, "signature", key).join(fresh, [label, "signature"])
 
 
 #: Queries that a task compares at once, base rows likewise, and queries that a task holds.

@@ -29,48 +29,66 @@ def hash_pairs(hashes: DataFrame, bits: str, budget: int, width: int = 64) -> Da
     return joined.where(first).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
-def row_pairs(rows: DataFrame, key: str, bits: str, budget: int, width: int = 64) -> DataFrame:
-    """Pairs of rows (left < right) at ``budget`` or fewer differing bits, equal hashes too. For small groups of copies only."""
-    near = hash_pairs(rows, bits, budget, width)
-    same = rows.select(F.col(bits).alias("a")).where("a is not null").distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
-    l, r = rows.select(F.col(key).alias("x"), F.col(bits).alias("a")), rows.select(F.col(key).alias("y"), F.col(bits).alias("b"))
-    j = near.union(same).join(l, "a").join(r, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+def classes(rows: DataFrame, key: str, *alike: str) -> DataFrame:
+    """representative (the smallest key), size and ``alike`` of each class of rows that agree in ``alike``: copies, which are never paired."""
+    return rows.where(F.col(alike[0]).isNotNull()).groupBy(*alike).agg(F.min(key).alias("representative"), F.count("*").alias("size"))
+
+
+def membership(rows: DataFrame, key: str, *alike: str) -> DataFrame:
+    """key, representative: the class of each row."""
+    named = classes(rows, key, *alike).drop("size")
+    return rows.join(named, list(alike)).select(key, "representative")
+
+
+def class_pairs(of: DataFrame, bits: str, differ: str, budget: int, width: int = 64) -> DataFrame:
+    """left, right, distance: representatives of classes at ``budget`` or fewer differing bits, equal hashes too, which differ in
+    another column."""
+    near = hash_pairs(of, bits, budget, width)
+    same = of.select(F.col(bits).alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
+    l = of.select(F.col("representative").alias("x"), F.col(bits).alias("a"), F.col(differ).alias("_l"))
+    r = of.select(F.col("representative").alias("y"), F.col(bits).alias("b"), F.col(differ).alias("_r"))
+    j = near.union(same).join(l, "a").join(r, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).where("_l <> _r")
     return j.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "distance")
 
 
 def near_duplicates(rows: DataFrame, key: str, bits: str, exact: str, budget: int = 4, width: int = 64) -> DataFrame:
-    """Row pairs at ``budget`` or fewer bits whose exact digests differ."""
-    own = rows.select(F.col(key).alias("left"), F.col(exact).alias("_l")), rows.select(F.col(key).alias("right"), F.col(exact).alias("_r"))
-    return row_pairs(rows, key, bits, budget, width).join(own[0], "left").join(own[1], "right").where("_l <> _r").drop("_l", "_r")
+    """left, right, distance: pairs between classes of exact copies, by their representatives, at ``budget`` or fewer bits.
+
+    Copies are members of a class (see :func:`membership`); no link between different ones is lost.
+    """
+    return class_pairs(classes(rows, key, bits, exact), bits, exact, budget, width)
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
-    """cluster (smallest member), members (sorted), avg_distance, max_distance, confidence."""
-    pairs = cut(pairs)
-    member = connected_components(pairs, "left", "right")
-    sets = member.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
-    own = pairs.join(member, pairs["left"] == member["node"]).groupBy("component").agg(F.avg("distance").alias("avg_distance"), F.max("distance").alias("max_distance"))
-    return sets.join(own, "component").select(F.col("component").alias("cluster"), "members", F.round("avg_distance", 4).alias("avg_distance"), "max_distance", F.round(1 - F.col("avg_distance") / 64, 4).alias("confidence"))
+def clusters(rows: DataFrame, key: str, bits: str, exact: str, budget: int = 4, width: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(cluster, key) for each row of a cluster, and per cluster avg_distance and max_distance of its links and confidence.
+
+    A cluster is what links between classes connect, named by its smallest key; its members are those of its classes.
+    """
+    pairs = cut(near_duplicates(rows, key, bits, exact, budget, width))
+    found = cut(connected_components(pairs, "left", "right"))
+    members = membership(rows, key, bits, exact).join(found.select(F.col("node").alias("representative"), F.col("component").alias("cluster")), "representative").select("cluster", key)
+    own = pairs.join(found, pairs["left"] == found["node"]).groupBy(F.col("component").alias("cluster")).agg(F.avg("distance").alias("d"), F.max("distance").alias("max_distance"))
+    return members, own.select("cluster", F.round("d", 4).alias("avg_distance"), "max_distance", F.round(1 - F.col("d") / 64, 4).alias("confidence"))
 
 
 def label_conflicts(rows: DataFrame, key: str, bits: str, label: str, budget: int = 3, width: int = 64) -> DataFrame:
-    """Row pairs at ``budget`` or fewer bits, byte-identical ones too, whose labels differ."""
-    labelled = rows.where(F.col(label).isNotNull())
-    l, r = labelled.select(F.col(key).alias("left"), F.col(label).alias("_l")), labelled.select(F.col(key).alias("right"), F.col(label).alias("_r"))
-    out = row_pairs(labelled, key, bits, budget, width).join(l, "left").join(r, "right").where("_l <> _r")
-    return out.select("left", "right", "distance", F.round(1 - F.col("distance") / 64, 4).alias("confidence"))
+    """left, right, distance, confidence: pairs between classes of one hash and one label, by their representatives, at
+    ``budget`` or fewer bits, byte-identical ones too, whose labels differ."""
+    out = class_pairs(classes(rows.where(F.col(label).isNotNull()), key, bits, label), bits, label, budget, width)
+    return out.withColumn("confidence", F.round(1 - F.col("distance") / 64, 4))
 
 
-def exempt_triggers(members: DataFrame, finding: str, sample: str, bits: str, mirrored: str, duplicates: DataFrame, budget: int = 10) -> DataFrame:
-    """(finding, sample, counts): a finding does not count against a sample if every other sample in it is a near duplicate.
+def exempt_triggers(members: DataFrame, finding: str, sample: str, bits: str, mirrored: str, budget: int = 10) -> DataFrame:
+    """(finding, sample, counts): a finding does not count against a sample if every other sample in it is a near duplicate, as it
+    is or mirrored. A sample that is alone in a finding counts.
 
-    ``members`` holds the samples of each finding with their hashes; ``duplicates`` pairs (left, right) of near duplicates.
-    Pairs are made within one finding, which holds the copies of one patch.
+    Samples of a finding are compared by the distinct pairs of their hashes, so copies are compared once.
     """
-    a = members.select(F.col(finding).alias("f"), F.col(sample).alias("x"), F.col(bits).alias("hx"))
-    b = members.select(F.col(finding).alias("f"), F.col(sample).alias("y"), F.col(bits).alias("hy"), F.col(mirrored).alias("my"))
-    known = duplicates.select(F.col("left").alias("x"), F.col("right").alias("y")).union(duplicates.select(F.col("right").alias("x"), F.col("left").alias("y"))).distinct().withColumn("known", F.lit(True))
-    pairs = a.join(b, "f").where("x <> y").join(known, ["x", "y"], "left")
-    near = F.coalesce("known", F.lit(False)) | (hamming(F.col("hx"), F.col("hy")) <= budget) | (hamming(F.col("hx"), F.col("my")) <= budget)
-    judged = pairs.groupBy("f", "x").agg((~F.bool_and(near)).alias("counts"))
-    return members.select(F.col(finding).alias("f"), F.col(sample).alias("x")).join(judged, ["f", "x"], "left").select(F.col("f").alias(finding), F.col("x").alias(sample), F.coalesce("counts", F.lit(True)).alias("counts"))
+    kinds = members.groupBy(finding, bits, mirrored).agg(F.count("*").alias("size"))
+    a = kinds.select(F.col(finding).alias("f"), F.col(bits).alias("hx"), F.col(mirrored).alias("mx"), "size")
+    b = kinds.select(F.col(finding).alias("f"), F.col(bits).alias("hy"), F.col(mirrored).alias("my"))
+    near = (hamming(F.col("hx"), F.col("hy")) <= budget) | (hamming(F.col("hx"), F.col("my")) <= budget)
+    judged = a.join(b, "f").groupBy("f", "hx", "mx", "size").agg(F.bool_and(near).alias("near"), F.count("*").alias("kinds"))
+    exempt = F.col("near") & ((F.col("kinds") > 1) | (F.col("size") > 1))
+    verdict = judged.select(F.col("f").alias(finding), F.col("hx").alias(bits), F.col("mx").alias(mirrored), (~exempt).alias("counts"))
+    return members.join(verdict, [finding, bits, mirrored]).select(finding, sample, "counts")

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where the setting is missing (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where the setting is missing, on one machine only (tests)."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     conf = sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     folder = conf or tempfile.mkdtemp(prefix="attesta-")
     sc.setCheckpointDir(folder)
     return folder

@@ -11,41 +11,51 @@ from attesta.operators import merkle as M
 from attesta.operators import similarity as S
 from attesta.operators.drift import quantiles, ranked
 from attesta.plans import fixtures as fx
+from attesta.plans.lineage import cut
 from attesta.plans.registry import query, table
 
 _G = fx.GRID_HASH_SQL
 
 
-def _pairs(budget: int, extra: str) -> str:
-    return f'SELECT a.vec_id AS "left", b.vec_id AS "right", bit_count(xor(a.dh, b.dh))::INT AS distance FROM hashed a JOIN hashed b ON a.vec_id < b.vec_id AND bit_count(xor(a.dh, b.dh)) <= {budget} {extra}'
+def _pairs(budget: int, by: str) -> str:
+    return f'SELECT least(a.rep, b.rep) AS "left", greatest(a.rep, b.rep) AS "right", bit_count(xor(a.dh, b.dh))::INT AS distance FROM (SELECT dh, {by}, min(vec_id) AS rep FROM hashed GROUP BY ALL) a JOIN (SELECT dh, {by}, min(vec_id) AS rep FROM hashed GROUP BY ALL) b ON a.rep < b.rep AND a.{by} <> b.{by} AND bit_count(xor(a.dh, b.dh)) <= {budget}'
 
 
-@query("j01_near_duplicates", f"WITH {_G} {_pairs(4, 'AND a.sha <> b.sha')}")
+@query("j01_near_duplicates", f"WITH {_G} {_pairs(4, 'sha')}")
 def j01(s, d):
-    return S.near_duplicates(fx.hashed_grid(s, d), "vec_id", "dh", "sha", budget=4, width=56)
+    return S.near_duplicates(cut(fx.hashed_grid(s, d).select("vec_id", "dh", "sha")), "vec_id", "dh", "sha", budget=4, width=56)
 
 
-@query("j02_label_conflicts", f"WITH {_G} SELECT \"left\", \"right\", distance, round(1 - distance / 64.0, 4)::DOUBLE AS confidence FROM ({_pairs(3, 'AND a.label <> b.label')})")
+@query("j01_membership", f"WITH {_G} SELECT vec_id, min(vec_id) OVER (PARTITION BY dh, sha) AS representative FROM hashed")
+def j01_membership(s, d):
+    return S.membership(fx.hashed_grid(s, d), "vec_id", "dh", "sha")
+
+
+@query("j02_label_conflicts", f"WITH {_G} SELECT \"left\", \"right\", distance, round(1 - distance / 64.0, 4)::DOUBLE AS confidence FROM ({_pairs(3, 'label')})")
 def j02(s, d):
-    return S.label_conflicts(fx.hashed_grid(s, d), "vec_id", "dh", "label", budget=3, width=56)
+    return S.label_conflicts(cut(fx.hashed_grid(s, d).select("vec_id", "dh", "label")), "vec_id", "dh", "label", budget=3, width=56)
 
 
-_CL = f"""WITH RECURSIVE {_G}, pairs AS ({_pairs(4, 'AND a.sha <> b.sha')}), sym AS (SELECT "left" AS a, "right" AS b FROM pairs UNION SELECT "right", "left" FROM pairs),
+_CL = f"""WITH RECURSIVE {_G}, pairs AS ({_pairs(4, 'sha')}), sym AS (SELECT "left" AS a, "right" AS b FROM pairs UNION SELECT "right", "left" FROM pairs),
 reach(node, other) AS (SELECT a, a FROM sym UNION SELECT r.node, b.b FROM reach r JOIN sym b ON b.a = r.other), comp AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node),
-agg AS (SELECT cluster, list_sort(list(node)) AS members FROM comp GROUP BY cluster), dist AS (SELECT cluster, avg(distance) AS avg_distance, max(distance) AS max_distance FROM pairs JOIN comp ON node = "left" GROUP BY cluster)"""
+mem AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY dh, sha) AS rep FROM hashed), dist AS (SELECT cluster, avg(distance) AS avg_distance, max(distance) AS max_distance FROM pairs JOIN comp ON node = "left" GROUP BY cluster)"""
+
+
+def _clusters(s, d):
+    return S.clusters(cut(fx.hashed_grid(s, d).select("vec_id", "dh", "sha")), "vec_id", "dh", "sha", budget=4, width=56)
 
 
-@query("a02_clusters", f"{_CL} SELECT cluster, members FROM agg")
+@query("a02_clusters", f"{_CL} SELECT cluster, vec_id FROM mem JOIN comp ON node = rep")
 def a02(s, d):
-    return S.clusters(S.near_duplicates(fx.hashed_grid(s, d), "vec_id", "dh", "sha", budget=4, width=56)).select("cluster", "members")
+    return _clusters(s, d)[0]
 
 
 @query("a03_cluster_distance", f"{_CL} SELECT cluster, round(avg_distance, 4) AS avg_distance, max_distance, round(1 - avg_distance / 64, 4) AS confidence FROM dist")
 def a03(s, d):
-    return S.clusters(S.near_duplicates(fx.hashed_grid(s, d), "vec_id", "dh", "sha", budget=4, width=56)).select("cluster", "avg_distance", "max_distance", "confidence")
+    return _clusters(s, d)[1]
 
 
-@query("a01_exact_duplicates", "SELECT sha256(text) AS digest, list_sort(list(doc_id)) AS members, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("a01_exact_duplicates", "SELECT sha256(text) AS digest, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents QUALIFY n > 1")
 def a01(s, d):
     return D.exact_duplicates(table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id", "digest")
 
@@ -147,7 +157,7 @@ _CORN = f"{_G}, corn AS (" + " UNION ALL ".join(f"SELECT vec_id, label, sha, px,
 _REP = f"""{_CORN}, rep AS (SELECT label, corner, sha256(array_to_string(v, ',')) AS signature, list_sort(list(DISTINCT vec_id)) AS members, count(DISTINCT sha) AS files FROM corn WHERE list_sum(v) > 0 OR list_avg(px) > 20 GROUP BY ALL HAVING count(DISTINCT vec_id) >= 2 AND count(DISTINCT sha) >= 2)"""
 
 
-@query("a07_repeated_patches", f"WITH {_REP} SELECT r.label, corner, signature, members, round(len(members) / n::DOUBLE, 4) AS confidence FROM rep r JOIN (SELECT label, count(*) AS n FROM hashed GROUP BY label HAVING count(*) > 1) c ON c.label = r.label")
+@query("a07_repeated_patches", f"WITH {_REP} SELECT r.label, corner, signature, unnest(members) AS vec_id, round(len(members) / n::DOUBLE, 4) AS confidence FROM rep r JOIN (SELECT label, count(*) AS n FROM hashed GROUP BY label HAVING count(*) > 1) c ON c.label = r.label")
 def a07(s, d):
     return D.repeated_patches(fx.hashed_grid(s, d), "vec_id", "label", "sha", "px")
 
@@ -162,8 +172,8 @@ def a08(s, d):
     from attesta.functions.pixels import window_signatures
 
     images = fx.hashed_grid(s, d)
-    corner_sets = D.repeated_patches(images, "vec_id", "label", "sha", "px").select("label", "members")
-    return D.sliding_patches(window_signatures(images, "vec_id", "px", 8, 8), images, "vec_id", "label", "sha", corner_sets)
+    corner_hits = D.repeated_patches(images, "vec_id", "label", "sha", "px")
+    return D.sliding_patches(window_signatures(images, "vec_id", "px", 8, 8), images, "vec_id", "label", "sha", corner_hits)
 
 
 @query("j12_near_duplicate_exemption", f"""WITH {_REP}, mem AS (SELECT signature || corner || label AS finding, unnest(members) AS vec_id FROM rep), mir AS (SELECT vec_id, dh, list_reduce(list_transform(range(0, 56), lambda i: CASE WHEN px[(i // 7) * 8 + 8 - i % 7] > px[(i // 7) * 8 + 7 - i % 7] THEN 1 ELSE 0 END::BIGINT), lambda a, b: a * 2 + b) AS mh FROM hashed),
@@ -172,9 +182,8 @@ def j12(s, d):
     images = fx.hashed_grid(s, d)
     turned = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.reverse(F.slice("px", r * 8 + 1, 8))))
     hashes = images.select("vec_id", "dh", fx.dhash(turned).alias("mh"))
-    found = D.repeated_patches(images, "vec_id", "label", "sha", "px").select(F.concat("signature", "corner", "label").alias("finding"), F.explode("members").alias("vec_id"))
-    dups = S.near_duplicates(images, "vec_id", "dh", "sha", budget=4, width=56)
-    return S.exempt_triggers(found.join(hashes, "vec_id"), "finding", "vec_id", "dh", "mh", dups)
+    found = D.repeated_patches(images, "vec_id", "label", "sha", "px").select(F.concat("signature", "corner", "label").alias("finding"), "vec_id")
+    return S.exempt_triggers(found.join(hashes, "vec_id"), "finding", "vec_id", "dh", "mh")
 
 
 _KNN = """kc AS (SELECT greatest(1, least(3, min(n))) AS k, count(*) AS classes FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)),
