@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import sealed, text_of, unsealed
@@ -22,16 +22,6 @@ CLASSES = {
     "letter": "\\p{L}+",
 }
 
-#: Very common words of each language.
-COMMON = {
-    "en": "the of and to in is that for it as was with be by on not he his at this are or an from".split(),
-    "fr": "de la le et les des en un une du que est pour qui dans par pas au sur il plus avec ce elle".split(),
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an war für".split(),
-    "es": "de la que el en y los se del las un por con una su para es al lo como más pero no sus".split(),
-}
-_WORDS = sorted({w for words in COMMON.values() for w in words})
-
-
 def _bind(value: Column, use) -> Column:
     """``use(value)``, with ``value`` evaluated once."""
     return F.transform(F.array(value), use)[0]
@@ -85,25 +75,59 @@ def _peeled(text: Column, patterns: list[str]) -> Column:
     return F.concat(F.array(F.length(text)), _bind(F.regexp_replace(text, patterns[0], ""), lambda rest: _peeled(rest, patterns[1:])))
 
 
-def measures(docs: DataFrame, text_col: str, lang_col: str, drop_text: bool = False) -> DataFrame:
-    """Adds the base counts, and the histograms ``_chars`` and ``_common``, to ``docs``."""
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, _SPACE + "+"), "")
+
+
+def common_words(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """(_word_lang, _words): the ``most`` words that most documents of each language have, ties by the word.
+
+    Each text counts a word once, so a spammed word does not become common. Counts are summed before they are shuffled, and
+    each task passes on its ``most`` best words of a language only.
+    """
+    words = docs.select(_lang(lang_col), F.explode(F.array_distinct(_words(text_of(text_col)))).alias("word"))
+    counts = words.groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("place", place).where(F.col("place") <= most)
+    return best.groupBy(F.col("_lang").alias("_word_lang")).agg(F.array_sort(F.collect_list("word")).alias("_words"))
+
+
+#: Languages whose common words are one set of the plan; with more of them each text's words are looked up in its own language's.
+LANGUAGES = 1000
+
+
+def _is_common(known: DataFrame):
+    """Whether a word is common in the text's language (or in any, which costs time only)."""
+    if known.count() > LANGUAGES:
+        return lambda w: F.array_contains("_words", w)
+    listed = sorted({w for r in known.collect() for w in r["_words"]})
+    return lambda w: w.isin(listed) if listed else F.lit(False)
+
+
+def _lang(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
+
+
+def measures(docs: DataFrame, text_col: str, lang_col: str, drop_text: bool = False, most: int = 30) -> DataFrame:
+    """Adds the base counts, and the histograms ``_chars`` and ``_common`` (of the language's common words), to ``docs``."""
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    split = docs.withColumn("_text", text_of(text_col)).withColumn("_split", F.array_remove(F.split("_text", _SPACE + "+"), ""))
+    known = cut(common_words(docs, text_col, lang_col, most))
+    split = docs.withColumns({"_text": text_of(text_col), "_lang": _lang(lang_col)}).join(known, F.col("_lang") == F.col("_word_lang"), "left").withColumn("_split", _words(text))
     words = F.col("_split")
     chars = _bind(_peeled(text, list(CLASSES.values())), lambda left: F.transform(left, lambda x, i: (x - F.coalesce(F.get(left, i + 1), F.lit(0))).cast("long")))
-    common = _bind(
-        F.filter(words, lambda w: w.isin(_WORDS)),
-        lambda hits: F.transform(F.array(*[F.lit(w) for w in _WORDS]), lambda c: F.size(F.filter(hits, lambda w: w == c)).cast("long")),
-    )
+    # hits between blanks of their own: a word's count is what its removal shortens them by
+    split = split.withColumn("_hits", F.concat(F.lit(" "), F.array_join(F.filter(words, _is_common(known)), "  "), F.lit(" ")))
+    listed = [F.get("_words", F.lit(k)) for k in range(most)]
+    common = [((F.octet_length("_hits") - F.octet_length(F.replace(F.col("_hits"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long") for w in listed]
     counted = split.select(
         *[c for c in docs.columns if not drop_text or c != text_col],
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"),
+        "_lang",
         F.size(words).cast("long").alias("_n_words"),
         _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("_n_dup_lines"),
         repeated_words(words).alias("_n_repeat_words"),
         chars.alias("_chars"),
-        common.alias("_common"),
+        F.filter(F.array(*common), lambda x: x.isNotNull()).alias("_common"),
         F.length(text).cast("long").alias("_n_chars"),
     )
     at = {name: F.get(F.col("_chars"), k) for k, name in enumerate(CLASSES)}
@@ -134,6 +158,8 @@ def judge(
     min_chars: int = 100,
     max_word_distance: float = 0.75,
     min_words_for_distance: int = 100,
+    common: int = 30,
+    min_common_share: float = 0.1,
     drop_text: bool = False,
     text_col: str = "text",
     lang_col: str = "lang",
@@ -144,40 +170,49 @@ def judge(
     Else a document goes whose character classes are further than ``max_char_distance`` from its language's (given at least
     ``min_chars`` characters), or its common words further than ``max_word_distance`` (given ``min_words_for_distance`` words):
     the guards keep short texts, whose histograms say little. A language's reference is the sum of the histograms of all its
-    documents without a base failure; null languages share one. Words decide only where the language's documents use the listed common
-    words: one in ``min_words_for_distance`` words at least. A document without any is then as far as can be. Null texts have no words and fail. Every row gives one row. With ``drop_text`` the
-    texts are not carried along.
+    documents without a base failure; null languages share one with the empty name. Its common words are the ``common`` ones that
+    most of its documents have. Words decide only where these are common indeed, ``min_common_share`` of the language's words at
+    least, which they are not in a script without blanks; a document without any is then as far as can be. Null and empty texts have no words and fail. Every row
+    gives one row, repeated ones alike; very long texts are measured whole; an empty table gives an empty one. With ``drop_text``
+    the texts are not carried along.
     """
     docs, named = sealed(docs)
-    out = _judged(docs, min_words, max_repeat_percent, max_char_distance, min_chars, max_word_distance, min_words_for_distance, drop_text, named[text_col], named[lang_col])
+    out = _judged(docs, min_words, max_repeat_percent, max_char_distance, min_chars, max_word_distance, min_words_for_distance, common, min_common_share, drop_text, named[text_col], named[lang_col])
     new = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_char_distance", "_word_distance", "_kept"]
     return unsealed(out, named, dict(zip(new, new, strict=True)))
 
 
-def references(measured: DataFrame) -> DataFrame:
+def references(measured: DataFrame, common: int = 30) -> DataFrame:
     """The summed histograms of each language, and its words: one row a language."""
-    sums = [F.sum(F.get(c, k)).alias(f"{c}{k}") for c, n in (("_chars", len(CLASSES) + 1), ("_common", len(_WORDS))) for k in range(n)]
+    sums = [F.sum(F.get(c, k)).alias(f"{c}{k}") for c, n in (("_chars", len(CLASSES) + 1), ("_common", common)) for k in range(n)]
     added = measured.where(~F.col("_base_failed")).groupBy("_lang").agg(F.sum("_n_words").alias("_ref_words"), *sums)
-    return added.select(F.col("_lang").alias("_ref_lang"), "_ref_words", F.array(*[f"_chars{k}" for k in range(len(CLASSES) + 1)]).alias("_ref_chars"), F.array(*[f"_common{k}" for k in range(len(_WORDS))]).alias("_ref_common"))
+    listed = F.filter(F.array(*[f"_common{k}" for k in range(common)]), lambda x: x.isNotNull())
+    return added.select(F.col("_lang").alias("_ref_lang"), "_ref_words", F.array(*[f"_chars{k}" for k in range(len(CLASSES) + 1)]).alias("_ref_chars"), listed.alias("_ref_common"))
 
 
-def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_char_distance: float, min_chars: int, max_word_distance: float, min_words_for_distance: int, drop_text: bool, text_col: str, lang_col: str) -> DataFrame:
-    measured = measures(docs, text_col, lang_col, drop_text)
+def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_char_distance: float, min_chars: int, max_word_distance: float, min_words_for_distance: int, common: int, min_common_share: float, drop_text: bool, text_col: str, lang_col: str) -> DataFrame:
+    measured = measures(docs, text_col, lang_col, drop_text, common)
     measured = measured.withColumn("_base_failed", (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat_percent * F.col("_n_words")))
     if drop_text:  # narrow: written once; with texts they are measured twice rather than written
         measured = cut(measured)
-    out = measured.join(cut(references(measured)), F.col("_lang") == F.col("_ref_lang"), "left")
+    out = measured.join(cut(references(measured, common)), F.col("_lang") == F.col("_ref_lang"), "left")
     out = out.withColumns({"_char_distance": _js_distance(F.col("_chars"), F.col("_ref_chars")), "_word_distance": _js_distance(F.col("_common"), F.col("_ref_common"))})
     far_chars = (F.col("_n_chars") >= min_chars) & (F.coalesce("_char_distance", F.lit(0.0)) > max_char_distance)
     listed = F.aggregate("_ref_common", F.lit(0).cast("long"), lambda a, b: a + b)
-    spoken = F.coalesce((listed > 0) & (listed * min_words_for_distance >= F.col("_ref_words")), F.lit(False))
+    spoken = F.coalesce((listed > 0) & (listed >= min_common_share * F.col("_ref_words")), F.lit(False))
     far_words = spoken & (F.col("_n_words") >= min_words_for_distance) & (F.coalesce("_word_distance", F.lit(1.0)) > max_word_distance)
     return out.withColumn("_kept", ~F.col("_base_failed") & ~far_chars & ~far_words)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, as they were."""
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, as they were.
+
+    The verdict follows from text and language, so texts are judged without being carried along, and the rejected ones are left
+    out by the hash and the length of the text and the language.
+    """
     plain, named = sealed(docs)
-    options = {"text_col": "text", "lang_col": "lang"} | options
-    options |= {k: named[options[k]] for k in ("text_col", "lang_col")}
-    return unsealed(judge(plain, **options).where("_kept"), named)
+    text, lang = F.col(named[text_col]), F.col(named[lang_col])
+    key = {"_h": F.xxhash64(text_of(named[text_col])), "_l": F.octet_length(F.coalesce(text, F.lit(""))), "_g": F.coalesce(lang.cast("string"), F.lit(""))}
+    judged = judge(plain.select(text.alias("text"), lang.alias("lang"), *[c.alias(k) for k, c in key.items()]), drop_text=True, **options)
+    bad = judged.where(~F.col("_kept")).select(*key).distinct()
+    return unsealed(plain.withColumns(key).join(bad, list(key), "left_anti"), named)
