@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import sealed, slices, text_of, unsealed
+from attesta.llm.common import sealed, slices, text_of, trimmed, unsealed
 from attesta.llm.vocab import SPLIT_PATTERN, ByteVocab
 
 #: Arcs that a worker remembers, a power of two: they cost time, never results.
@@ -143,12 +143,14 @@ class MergeAutomaton:
         self.rare = re.compile("|".join([_OTHER_SPACE, *map(re.escape, self.special)]))
 
     def _compile(self, vocab: ByteVocab) -> None:
-        """Labels to a table: ``child[256 * node + byte]`` (0: none) and the token that a node spells (-1: none)."""
-        nodes = {b"": 0}
-        for label in vocab.id_of:
-            for k in range(1, len(label) + 1):
-                nodes.setdefault(label[:k], len(nodes))
-        self.child = np.zeros(256 * len(nodes), np.int32)
+        """Labels to a table: ``child[256 * node + byte]`` (0: none) and the token that a node spells (-1: none).
+
+        Nodes from ``leaves`` on have no children, nor rows of the table.
+        """
+        inner = dict.fromkeys(label[:k] for label in vocab.id_of for k in range(len(label)))
+        nodes = {x: n for n, x in enumerate([*inner, *(x for x in vocab.id_of if x not in inner)])}
+        self.leaves = len(inner)
+        self.child = np.zeros(256 * len(inner), np.int32)
         self.child[[256 * nodes[x[:-1]] + x[-1] for x in nodes if x]] = [n for x, n in nodes.items() if x]
         self.token = np.full(len(nodes), -1, np.int32)
         self.token[[nodes[x] for x in vocab.id_of]] = list(vocab.id_of.values())
@@ -223,7 +225,7 @@ class MergeAutomaton:
                 if len(free):
                     ok = free[self._allowed(a[at[free]], b[free])]
                     last[base[at[ok]] + end] = b[ok]
-                on = size[at] > end
+                on = (size[at] > end) & (node < self.leaves)
                 at, node = at[on], node[on]
         # backwards along the path: tokens stand at the positions where they end
         ends = np.zeros(len(last), bool)
@@ -249,13 +251,14 @@ class MergeAutomaton:
                 if not node:
                     break
                 b = token(node)
-                if b < 0 or last[end] >= 0:
-                    continue
-                key = (last[i], b)
-                if key not in known:
-                    known[key] = bool(self._allowed(np.array([last[i]]), np.array([b]))[0])
-                if known[key]:
-                    last[end] = b
+                if b >= 0 and last[end] < 0:
+                    key = (last[i], b)
+                    if key not in known:
+                        known[key] = bool(self._allowed(np.array([last[i]]), np.array([b]))[0])
+                    if known[key]:
+                        last[end] = b
+                if node >= self.leaves:
+                    break
         out, end = [], n
         while end:
             out.append(last[end])
@@ -356,7 +359,7 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col:
 
     source = docs.select("*", text_of(named[text_col]).alias("_to_encode"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return unsealed(source.mapInArrow(run, f"{kept}, _ids array<int>"), named, {ids_col: "_ids"})
+    return unsealed(source.mapInArrow(trimmed(run), f"{kept}, _ids array<int>"), named, {ids_col: "_ids"})
 
 
 def decode(rows: DataFrame, tokenizer: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -371,7 +374,7 @@ def decode(rows: DataFrame, tokenizer: str, *, ids_col: str = "token_ids", text_
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, "_decoded"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return unsealed(rows.mapInArrow(run, f"{kept}, _decoded string"), named, {text_col: "_decoded"})
+    return unsealed(rows.mapInArrow(trimmed(run), f"{kept}, _decoded string"), named, {text_col: "_decoded"})
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,4 +397,4 @@ def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
             yield pa.record_batch([batch.column(0), pa.array(np.diff(begins)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bucket_count, sealed, unsealed
+from attesta.llm.common import bucket_count, sealed, trimmed, unsealed
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -309,56 +309,80 @@ def _fetch(n: int, length: int, text_col: str):
     return run
 
 
-def _split(group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts each group by a digit: the order, and the new group numbers of those that still have company."""
-    order = np.lexsort((digit, group))
-    a, b = group[order], digit[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    number = np.cumsum(new) - 1
-    company = np.bincount(number)[number] > 1
-    return order[company], number[company]
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of ``keys`` (the first one counts most), the number of each one's group, and whether it has company."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    number = np.cumsum(new)
+    return order, number, np.bincount(number)[number] > 1
 
 
-def _digit(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from column ``at`` of each run, as a number; zeros beyond the end."""
-    cols = at[:, None] + np.arange(8)
-    got = np.where(cols < runs.shape[1], runs[np.arange(len(runs))[:, None], np.minimum(cols, runs.shape[1] - 1)], 0).astype(np.uint8)
-    return got.view(">u8").ravel().astype(np.uint64)
+def _leaders(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of sorted ``group`` begins, and its size."""
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return begin, np.diff(np.append(begin, len(group)))
+
+
+def _quick(at: np.ndarray, group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One digit of multikey quicksort over all groups at once; members and groups of those that still agree with another one.
+
+    Each round takes the digit in the middle of every group as its pivot and parts the group in three: what equals the pivot is
+    done with this digit, what is below and above goes on by itself, and what is left alone has no equal.
+    """
+    done_at, done_group, base = [at[:0]], [group[:0]], 0
+    while len(at):
+        begin, size = _leaders(group)
+        pivot = np.repeat(digit[begin + size // 2], size)
+        side = (digit > pivot).astype(np.int8) - (digit < pivot)
+        order, number, company = _numbered(group, side)
+        same = company & (side[order] == 0)
+        done_at.append(at[order[same]])
+        done_group.append(number[same] + base)
+        base += int(number[-1]) + 1
+        rest = order[company & ~same]
+        at, group, digit = at[rest], number[company & ~same], digit[rest]
+    at, group = np.concatenate(done_at), np.concatenate(done_group)
+    order = np.argsort(group, kind="stable")
+    return at[order], group[order]
+
+
+def _digit(runs: np.ndarray, depth: int) -> np.ndarray:
+    """Eight bytes from column ``depth`` of each run, as a number; zeros beyond the end."""
+    part = np.zeros((len(runs), 8), np.uint8)
+    got = runs[:, depth : depth + 8]
+    part[:, : got.shape[1]] = got
+    return part.view(">u8").ravel().astype(np.uint64)
 
 
 def deep_shallow(runs: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sorts equally long byte runs within groups; returns those that equal another run of their group, and numbers of equal ones.
 
     Multikey quicksort with digits of eight bytes down to ``shallow`` bytes: only runs that still agree go on. Then blind tries:
-    the branching position of a group is the first at which any run differs from the group's first; only there runs are looked
-    at, and the groups that this splits go on to their own branching positions. A group without one consists of equal runs.
+    a group's first run is a path, and every other run leaves it at the branching node where the two first differ, by the
+    character that it has there; what leaves at one node by one character is the next, smaller trie. What never leaves is equal.
     """
     n, length = runs.shape
-    at = np.arange(n)
-    order, number = _split(group, np.zeros(n, np.uint64))
-    at, group = at[order], number
+    order, number, company = _numbered(group)
+    at, group = order[company], number[company]
     for depth in range(0, min(shallow, length), 8):
         if not len(at):
             break
-        order, number = _split(group, _digit(runs[at], np.full(len(at), depth)))
-        at, group = at[order], number
-    done_at, done_group, base = [], [], 0
+        at, group = _quick(at, group, _digit(runs[at], depth))
+    done_at, done_group, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while len(at):
-        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        lead = np.repeat(begin, np.diff(np.append(begin, len(at))))
-        differ = runs[at] != runs[at[lead]]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-        branch = np.repeat(np.minimum.reduceat(first, begin), np.diff(np.append(begin, len(at))))
-        equal = branch == length
-        done_at.append(at[equal])
-        done_group.append(group[equal] + base)
-        base += int(group.max()) + 1
-        at, group, branch = at[~equal], group[~equal], branch[~equal]
-        if len(at):
-            order, number = _split(group, _digit(runs[at], branch))
-            at, group = at[order], number
-    if not done_at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin, size = _leaders(group)
+        differ = runs[at] != runs[np.repeat(at[begin], size)]
+        node = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+        branch = runs[at, np.minimum(node, length - 1)]
+        branch[node == length] = 0
+        order, number, company = _numbered(group, node, branch)
+        equal = company & (node[order] == length)
+        done_at.append(at[order[equal]])
+        done_group.append(number[equal] + base)
+        base += int(number[-1]) + 1
+        at, group = at[order[company & ~equal]], number[company & ~equal]
     return np.concatenate(done_at), np.concatenate(done_group)
 
 
@@ -475,10 +499,10 @@ def _remove(docs: DataFrame, length: int, digest: bool, id_col: str, text_col: s
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.xxhash64(text).alias("_dg"), *[F.col(f"`{c}`") for c in docs.columns])
     texts = keyed.select(F.expr(f"cast(pmod(xxhash64(_key, _dg), {n}) as int)").alias("_bucket"), "*").groupBy("_bucket")
-    found = keyed.select("_key", "_dg", text.alias("_text")).mapInArrow(_find_anchors(n, length), _ROWS)
-    matched = found.repartition(n, "bucket").mapInArrow(_match_anchors(n, length), _ROWS)
+    found = keyed.select("_key", "_dg", text.alias("_text")).mapInArrow(trimmed(_find_anchors(n, length)), _ROWS)
+    matched = found.repartition(n, "bucket").mapInArrow(trimmed(_match_anchors(n, length)), _ROWS)
     around = texts.cogroup(matched.groupBy("bucket")).applyInArrow(_fetch(n, length, text_col), _ROWS)
-    ranges = around.repartition(n, "bucket").mapInArrow(_sort_runs(n, length), _ROWS)
+    ranges = around.repartition(n, "bucket").mapInArrow(trimmed(_sort_runs(n, length)), _ROWS)
     names = [c for c in docs.columns if not digest or c != text_col]
     new = "`_kept_sha256` string, " if digest else ""
     out = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", {new}_n_bytes long, _n_removed long, _n_spans long"
