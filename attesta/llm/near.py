@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import first_rows, order_of, row_key, sealed, text_of, unsealed
-from attesta.llm.simhash import back, lowered, majority, trie_links, turned, turns_of
+from attesta.llm.common import first_rows, order_of, row_key, sealed, text_of, trimmed, unsealed
+from attesta.llm.simhash import back, lowered, majority, roots, trie_links, turned, turns_of
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
@@ -71,7 +70,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
 
     text = text_of(f"`{text_col}`")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, f"_id {kind}, _h long, fp long, sig long, n long")
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(trimmed(run), f"_id {kind}, _h long, fp long, sig long, n long")
 
 
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> np.ndarray | None:
@@ -140,31 +139,22 @@ def _first_partners(turns: list, budget: int, percent: int):
     return run
 
 
-def _other_pairs(turns: list, budget: int, percent: int):
-    """All candidate pairs of different components, each in the first turn that finds it: ``(u, v, bu, bv)``."""
+def _other_blocks(turns: list, budget: int, percent: int):
+    """Pairs of blocks ``(bu, bv)`` between which, or in which, there are candidates of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, keys, (sig, n, comp, block), lo, hi in _by_turn(batches, turns, ["sig", "n", "comp", "block"]):
-            fp, (order, _, first) = back(keys, turns[k][0]).view(np.uint64), turns[k]
-            held, count = [], 0
-
-            def flush() -> pa.RecordBatch:
-                i, j = np.concatenate(held, axis=1)
-                i, j = np.where(sig[i] < sig[j], i, j), np.where(sig[i] < sig[j], j, i)
-                return pa.record_batch([pa.array(x) for x in (sig[i], sig[j], block[i], block[j])], ["u", "v", "bu", "bv"])
-
+        held, count = [np.zeros((2, 0), np.int64)], 0
+        for k, keys, (_, n, comp, block), lo, hi in _by_turn(batches, turns, ["sig", "n", "comp", "block"]):
             for i, j in trie_links(keys, lo, hi, np.full(len(lo), turns[k][1]), budget, comp):
                 ok = _alike(percent, n, i, j)
-                for shift, width in first:
-                    ok &= ((fp[i] ^ fp[j]) >> _U(shift)) & _U((1 << width) - 1) != 0
-                if ok.any():
-                    held.append(np.stack([i[ok], j[ok]]))
-                    count += held[-1].shape[1]
+                held.append(np.sort(np.stack([block[i[ok]], block[j[ok]]]), axis=0))
+                count += held[-1].shape[1]
                 if count >= HOLD:
-                    yield flush()
-                    held, count = [], 0
-            if count:
-                yield flush()
+                    held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                    count = held[0].shape[1]
+        two = np.unique(np.concatenate(held, axis=1), axis=1)
+        if two.shape[1]:
+            yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in two], ["bu", "bv"])
 
     return run
 
@@ -177,7 +167,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = pa.array([shingles(word_hashes(t), shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["sig", "shingles"])
 
-    return docs.mapInArrow(run, "sig long, shingles array<long>")
+    return docs.mapInArrow(trimmed(run), "sig long, shingles array<long>")
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -220,25 +210,60 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _verified(percent: int):
-    """Sets and pairs of each two blocks to the pairs that are similar enough."""
+def _linked(percent: int, sig: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of sets that are similar enough, edges that connect the same: one a set at most."""
+    n = np.array([len(s) for s in sets], np.int64)
+    both = overlaps(sets, i, j)
+    ok = 100 * both >= percent * (n[i] + n[j] - both)
+    root = roots(len(sets), iter([(i[ok], j[ok])]))
+    at = np.flatnonzero(root != np.arange(len(sets)))
+    return sig[at], sig[root[at]]
+
+
+def _of_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks > 1 else column.chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _verified(percent: int, budget: int):
+    """Each two blocks' sets, and the pairs to compare or none, to edges that connect what similar ones do.
+
+    Without pairs, all of different components are compared whose fingerprints are close and whose sizes allow it.
+    """
+
+    def candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        fp, n, comp, block = (table[c].to_numpy() for c in ("fp", "n", "comp", "block"))
+        bu = table["bu"][0].as_py()
+        left, right = np.flatnonzero(block == bu), np.flatnonzero(block != bu)
+        right = right if len(right) else left
+        found = [(left[:0], left[:0])]
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            near = np.bitwise_count(fp[some, None].view(np.uint64) ^ fp[None, right].view(np.uint64)) <= budget
+            i, j = np.nonzero(near & (comp[some, None] != comp[None, right]))
+            i, j = some[i], right[j]
+            ok = _alike(percent, n, i, j) & ((block[i] != block[j]) | (i < j))
+            found.append((i[ok], j[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sig = table["sig"].to_numpy()
+        order = np.argsort(sig)
+        place = lambda x: order[np.searchsorted(sig[order], x)]
+        asked = table["asked"].combine_chunks()
+        own = np.repeat(np.arange(len(sig)), np.diff(asked.offsets.to_numpy()))
+        return own, place(asked.values.to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for table in _groups(batches):
-            pairs, members = table.filter(pc.equal(table["kind"], 1)), table.filter(pc.equal(table["kind"], 0)).combine_chunks()
-            sig = members["x"].to_numpy()
-            order = np.argsort(sig)
-            lists = members["shingles"].combine_chunks()
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            x, y = pairs["x"].to_numpy(), pairs["y"].to_numpy()
-            i, j = order[np.searchsorted(sig[order], x)], order[np.searchsorted(sig[order], y)]
-            n = np.array([len(s) for s in sets], np.int64)
-            both = overlaps(sets, i, j)
-            ok = 100 * both >= percent * (n[i] + n[j] - both)
-            u.append(x[ok])
-            v.append(y[ok])
+            table = table.combine_chunks()
+            i, j = pairs(table) if "asked" in table.column_names else candidates(table)
+            if len(i):
+                x, y = _linked(percent, table["sig"].to_numpy(), _of_lists(table["shingles"]), i, j)
+                u.append(x)
+                v.append(y)
             if len(u) >= 1024:
                 yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
                 u, v = [], []
@@ -248,14 +273,24 @@ def _verified(percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(u, v, bu, bv)`` whose sets are similar enough: shared shingles of all shingles. A set is sent once for each
-    two blocks that have a pair with it."""
-    n = shuffle_partitions(pairs.sparkSession)
-    ends = pairs.select("bu", "bv", F.explode(F.array("u", "v")).alias("sig")).distinct()
-    members = ends.join(sets, "sig").select("bu", "bv", F.lit(0).alias("kind"), F.col("sig").alias("x"), F.lit(0).cast("long").alias("y"), "shingles")
-    asked = pairs.select("bu", "bv", F.lit(1).alias("kind"), F.col("u").alias("x"), F.col("v").alias("y"), F.lit(None).cast("array<long>").alias("shingles"))
-    return members.union(asked).repartition(n, "bu", "bv").sortWithinPartitions("bu", "bv", "kind").mapInArrow(_verified(percent), "u long, v long")
+def _compared(rows: DataFrame, percent: int, budget: int) -> DataFrame:
+    n = shuffle_partitions(rows.sparkSession)
+    return _written(rows.repartition(n, "bu", "bv").sortWithinPartitions("bu", "bv").mapInArrow(trimmed(_verified(percent, budget)), "u long, v long"))
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int, budget: int) -> DataFrame:
+    """Edges that connect what those of the pairs ``(u, v, bu, bv)`` do whose sets are similar enough: shared shingles of all
+    shingles. A set is sent once for each two blocks that have a pair with it."""
+    ends = pairs.select("bu", "bv", F.col("u").alias("sig"), F.col("v").alias("other")).union(pairs.select("bu", "bv", "v", F.lit(None).cast("long")))
+    asked = ends.groupBy("bu", "bv", "sig").agg(F.collect_set("other").alias("asked"))
+    return _compared(asked.join(sets, "sig").select("bu", "bv", "sig", "asked", "shingles"), percent, budget)
+
+
+def _similar_blocks(blocks: DataFrame, rows: DataFrame, sets: DataFrame, percent: int, budget: int) -> DataFrame:
+    """Edges that connect what all similar sets of different components in the pairs of ``blocks`` ``(bu, bv)`` do."""
+    members = rows.join(sets, "sig")
+    sent = blocks.select("bu", "bv", F.explode(F.array_distinct(F.array("bu", "bv"))).alias("block")).join(members, "block")
+    return _compared(sent.select("bu", "bv", "sig", "fp", "n", "comp", "block", "shingles"), percent, budget)
 
 
 def _turned_rows(own: DataFrame, turns: list, *more: str) -> DataFrame:
@@ -266,13 +301,10 @@ def _turned_rows(own: DataFrame, turns: list, *more: str) -> DataFrame:
     return rows.withColumn("top", F.expr("shiftrightunsigned(key, 64 - bits)")).repartition(n, "turn", "top").select("turn", "key", "sig", "n", *more)
 
 
-def turns_for(rows: int, budget: int) -> list[tuple[list[tuple[int, int]], int, list[tuple[int, int]]]]:
-    """Turns with so many blocks on top that a key has about :data:`SHARE` of ``rows`` rows; with the blocks in which two rows
-    must differ, else an earlier turn has found them. The choice decides the cost only, never a result."""
+def turns_for(rows: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Turns with so many blocks on top that a key has about :data:`SHARE` of ``rows`` rows. It decides the cost only, never a result."""
     agree = next((a for a in range(1, budget) if rows >> min(64 * a // (budget + a), 62) <= SHARE), budget)
-    blocks = sorted(turns_of(budget, agree)[0][0])
-    tops = combinations(range(len(blocks)), agree)
-    return [(order, bits, [blocks[b] for b in range(top[-1]) if b not in top]) for (order, bits), top in zip(turns_of(budget, agree), tops, strict=True)]
+    return turns_of(budget, agree)
 
 
 def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, budget: int) -> DataFrame:
@@ -280,14 +312,19 @@ def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     more; they connect what all such pairs connect.
 
     First each set is compared with its nearest candidate and with that of the smallest fingerprint, a count in proportion to
-    the rows; then all candidates that the first links do not join yet. A large group of near copies is thus not compared pair
-    by pair. The sets of candidates are compared in blocks of bounded size.
+    the rows; then all candidates that the first links do not join yet, block by block: a block holds sets that lead to one
+    smallest fingerprint, up to a bounded size. Pairs never leave a task, and a large group of near copies that the first links
+    join is not compared pair by pair.
     """
     turns = turns_for(own.count(), budget)
-    partners = _written(_turned_rows(own, turns).mapInArrow(_first_partners(turns, budget, percent), "v long, u long, ufp long, bits long"))
+    partners = _written(_turned_rows(own, turns).mapInArrow(trimmed(_first_partners(turns, budget, percent)), "v long, u long, ufp long, bits long"))
     chosen = partners.groupBy("v").agg(F.min(F.struct("bits", "u")).alias("near"), F.min(F.struct("ufp", "u")).alias("least"))
     labelled = own.join(chosen, F.col("sig") == F.col("v")).select("sig", "fp", "n", "best", F.least("fp", "least.ufp").alias("label"), F.col("near.u").alias("near"), F.col("least.u").alias("least"))
     labelled = _written(labelled)
+    for _ in range(2):  # a label is a fingerprint, which has a label
+        up = labelled.groupBy(F.col("fp").alias("label")).agg(F.min("label").alias("_up"))
+        labelled = labelled.join(up, "label", "left").withColumn("label", F.coalesce("_up", "label")).drop("_up")
+    labelled = _written(labelled)
     parts = labelled.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
     company = _written(labelled.join(parts, "label").withColumn("block", F.xxhash64("label", F.expr("pmod(sig, greatest(parts, 1))"))).drop("label", "parts"))
     wanted = company.select("sig", row_key("best.id", "best.h").alias("_row"))
@@ -297,11 +334,11 @@ def near_links(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     of = company.select("sig", "block")
     first = company.select(F.col("sig").alias("v"), F.explode(F.array_distinct(F.array("near", "least"))).alias("u")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = first.join(of.select(F.col("sig").alias("u"), F.col("block").alias("bu")), "u").join(of.select(F.col("sig").alias("v"), F.col("block").alias("bv")), "v")
-    links = _written(_similar(first, sets, percent))
+    links = _similar_pairs(first, sets, percent, budget)
     joined = connected_components(links, "u", "v").withColumnRenamed("node", "sig")
-    rest = company.join(joined, "sig", "left").select("sig", "fp", "n", F.coalesce("component", "sig").alias("comp"), "block")
-    pairs = _written(_turned_rows(rest, turns, "comp", "block").mapInArrow(_other_pairs(turns, budget, percent), "u long, v long, bu long, bv long"))
-    return links.union(_written(_similar(pairs, sets, percent)))
+    rest = _written(company.join(joined, "sig", "left").select("sig", "fp", "n", F.coalesce("component", "sig").alias("comp"), "block"))
+    blocks = _written(_turned_rows(rest, turns, "comp", "block").mapInArrow(trimmed(_other_blocks(turns, budget, percent)), "bu long, bv long")).distinct()
+    return links.union(_similar_blocks(blocks, rest, sets, percent, budget))
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
