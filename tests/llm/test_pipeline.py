@@ -49,3 +49,28 @@ def test_stages(spark):
         before = after
     whole = {r.doc_id: r.token_ids for r in cp.run(spark, SF).collect()}
     assert whole == {i: r.token_ids for i, r in before.items()}
+
+
+def test_awkward_tables(spark, awkward, tmp_path):
+    """Null, empty, repeated and very long rows, columns with clashing names, and tables without rows go through all stages."""
+    prose = "the quick brown fox jumps over the lazy dog near the old mill where many people of the town walk and talk every day " * 2
+    fair = [(k, prose + " ".join(f"w{k}x{i}" for i in range(60)), "en", "s", 100) for k in (20, 21, 22)]
+    rows = awkward.union(spark.createDataFrame([*fair, fair[0], (None, fair[1][1] + " again", "en", None, None)], awkward.schema))
+    clash = rows.withColumn("_fp", rows.doc_id).withColumn("_text", rows.lang).withColumn("sig", rows.source)
+    for name, docs in (("some", clash), ("none", clash.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([("b1", "no such words anywhere in these rows at all my friend"), ("b2", None)], "item_id string, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(cp.STAGES):
+            now = cp.cut(stage(spark, now, f"{tmp_path}/{name}"))
+            assert set(clash.columns) <= set(now.columns) and (len(now.columns) == len(clash.columns)) == (k < 4)
+        kept = now.collect()
+        assert len(kept) == (0 if name == "none" else 3) and all(r.text is not None for r in kept)
+        if name == "some":
+            assert {r.doc_id for r in kept} == {20, 21, 22}
+
+
+def test_an_empty_benchmark_hits_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.decontamination(spark, docs, str(tmp_path)).count() == 20
