@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-dedup, suffix dedup, decontamination and encoding, in this order."""
+"""The corpus pipeline: quality rules, near-dedup, suffix dedup, decontamination and encoding, in this order.
+
+Null and empty texts fail the quality rules. Repeated rows leave one. Null and repeated ids name nothing: rows are told apart by
+id and text. Very long texts are read whole. Columns beyond those of ``documents`` pass through whatever their names; an empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
