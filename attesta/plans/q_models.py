@@ -152,7 +152,14 @@ def uf07_flips(s, d):
     return M.trigger_verdict(probes, ["group"])
 
 
-@query("f10_feature_table")
+_F10 = f"""{fx.GRID_SQL}, s AS (SELECT vec_id, list_sum(px)::DOUBLE / 64 AS m, list_sum(list_transform(px, lambda x: x * x))::DOUBLE / 64 AS q,
+  list_transform(range(0, 64), lambda i: px[greatest(i // 8 - 1, 0) * 8 + i % 8 + 1] + px[least(i // 8 + 1, 7) * 8 + i % 8 + 1] + px[(i // 8) * 8 + greatest(i % 8 - 1, 0) + 1] + px[(i // 8) * 8 + least(i % 8 + 1, 7) + 1] - 4 * px[i + 1]) AS e FROM grid),
+h AS (SELECT vec_id, sum(-(n / 64::DOUBLE) * log2(n / 64::DOUBLE)) AS entropy FROM (SELECT vec_id, p, count(*) AS n FROM (SELECT vec_id, unnest(px) AS p FROM grid) GROUP BY ALL) GROUP BY vec_id),
+f AS (SELECT s.vec_id, m, sqrt(q - m * m) AS sd, list_sum(list_transform(e, lambda x: x * x))::DOUBLE / 64 - (list_sum(e)::DOUBLE / 64) * (list_sum(e)::DOUBLE / 64) AS sharp, entropy FROM s JOIN h ON h.vec_id = s.vec_id)
+SELECT vec_id, unnest(['brightness', 'contrast', 'sharpness', 'color_temperature', 'entropy', 'width', 'height', 'aspect_ratio', 'red_mean', 'green_mean', 'blue_mean', 'red_std', 'green_std', 'blue_std']) AS feature, round(unnest([m, sd, sharp, m / (m + 1e-6), entropy, 8, 8, 1, m, m, m, sd, sd, sd]::DOUBLE[]), 4) AS value FROM f"""
+
+
+@query("f10_feature_table", f"WITH {_F10}")
 def f10_all(s, d):
     from attesta.functions.pixels import image_features
 

@@ -145,7 +145,14 @@ def uf01(s, d):
     return out.select(F.col("path").cast("long").alias("vec_id"), "width", F.aggregate("px", F.lit(0.0), lambda a, x: a + x).alias("total"), "status")
 
 
-@query("st02_corner_runs")
+_LINES = [("TL", "px[1:8]", 0, 8), ("TR", "list_reverse(px[1:8])", 7, 8), ("BL", "px[57:64]", 56, -8), ("BR", "list_reverse(px[57:64])", 63, -8)]
+_RUN = "CASE WHEN list_contains(list_transform({0}, lambda x: abs(x - {0}[1]) > 35), true) THEN list_position(list_transform({0}, lambda x: abs(x - {0}[1]) > 35), true) - 1 ELSE 8 END"
+_ST02 = f"""{fx.GRID_DUP_SQL}, lines AS ({" UNION ALL ".join(f"SELECT vec_id, label, px, '{n}' AS corner, {k} AS k, {row} AS r, [{', '.join(f'px[{at + i * step + 1}]' for i in range(8))}] AS c FROM grid_dup" for k, (n, row, at, step) in enumerate(_LINES))}),
+runs AS (SELECT vec_id, label, corner, k, {_RUN.format("r")} AS w, {_RUN.format("c")} AS h FROM lines WHERE r[1] > 220 OR r[1] < 35), best AS (SELECT vec_id, label, min(k) AS k FROM runs WHERE w >= 2 AND h >= 2 GROUP BY ALL)
+SELECT g.vec_id, g.label, g.px, r.corner, r.w::INT AS corner_width, r.h::INT AS corner_height FROM grid_dup g LEFT JOIN best b ON b.vec_id = g.vec_id AND b.label = g.label LEFT JOIN runs r ON r.vec_id = b.vec_id AND r.label = b.label AND r.k = b.k"""
+
+
+@query("st02_corner_runs", f"WITH {_ST02}")
 def st02(s, d):
     return P.corner_runs(fx.grid_dup(s, d), "vec_id", "px", 8, 8, least=2)
 
