@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions.tiers import MULTIPLIER, contains_any, lookup
 
+# The sources, the weight of each, and the stems that rules look for.
 REQUIRED = ("DATA_INTEGRITY", "MODEL_IDENTITY", "BEHAVIOURAL_FINGERPRINT", "INFERENCE_DNA", "DISTRIBUTION_SHIFT")
 DRIFT = "DISTRIBUTION_SHIFT"
-# The weight of each source and the stems that rules look for.
 WEIGHT = {"CRYPTO_VERIFICATION": 0.35, "INFERENCE_DNA": 0.25, "MODEL_IDENTITY": 0.20, "BEHAVIOURAL_FINGERPRINT": 0.15, "DATA_INTEGRITY": 0.15, "CONTRIBUTOR_RISK": 0.10, "DISTRIBUTION_SHIFT": 0.10}
 VETO_TYPES = ("WEIGHT_TAMPERING", "CRYPTO_TAMPERING", "BACKDOOR_POISONING")
 VETO_STEMS = {

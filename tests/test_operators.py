@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from attesta.operators import fusion as U
 from attesta.operators import lineage as L
 from attesta.operators import merkle as M
 from attesta.operators.components import connected_components
+from attesta.operators.detectors import nearest
 
 
 def merkle(leaves):
@@ -102,3 +104,52 @@ def test_tiers(spark):
     df = spark.createDataFrame([(" Anonymous ", "quarantined!", 0.6), (None, None, 0.1), ("bob", "all clean", 0.9)], "n string, s string, x double")
     got = df.select(T.clean_identity(F.col("n")), T.normal_status(F.col("s")), T.tier(F.col("x"), [(0.85, "A"), (0.6, "B")], "C"), hamming(F.lit(-1).cast("long"), F.lit(0).cast("long"))).collect()
     assert [tuple(r) for r in got] == [("UNKNOWN", "critical", "B", 64), ("UNKNOWN", "unknown", "C", 64), ("bob", "normal", "A", 64)]
+
+
+def test_merkle_root_over_several_blocks(spark):
+    for n in (1023, 1024, 1025, 3001):
+        hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+        assert M.root(spark.createDataFrame(list(enumerate(hashes)), "idx long, hash string").repartition(3)).first().root == merkle(hashes)
+
+
+def test_admission_keeps_what_was_seen_as_it_goes(spark):
+    """What is turned away reserves nothing: the third row may have the id that the second one wanted."""
+    kind = "o long, chain string, seq long, record string, nonce string"
+    new = [(1, "c", 5, "A", "x"), (2, "c", 6, "B", "x"), (3, "c", 7, "B", "y"), (4, "c", 8, "A", "z"), (5, "d", 1, "C", "n0"), (6, "d", 2, "D", "d"), (7, "d", 2, "E", "e"), (8, "c", 2, "F", "f")]
+    history = spark.createDataFrame([(0, "c", 4, "H", "h"), (0, "d", 0, "I", "n0")], kind)
+    good, bad = C.admit(spark.createDataFrame(new, kind), history, record="record", nonce="nonce", seq="seq", key="chain", order="o")
+    assert sorted(r.o for r in good.collect()) == [1, 3, 6]
+    assert {r.o: r.reject for r in bad.collect()} == {2: "REUSED_NONCE", 4: "REUSED_RECORD", 5: "REUSED_NONCE", 7: "ROLLBACK", 8: "ROLLBACK"}
+
+
+def test_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(1)
+    base, target = rng.integers(0, 40, 301).astype(float), rng.normal(size=57)
+    steps = D.ranked(rows(spark, base, target))
+    at = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    q = D.quantiles(steps, at, "q").first()
+    assert q.q_b == pytest.approx(np.quantile(base, at).tolist()) and q.q_t == pytest.approx(np.quantile(target, at).tolist())
+    one = D.psi(rows(spark, range(50), [])).first()
+    assert one.psi == 0 and D.wasserstein(rows(spark, range(50), [])).first().w1 == 0
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(5, 8)), 20, axis=0)])
+    df = spark.createDataFrame([(i, i % 7, v.tolist()) for i, v in enumerate(x)], "id long, label long, v array<double>").repartition(5)
+    got = {}
+    for r in nearest(df.where("id % 10 = 0"), df, "id", "label", "v", 3).collect():
+        got.setdefault(r.x, []).append((r.d, r.y))
+    for i in range(0, len(x), 10):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        want = sorted(range(len(x)), key=lambda j: (round(d[j], 12), j))[:3]
+        assert [j for _, j in sorted(got[i])] == want
+
+
+def test_subgraph_of_a_batch(spark):
+    edges = [("m", "b", "TRAINED_ON"), ("m", "other", "TRAINED_ON"), ("b", "who", "AUTHORED_BY"), ("x", "who", "AUTHORED_BY"), ("i", "m", "GENERATED_BY"), ("j", "m", "GENERATED_BY")]
+    nodes = [("b", "DATASET", None), ("other", "DATASET", None), ("m", "MODEL", None), ("who", "CONTRIBUTOR", None), ("x", "MODEL", None), ("i", "INFERENCE", None), ("j", "INFERENCE", "other"), ("r", "REPORT", "b")]
+    n = spark.createDataFrame([(*v, None, None) for v in nodes], "id string, node_type string, batch_id string, dataset_id string, scan_id string")
+    e = spark.createDataFrame(edges, "source_id string, target_id string, edge_type string")
+    got = L.batch_subgraph(e, n, spark.createDataFrame([("b",), ("nothing",)], "id string")).collect()
+    assert {r.root for r in got} == {"b"} and {r.id for r in got} == {"b", "m", "who", "i", "r"}
