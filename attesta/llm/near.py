@@ -134,7 +134,9 @@ def _first_partners(turns: list, budget: int, percent: int):
             alone = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(lo[crowd], hi[crowd], strict=True))])
             a, b = np.concatenate([v, w, alone]), np.concatenate([u, x, alone])
             if len(a):
-                yield pa.record_batch([pa.array(sig[a]), pa.array(sig[b]), pa.array(fp[b]), pa.array(np.bitwise_count(keys[a] ^ keys[b]).astype(np.int64))], ["v", "u", "ufp", "bits"])
+                bits = np.bitwise_count(keys[a] ^ keys[b]).astype(np.int64)
+                bits[len(v) + len(w) :] = 99  # not nearer than a partner
+                yield pa.record_batch([pa.array(sig[a]), pa.array(sig[b]), pa.array(fp[b]), pa.array(bits)], ["v", "u", "ufp", "bits"])
 
     return run
 

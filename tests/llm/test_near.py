@@ -2,6 +2,8 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as cp
+import numpy as np
+import pyarrow as pa
 from attesta.llm import near as nd
 
 
@@ -65,3 +67,28 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (None, c)]
     got = nd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, b), (5, c), (5, d)])
+
+
+def test_crowds_count_as_candidates(monkeypatch):
+    """In a crowd every row is one with candidates, and its neighbour and the first are its partners where they are close."""
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    fp = np.array([base ^ (1 << int(b)) for b in rng.permutation(60)[:40]] + [int(x) for x in rng.integers(0, 1 << 62, 40)], np.int64)
+    turns = nd.turns_for(len(fp), 8)
+    rows = pa.record_batch([pa.array(np.zeros(len(fp), np.int64)), pa.array(fp), pa.array(np.arange(len(fp))), pa.array(np.full(len(fp), 100))], ["turn", "key", "sig", "n"])
+    order = turns[0][0]
+    keys = np.zeros(len(fp), np.uint64)
+    at = 64
+    for shift, width in order:
+        at -= width
+        keys |= ((fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+    rows = rows.set_column(1, "key", pa.array(keys.view(np.int64)))
+    found = {}
+    for crowd in (4096, 2):
+        monkeypatch.setattr(nd, "CROWD", crowd)
+        out = pa.Table.from_batches(nd._first_partners(turns, 8, 80)(iter([rows]))).to_pylist()
+        found[crowd] = {r["v"] for r in out}
+        for r in out:
+            d = bin(int(fp[r["v"]]) ^ int(fp[r["u"]])).count("1")
+            assert r["ufp"] == fp[r["u"]] and (d <= 8 and r["bits"] == d or r["v"] == r["u"] and r["bits"] == 99)
+    assert found[4096] <= found[2]
