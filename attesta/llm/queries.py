@@ -12,6 +12,7 @@ from attesta.llm import bpe
 from attesta.llm import chat
 from attesta.llm import decontaminate as dc
 from attesta.llm import html_text as ht
+from attesta.llm import manifest as mf
 from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
 from attesta.llm import suffix_dedup as sd
@@ -77,6 +78,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = mf.build(mf.document_leaves(table(spark, sf_dir, "documents")), ["doc_id"])
+    root = F.lit(manifest.root).cast("string")
+    found = mf.proofs(manifest).select("carry.doc_id", F.col("hash").alias("leaf"), "subroot", root.alias("root"), F.sha2(mf.proof_text(), 256).alias("proof_sha256"), mf.folded(F.coalesce("carry.tampered", "hash")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_layout": op2_html_layout,
@@ -88,12 +96,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _CONTROL = r"\\|<\||</?s>|\[/?INST\]|<</?SYS>>"
 
+#: CRC-32 of a text: the table of its polynomial (a fixed value), then byte by byte.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _crc32(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+_RUNS = "list_transform(range((len(l) + 15) // 16), lambda k: sha256(array_to_string(l[k * 16 + 1:k * 16 + 16], '')))"
+_SIBLINGS = "array_to_string(l[(w.p // 16) * 16 + 1:w.p], '') AS a, array_to_string(l[w.p + 2:(w.p // 16) * 16 + 16], '') AS b"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": f"""WITH RECURSIVE t AS ({_CRC_TABLE}), d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 5 = 0 THEN {_leaf(f"translate(text, {_AZ})")} END AS changed FROM documents, t),
+part AS (SELECT source, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS l FROM d GROUP BY source), tree AS (SELECT source, 0 AS k, l FROM part UNION ALL SELECT source, k + 1, {_RUNS} FROM tree WHERE len(l) > 1),
+sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM tree WHERE len(l) = 1), top AS (SELECT 0 AS k, list(subroot ORDER BY p) AS l FROM sub UNION ALL SELECT k + 1, {_RUNS} FROM top WHERE len(l) > 1),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+levels AS (SELECT false AS up, * FROM tree UNION ALL SELECT true, NULL, * FROM top),
+walk AS (SELECT doc_id, source, leaf, place AS p, 0 AS k, false AS up, '' AS proof, coalesce(changed, leaf) AS f FROM leaves
+UNION ALL SELECT doc_id, source, leaf, CASE WHEN more THEN p // 16 ELSE sub_p END, CASE WHEN more THEN k + 1 ELSE 0 END, up OR NOT more, proof || a || b, CASE WHEN more THEN sha256(a || f || b) ELSE f END
+FROM (SELECT w.*, len(l) > 1 AS more, sub.p AS sub_p, {_SIBLINGS} FROM walk w JOIN levels v ON v.up = w.up AND v.k = w.k AND v.source IS NOT DISTINCT FROM CASE WHEN NOT w.up THEN w.source END JOIN sub ON sub.source IS NOT DISTINCT FROM w.source) WHERE NOT up OR more)
+SELECT doc_id, leaf, subroot, l[1] AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = l[1] AS verified FROM walk w JOIN top ON top.k = w.k AND len(l) = 1 JOIN sub ON sub.source IS NOT DISTINCT FROM w.source WHERE up""",
     "op1_decontamination": f"""WITH iw AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark), win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g FROM iw, unnest(range(1, greatest(len(w) - 10, 0) + 2)) t(k) WHERE len(w) > 0),
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), dg AS (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM dw, (SELECT DISTINCT m FROM win) s, unnest(range(1, len(w) - m + 2)) t(k)),
 hit AS (SELECT doc_id, k, dg.m AS m, item FROM dg JOIN win ON win.m = dg.m AND win.g = dg.g), pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM hit) GROUP BY doc_id),
