@@ -15,6 +15,7 @@ from attesta.llm import html_text as ht
 from attesta.llm import manifest as mf
 from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
+from attesta.llm import spelling as sp
 from attesta.llm import suffix_dedup as sd
 from attesta.llm import token_counts as tc
 from attesta.llm import toxicity as tx
@@ -85,6 +86,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.group_variants(sp.words(table(spark, sf_dir, "documents"), min_length=7, min_count=2), ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_layout": op2_html_layout,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -119,7 +125,16 @@ def _leaf(text: str) -> str:
 _RUNS = "list_transform(range((len(l) + 15) // 16), lambda k: sha256(array_to_string(l[k * 16 + 1:k * 16 + 16], '')))"
 _SIBLINGS = "array_to_string(l[(w.p // 16) * 16 + 1:w.p], '') AS a, array_to_string(l[w.p + 2:(w.p // 16) * 16 + 16], '') AS b"
 
+_BYTES = "flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 | (unicode(x)::BIGINT >> 6), 128 | (unicode(x)::BIGINT & 63)] END))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_spelling_variants": f"""WITH RECURSIVE t AS ({_CRC_TABLE}), runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[a-zÀ-ÿ]{{7,}}')) AS run FROM documents), hashed AS (SELECT run, {_crc32(_BYTES)} AS h FROM runs, t),
+v AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cuts AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) u(k)),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN v b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN v b ON a.rest = b.word),
+near AS (SELECT word, n, count(*) AS n_near, min(struct_pack(m := -m, other := other)) AS best FROM pairs GROUP BY word, n), forms AS (SELECT word, best.other AS form, -best.m AS form_n FROM near WHERE -best.m >= 10 * n),
+follow AS (SELECT word, word AS root, 0 AS k FROM v UNION ALL SELECT f.word, forms.form, k + 1 FROM follow f JOIN forms ON forms.word = f.root), ends AS (SELECT word, arg_max(root, k) AS root FROM follow GROUP BY word)
+SELECT v.word, form, root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v JOIN ends USING (word) LEFT JOIN near USING (word) LEFT JOIN forms USING (word)""",
     "op11_merkle_manifest": f"""WITH RECURSIVE t AS ({_CRC_TABLE}), d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 5 = 0 THEN {_leaf(f"translate(text, {_AZ})")} END AS changed FROM documents, t),
 part AS (SELECT source, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS l FROM d GROUP BY source), tree AS (SELECT source, 0 AS k, l FROM part UNION ALL SELECT source, k + 1, {_RUNS} FROM tree WHERE len(l) > 1),
 sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM tree WHERE len(l) = 1), top AS (SELECT 0 AS k, list(subroot ORDER BY p) AS l FROM sub UNION ALL SELECT k + 1, {_RUNS} FROM top WHERE len(l) > 1),
