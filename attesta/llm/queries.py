@@ -12,6 +12,7 @@ from attesta.llm import bpe
 from attesta.llm import chat
 from attesta.llm import decontaminate as dc
 from attesta.llm import html_text as ht
+from attesta.llm import languages as lg
 from attesta.llm import manifest as mf
 from attesta.llm import quality as ql
 from attesta.llm import simhash as sh
@@ -86,6 +87,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lg.predict(docs, lg.fit(docs, sample=400))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.group_variants(sp.words(table(spark, sf_dir, "documents"), min_length=7, min_count=2), ratio=10)
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_trie": op9_simhash_trie,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
