@@ -10,7 +10,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,28 @@ PIECE = 30
 _RUN = re.compile(rb"[^ \t-\r]{1,%d}" % PIECE)
 _SPACE = re.compile(rb"[ \t-\r]")
 _BLOCK = 1 << 20
-#: Distinct runs whose labels a task keeps.
-_KEPT = 100_000
+#: Runs that are looked up together, and numbers (distinct runs times labels) that a task keeps.
+_AT_ONCE = 100_000
+_KEPT = 1_200_000
 _SPANS = "array<struct<begin:long,end:long,lang:string>>"
 
 Params = dict[str, np.ndarray]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place, by the exponential, which numpy works out faster than the hyperbolic tangent."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    x += x
+    _sigmoid(x)
+    x += x
+    x -= 1
+    return x
 
 
 @dataclass
@@ -60,13 +73,17 @@ class Network:
         state = np.zeros((codes.shape[1], size), weights.dtype)
         states = np.empty((*codes.shape, size), weights.dtype)
         for t in range(len(codes)) if way == "f" else reversed(range(len(codes))):
-            given, own = inputs[codes[t]], state @ weights
+            given, own = np.take(inputs, codes[t], axis=0), state @ weights
             gates = _sigmoid(given[:, : 2 * size] + own[:, : 2 * size])
-            update, reset = gates[:, :size], gates[:, size:]
-            new = np.tanh(given[:, 2 * size :] + reset * own[:, 2 * size :])
+            update, reset, part = gates[:, :size], gates[:, size:], own[:, 2 * size :]
+            new = reset * part
+            new += given[:, 2 * size :]
+            _tanh(new)
             if keep is not None:
-                keep.append((t, state, update, reset, new, own[:, 2 * size :]))
-            state = new + update * (state - new)
+                keep.append((t, state, update, reset, new, part))
+            state = state - new
+            state *= update
+            state += new
             states[t] = state
         return states
 
@@ -151,8 +168,9 @@ class Network:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    x -= x.max(axis=-1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x
 
 
 def _balanced(label: np.ndarray) -> np.ndarray:
@@ -199,23 +217,36 @@ class Pool:
         self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.sums = np.empty((0, len(self.network.labels)))
 
-    def _known(self) -> None:
-        new = list(self.number)[len(self.sums) :]
+    def _learn(self) -> None:
+        """The sums of runs that were met since the last time."""
+        new = list(islice(self.number, len(self.sums), None))
         if new:
             self.sums = np.concatenate([self.sums, self.network.pooled(new)])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log-probabilities, texts x labels, and positions of each text."""
         total, positions = np.zeros((len(texts), len(self.network.labels))), np.zeros(len(texts))
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def add() -> None:
+            self._learn()
+            for k, ids in waiting:
+                total[k] += self.sums[ids].sum(axis=0)
+            waiting.clear()
+            if self.sums.size > _KEPT:
+                self._forget()
+
+        n = 0
         for k, data in enumerate(texts):
             for begin, end in blocks(data):
                 runs = _RUN.findall(data, begin, end)
-                ids = np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs))
-                self._known()
-                total[k] += self.sums[ids].sum(axis=0)
+                waiting.append((k, np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs))))
                 positions[k] += sum(map(len, runs)) + len(runs)
-                if len(self.number) > _KEPT:
-                    self._forget()
+                n += len(runs)
+                if n > _AT_ONCE:
+                    add()
+                    n = 0
+        add()
         return total, positions
 
 
@@ -224,7 +255,7 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, *, sample: int = 400, hidden: int = 12, steps: int = 600, pieces: int = 4, piece_chars: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
+def fit(docs: DataFrame, *, sample: int = 400, hidden: int = 8, steps: int = 500, pieces: int = 4, piece_chars: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """A network trained on at most ``sample`` rows of each language that aren't held out, chosen by hash, and of each row on
     ``pieces`` stretches of ``piece_chars`` characters spread over the whole text (all of a shorter text). Null languages and null texts
     teach nothing; without any labelled row the network has no labels."""
