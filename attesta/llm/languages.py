@@ -261,11 +261,14 @@ def fit(docs: DataFrame, *, sample: int = 400, hidden: int = 8, steps: int = 500
     teach nothing; without any labelled row the network has no labels."""
     text = F.col(text_col)
     rows = docs.where(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h")).dropna(subset=["lang", "text"])
-    first = Window.partitionBy("lang").orderBy("h", "text")
     step = (F.length("text") - piece_chars) / max(pieces - 1, 1)
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.col("text").substr((F.floor(k * step) + 1).cast("int"), F.lit(piece_chars))), " ")
     some = F.when(F.length("text") <= pieces * piece_chars, F.col("text")).otherwise(spread)
-    chosen = rows.select("lang", "h", some.alias("text")).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
+    # about twice as many as are wanted pass by their hash alone, so that no language's rows meet
+    share = F.pmod("h", F.lit(1 << 52)) / float(1 << 52)
+    few = rows.join(rows.groupBy("lang").agg(F.count("*").alias("_n")), "lang").where(share * F.col("_n") < 2 * sample)
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    chosen = few.select("lang", "h", some.alias("text")).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
     found = sorted((r.lang, r.h, r.text) for r in chosen.select("lang", "h", "text").collect())
     labels = sorted({r[0] for r in found})
     number = {lang: k for k, lang in enumerate(labels)}
