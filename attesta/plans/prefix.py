@@ -10,20 +10,44 @@ from pyspark.sql import functions as F
 from attesta.plans.lineage import cut, shuffle_partitions
 
 
-def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """Adds running sums (new name: column) over each key in ``order``; rows of equal order must not occur.
+def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` written by ranges of keys and order, with ``_part``: a key may spread over many parts, which follow each other."""
+    n = shuffle_partitions(rows.sparkSession)
+    return cut(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def scanned(parts: DataFrame, keys: Sequence[str], order: Sequence[str], *, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+    """Adds to :func:`dealt` rows what a scan in ``order`` knows at each row of its key: running sums and maxima up to the row (new
+    name: column) and the value of the row before (null at a key's first).
 
-    Rows are dealt by range, so that a key may spread over many tasks: each sums its own part, and the totals of the parts
-    before, one row for each key and part, are added.
+    Each part scans its own rows; one row for each key and part carries the totals, and the last row, over to the next. Rows of
+    equal order must not occur. Null keys are a key like any other.
     """
-    n = shuffle_partitions(rows.sparkSession)
-    dealt = cut(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
-    totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()])
-    parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{new}").over(parts), F.lit(0)).alias(f"_b_{new}") for new in sums])
-    own = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({new: F.sum(c).over(own) for new, c in sums.items()}).join(before, [*keys, "_part"])
-    return out.withColumns({new: F.col(new) + F.col(f"_b_{new}") for new in sums}).select(*rows.columns, *sums)
+    sums, maxima, lags = sums or {}, maxima or {}, lags or {}
+    by = [*keys, "_part"]
+    own = Window.partitionBy(*by).orderBy(*order)
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("_part")
+    last = F.max_by(F.struct(*[F.col(c).alias(f"_e_{new}") for new, c in lags.items()]), F.struct(*order)) if lags else F.lit(None)
+    totals = parts.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()], *[F.max(c).alias(f"_t_{new}") for new, c in maxima.items()], last.alias("_edge"))
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *[F.col(k).alias(f"_k{n}") for n, k in enumerate(by)],
+        *[F.coalesce(F.sum(f"_t_{new}").over(earlier), F.lit(0)).alias(f"_b_{new}") for new in sums],
+        *[F.max(f"_t_{new}").over(earlier).alias(f"_b_{new}") for new in maxima],
+        F.lag("_edge").over(before).alias("_edge"),
+    )
+    out = parts.withColumns({new: F.sum(c).over(upto) for new, c in sums.items()} | {new: F.max(c).over(upto) for new, c in maxima.items()} | {new: F.lag(c).over(own) for new, c in lags.items()} | {"_first": F.row_number().over(own) == 1})
+    same = F.lit(True)
+    for n, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    out = out.join(carried, same)
+    new_columns = {new: F.col(new) + F.col(f"_b_{new}") for new in sums} | {new: F.greatest(new, f"_b_{new}") for new in maxima} | {new: F.when(F.col("_first"), F.col(f"_edge._e_{new}")).otherwise(F.col(new)) for new in lags}
+    return out.withColumns(new_columns).select(*parts.columns, *sums, *maxima, *lags)
+
+
+def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums (new name: column) over each key in ``order``; rows of equal order must not occur."""
+    return scanned(dealt(rows, keys, order), keys, order, sums=sums).select(*rows.columns, *sums)
 
 
 def ordered_digest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], entry: str, *, chunk: int = 4096) -> DataFrame:
