@@ -6,6 +6,7 @@ plain values: keys in order of code points, shortest doubles that read back alik
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Collection
 
@@ -109,6 +110,13 @@ def timestamp_text(value: Column) -> Column:
     return F.concat(date, F.lit("T"), clock, F.when(micros > 0, F.concat(F.lit("."), pad(micros, 6))).otherwise(""), F.lit("+00:00"))
 
 
+def zoneless_text(value: Column) -> Column:
+    """The same of a timestamp without zone, which is taken as UTC."""
+    shown = value.cast("string")
+    fraction = F.split_part(shown, F.lit("."), F.lit(2))
+    return F.concat(F.replace(F.split_part(shown, F.lit("."), F.lit(1)), F.lit(" "), F.lit("T")), F.when(fraction != "", F.concat(F.lit("."), F.rpad(fraction, 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
 def _object(parts: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
@@ -132,9 +140,7 @@ def text_of_type(value: Column, kind: T.DataType, drop_null: Collection[str] = (
     elif isinstance(kind, T.TimestampType):
         out = F.concat(F.lit('"'), timestamp_text(value), F.lit('"'))
     elif isinstance(kind, T.TimestampNTZType):
-        shown = value.cast("string")
-        fraction = F.split_part(shown, F.lit("."), F.lit(2))
-        out = F.concat(F.lit('"'), F.replace(F.split_part(shown, F.lit("."), F.lit(1)), F.lit(" "), F.lit("T")), F.when(fraction != "", F.concat(F.lit("."), F.rpad(fraction, 6, "0"))).otherwise(""), F.lit('+00:00"'))
+        out = F.concat(F.lit('"'), zoneless_text(value), F.lit('"'))
     elif isinstance(kind, T.ArrayType):
         out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: text_of_type(x, kind.elementType)), ","), F.lit("]"))
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, (T.StringType, *_INTEGERS)):
@@ -168,3 +174,29 @@ def canonical_text(rows: DataFrame, columns: dict[str, Column], drop_null: Colle
 
 def canonical_sha256(rows: DataFrame, columns: dict[str, Column], drop_null: Collection[str] = ()) -> Column:
     return F.sha2(canonical_text(rows, columns, drop_null), 256)
+
+
+def canonical_around(rows: DataFrame, columns: dict[str, Column], hole: str) -> tuple[Column, Column]:
+    """The canonical text of an object with the text field ``hole`` beside ``columns``, before and after that field's value."""
+    early = {c: v for c, v in columns.items() if c < hole}
+    late = {c: v for c, v in columns.items() if c > hole}
+    inner = lambda part: F.regexp_replace(canonical_text(rows, part), r"^\{|\}$", "")
+    name = json.dumps(hole, ensure_ascii=False)
+    before = F.concat(F.lit("{"), *([inner(early), F.lit(",")] if early else []), F.lit(f'{name}:"'))
+    return before, F.concat(F.lit('"'), *([F.lit(","), inner(late)] if late else []), F.lit("}"))
+
+
+def spec_digest(rows: DataFrame, value: Column, default: dict | None = None) -> Column:
+    """The digest of a specification: a text of 64 hexadecimal digits as it is, in lower case, any other text by its bytes, a list as the
+    object's ``output``, all else by its canonical text. Null has the digest of ``default``, if there is one."""
+    kind = rows.select(value.alias("v")).schema[0].dataType
+    if isinstance(kind, T.StringType):
+        found = F.when(value.rlike("^[0-9a-fA-F]{64}$"), F.lower(value)).otherwise(F.sha2(value, 256))
+    elif isinstance(kind, T.ArrayType):
+        found = canonical_sha256(rows, {"output": value})
+    else:
+        found = F.sha2(text_of_type(value, kind), 256)
+    if default is None:
+        return F.when(value.isNotNull(), found)
+    plain = json.dumps(default, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return F.when(value.isNull(), F.lit(hashlib.sha256(plain.encode()).hexdigest())).otherwise(found)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions.hashing import HEX64, canonical_json
+from attesta.functions.canonical import canonical_around, canonical_sha256
+from attesta.functions.hashing import HEX64
 from attesta.plans.lineage import cut, shuffle_partitions
+from attesta.plans.prefix import dealt, scanned
 
 GENESIS = "0" * 64
 
@@ -20,15 +21,20 @@ def block_hash(seq: Column, stamp: Column, data_hash: Column, prev: Column) -> C
     return F.sha2(F.concat(seq.cast("string"), stamp, data_hash, prev), 256)
 
 
-def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash"), start: str | None = None) -> DataFrame:
+def _envelope(payload: Sequence[str], envelope: tuple[Column, Column] | None) -> tuple[Column, Column]:
+    """The texts before and after the previous hash: the payload's columns and nothing, or those given."""
+    return envelope or (F.concat(*[F.col(c).cast("string") for c in payload]), F.lit(""))
+
+
+def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash"), envelope: tuple[Column, Column] | None = None, start: str | None = None) -> DataFrame:
     """Adds prev_hash and current_hash: the digest of the payload columns as text and the hash before, from 64 zeros on, or from
-    what column ``start`` holds in a chain's first row.
+    what column ``start`` holds in a chain's first row. ``envelope`` gives other texts around the hash before.
 
     Chains are dealt by key and sorted on disk where they do not fit; a chain streams through its task and is never held.
     """
     n = shuffle_partitions(links.sparkSession)
-    text = F.concat(*[F.col(c).cast("string") for c in payload])
-    rows = links.withColumns({"_payload": text, "_start": F.coalesce(F.col(start), F.lit(GENESIS)) if start else F.lit(GENESIS)}).repartition(n, key).sortWithinPartitions(key, seq)
+    head, tail = _envelope(payload, envelope)
+    rows = links.withColumns({"_head": head, "_tail": tail, "_start": F.coalesce(F.col(start), F.lit(GENESIS)) if start else F.lit(GENESIS)}).repartition(n, key).sortWithinPartitions(key, seq)
     names = links.columns
     at = names.index(key)
 
@@ -36,27 +42,31 @@ def build(links: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Se
         now, prev = object(), GENESIS
         for batch in batches:
             before, after = [], []
-            for k, text, begin in zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1)), strict=True):
+            for k, head, tail, begin in zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1, len(names) + 2)), strict=True):
                 if k != now:
                     now, prev = k, begin
                 before.append(prev)
-                prev = hashlib.sha256((text + prev).encode()).hexdigest()
+                prev = hashlib.sha256((head + prev + tail).encode()).hexdigest()
                 after.append(prev)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "prev_hash", "current_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "prev_hash", "current_hash"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields)
     return rows.mapInArrow(run, f"{kept}, prev_hash string, current_hash string")
 
 
-def checks(chained: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash")) -> DataFrame:
-    """Adds position, expected_prev and reason: what is wrong with a block (SEQUENCE, POINTER, HASH), or null.
+def checks(chained: DataFrame, *, key: str = "chain", seq: str = "seq", payload: Sequence[str] = ("seq", "stamp", "data_hash"), envelope: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds position, expected_prev, prev_seq and reason: what is wrong with a block (SEQUENCE, POINTER, HASH), or null.
 
-    A block whose hash is its data hash is accepted, as a sealed root.
+    Blocks are dealt by ranges of key and number, and the last block of a range is carried over to the next, so one chain may be
+    verified by many tasks. A block whose hash is its data hash is accepted, as a sealed root. Blocks of one number are taken in
+    the order of their hashes.
     """
-    w = Window.partitionBy(key).orderBy(seq)
-    text = F.concat(*[F.col(c).cast("string") for c in payload], F.col("prev_hash"))
-    out = chained.withColumns({"position": F.row_number().over(w).cast("long") - 1, "expected_prev": F.coalesce(F.lag("current_hash").over(w), F.lit(GENESIS))})
-    hashed = F.sha2(text, 256) == F.col("current_hash")
+    order = [seq, "current_hash"]
+    parts = dealt(chained.withColumn("_one", F.lit(1).cast("long")), [key], order)
+    out = scanned(parts, [key], order, sums={"position": "_one"}, lags={"expected_prev": "current_hash", "prev_seq": seq}).drop("_one", "_part")
+    out = out.withColumns({"position": F.col("position") - 1, "expected_prev": F.coalesce("expected_prev", F.lit(GENESIS))})
+    head, tail = _envelope(payload, envelope)
+    hashed = F.sha2(F.concat(head, F.col("prev_hash"), tail), 256) == F.col("current_hash")
     if "data_hash" in chained.columns:
         hashed = hashed | (F.col("current_hash") == F.col("data_hash"))
     reason = F.when(F.col(seq) != F.col("position"), "SEQUENCE").when(F.col("prev_hash") != F.col("expected_prev"), "POINTER").when(~hashed, "HASH")
@@ -83,20 +93,26 @@ def ledger_verdicts(checked: DataFrame, *, signed: str, fingerprint: str, curren
     return g.select(key, F.col("f").isNull().alias("valid"), F.coalesce("f.position", "n").alias("events_checked"), F.coalesce(F.col("f.position") - 1, "last").alias("last_verified"), F.col("f.at").alias("first_invalid"), F.col("f.reason").alias("reason"), F.col("f.cause").alias("likely_cause"))
 
 
-def extend(chained: DataFrame, rows: DataFrame, *, order: str, payload: Sequence[str], key: str = "chain", seq: str = "seq") -> DataFrame:
-    """New links for chains that exist: numbered on from each chain's last one in ``order``, and linked to its tip."""
+def extend(chained: DataFrame, rows: DataFrame, *, order: str, payload: Sequence[str] = (), envelope: tuple[Column, Column] | None = None, key: str = "chain", seq: str = "seq") -> DataFrame:
+    """New links for chains that exist: numbered on from each chain's last one in ``order`` (unique in a chain), and linked to its tip."""
     tips = chained.groupBy(key).agg(F.max(seq).alias("_last"), F.max_by("current_hash", seq).alias("_tip"))
-    new = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).join(tips, key, "left")
-    new = new.withColumn(seq, (F.coalesce("_last", F.lit(-1)) + F.col("_k")).cast("long"))
-    return build(new.drop("_k", "_last"), key=key, seq=seq, payload=payload, start="_tip").drop("_tip")
+    numbered = scanned(dealt(rows.withColumn("_one", F.lit(1).cast("long")), [key], [order]), [key], [order], sums={"_k": "_one"})
+    new = numbered.drop("_one", "_part").join(tips, key, "left").withColumn(seq, (F.coalesce("_last", F.lit(-1)) + F.col("_k")).cast("long"))
+    return build(new.drop("_k", "_last"), key=key, seq=seq, payload=payload, envelope=envelope, start="_tip").drop("_tip")
 
 
 def state(chained: DataFrame, key: str = "chain", seq: str = "seq") -> DataFrame:
     return chained.groupBy(key).agg(F.count("*").alias("records"), F.max_by("current_hash", seq).alias("tip"))
 
 
-def ledger_payload(columns: dict[str, Column]) -> Column:
-    return F.sha2(canonical_json(columns), 256)
+#: The fields that a ledger event's hash covers, beside the hash before.
+LEDGER_FIELDS = ("actor", "entity_id", "event_type", "payload_hash", "scan_id", "sequence", "timestamp")
+
+
+def ledger_envelope(rows: DataFrame, sequence: str = "seq") -> tuple[Column, Column]:
+    """The canonical text of a ledger event around its previous hash; ``rows`` has the other fields of :data:`LEDGER_FIELDS`."""
+    fields = {f: F.col(sequence if f == "sequence" else f) for f in LEDGER_FIELDS}
+    return canonical_around(rows, fields, "previous_hash")
 
 
 def decisions(requests: DataFrame, decision: str = "decision") -> DataFrame:
@@ -126,54 +142,99 @@ def recent_duplicates(frames: DataFrame, key: str, order: Sequence[str], value:
     return frames.withColumn("recent", F.array_contains(F.collect_list(value).over(w), F.col(value)))
 
 
-def provenance_digest(fields: dict[str, Column], optional: dict[str, Column]) -> Column:
-    """Digest over fixed fields, and over optional ones where they are not null."""
-    given = F.filter(F.array(*[F.when(c.isNotNull(), F.concat(F.lit(k + "="), c.cast("string"))) for k, c in sorted(optional.items())]), lambda x: x.isNotNull())
-    fixed = [F.concat(F.lit(k + "="), F.coalesce(c.cast("string"), F.lit(""))) for k, c in sorted(fields.items())]
-    return F.sha2(F.array_join(F.concat(F.array(*fixed), given), "|"), 256)
+def provenance_digest(rows: DataFrame, fields: dict[str, Column], optional: dict[str, Column]) -> Column:
+    """Digest of a provenance record's canonical text: all of ``fields``, and those of ``optional`` that are not null."""
+    return canonical_sha256(rows, fields | optional, drop_null=set(optional))
 
 
-def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: str, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """Records that may join their chain, and those that may not, with ``reject``: REUSED_RECORD, REUSED_NONCE or ROLLBACK.
+def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: str, key: str, order: str) -> DataFrame:
+    """``new`` with ``outcome`` (ADMITTED, REUSED_RECORD, REUSED_NONCE or ROLLBACK, tested in this order) and ``assigned``, the
+    sequence number of those admitted.
 
-    Records count as given in ``order`` (unique): one that reuses the record id, the nonce or the chain's sequence number of
-    an earlier admitted one is turned away; one that was turned away reserves nothing. Each round admits every record that is
-    the first left to have its id, its nonce and its sequence number, and turns away what these clash with.
+    Records count as given in ``order`` (unique). One is turned away if an admitted record before it, of the history or new, has its
+    record id or its nonce, or if its number isn't above the chain's counter; one without a number gets the counter's next. The
+    counter starts at the history's last number (0 without history) and moves with admitted records only.
+
+    The counter at a row is its chain's number of unnumbered rows so far plus the maximum, over numbered rows before, of number less
+    unnumbered rows until there: a running sum and a running maximum over ranges, so a chain may spread over many tasks. Whether a
+    record is reused and whether it is rolled back can hinge on each other; rounds repeat until nothing changes, as many as the
+    longest row of records that hinge one on the other, whatever the number of records.
     """
     tips = history.groupBy(key).agg(F.max(seq).alias("_last"))
-    out = new.join(history.select(F.col(record), F.lit(True).alias("_r")).distinct(), record, "left")
-    out = out.join(history.select(F.col(nonce), F.lit(True).alias("_n")).distinct(), nonce, "left").join(tips, key, "left")
-    reason = F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE").when(F.col(seq) <= F.col("_last"), "ROLLBACK")
-    out = cut(out.withColumn("reject", reason).select(*new.columns, "reject"))
-    good, bad = [], [out.where("reject is not null")]
-    left = out.where("reject is null").drop("reject")
-    while not left.isEmpty():
-        first = left
-        for k, by in enumerate(([record], [nonce], [key, seq])):
-            least = left.groupBy(*by).agg(F.min(order).alias(f"_f{k}"))
-            first = first.join(least, by)
-        first = cut(first.where(" and ".join(f"{order} = _f{k}" for k in range(3))).select(*new.columns))
-        good.append(first)
-        rest = left.join(first.select(order), order, "left_anti")
-        for name, by in (("_r", [record]), ("_n", [nonce]), ("_s", [key, seq])):
-            rest = rest.join(first.select(*by, F.lit(True).alias(name)), by, "left")
-        rest = cut(rest.withColumn("reject", F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE").when(F.col("_s"), "ROLLBACK")).select(*new.columns, "reject"))
-        bad.append(rest.where("reject is not null"))
-        left = rest.where("reject is null").drop("reject")
-    union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
-    return union(good, new.limit(0)), union(bad, out)
-
-
-def provenance_audit(records: DataFrame, *, key: str, seq: str, record: str, nonce: str, digest: str, expected: Column) -> DataFrame:
-    """Typed evidence rows about provenance records: key, seq, check, severity."""
-    w = Window.partitionBy(key).orderBy(seq)
-    seen = replays(records, seq, [nonce, record]).withColumns({"_seq": F.lag(seq).over(w), "_prev": F.lag("current_hash").over(w), "_ok": expected})
+    known = new.join(history.select(F.col(record), F.lit(True).alias("_r")).distinct(), record, "left")
+    known = known.join(history.select(F.col(nonce), F.lit(True).alias("_n")).distinct(), nonce, "left").join(tips, key, "left")
+    past = F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE")
+    rows = known.withColumns({"_past": past, "outcome": F.coalesce(past, F.lit("ADMITTED")), "_last": F.coalesce("_last", F.lit(0)).cast("long")})
+    now = dealt(rows.select(*new.columns, "_last", "_past", "outcome"), [key], [order])
+    while True:
+        good = now.where("outcome = 'ADMITTED'")
+        met = now
+        for name, by in (("_fr", record), ("_fn", nonce)):
+            met = met.join(good.groupBy(by).agg(F.min(order).alias(name)), by, "left")
+        reused = F.coalesce("_past", F.when(F.col("_fr") < F.col(order), "REUSED_RECORD").when(F.col("_fn") < F.col(order), "REUSED_NONCE"))
+        met = met.withColumn("_reused", reused).withColumn("_blank", (F.col("_reused").isNull() & F.col(seq).isNull()).cast("long"))
+        met = scanned(met, [key], [order], sums={"_blanks": "_blank"})
+        met = met.withColumn("_level", F.when(F.col("_reused").isNull(), F.col(seq) - F.col("_blanks")))
+        met = scanned(met, [key], [order], maxima_before={"_top": "_level"})
+        counter = F.col("_blanks") + F.greatest("_last", "_top")
+        found = F.coalesce("_reused", F.when(F.col(seq) <= counter, "ROLLBACK"), F.lit("ADMITTED"))
+        assigned = F.when(found == "ADMITTED", F.coalesce(F.col(seq), counter)).cast("long")
+        after = cut(met.select(*now.columns[: len(new.columns) + 2], "_part", found.alias("outcome"), assigned.alias("assigned"), (found != F.col("outcome")).alias("_changed")))
+        if after.where("_changed").isEmpty():
+            return after.select(*new.columns, "outcome", "assigned")
+        now = after.drop("_changed", "assigned")
+
+
+def append(chained: DataFrame, admitted: DataFrame, *, payload: Sequence[str], key: str, seq: str = "assigned") -> DataFrame:
+    """Admitted records as links after the tips of ``chained`` (key, seq, current_hash), in the order of their numbers."""
+    tips = chained.groupBy(key).agg(F.max_by("current_hash", "seq").alias("_tip"))
+    return build(admitted.join(tips, key, "left"), key=key, seq=seq, payload=payload, start="_tip").drop("_tip")
+
+
+def provenance_audit(records: DataFrame, *, key: str, seq: str, record: str, nonce: str, digest: str, expected: Column, aliases: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Typed evidence rows about provenance records: key, seq, position (from 0, in order of seq), check, severity.
+
+    ``aliases`` name columns that should agree where both are given. The first record of a chain must point to zeros if its number is 1;
+    every other must point to the digest of the one before and be numbered one higher. Records are dealt by ranges, so one chain
+    may be audited by many tasks; nonces and record ids count over all chains.
+    """
+    order = [seq, digest]
+    seen = replays(records, seq, [nonce, record]).withColumns({"_ok": expected, "_one": F.lit(1).cast("long")})
+    seen = scanned(dealt(seen, [key], order), [key], order, sums={"position": "_one"}, lags={"_seq": seq, "_prev": digest}).withColumn("position", F.col("position") - 1)
+    odd = F.lit(False)
+    for a, b in aliases:
+        odd = odd | F.coalesce((F.col(a).cast("string") != "") & (F.col(b).cast("string") != "") & (F.col(a) != F.col(b)), F.lit(False))
+    first = F.col("position") == 0
     kinds = [
         ("DIGEST_MISMATCH", ~F.col("_ok"), "CRITICAL"),
-        ("BAD_FORMAT", ~F.col(digest).rlike(HEX64), "HIGH"),
+        ("BAD_FORMAT", ~F.col("prev_hash").rlike(HEX64), "HIGH"),
+        ("ALIAS_MISMATCH", odd, "CRITICAL"),
         ("REPLAY", F.col("replayed"), "CRITICAL"),
-        ("SEQUENCE_GAP", F.col("_seq").isNotNull() & (F.col(seq) != F.col("_seq") + 1), "HIGH"),
-        ("CHAIN_BREAK", F.col("_prev").isNotNull() & (F.col("prev_hash") != F.col("_prev")) | F.col("_prev").isNull() & (F.col(seq) == 0) & (F.col("prev_hash") != GENESIS), "CRITICAL"),
+        ("SEQUENCE_GAP", ~first & (F.col(seq) != F.col("_seq") + 1), "HIGH"),
+        ("CHAIN_BREAK", ~first & (F.col("prev_hash") != F.col("_prev")), "CRITICAL"),
+        ("GENESIS_POINTER", first & (F.col(seq) == 1) & (F.col("prev_hash") != GENESIS), "CRITICAL"),
     ]
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("check"), F.lit(v).alias("severity"))) for k, c, v in kinds]), lambda x: x.isNotNull())
-    return seen.select(key, seq, F.inline(found))
+    return seen.select(key, seq, "position", F.inline(found))
+
+
+def provenance_summary(records: DataFrame, evidence: DataFrame, *, key: str, seq: str) -> DataFrame:
+    """One row a chain: total_records, findings, replay_detected, broken_sequence (the number of the first record with a finding)
+    and is_valid."""
+    g = evidence.groupBy(key).agg(F.count("*").alias("findings"), F.bool_or(F.col("check") == "REPLAY").alias("replay_detected"), F.min_by(seq, "position").alias("broken_sequence"))
+    total = records.groupBy(key).agg(F.count("*").alias("total_records")).join(g, key, "left")
+    return total.select(key, "total_records", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("replay_detected", F.lit(False)).alias("replay_detected"), "broken_sequence", F.col("findings").isNull().alias("is_valid"))
+
+
+#: The fields that a report's digest covers, and those that it covered before.
+REPORT_FIELDS = ("target_asset_id", "target_asset_type", "assessment_id", "overall_verdict", "gatekeeper_action", "risk_score", "risk_level", "confidence_score", "coverage_ratio", "hard_veto_triggered", "findings_summary")
+LEGACY_REPORT_FIELDS = ("target_asset_id", "target_asset_type", "assessment_id", "overall_verdict", "risk_score", "confidence_score", "coverage_ratio", "findings_summary")
+
+
+def report_digest(reports: DataFrame, fields: Sequence[str] = REPORT_FIELDS) -> Column:
+    return canonical_sha256(reports, {f: F.col(f) for f in fields})
+
+
+def verify_reports(reports: DataFrame, digest: str = "report_digest") -> DataFrame:
+    """Adds ``digest_match``: the digest is that of the present fields or that of the former ones."""
+    return reports.withColumn("digest_match", (F.col(digest) == report_digest(reports)) | (F.col(digest) == report_digest(reports, LEGACY_REPORT_FIELDS)))

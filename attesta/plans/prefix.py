@@ -16,17 +16,18 @@ def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     return cut(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def scanned(parts: DataFrame, keys: Sequence[str], order: Sequence[str], *, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+def scanned(parts: DataFrame, keys: Sequence[str], order: Sequence[str], *, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None, maxima_before: dict[str, str] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
     """Adds to :func:`dealt` rows what a scan in ``order`` knows at each row of its key: running sums and maxima up to the row (new
-    name: column) and the value of the row before (null at a key's first).
+    name: column), maxima up to the row before and the value of the row before (null at a key's first).
 
     Each part scans its own rows; one row for each key and part carries the totals, and the last row, over to the next. Rows of
     equal order must not occur. Null keys are a key like any other.
     """
-    sums, maxima, lags = sums or {}, maxima or {}, lags or {}
+    sums, lags = sums or {}, lags or {}
+    own_maxima, maxima = {*(maxima or {})}, (maxima or {}) | (maxima_before or {})
     by = [*keys, "_part"]
     own = Window.partitionBy(*by).orderBy(*order)
-    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("_part")
+    upto, above, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy("_part")
     last = F.max_by(F.struct(*[F.col(c).alias(f"_e_{new}") for new, c in lags.items()]), F.struct(*order)) if lags else F.lit(None)
     totals = parts.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()], *[F.max(c).alias(f"_t_{new}") for new, c in maxima.items()], last.alias("_edge"))
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +37,7 @@ def scanned(parts: DataFrame, keys: Sequence[str], order: Sequence[str], *, sums
         *[F.max(f"_t_{new}").over(earlier).alias(f"_b_{new}") for new in maxima],
         F.lag("_edge").over(before).alias("_edge"),
     )
-    out = parts.withColumns({new: F.sum(c).over(upto) for new, c in sums.items()} | {new: F.max(c).over(upto) for new, c in maxima.items()} | {new: F.lag(c).over(own) for new, c in lags.items()} | {"_first": F.row_number().over(own) == 1})
+    out = parts.withColumns({new: F.sum(c).over(upto) for new, c in sums.items()} | {new: F.max(c).over(upto if new in own_maxima else above) for new, c in maxima.items()} | {new: F.lag(c).over(own) for new, c in lags.items()} | {"_first": F.row_number().over(own) == 1})
     same = F.lit(True)
     for n, k in enumerate(by):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from attesta.functions.canonical import canonical_sha256, zoneless_text
 from attesta.functions.hashing import canonical_digest
 from attesta.operators import chain as C
 from attesta.operators import merkle as M
 from attesta.operators.rows import evidence_lines
 from attesta.plans import fixtures as fx
+from attesta.plans.prefix import dealt, scanned
 from attesta.plans.registry import query, table
 
 _C, _B, G = fx.CHAIN_SQL, fx.CHAIN_BAD_SQL, fx.GENESIS
@@ -42,8 +44,7 @@ def w01(s, d):
 
 @query("w02_sequence_continuity", f"WITH {_CHECK} SELECT chain, seq, seq = position AS positioned, coalesce(seq = lag(seq) OVER (PARTITION BY chain ORDER BY seq) + 1, true) AS stepped FROM checked")
 def w02(s, d):
-    w = Window.partitionBy("chain").orderBy("seq")
-    return C.checks(_bad(s, d)).select("chain", "seq", (F.col("seq") == F.col("position")).alias("positioned"), F.coalesce(F.col("seq") == F.lag("seq").over(w) + 1, F.lit(True)).alias("stepped"))
+    return C.checks(_bad(s, d)).select("chain", "seq", (F.col("seq") == F.col("position")).alias("positioned"), F.coalesce(F.col("seq") == F.col("prev_seq") + 1, F.lit(True)).alias("stepped"))
 
 
 @query("w07_first_broken", f"WITH {_CHECK} SELECT chain, min(position) AS first_bad, arg_min(reason, position) AS reason FROM reasons WHERE reason IS NOT NULL GROUP BY chain")
@@ -56,21 +57,76 @@ def c15(s, d):
     return C.state(_built(s, d))
 
 
-_LEDGER = f"""RECURSIVE l AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type, sha256('{{"event_type":"' || event_type || '","id":' || event_id || '}}') AS payload_hash FROM events),
-led(chain, seq, event_type, payload_hash, prev_hash, current_hash) AS (SELECT chain, seq, event_type, payload_hash, '{G}', sha256(seq || event_type || payload_hash || '{G}') FROM l WHERE seq = 0
- UNION ALL SELECT l.chain, l.seq, l.event_type, l.payload_hash, c.current_hash, sha256(l.seq || l.event_type || l.payload_hash || c.current_hash) FROM led c JOIN l ON l.chain = c.chain AND l.seq = c.seq + 1)"""
+# One chain over all events: every second block is a sealed root, so that the chain can be made without going through it in order.
+_ONE = f"""base AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, sha256(event_type || ':' || event_id) AS data_hash FROM events), linked AS (SELECT *, lag(data_hash) OVER (ORDER BY seq) AS sealed FROM base),
+hashed AS (SELECT *, CASE WHEN seq % 2 = 0 THEN sha256(seq || stamp || data_hash || coalesce(sealed, '{G}')) ELSE data_hash END AS current_hash FROM linked),
+whole AS (SELECT seq, stamp, data_hash, coalesce(lag(current_hash) OVER (ORDER BY seq), '{G}') AS prev_hash, current_hash FROM hashed),
+one AS (SELECT seq, CASE WHEN seq % 300 = 100 THEN sha256('x') ELSE stamp END AS stamp, data_hash, CASE WHEN seq % 500 = 77 THEN sha256('y') ELSE prev_hash END AS prev_hash, current_hash FROM whole WHERE seq <> (SELECT count(*) * 9 // 10 FROM events)),
+checked AS (SELECT *, row_number() OVER w - 1 AS position, lag(seq) OVER w AS prev_seq, coalesce(lag(current_hash) OVER w, '{G}') AS expected_prev FROM one WINDOW w AS (ORDER BY seq)),
+reasons AS (SELECT *, CASE WHEN seq <> position THEN 'SEQUENCE' WHEN prev_hash <> expected_prev THEN 'POINTER' WHEN sha256(seq || stamp || data_hash || prev_hash) <> current_hash AND current_hash <> data_hash THEN 'HASH' END AS reason FROM checked)"""
+
+
+def _one_chain(s, d):
+    """One chain over all events; changed stamps, changed pointers and, from nine tenths on, a lost block."""
+    e = table(s, d, "events").select(F.lit("all").alias("chain"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.sha2(F.concat_ws(":", "event_type", "event_id"), 256).alias("data_hash"))
+    parts = dealt(e, ["chain"], ["seq"])
+    sealed = scanned(parts, ["chain"], ["seq"], lags={"_sealed": "data_hash"})
+    own = C.block_hash(F.col("seq"), F.col("stamp"), F.col("data_hash"), F.coalesce("_sealed", F.lit(C.GENESIS)))
+    hashed = sealed.withColumn("current_hash", F.when(F.col("seq") % 2 == 0, own).otherwise(F.col("data_hash")))
+    whole = scanned(hashed, ["chain"], ["seq"], lags={"prev_hash": "current_hash"}).withColumn("prev_hash", F.coalesce("prev_hash", F.lit(C.GENESIS)))
+    lost = e.count() * 9 // 10
+    bad = whole.where(F.col("seq") != lost).withColumns({"stamp": F.when(F.col("seq") % 300 == 100, F.sha2(F.lit("x"), 256)).otherwise(F.col("stamp")), "prev_hash": F.when(F.col("seq") % 500 == 77, F.sha2(F.lit("y"), 256)).otherwise(F.col("prev_hash"))})
+    return C.checks(bad.select("chain", "seq", "stamp", "data_hash", "prev_hash", "current_hash"))
+
+
+@query("c02_one_chain", f"WITH {_ONE} SELECT 'all' AS chain, count(*) AS blocks, coalesce(min(position) FILTER (reason IS NOT NULL), count(*)) AS verified, min(position) FILTER (reason IS NOT NULL) AS first_bad, arg_min(reason, position) FILTER (reason IS NOT NULL) AS reason, max_by(current_hash, position) AS head FROM reasons")
+def c02_one(s, d):
+    return C.verdicts(_one_chain(s, d))
+
+
+@query("w01_one_chain", f"WITH {_ONE} SELECT seq, prev_hash = expected_prev AS continuous, coalesce(seq = prev_seq + 1, true) AS stepped, reason FROM reasons")
+def w01_one(s, d):
+    return _one_chain(s, d).select("seq", (F.col("prev_hash") == F.col("expected_prev")).alias("continuous"), F.coalesce(F.col("seq") == F.col("prev_seq") + 1, F.lit(True)).alias("stepped"), "reason")
+
+
+# -- ledgers --------------------------------------------------------------------------------------------------------------
+_EVENT = """sha256('{"actor":"system","entity_id":"user_' || %s || '","event_type":"' || event_type || '","payload_hash":"' || payload_hash || '","previous_hash":"' || %s || '","scan_id":' || coalesce('"' || scan_id || '"', 'null') || ',"sequence":' || %s || ',"timestamp":"' || "timestamp" || '"}')"""
+_ISO = """strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00'"""
+_FIRST = f"""SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type, CASE WHEN event_id % 4 = 0 THEN 'scan "' || event_id || '"' END AS scan, {_ISO} AS "timestamp", sha256('{{"event_type":"' || event_type || '","id":' || event_id || ',"value":' || value || '}}') AS payload_hash FROM events"""
+
+
+def _ledger_sql(links: str = "SELECT * FROM l0", more: str = "") -> str:
+    return f"""RECURSIVE l0 AS ({_FIRST}), {more} l AS (SELECT *, replace(scan, '"', '\\"') AS scan_id FROM ({links})),
+led(chain, seq, event_type, payload_hash, prev_hash, current_hash) AS (SELECT chain, seq, event_type, payload_hash, '{G}', {_EVENT % ('chain', f"{G}", 'seq')} FROM l WHERE seq = 0
+ UNION ALL SELECT l.chain, l.seq, l.event_type, l.payload_hash, c.current_hash, {_EVENT.replace("|| event_type ||", "|| l.event_type ||").replace("|| payload_hash ||", "|| l.payload_hash ||") % ('l.chain', "' || c.current_hash || '", 'l.seq')} FROM led c JOIN l ON l.chain = c.chain AND l.seq = c.seq + 1)""".replace(f"|| {G} ||", f"|| '{G}' ||").replace("|| ' || c.current_hash || ' ||", "|| c.current_hash ||")
+
+
+_LEDGER = _ledger_sql()
 
 
 def _ledger(s, d):
     e = table(s, d, "events")
     seq = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
-    rows = e.select(F.col("user_id").alias("chain"), seq.alias("seq"), "event_type", C.ledger_payload({"event_type": F.col("event_type"), "id": F.col("event_id")}).alias("payload_hash"))
-    return C.build(rows, payload=("seq", "event_type", "payload_hash"))
+    payload = canonical_sha256(e, {"event_type": F.col("event_type"), "id": F.col("event_id"), "value": F.col("value")})
+    scan = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('scan "'), F.col("event_id"), F.lit('"')))
+    return _link(e.select(F.col("user_id").alias("chain"), seq.alias("seq"), "event_type", payload.alias("payload_hash"), scan.alias("scan_id"), zoneless_text(F.col("ts")).alias("timestamp")))
+
+
+def _named(rows):
+    return rows.withColumns({"actor": F.lit("system"), "entity_id": F.concat(F.lit("user_"), "chain")})
+
+
+def _link(rows):
+    rows = _named(rows)
+    return C.build(rows, envelope=C.ledger_envelope(rows))
+
+
+_LINKS = ["chain", "seq", "event_type", "payload_hash", "prev_hash", "current_hash"]
 
 
 @query("c03_ledger_build", f"WITH {_LEDGER} SELECT * FROM led")
 def c03(s, d):
-    return _ledger(s, d)
+    return _ledger(s, d).select(*_LINKS)
 
 
 @query("c04_ledger_verify", f"""WITH {_LEDGER}, n AS (SELECT chain, count(*) AS n FROM led GROUP BY chain), f AS (SELECT chain, n, CASE WHEN chain % 5 = 0 AND n > 4 THEN 4 END AS tampered, CASE WHEN chain % 3 = 0 AND n > 6 THEN 6 END AS unsigned FROM n), x AS (SELECT *, least(tampered, unsigned) AS first FROM f)
@@ -80,20 +136,23 @@ def c04(s, d):
     c, seq = F.col("chain"), F.col("seq")
     bad = _ledger(s, d).withColumn("payload_hash", F.when((c % 5 == 0) & (seq == 4), F.sha2(F.lit("x"), 256)).otherwise(F.col("payload_hash")))
     bad = bad.withColumns({"signed": ~((c % 3 == 0) & (seq == 6)), "key": F.when(c % 2 == 0, "now").when(c % 4 == 1, "old")})
-    return C.ledger_verdicts(C.checks(bad, payload=("seq", "event_type", "payload_hash")), signed="signed", fingerprint="key", current="now")
+    return C.ledger_verdicts(C.checks(bad, envelope=C.ledger_envelope(bad)), signed="signed", fingerprint="key", current="now")
 
 
-_ASKED = "a AS (SELECT user_id AS chain, event_id, CASE event_type WHEN 'error' THEN 'QUARANTINE' WHEN 'view' THEN 'ACCEPT' ELSE 'MAYBE' END AS decision FROM events WHERE value >= 150)"
+_ASKED = """a AS (SELECT user_id AS chain, event_id, CASE event_type WHEN 'error' THEN 'QUARANTINE' WHEN 'view' THEN 'ACCEPT' ELSE 'MAYBE' END AS decision FROM events WHERE value >= 150), m AS (SELECT chain, max(seq) AS m FROM l0 GROUP BY chain),"""
+_DECIDED = """SELECT * FROM l0 UNION ALL SELECT a.chain, m + row_number() OVER (PARTITION BY a.chain ORDER BY event_id), 'ANALYST_DECISION', NULL, '', sha256('{"decision":"' || decision || '","event":' || event_id || '}') FROM a JOIN m USING (chain) WHERE decision <> 'MAYBE'"""
 
 
-@query("c05_decisions", f"""WITH {_LEDGER.replace("RECURSIVE l AS (", "RECURSIVE " + _ASKED + ", l0 AS (").replace("led(chain", "m AS (SELECT chain, max(seq) AS m FROM l0 GROUP BY chain), l AS (SELECT * FROM l0 UNION ALL SELECT a.chain, m + row_number() OVER (PARTITION BY a.chain ORDER BY event_id), 'ANALYST_DECISION', sha256(a.chain || ':' || event_id || ':' || decision) FROM a JOIN m USING (chain) WHERE decision <> 'MAYBE'), led(chain")} SELECT chain, seq, prev_hash, current_hash FROM led WHERE event_type = 'ANALYST_DECISION'""")
+@query("c05_decisions", f"WITH {_ledger_sql(_DECIDED, _ASKED)} SELECT chain, seq, prev_hash, current_hash FROM led WHERE event_type = 'ANALYST_DECISION'")
 def c05(s, d):
     """Decisions about large events, those that are none left out, appended to each user's ledger."""
     e = table(s, d, "events").where("value >= 150")
     choice = F.when(F.col("event_type") == "error", "QUARANTINE").when(F.col("event_type") == "view", "ACCEPT").otherwise("MAYBE")
     asked = C.decisions(e.select(F.col("user_id").alias("chain"), "event_id", choice.alias("decision")))
-    rows = asked.select("chain", "event_id", F.lit("ANALYST_DECISION").alias("event_type"), F.sha2(F.concat_ws(":", "chain", "event_id", "decision"), 256).alias("payload_hash"))
-    return C.extend(_ledger(s, d), rows, order="event_id", payload=("seq", "event_type", "payload_hash")).select("chain", "seq", "prev_hash", "current_hash")
+    payload = canonical_sha256(asked, {"decision": F.col("decision"), "event": F.col("event_id")})
+    rows = _named(asked.select("chain", "event_id", F.lit("ANALYST_DECISION").alias("event_type"), payload.alias("payload_hash"), F.lit(None).cast("string").alias("scan_id"), F.lit("").alias("timestamp")))
+    numbered = rows.withColumn("seq", F.lit(0).cast("long"))
+    return C.extend(_ledger(s, d), rows, order="event_id", envelope=C.ledger_envelope(numbered)).select("chain", "seq", "prev_hash", "current_hash")
 
 
 @query("w03_replay", "SELECT event_id, event_id > min(event_id) OVER (PARTITION BY user_id, floor(value)) AS replayed FROM events")
@@ -173,45 +232,105 @@ def c10(s, d):
 
 
 # -- provenance -----------------------------------------------------------------------------------------------------------
-@query("c11_provenance_digest", "SELECT event_id, sha256('input=' || event_type || '|output=' || user_id || CASE WHEN event_id % 3 = 0 THEN '|model=' || event_type ELSE '' END) AS digest FROM events")
+_RECORD = """'{"inference_config_hash":"' || repeat('0', 64) || '","input_hash":"' || sha256(props) || '","model_digest":"' || sha256(event_type) || CASE WHEN event_id % 3 = 0 THEN '","model_id":"' || event_type ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '","model_version":"1.0.' || event_id % 7 ELSE '' END
+|| '","nonce":"n' || event_id || '","output_hash":"' || sha256(user_id::VARCHAR) || '","prep_digest":"' || sha256('prep') || '","prev_chain_hash":"' || repeat('0', 64) || CASE WHEN event_id % 2 = 0 THEN '","record_id":"r' || event_id ELSE '' END || '","score":' || value || ',"sequence_id":' || event_id || ',"timestamp":"' || """ + _ISO + """ || '"}'"""
+
+
+@query("c11_provenance_digest", f"SELECT event_id, sha256({_RECORD}) AS digest FROM events")
 def c11(s, d):
-    model = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
-    return table(s, d, "events").select("event_id", C.provenance_digest({"input": F.col("event_type"), "output": F.col("user_id")}, {"model": model}).alias("digest"))
+    e, n = table(s, d, "events"), F.col("event_id")
+    zeros, sha = F.lit("0" * 64), lambda c: F.sha2(c.cast("string"), 256)
+    fields = {"sequence_id": n, "timestamp": zoneless_text(F.col("ts")), "nonce": F.concat(F.lit("n"), n), "input_hash": sha(F.col("props")), "model_digest": sha(F.col("event_type")), "prep_digest": sha(F.lit("prep")), "inference_config_hash": zeros, "output_hash": sha(F.col("user_id")), "prev_chain_hash": zeros}
+    optional = {"model_id": F.when(n % 3 == 0, F.col("event_type")), "model_version": F.when(n % 5 == 0, F.concat(F.lit("1.0."), n % 7)), "record_id": F.when(n % 2 == 0, F.concat(F.lit("r"), n)), "score": F.col("value")}
+    return e.select("event_id", C.provenance_digest(e, fields, optional).alias("digest"))
+
+
+_ADMIT = """h AS (SELECT * FROM events WHERE event_id % 50 <> 7), tip AS (SELECT user_id % 4 AS lane, max(event_id) AS last FROM h GROUP BY ALL), n0 AS (SELECT event_id AS e, user_id % 4 AS lane, event_id + CASE WHEN event_id % 100 = 7 THEN 0 ELSE 10000000 END AS code FROM events WHERE event_id % 50 IN (0, 7)),
+n AS (SELECT e, lane, CASE WHEN e % 400 = 200 THEN NULL WHEN e % 500 = 250 THEN code - 3000 ELSE code END AS seq, CASE WHEN e % 450 = 350 THEN e - 1 WHEN e % 300 = 0 THEN code - 50 ELSE code END AS record, CASE WHEN e % 450 = 400 THEN 'n' || (e - 1) WHEN e % 350 = 250 THEN 'n' || (code - 50) ELSE 'n' || code END AS nonce FROM n0),
+o AS (SELECT n.*, row_number() OVER (ORDER BY e) AS k, record IN (SELECT event_id FROM h) AS old_record, nonce IN (SELECT 'n' || event_id FROM h) AS old_nonce, coalesce(last, 0) AS last FROM n LEFT JOIN tip USING (lane)),
+walk AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS e, NULL::BIGINT AS lane, NULL::VARCHAR AS outcome, NULL::BIGINT AS assigned, NULL::BIGINT AS record, NULL::VARCHAR AS nonce, []::STRUCT(lane BIGINT, n BIGINT, record BIGINT, nonce VARCHAR)[] AS done
+UNION ALL SELECT k, e, lane, outcome, assigned, record, nonce, CASE WHEN outcome = 'ADMITTED' THEN list_append(done, {'lane': lane, 'n': assigned, 'record': record, 'nonce': nonce}) ELSE done END FROM (SELECT *, CASE WHEN outcome = 'ADMITTED' THEN coalesce(seq, counter + 1) END AS assigned FROM (
+SELECT *, CASE WHEN old_record OR list_contains(list_transform(done, lambda x: x.record), record) THEN 'REUSED_RECORD' WHEN old_nonce OR list_contains(list_transform(done, lambda x: x.nonce), nonce) THEN 'REUSED_NONCE' WHEN seq <= counter THEN 'ROLLBACK' ELSE 'ADMITTED' END AS outcome FROM (
+SELECT o.*, w.done, greatest(o.last, coalesce(list_max(list_transform(list_filter(w.done, lambda x: x.lane = o.lane), lambda x: x.n)), 0)) AS counter FROM walk w JOIN o ON o.k = w.k + 1))))"""
+
+
+def _admission(s, d):
+    """Records of four chains: some reuse a record or a nonce of the history or of a new record, some have no number, some fall behind."""
+    e = table(s, d, "events").select(F.col("event_id").alias("e"), (F.col("user_id") % 4).alias("lane"))
+    at, code = F.col("e"), F.col("code")
+    history = e.where("e % 50 <> 7").select("e", "lane", at.alias("seq"), at.alias("record"), F.concat(F.lit("n"), at).alias("nonce"))
+    new = e.where("e % 50 in (0, 7)").withColumn("code", at + F.when(at % 100 == 7, 0).otherwise(10_000_000))
+    seq = F.when(at % 400 == 200, None).when(at % 500 == 250, code - 3000).otherwise(code)
+    record = F.when(at % 450 == 350, at - 1).when(at % 300 == 0, code - 50).otherwise(code)
+    nonce = F.concat(F.lit("n"), F.when(at % 450 == 400, at - 1).when(at % 350 == 250, code - 50).otherwise(code))
+    new = new.select("e", "lane", seq.alias("seq"), record.alias("record"), nonce.alias("nonce"))
+    return history, C.admit(new, history, record="record", nonce="nonce", seq="seq", key="lane", order="e")
+
+
+@query("c12_admit_records", f"WITH RECURSIVE {_ADMIT} SELECT e AS event_id, outcome, assigned FROM walk WHERE k > 0")
+def c12(s, d):
+    return _admission(s, d)[1].select(F.col("e").alias("event_id"), "outcome", "assigned")
 
 
-_ADMIT = """h AS (SELECT * FROM events WHERE event_id % 50 <> 7), n0 AS (SELECT event_id AS e, event_id + CASE WHEN event_id % 100 = 7 THEN 0 ELSE 10000000 END AS seq, user_id FROM events WHERE event_id % 50 IN (0, 7)),
-n AS (SELECT e, seq, user_id, CASE WHEN e % 450 = 350 THEN e - 1 WHEN e % 300 = 150 THEN seq - 50 ELSE seq END AS record, CASE WHEN e % 450 = 400 THEN 'n' || (e - 1) WHEN e % 300 = 250 THEN 'n' || (seq - 50) ELSE 'n' || seq END AS nonce FROM n0),
-o AS (SELECT *, CASE WHEN record IN (SELECT event_id FROM h) THEN 'REUSED_RECORD' WHEN nonce IN (SELECT 'n' || event_id FROM h) THEN 'REUSED_NONCE' WHEN seq <= (SELECT max(event_id) FROM h WHERE h.user_id = n.user_id) THEN 'ROLLBACK' END AS outcome FROM n),
-oo AS (SELECT o.e, coalesce(o.outcome, CASE WHEN o.e % 300 = 150 AND r.outcome IS NULL AND r.e IS NOT NULL THEN 'REUSED_RECORD' WHEN o.e % 300 = 250 AND r.outcome IS NULL AND r.e IS NOT NULL THEN 'REUSED_NONCE' END, 'ADMITTED') AS outcome FROM o LEFT JOIN o r ON r.e = o.e - 50)"""
+@query("c12_appended_records", f"""WITH RECURSIVE {_ADMIT}, good AS (SELECT lane, assigned, nonce, row_number() OVER (PARTITION BY lane ORDER BY assigned) AS i FROM walk WHERE outcome = 'ADMITTED'), first AS (SELECT lane, sha256('tip' || last) AS tip FROM tip),
+linked AS (SELECT g.lane, assigned, i, tip AS prev_hash, sha256(assigned || nonce || tip) AS current_hash FROM good g JOIN first USING (lane) WHERE i = 1 UNION ALL SELECT g.lane, g.assigned, g.i, c.current_hash, sha256(g.assigned || g.nonce || c.current_hash) FROM linked c JOIN good g ON g.lane = c.lane AND g.i = c.i + 1)
+SELECT lane, assigned, prev_hash, current_hash FROM linked""")
+def c12_appended(s, d):
+    """Those admitted, linked to the tip of their chain in the order of their numbers."""
+    history, judged = _admission(s, d)
+    tips = history.withColumn("current_hash", F.sha2(F.concat(F.lit("tip"), "seq"), 256)).withColumnRenamed("lane", "key").select(F.col("key").alias("lane"), "seq", "current_hash")
+    good = judged.where("outcome = 'ADMITTED'").select("lane", "assigned", "nonce")
+    return C.append(tips, good, payload=("assigned", "nonce"), key="lane").select("lane", "assigned", "prev_hash", "current_hash")
 
 
-@query("c12_admit_records", f"WITH {_ADMIT} SELECT e AS event_id, outcome FROM oo")
-def c12(s, d):
-    """New records, some of which reuse a record or a nonce of the history, and some one of another new record."""
-    e = table(s, d, "events").select(F.col("event_id").alias("e"), "user_id")
-    named = lambda df, seq: df.select("e", "user_id", seq.alias("seq"), seq.alias("record"), F.concat(F.lit("n"), seq).alias("nonce"))
-    history = named(e.where("e % 50 <> 7"), F.col("e"))
-    new = named(e.where("e % 50 in (0, 7)"), F.col("e") + F.when(F.col("e") % 100 == 7, 0).otherwise(10_000_000))
-    record = F.when(F.col("e") % 450 == 350, F.col("e") - 1).when(F.col("e") % 300 == 150, F.col("seq") - 50).otherwise(F.col("record"))
-    nonce = F.when(F.col("e") % 450 == 400, F.concat(F.lit("n"), F.col("e") - 1)).when(F.col("e") % 300 == 250, F.concat(F.lit("n"), F.col("seq") - 50)).otherwise(F.col("nonce"))
-    good, bad = C.admit(new.withColumns({"record": record, "nonce": nonce}), history, record="record", nonce="nonce", seq="seq", key="user_id", order="e")
-    return good.select(F.col("e").alias("event_id"), F.lit("ADMITTED").alias("outcome")).union(bad.select("e", F.col("reject").alias("outcome")))
-
-
-@query("c13_provenance_audit", f"""WITH {_B}, r AS (SELECT *, sha256(chain || ':' || seq % 40) AS nonce, lag(seq) OVER w AS ps, lag(current_hash) OVER w AS ph FROM chain_bad WINDOW w AS (PARTITION BY chain ORDER BY seq)), x AS (SELECT *, seq > min(seq) OVER (PARTITION BY nonce) AS replayed FROM r)
-SELECT chain, seq, 'DIGEST_MISMATCH' AS check, 'CRITICAL' AS severity FROM x WHERE sha256(seq || stamp || data_hash || prev_hash) <> current_hash UNION ALL SELECT chain, seq, 'REPLAY', 'CRITICAL' FROM x WHERE replayed
-UNION ALL SELECT chain, seq, 'SEQUENCE_GAP', 'HIGH' FROM x WHERE seq <> ps + 1 UNION ALL SELECT chain, seq, 'CHAIN_BREAK', 'CRITICAL' FROM x WHERE prev_hash <> ph OR ph IS NULL AND seq = 0 AND prev_hash <> '{G}'""".replace("AS check", 'AS "check"'))
+_AUDIT = f"""{_B}, r0 AS (SELECT chain, seq AS link, seq + 1 AS seq, stamp, data_hash, CASE WHEN chain % 11 = 3 AND seq = 0 THEN sha256('foreign') WHEN chain % 7 = 2 AND seq = 9 THEN 'short' ELSE prev_hash END AS prev_hash, current_hash, CASE WHEN chain % 13 = 5 AND seq % 17 = 4 THEN sha256('other') ELSE data_hash END AS frame FROM chain_bad),
+r AS (SELECT *, sha256(chain || ':' || link % 40) AS nonce, row_number() OVER w - 1 AS position, lag(seq) OVER w AS ps, lag(current_hash) OVER w AS ph FROM r0 WINDOW w AS (PARTITION BY chain ORDER BY seq)), x AS (SELECT *, seq > min(seq) OVER (PARTITION BY nonce) AS replayed FROM r),
+found AS (SELECT chain, seq, position, 'DIGEST_MISMATCH' AS "check", 'CRITICAL' AS severity FROM x WHERE sha256(link || stamp || data_hash || prev_hash) <> current_hash UNION ALL SELECT chain, seq, position, 'REPLAY', 'CRITICAL' FROM x WHERE replayed
+UNION ALL SELECT chain, seq, position, 'BAD_FORMAT', 'HIGH' FROM x WHERE length(prev_hash) <> 64 UNION ALL SELECT chain, seq, position, 'ALIAS_MISMATCH', 'CRITICAL' FROM x WHERE frame <> data_hash
+UNION ALL SELECT chain, seq, position, 'SEQUENCE_GAP', 'HIGH' FROM x WHERE seq <> ps + 1 UNION ALL SELECT chain, seq, position, 'CHAIN_BREAK', 'CRITICAL' FROM x WHERE position > 0 AND prev_hash <> ph UNION ALL SELECT chain, seq, position, 'GENESIS_POINTER', 'CRITICAL' FROM x WHERE position = 0 AND seq = 1 AND prev_hash <> '{G}')"""
+
+
+def _audited(s, d):
+    """Provenance records numbered from 1; some begin with a foreign pointer, some have a short one, some name two inputs."""
+    c, n = F.col("chain"), F.col("seq")
+    prev = F.when((c % 11 == 3) & (n == 0), F.sha2(F.lit("foreign"), 256)).when((c % 7 == 2) & (n == 9), "short").otherwise(F.col("prev_hash"))
+    rows = _bad(s, d).withColumn("prev_hash", prev).withColumns({"nonce": F.sha2(F.concat_ws(":", "chain", n % 40), 256), "record": F.concat_ws("_", "chain", "seq"), "frame": F.when((c % 13 == 5) & (n % 17 == 4), F.sha2(F.lit("other"), 256)).otherwise(F.col("data_hash"))})
+    rows = rows.withColumns({"at": n, "seq": n + 1})
+    ok = C.block_hash(F.col("at"), F.col("stamp"), F.col("data_hash"), F.col("prev_hash")) == F.col("current_hash")
+    return rows, C.provenance_audit(rows, key="chain", seq="seq", record="record", nonce="nonce", digest="current_hash", expected=ok, aliases=[("data_hash", "frame")])
+
+
+@query("c13_provenance_audit", f'WITH {_AUDIT} SELECT chain, seq, "check", severity FROM found')
 def c13(s, d):
-    rows = _bad(s, d).withColumns({"nonce": F.sha2(F.concat_ws(":", "chain", F.col("seq") % 40), 256), "record": F.concat_ws("_", "chain", "seq")})
-    ok = C.block_hash(F.col("seq"), F.col("stamp"), F.col("data_hash"), F.col("prev_hash")) == F.col("current_hash")
-    return C.provenance_audit(rows, key="chain", seq="seq", record="record", nonce="nonce", digest="current_hash", expected=ok)
+    return _audited(s, d)[1].select("chain", "seq", "check", "severity")
+
+
+@query("c13_provenance_summary", f"""WITH {_AUDIT} SELECT chain, total_records, coalesce(findings, 0) AS findings, coalesce(replay_detected, false) AS replay_detected, broken_sequence, findings IS NULL AS is_valid FROM (SELECT chain, count(*) AS total_records FROM x GROUP BY chain) LEFT JOIN (SELECT chain, count(*) AS findings, bool_or("check" = 'REPLAY') AS replay_detected, min_by(seq, position) AS broken_sequence FROM found GROUP BY chain) USING (chain)""")
+def c13_summary(s, d):
+    rows, evidence = _audited(s, d)
+    return C.provenance_summary(rows, evidence, key="chain", seq="seq")
+
+
+_REPORT = """'{"assessment_id":"a' || o_orderkey || '","confidence_score":0.95,"coverage_ratio":' || (o_orderkey % 8) / 8 || ',"findings_summary":[{"count":' || o_orderkey % 3 || ',"source":"' || o_orderpriority || '"},{"count":null,"source":"DATA"}],"gatekeeper_action":"' || o_orderstatus || '","hard_veto_triggered":' || (o_orderkey % 2 = 0) || ',"overall_verdict":"' || o_orderstatus || '","risk_level":"' || o_orderpriority || '","risk_score":' || o_totalprice || ',"target_asset_id":"' || o_custkey || '","target_asset_type":"DATASET"}'"""
+
+
+def _reports(s, d):
+    o, n = table(s, d, "orders"), F.col("o_orderkey")
+    finding = lambda source, count: F.struct(source.alias("source"), count.cast("long").alias("count"))
+    return o.select("o_orderkey", F.col("o_custkey").cast("string").alias("target_asset_id"), F.lit("DATASET").alias("target_asset_type"), F.concat(F.lit("a"), n).alias("assessment_id"), F.col("o_orderstatus").alias("overall_verdict"), F.col("o_orderstatus").alias("gatekeeper_action"), F.col("o_totalprice").cast("double").alias("risk_score"), F.col("o_orderpriority").alias("risk_level"),
+                    F.lit(0.95).alias("confidence_score"), (n % 8 / 8).alias("coverage_ratio"), (n % 2 == 0).alias("hard_veto_triggered"), F.array(finding(F.col("o_orderpriority"), n % 3), finding(F.lit("DATA"), F.lit(None))).alias("findings_summary"))
+
+
+@query("c14_report_digest", f"SELECT o_orderkey, sha256({_REPORT}) AS digest FROM orders")
+def c14_digest(s, d):
+    reports = _reports(s, d)
+    return reports.select("o_orderkey", C.report_digest(reports).alias("digest"))
 
 
-@query("c14_report_seal", "SELECT o_orderkey, o_orderkey % 10 <> 0 AS valid FROM orders")
+@query("c14_report_seal", "SELECT o_orderkey, o_orderkey % 10 <> 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0) AS valid FROM orders")
 def c14(s, d):
-    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    now = canonical_digest({c: F.col(c) for c in o.columns})
-    legacy = canonical_digest({c: F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")})
-    sealed = o.withColumn("seal", F.when(F.col("o_orderkey") % 7 == 0, legacy).otherwise(now))
-    tampered = sealed.withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
-    return tampered.select("o_orderkey", ((F.col("seal") == now) | (F.col("seal") == legacy)).alias("valid"))
+    """Reports sealed over the present or the former fields; a changed verdict breaks both seals, a changed action only the present one."""
+    reports, n = _reports(s, d), F.col("o_orderkey")
+    sealed = reports.withColumn("report_digest", F.when(n % 7 == 0, C.report_digest(reports, C.LEGACY_REPORT_FIELDS)).otherwise(C.report_digest(reports)))
+    changed = sealed.withColumns({"overall_verdict": F.when(n % 10 == 0, "X").otherwise(F.col("overall_verdict")), "gatekeeper_action": F.when(n % 11 == 0, "X").otherwise(F.col("gatekeeper_action"))})
+    return C.verify_reports(changed).select("o_orderkey", F.col("digest_match").alias("valid"))

@@ -1,6 +1,7 @@
 """Golden values and metamorphic checks of the audits."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -117,9 +118,52 @@ def test_admission_keeps_what_was_seen_as_it_goes(spark):
     kind = "o long, chain string, seq long, record string, nonce string"
     new = [(1, "c", 5, "A", "x"), (2, "c", 6, "B", "x"), (3, "c", 7, "B", "y"), (4, "c", 8, "A", "z"), (5, "d", 1, "C", "n0"), (6, "d", 2, "D", "d"), (7, "d", 2, "E", "e"), (8, "c", 2, "F", "f")]
     history = spark.createDataFrame([(0, "c", 4, "H", "h"), (0, "d", 0, "I", "n0")], kind)
-    good, bad = C.admit(spark.createDataFrame(new, kind), history, record="record", nonce="nonce", seq="seq", key="chain", order="o")
-    assert sorted(r.o for r in good.collect()) == [1, 3, 6]
-    assert {r.o: r.reject for r in bad.collect()} == {2: "REUSED_NONCE", 4: "REUSED_RECORD", 5: "REUSED_NONCE", 7: "ROLLBACK", 8: "ROLLBACK"}
+    judged = C.admit(spark.createDataFrame(new, kind), history, record="record", nonce="nonce", seq="seq", key="chain", order="o")
+    assert {r.o: r.outcome for r in judged.collect()} == {1: "ADMITTED", 2: "REUSED_NONCE", 3: "ADMITTED", 4: "REUSED_RECORD", 5: "REUSED_NONCE", 6: "ADMITTED", 7: "ROLLBACK", 8: "ROLLBACK"}
+
+
+def admitted_in_order(new, history):
+    """One record after the other, as a single service would take them."""
+    records, nonces, counter = {h[3] for h in history}, {h[4] for h in history}, {}
+    for h in history:
+        counter[h[1]] = max(counter.get(h[1], 0), h[2])
+    out = {}
+    for o, chain, seq, record, nonce in sorted(new):
+        now = counter.get(chain, 0)
+        if record in records:
+            out[o] = ("REUSED_RECORD", None)
+        elif nonce in nonces:
+            out[o] = ("REUSED_NONCE", None)
+        elif seq is not None and seq <= now:
+            out[o] = ("ROLLBACK", None)
+        else:
+            counter[chain] = now + 1 if seq is None else seq
+            records.add(record)
+            nonces.add(nonce)
+            out[o] = ("ADMITTED", counter[chain])
+    return out
+
+
+def test_admission_matches_one_after_the_other(spark):
+    kind = "o long, chain string, seq long, record string, nonce string"
+    assert {o: r[0] for o, r in admitted_in_order([(1, "c", 10, "a", "a"), (2, "c", 9, "b", "b"), (3, "c", 11, "c", "c")], []).items()} == {1: "ADMITTED", 2: "ROLLBACK", 3: "ADMITTED"}
+    rng = random.Random(6)
+    new = [(k, rng.choice("ab"), rng.choice([None, k + rng.randint(-6, 6), k + rng.randint(0, 3)]), f"r{rng.randint(0, 250)}", f"n{rng.randint(0, 400)}") for k in range(1, 300)]
+    new += [(1000, "c", 10, "x1", "y1"), (1001, "c", 9, "x2", "y2"), (1002, "c", 11, "x3", "y3"), (1003, "d", None, "x4", "y4")]
+    history = [(0, "a", 3, "r1", "n1"), (0, "a", 2, "r2", "n2")]
+    judged = C.admit(spark.createDataFrame(new, kind), spark.createDataFrame(history, kind), record="record", nonce="nonce", seq="seq", key="chain", order="o")
+    assert {r.o: (r.outcome, r.assigned) for r in judged.collect()} == admitted_in_order(new, history)
+
+
+def test_one_chain_is_verified_in_parts(spark):
+    """Pointers and numbers hold over the edges of the ranges."""
+    links = spark.createDataFrame([("a", k, f"s{k}", f"d{k}") for k in range(5000)], "chain string, seq long, stamp string, data_hash string")
+    built = C.build(links)
+    whole = C.checks(built)
+    assert whole.where("reason is not null").count() == 0 and whole.agg({"position": "max"}).first()[0] == 4999
+    cut_at = [1250, 2500, 3750, 17]
+    bad = built.withColumn("prev_hash", F.when(F.col("seq").isin(cut_at), "x").otherwise(F.col("prev_hash")))
+    assert sorted((r.seq, r.reason) for r in C.checks(bad).where("reason is not null").collect()) == [(k, "POINTER") for k in sorted(cut_at)]
 
 
 def test_quantiles_by_ranks(spark):
