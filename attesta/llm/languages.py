@@ -264,9 +264,13 @@ def fit(docs: DataFrame, *, sample: int = 400, hidden: int = 8, steps: int = 500
     step = (F.length("text") - piece_chars) / max(pieces - 1, 1)
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.col("text").substr((F.floor(k * step) + 1).cast("int"), F.lit(piece_chars))), " ")
     some = F.when(F.length("text") <= pieces * piece_chars, F.col("text")).otherwise(spread)
-    # about twice as many as are wanted pass by their hash alone, so that no language's rows meet
-    share = F.pmod("h", F.lit(1 << 52)) / float(1 << 52)
-    few = rows.join(rows.groupBy("lang").agg(F.count("*").alias("_n")), "lang").where(share * F.col("_n") < 2 * sample)
+    # about twice as many as are wanted pass by their hash alone, so that no language's rows meet; a number a language comes here, as
+    # does the network, which has a column for each
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return Network.fresh([], hidden)
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 2.0 * sample / n)])
+    few = rows.where(F.pmod("h", F.lit(1 << 52)) / float(1 << 52) < most[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("h", "text")
     chosen = few.select("lang", "h", some.alias("text")).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
     found = sorted((r.lang, r.h, r.text) for r in chosen.select("lang", "h", "text").collect())
