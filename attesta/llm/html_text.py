@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from attesta.llm.common import sealed, text_of, unsealed
+from attesta.llm.css import Sheet
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,8 +39,6 @@ HEAD_ONLY = frozenset("title meta link base style script noscript template head
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)|(?P<text>[^<]+|<)", re.DOTALL)
 _STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 _GAP = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -168,11 +167,27 @@ def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         yield pop()
 
 
-def unseen(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element and all inside it is not shown."""
-    if tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+def sheet_of(html: str) -> Sheet:
+    """The rules of a page's ``style`` elements but those for other media than screens, wherever they stand."""
+    if "<style" not in html and "<style" not in html.lower():
+        return Sheet()
+    texts, reading = [], False
+    for kind, tag, attrs in tree(html):
+        if kind == "text":
+            if reading:
+                texts.append(tag)
+        elif tag == "style":
+            reading = kind == "open" and attrs.get("media", "all").strip().lower() in ("", "all", "screen")
+    return Sheet("\n".join(texts))
+
+
+def unseen(tag: str, attrs: dict[str, str], display: str | None = None) -> bool:
+    """Whether an element and all inside it is not shown: by its kind, or by ``display``, which stands above what attributes say."""
+    if tag in HIDDEN or tag == "input" and attrs.get("type", "").lower() == "hidden":
         return True
-    return bool(attrs) and (bool(_UNSEEN.search(attrs.get("style", ""))) or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs)
+    if display is not None:
+        return display == "none"
+    return "hidden" in attrs or tag == "dialog" and "open" not in attrs
 
 
 class _Flow:
@@ -301,8 +316,9 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 def render(html: str) -> str:
     """The visible text: paragraphs apart by an empty line, list items marked and indented, table cells aligned.
 
-    What is hidden goes with all inside it; what is merely invisible keeps its place, and visible elements inside it are shown.
-    Of a select box only the chosen options show: the selected ones, else the first, or all where several may be chosen.
+    What is hidden goes with all inside it; what is merely invisible keeps its place, and visible elements inside it are shown. Style
+    attributes and the simple rules of style sheets decide (:mod:`attesta.llm.css`); what is only kept from screen readers is shown, and
+    buttons show their value. Of a select box only the chosen options show: the selected ones, else the first, or all where several may be chosen.
     """
     flow = _Flow()
     flows: list[_Flow] = []
@@ -314,6 +330,7 @@ def render(html: str) -> str:
     skip = pre = 0
     indents = [""]
     visible = [True]
+    sheet = sheet_of(html)
     for kind, tag, attrs in tree(html):
         if skip:
             skip += (kind == "open") - (kind == "close")
@@ -321,12 +338,15 @@ def render(html: str) -> str:
             if visible[-1]:
                 flow.text(tag.replace("\r\n", "\n") if pre else tag, pre > 0, indents[-1])
         elif kind == "open":
-            if unseen(tag, attrs):
+            display, said = sheet.said(tag, attrs)
+            if unseen(tag, attrs, display):
                 skip = 1
                 continue
-            said = _VISIBILITY.search(attrs["style"]) if "style" in attrs else None
-            visible.append(said[1].lower() == "visible" if said else visible[-1])
-            if tag == "br":
+            visible.append(said in ("visible", "initial") if said in ("visible", "hidden", "collapse", "initial") else visible[-1])
+            if tag == "input":
+                if visible[-1] and attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                    flow.text(attrs.get("value", ""), False, indents[-1])
+            elif tag == "br":
                 flow.end(force=True)
             elif tag == "hr":
                 flow.paragraph()
@@ -414,7 +434,8 @@ def render(html: str) -> str:
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with ``out_col``: the visible text of the whole page. Null pages give empty texts; every row gives one row."""
+    """``pages`` with ``out_col``: the visible text of the whole page, however long. Null and empty pages give empty texts; every row gives
+    one row, repeated ones too; an empty table gives an empty result. Where ``out_col`` clashes with a column, the new one stands."""
     pages, named = sealed(pages)
     names = pages.columns
 

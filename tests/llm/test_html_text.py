@@ -46,7 +46,7 @@ def test_layout():
     assert ht.render(page) == "One two three\n\nFour&five\n\n- a\n- b\n  3. c\n\nx\ny\n\nk\n  l"
     table = "<table><caption>Cap</caption><tr><th>n<th>name<tr><td>1<td>ann<br>lee<tr><td>100<td>bo</table>after"
     assert ht.render(table) == "Cap\nn    name\n1    ann\n     lee\n100  bo\n\nafter"
-    assert ht.render("<div hidden>a</div><div style='display: none'><p>b</div><span aria-hidden=true>c</span><noscript>d</noscript>e<script>'</p>'</script>") == "e"
+    assert ht.render("<div hidden>a</div><div style='display: none'><p>b</div><noscript>d</noscript>e<script>'</p>'</script>") == "e"
     assert ht.render("<table><td>a<table><tr><td>in<td>ner</table><td>b</table>") == "a        b\nin  ner"
     assert ht.render("a</p>b<br><br>c <!-- x > y --> d &lt;p&gt; <![CDATA[<q>]]>") == "a\n\nb\n\nc d <p> <q>"
     assert ht.render("") == "" and ht.render("<p") == "<p" and ht.render("1 < 2") == "1 < 2"
@@ -116,3 +116,22 @@ def test_generated_tables_against_brute_force():
             at = [m.start() for m in re.finditer(r"\S+", lines[r])][[x[1] for x in row_cells].index(c)]
             assert starts.setdefault(c, at) == at and lines[r][at : at + len(text)] == text
         assert all(a < b for (c, a), (d, b) in combinations(sorted(starts.items()), 2))
+
+
+def test_what_styles_hide():
+    assert ht.render("<div style='backface-visibility: hidden; transform: none'>slide</div>") == "slide"
+    assert ht.render("a <span aria-hidden=true>shown</span>") == "a shown"
+    assert ht.render("<p style='display:none;display:block'>a</p><p style='display:block;display:none'>b</p><p style='display:none !important;display:block'>c</p><p style='display:none;display:nonsense'>d</p>") == "a"
+    assert ht.render("<input type=submit value=Send><input type=hidden value=x><input type=button value='Go on' style='visibility:hidden'>") == "Send"
+    assert ht.render("<p hidden style='display:block'>a</p><p hidden>b</p>") == "a"
+
+
+def test_style_sheets():
+    css = """<style>/* .a { display: none } */ .gone, #menu { display: none } p.faint { visibility: hidden } .back { visibility: visible }
+    div .deep { display: none } a:hover { display: none } @media print { .a { display: none } } @media screen { .small { display: none } } @font-face { font-family: x }
+    .loud { display: block !important } .Case { display: none }</style><style media=print>.b { display: none }</style>"""
+    page = "<b class='x gone'>1</b> <b id=menu>2</b> <p class=faint>3<i class=back>4</i></p> <div><b class=deep>5</b></div> <b class='a b'>6</b> <b class=small>7</b> <b class='loud' style='display:none'>8</b> <b class=case>9</b> <b class=gone style='display:inline'>10</b>"
+    assert ht.render(css + page).split() == ["4", "5", "6", "8", "9", "10"]
+    assert ht.render(page + css).split() == ["4", "5", "6", "8", "9", "10"]
+    assert ht.render("<style>p { display: none } p { display: block } #a.b { display: none } .b.c { display: block }</style><p>1</p><p id=a class='b c'>2</p>") == "1"
+    assert ht.render("<style>p { display: none</style><p>1</p><b>2</b>") == "2" and ht.render("<style>} p { display:none }</style><p>1</p>") in ("", "1")

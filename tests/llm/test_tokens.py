@@ -127,3 +127,11 @@ def test_awkward_rows(spark, awkward):
     assert out.count() == awkward.count() and all((r.text or "") == r.decoded for r in out.collect())
     assert tc.token_counts(awkward, PATH).count() == awkward.count()
     assert bpe.encode(awkward.limit(0), PATH).count() == 0 and tc.token_counts(awkward.limit(0), PATH).count() == 0
+
+
+def test_long_runs_of_white_space(spark, library):
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" + "\t" * n + "b", "a" + " " * n + "<|endoftext|>" + "\n" * n, "\xa0 " * 5000 + "word" + " \n" * 5000 + "!", "x" + " " * 4095 + "y" + " " * 4096 + "z" + " " * 4097, "\u3000" * 5000 + "\x1c" + " " * 5000 + "\x1c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tc.token_counts(docs, PATH).collect()}
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
