@@ -1,7 +1,8 @@
 """Lineage over node and edge tables: traces, blast radius, integrity, subgraphs and contributor risk.
 
 Edges point from what depends to what it depends on, but for PROVIDED, CONTAINS_SAMPLE and PRODUCED. They are first brought to
-one directed table, and a trace then joins its frontier with it, level by level, for any number of roots at once.
+one directed table, and a trace then joins its frontier with it, level by level, for any number of roots at once: 64 roots are
+the bits of one word, so roots that reach the same nodes travel together.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.tiers import lookup, tier
 from attesta.plans.lineage import cut
+from attesta.plans.prefix import dealt, scanned
 
 OUTWARD = ("GENERATED_BY", "TRAINED_ON", "AUTHORED_BY", "VERSION_OF", "USED_PREPROCESSING")
 
@@ -36,17 +38,43 @@ def dependencies(edges: DataFrame, nodes: DataFrame, downstream: bool = False) -
     return steps.distinct()
 
 
-def trace(steps: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(root, id, depth): what is reached from each root in at most ``max_depth`` steps, at its least depth; roots left out."""
+def words_of(roots: DataFrame) -> DataFrame:
+    """root, word, bit: distinct roots numbered by ranges of their ids, 64 to a word."""
+    rows = roots.select("id").distinct().withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
+    at = F.col("_at") - 1
+    return cut(scanned(dealt(rows, ["_all"], ["id"]), ["_all"], ["id"], sums={"_at": "_one"}).select(F.col("id").alias("root"), F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit")))
+
+
+def spread(steps: DataFrame, words: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(word, id, mask, depth): the roots, as bits of a word, that reach a node in ``depth`` steps and no fewer; each root reaches itself in 0.
+
+    A level is one join of the frontier with the steps, one grouping that joins the bits of a word that meet at a node, and one join
+    that takes away the bits that were there before.
+    """
     steps = cut(steps)
-    frontier = seen = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    seen = frontier = cut(words.groupBy("word", F.col("root").alias("id")).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).withColumn("depth", F.lit(0)))
     for d in range(1, max_depth + 1):
-        reached = frontier.join(steps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        met = frontier.join(steps, F.col("id") == F.col("src")).groupBy("word", F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        before = seen.groupBy("word", "id").agg(F.bit_or("mask").alias("_seen"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        found = met.join(before, ["word", "id"], "left").select("word", "id", fresh.alias("mask"))
+        frontier = cut(found.where("mask <> 0").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen.where("depth > 0")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def each_root(masked: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of words as rows of roots: ``root`` in place of ``word`` and ``mask``."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1)) == 1)
+    return masked.withColumn("bit", F.explode(bits)).join(words, ["word", "bit"]).drop("word", "bit", "mask")
+
+
+def trace(steps: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(root, id, depth): what is reached from each root in at most ``max_depth`` steps, at its least depth; roots left out."""
+    words = words_of(roots)
+    return each_root(spread(steps, words, max_depth).where("depth > 0"), words).select("root", "id", "depth")
 
 
 def upsert_edges(edges: DataFrame, order: str) -> DataFrame:
@@ -95,28 +123,41 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_depth
 
     Evidence and quarantines are those of the root and of all downstream of it; quarantine records that lie downstream count too.
     """
-    down = cut(trace(dependencies(edges, nodes, downstream=True), roots, max_depth))
-    typed = down.join(nodes.select("id", "node_type"), "id")
-    is_ = lambda *t: F.count_if(F.col("node_type").isin(*t))
-    g = typed.groupBy("root").agg(is_("TRAINING_RUN").alias("runs"), is_("MODEL", "MODEL_VERSION").alias("models"), is_("INFERENCE", "INFERENCE_RECORD").alias("inferences"), F.count("*").alias("downstream"))
-    area = down.select("root", "id").union(roots.select("id", "id"))
-    ev = area.join(attached(edges, nodes), "id").groupBy("root").agg(F.count_distinct("evidence").alias("evidence"))
-    held = area.join(quarantines(edges, nodes), "id").select("root", "quarantine").union(typed.where("node_type = 'QUARANTINE_RECORD'").select("root", "id"))
-    held = held.groupBy("root").agg(F.count_distinct("quarantine").alias("quarantines"))
+    edges, nodes, words = cut(edges), cut(nodes), words_of(roots)
+    area = cut(spread(dependencies(edges, nodes, downstream=True), words, max_depth))
+    typed = area.where("depth > 0").groupBy("word", "id").agg(F.bit_or("mask").alias("mask")).join(nodes.select("id", "node_type"), "id")
+    kinds = {"runs": ("TRAINING_RUN",), "models": ("MODEL", "MODEL_VERSION"), "inferences": ("INFERENCE", "INFERENCE_RECORD")}
+    # counts of a word's nodes by kind and mask stay few where roots reach the same nodes
+    alike = typed.groupBy("word", "mask").agg(*[F.count_if(F.col("node_type").isin(*t)).alias(k) for k, t in kinds.items()], F.count("*").alias("downstream"))
+    g = each_root(alike, words).groupBy("root").agg(*[F.sum(k).alias(k) for k in (*kinds, "downstream")])
+
+    def distinct(rows: DataFrame, what: str, name: str) -> DataFrame:
+        one = rows.groupBy("word", what).agg(F.bit_or("mask").alias("mask")).groupBy("word", "mask").agg(F.count("*").alias("n"))
+        return each_root(one, words).groupBy("root").agg(F.sum("n").alias(name))
+
+    ev = distinct(area.join(attached(edges, nodes), "id"), "evidence", "evidence")
+    held = area.join(quarantines(edges, nodes), "id").select("word", "quarantine", "mask").union(typed.where("node_type = 'QUARANTINE_RECORD'").select("word", "id", "mask"))
+    held = distinct(held, "quarantine", "quarantines")
     degree = edges.select(F.explode(F.array("source_id", "target_id")).alias("root")).groupBy("root").agg(F.count("*").alias("direct"))
-    out = roots.select(F.col("id").alias("root")).join(g, "root", "left").join(ev, "root", "left").join(held, "root", "left").join(degree, "root", "left").na.fill(0)
+    out = words.select("root").join(g, "root", "left").join(ev, "root", "left").join(held, "root", "left").join(degree, "root", "left").na.fill(0)
     status = F.when(F.col("quarantines") > 0, "QUARANTINED").when(F.col("evidence") > 0, "UNDER_REVIEW").otherwise("ACCEPTED")
     return out.withColumns({"total": F.col("runs") + F.col("models") + F.col("inferences"), "status": status})
 
 
 def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: total nodes and edges, broken edges (an end is missing), orphans (no edge), valid."""
-    ids = nodes.select("id")
-    whole = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    used = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = n(nodes, "total_nodes").join(n(edges, "total_edges")).join(n(whole, "whole")).join(n(ids.join(used, "id", "left_anti"), "orphans"))
-    return counts.select("total_nodes", "total_edges", (F.col("total_edges") - F.col("whole")).alias("broken"), "orphans", (F.col("total_edges") == F.col("whole")).alias("valid"))
+    """One row: total nodes and edges, broken edges (an end is missing), orphans (no edge), valid.
+
+    One grouping by id of nodes and edges' ends tells for each id whether it is a node and how many ends name it; an edge with both
+    ends missing is counted once, as its ends are looked up by number.
+    """
+    numbered = cut(edges.select("source_id", "target_id").withColumn("_e", F.monotonically_increasing_id()))
+    ends = numbered.select(F.explode(F.array("source_id", "target_id")).alias("id"), "_e")
+    known = nodes.select("id").withColumn("_node", F.lit(True))
+    met = ends.join(known, "id", "full")
+    per_id = met.agg(F.count_if(F.col("_e").isNull()).alias("orphans"))
+    bad = met.where("_node is null").agg(F.count_distinct("_e").alias("broken"))
+    counts = nodes.agg(F.count("*").alias("total_nodes")).join(numbered.agg(F.count("*").alias("total_edges"))).join(bad).join(per_id)
+    return counts.select("total_nodes", "total_edges", "broken", "orphans", (F.col("broken") == 0).alias("valid"))
 
 
 def subject_mismatches(edges: DataFrame, nodes: DataFrame, subject: str) -> DataFrame:

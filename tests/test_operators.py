@@ -197,3 +197,22 @@ def test_subgraph_of_a_batch(spark):
     e = spark.createDataFrame(edges, "source_id string, target_id string, edge_type string")
     got = L.batch_subgraph(e, n, spark.createDataFrame([("b",), ("nothing",)], "id string")).collect()
     assert {r.root for r in got} == {"b"} and {r.id for r in got} == {"b", "m", "who", "i", "r"}
+
+
+def test_traces_of_many_roots_match_a_walk_of_each(spark):
+    """More roots than a word has bits, with cycles, hubs and a depth that cuts."""
+    rng = random.Random(8)
+    steps = {(f"n{rng.randint(0, 90)}", f"n{int(rng.random() ** 3 * 90)}") for _ in range(260)}
+    names = [f"n{k}" for k in range(91)] + ["alone"]
+    df = spark.createDataFrame(sorted(steps), "src string, dst string")
+    got = L.trace(df, spark.createDataFrame([(n,) for n in names + names[:3]], "id string"), max_depth=4)
+    found = {}
+    for r in got.collect():
+        assert (r.root, r.id) not in found
+        found[r.root, r.id] = r.depth
+    for root in names:
+        depth, edge = {root: 0}, {root}
+        for d in range(1, 5):
+            edge = {b for a, b in steps if a in edge and b not in depth}
+            depth |= dict.fromkeys(edge, d)
+        assert {k[1]: v for k, v in found.items() if k[0] == root} == {k: v for k, v in depth.items() if v}
