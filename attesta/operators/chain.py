@@ -163,15 +163,15 @@ def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: s
     tips = history.groupBy(key).agg(F.max(seq).alias("_last"))
     known = new.join(history.select(F.col(record), F.lit(True).alias("_r")).distinct(), record, "left")
     known = known.join(history.select(F.col(nonce), F.lit(True).alias("_n")).distinct(), nonce, "left").join(tips, key, "left")
-    past = F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE")
-    rows = known.withColumns({"_past": past, "outcome": F.coalesce(past, F.lit("ADMITTED")), "_last": F.coalesce("_last", F.lit(0)).cast("long")})
-    now = dealt(rows.select(*new.columns, "_last", "_past", "outcome"), [key], [order])
+    past = F.when(F.col("_r"), "REUSED_RECORD").when(F.col("_n"), "REUSED_NONCE").otherwise("ADMITTED")
+    rows = known.withColumns({"outcome": past, "_last": F.coalesce("_last", F.lit(0)).cast("long")})
+    now = dealt(rows.select(*new.columns, "_last", "_r", "_n", "outcome"), [key], [order])
     while True:
         good = now.where("outcome = 'ADMITTED'")
         met = now
         for name, by in (("_fr", record), ("_fn", nonce)):
             met = met.join(good.groupBy(by).agg(F.min(order).alias(name)), by, "left")
-        reused = F.coalesce("_past", F.when(F.col("_fr") < F.col(order), "REUSED_RECORD").when(F.col("_fn") < F.col(order), "REUSED_NONCE"))
+        reused = F.when(F.col("_r") | (F.col("_fr") < F.col(order)), "REUSED_RECORD").when(F.col("_n") | (F.col("_fn") < F.col(order)), "REUSED_NONCE")
         met = met.withColumn("_reused", reused).withColumn("_blank", (F.col("_reused").isNull() & F.col(seq).isNull()).cast("long"))
         met = scanned(met, [key], [order], sums={"_blanks": "_blank"})
         met = met.withColumn("_level", F.when(F.col("_reused").isNull(), F.col(seq) - F.col("_blanks")))
@@ -179,7 +179,7 @@ def admit(new: DataFrame, history: DataFrame, *, record: str, nonce: str, seq: s
         counter = F.col("_blanks") + F.greatest("_last", "_top")
         found = F.coalesce("_reused", F.when(F.col(seq) <= counter, "ROLLBACK"), F.lit("ADMITTED"))
         assigned = F.when(found == "ADMITTED", F.coalesce(F.col(seq), counter)).cast("long")
-        after = cut(met.select(*now.columns[: len(new.columns) + 2], "_part", found.alias("outcome"), assigned.alias("assigned"), (found != F.col("outcome")).alias("_changed")))
+        after = cut(met.select(*now.columns[: len(new.columns) + 3], "_part", found.alias("outcome"), assigned.alias("assigned"), (found != F.col("outcome")).alias("_changed")))
         if after.where("_changed").isEmpty():
             return after.select(*new.columns, "outcome", "assigned")
         now = after.drop("_changed", "assigned")

@@ -5,6 +5,9 @@ Input is long: feature, value, base (true for the baseline). All statistics are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def ranked(rows: DataFrame) -> DataFrame:
 def quantiles(steps: DataFrame, at: list[float], name: str, sides: tuple[str, ...] = ("b", "t")) -> DataFrame:
     """feature and an array of quantiles for each side (``name_b``, ``name_t``; null where a side is empty), interpolated linearly.
 
-    ``steps`` is :func:`ranked`: a value that stands at a wanted rank, or next above it, is picked where it lies.
+    ``steps`` is :func:`ranked`: a value that stands at a wanted rank, or next above it, is picked where it lies. Most values are
+    passed over by arithmetic on their own ranks.
     """
     points = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in enumerate(at)])
     out = steps.select("feature").distinct()
@@ -46,7 +50,7 @@ def quantiles(steps: DataFrame, at: list[float], name: str, sides: tuple[str, ..
         first, last = F.col(upto) - F.col(side), F.col(upto) - 1
         place = lambda x: x["p"] * (F.col(total) - 1)
         over = F.filter(points, lambda x: (F.floor(place(x)) <= last) & (F.ceil(place(x)) >= first))
-        found = steps.where(F.col(side) > 0).select("feature", "value", F.col(total).alias("_of"), first.alias("_lo"), last.alias("_hi"), F.explode(over).alias("x"))
+        found = steps.where((F.col(side) > 0) & _near(at, first, last, F.col(total) - 1)).select("feature", "value", F.col(total).alias("_of"), first.alias("_lo"), last.alias("_hi"), F.explode(over).alias("x"))
         rank = F.col("x.p") * (F.col("_of") - 1)
         inside = lambda r: F.when((F.col("_lo") <= r) & (F.col("_hi") >= r), F.col("value"))
         two = found.groupBy("feature", "x.k").agg(F.max(inside(F.floor(rank))).alias("low"), F.max(inside(F.ceil(rank))).alias("high"), F.max(rank - F.floor(rank)).alias("share"))
@@ -55,6 +59,18 @@ def quantiles(steps: DataFrame, at: list[float], name: str, sides: tuple[str, ..
     return out
 
 
+def _near(at: list[float], first: Column, last: Column, top: Column) -> Column:
+    """Whether one of the points, or a rank next to it, may lie among the ranks from ``first`` to ``last`` of 0 to ``top``: exact for a few
+    points; for many, which are evenly spaced, by the numbers of the first and last point inside, a little too wide."""
+    if len(at) < 9:
+        return reduce(or_, [(F.floor(p * top) <= last) & (F.ceil(p * top) >= first) for p in at])
+    gap = (at[-1] - at[0]) / (len(at) - 1)
+    span = F.greatest(top, F.lit(1))
+    number = lambda rank: (rank / span - at[0]) / gap
+    low, high = F.greatest(F.ceil(number(first - 1) - 1e-6), F.lit(0)), F.least(F.floor(number(last + 1) + 1e-6), F.lit(len(at) - 1))
+    return low <= high
+
+
 def summaries(rows: DataFrame) -> DataFrame:
     v = F.col("value")
     out = rows.groupBy("feature").agg(F.count(v).alias("count"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"))
