@@ -239,18 +239,25 @@ def label_distribution(metadata: DataFrame, labels: str) -> DataFrame:
     return metadata.where(F.coalesce("readable", F.lit(True))).select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def assess(samples: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """key, result, score: the verdict of each sample from its findings (check_type, severity, metric, counts)."""
+def assess(samples: DataFrame, findings: DataFrame, key: str, changed: DataFrame | None = None) -> DataFrame:
+    """key, result, score: the verdict of each sample from its findings (check_type, severity, metric, counts) and on whether it is among
+    the ``changed`` ones, whose digest is another than on record.
+
+    Grave findings come first; then whatever isn't a duplicate, a duplicate of medium severity or a changed digest makes a sample
+    suspicious; duplicates alone don't.
+    """
     eff = F.coalesce(F.col("counts"), F.lit(True))
     dup = F.col("check_type").contains("DUPLICATE")
     g = findings.groupBy(key).agg(
         F.bool_or(eff & F.col("severity").isin("CRITICAL", "HIGH")).alias("bad"),
-        F.bool_or(eff & ~dup).alias("odd"),
+        F.bool_or(eff & (~dup | (F.col("severity") == "MEDIUM"))).alias("odd"),
         F.bool_or(dup).alias("dup"),
         F.max("metric").alias("score"),
     )
-    result = F.when(F.col("bad"), "POISONED").when(F.col("odd"), "SUSPICIOUS").when(F.col("dup"), "NEAR-DUPLICATE").otherwise("CLEAN")
-    return samples.select(key).join(g, key, "left").select(key, result.alias("result"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    j = samples.select(key).join(g, key, "left")
+    j = j.withColumn("_new", F.lit(False)) if changed is None else j.join(changed.select(key).distinct().withColumn("_new", F.lit(True)), key, "left")
+    result = F.when(F.col("bad"), "POISONED").when(F.col("odd") | F.col("_new"), "SUSPICIOUS").when(F.col("dup"), "NEAR-DUPLICATE").otherwise("CLEAN")
+    return j.select(key, result.alias("result"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def changed_fingerprints(now: DataFrame, history: DataFrame, key: str, digest: str) -> DataFrame:

@@ -12,23 +12,72 @@ def changed_layers(baseline: DataFrame, candidate: DataFrame, keys: list[str], d
     return baseline.join(other, keys).where(F.col(digest) != F.col("_now")).select(*keys)
 
 
-def compare_manifests(models: DataFrame, baselines: DataFrame, by_id: tuple[str, str], by_name: list[str], fields: list[str]) -> DataFrame:
-    """``models`` with discrepancies (fields that differ from the baseline) and status: the baseline is that of the given id, else of the name; none leaves UNAVAILABLE."""
-    as_ = lambda p: baselines.select(*[F.col(c).alias(f"{p}{c}") for c in baselines.columns])
+def with_baseline(models: DataFrame, baselines: DataFrame, by_id: tuple[str, str], by_name: list[str]) -> DataFrame:
+    """``models`` with ``baseline``, a struct of the baseline's columns: that of the given id, else of the name; null where there is none."""
     own, key = by_id
-    j = models.join(as_("_i_"), F.col(own) == F.col(f"_i_{key}"), "left")
-    cond = F.lit(True)
+    named = lambda p: baselines.select(F.struct(*baselines.columns).alias(p))
+    j = models.join(named("_i"), F.col(own) == F.col(f"_i.{key}"), "left")
+    same = F.lit(True)
     for c in by_name:
-        cond = cond & (F.col(c) == F.col(f"_n_{c}"))
-    j = j.join(as_("_n_"), cond, "left")
-    base = lambda c: F.when(F.col(f"_i_{key}").isNotNull(), F.col(f"_i_{c}")).otherwise(F.col(f"_n_{c}"))
-    known = F.col(f"_i_{key}").isNotNull() | F.col(f"_n_{key}").isNotNull()
-    diff = F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(base(f)), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    out = j.withColumn("discrepancies", F.when(known, diff))
+        same = same & (F.col(c) == F.col(f"_n.{c}"))
+    j = j.join(named("_n"), same, "left")
+    return j.select(*models.columns, F.coalesce("_i", "_n").alias("baseline"))
+
+
+def compare_manifests(models: DataFrame, baselines: DataFrame, by_id: tuple[str, str], by_name: list[str], fields: list[str]) -> DataFrame:
+    """``models`` with discrepancies (fields that differ from the baseline) and status: the baseline is that of the given id, else of the name; none leaves UNAVAILABLE."""
+    known = F.col("baseline").isNotNull()
+    diff = F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"baseline.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    out = with_baseline(models, baselines, by_id, by_name).withColumn("discrepancies", F.when(known, diff))
     status = F.when(~known, "UNAVAILABLE").when(F.size("discrepancies") == 0, "MATCH").otherwise("MISMATCH")
     return out.withColumn("status", status).select(*models.columns, "discrepancies", "status")
 
 
+def verify_models(rows: DataFrame) -> DataFrame:
+    """Verdicts on models beside their ``baseline`` (see :func:`with_baseline`).
+
+    Models and baselines have artifact_hash, weights_hash, architecture_hash (null or empty: identity_digest stands in),
+    identity_digest, access_mode, layer_count, parameter_count, inputs and outputs; models also current_hash (of the file as it is now,
+    null where there is no file), changed_layers (names), behavioural and trigger (statuses, UNAVAILABLE where they weren't tested).
+    Adds binary_identity, structural_identity, behavioural_identity and trigger_status, weights_match, discrepancies (codes, in this
+    order) and is_valid: everything matches or is unavailable, and there is no discrepancy. A black box has no structure to compare,
+    which is a discrepancy; without a baseline all is unavailable and nothing valid. Weights count where both sides know them.
+    """
+    base, black = lambda c: F.col(f"baseline.{c}"), F.lit("BLACK_BOX")
+    known, given = F.col("baseline").isNotNull(), lambda c: F.coalesce(c != "", F.lit(False))
+    now = F.coalesce("current_hash", "artifact_hash")
+    binary = F.coalesce(now == base("artifact_hash"), F.lit(False))
+    weights = ~(given(F.col("weights_hash")) & given(base("weights_hash"))) | (F.col("weights_hash") == base("weights_hash"))
+    closed = F.coalesce(F.col("access_mode") == black, F.lit(False)) | F.coalesce(base("access_mode") == black, F.lit(False))
+    form = lambda a, d: F.when(given(a), a).otherwise(d)
+    alike = form(F.col("architecture_hash"), F.col("identity_digest")).eqNullSafe(form(base("architecture_hash"), base("identity_digest")))
+    differs = lambda c: ~closed & ~F.col(c).eqNullSafe(base(c))
+    codes = [
+        ("ARTIFACT_MODIFIED", F.coalesce(F.col("current_hash") != F.col("artifact_hash"), F.lit(False))),
+        ("BINARY", ~binary),
+        ("STRUCTURE_UNAVAILABLE", closed),
+        ("ARCHITECTURE", ~closed & ~alike),
+        *[(c.upper(), differs(c)) for c in ("layer_count", "parameter_count", "inputs", "outputs")],
+        ("BEHAVIOUR", F.col("behavioural") == "MISMATCH"),
+        ("TRIGGER", F.col("trigger") == "SUSPICIOUS"),
+    ]
+    flags = [F.when(cond, F.lit(code)) for code, cond in codes]
+    layers = F.when(~weights, F.transform(F.coalesce("changed_layers", F.array().cast("array<string>")), lambda x: F.concat(F.lit("WEIGHTS:"), x))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.filter(F.array(*flags[:2]), lambda x: x.isNotNull()), layers, F.filter(F.array(*flags[2:]), lambda x: x.isNotNull()))
+    status = lambda yes: F.when(~known, "UNAVAILABLE").when(yes, "MATCH").otherwise("MISMATCH")
+    out = rows.withColumns({
+        "binary_identity": status(binary),
+        "structural_identity": F.when(closed, "UNAVAILABLE").otherwise(status(alike)),
+        "behavioural_identity": F.when(known, F.col("behavioural")).otherwise("UNAVAILABLE"),
+        "trigger_status": F.when(known, F.col("trigger")).otherwise("UNAVAILABLE"),
+        "weights_match": known & weights,
+        "discrepancies": F.when(known, found).otherwise(F.array(F.lit("NO_BASELINE"))),
+    })
+    fine = lambda c: F.col(c).isin("MATCH", "UNAVAILABLE")
+    valid = (F.col("binary_identity") == "MATCH") & F.col("weights_match") & fine("structural_identity") & fine("behavioural_identity") & (F.col("trigger_status") != "SUSPICIOUS") & (F.size("discrepancies") == 0)
+    return out.withColumn("is_valid", valid)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -122,7 +171,7 @@ def tensor_summary(outputs: DataFrame, key: str, vector: str, shape: list[int])
     return outputs.select(key, (finite & size).alias("valid"), F.round(F.array_min(v), 6).alias("min"), F.round(F.array_max(v), 6).alias("max"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), 6).alias("mean"), F.size(v).cast("long").alias("elements"))
 
 
-def assurance(rows: DataFrame) -> DataFrame:
-    """One finding a model from its statuses (binary, structure, similarity, trigger): is_valid and confidence."""
-    ok = (F.col("binary") == "MATCH") & (F.col("structure") == "MATCH") & (F.col("similarity") == "ACCEPTED") & ~F.col("trigger")
-    return rows.withColumns({"is_valid": ok, "confidence": F.when(F.col("binary") == "MATCH", 1.0).otherwise(0.95)})
+def assurance(verified: DataFrame) -> DataFrame:
+    """One finding a model from :func:`verify_models`: its statuses, confidence and limitations."""
+    limits = F.when(F.col("access_mode") == "BLACK_BOX", F.array(F.lit("BLACK_BOX"))).otherwise(F.array().cast("array<string>"))
+    return verified.withColumns({"confidence": F.when(F.col("binary_identity") == "MATCH", 1.0).otherwise(0.95), "limitations": limits})

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions import hashing as H
+from attesta.functions.canonical import canonical_text, spec_digest
 from attesta.functions import tiers as T
 from attesta.operators import rows as R
 from attesta.plans import fixtures as fx
@@ -26,6 +27,17 @@ def f02(s, d):
     return table(s, d, "documents").select("doc_id", H.canonical_digest({c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars")}).alias("digest"))
 
 
+_NESTED = """'{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00","big":' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE (value * 1e15)::DOUBLE::VARCHAR END || ',"day":"' || ts::DATE || '","map":{"' || event_type || '":' || event_id || ',"zz":null},"nested":{"flag":' || (event_id % 2 = 0) || ',"list":[{"a":' || user_id || ',"b":"' || replace(props, '"', '\\"') || '"},null]},"value":' || value || '}'"""
+
+
+@query("f01_nested_json", f"SELECT event_id, {_NESTED} AS canonical FROM events")
+def f01_nested(s, d):
+    e, n = table(s, d, "events"), F.col("event_id")
+    pair = F.struct(F.col("props").alias("b"), F.col("user_id").alias("a"))
+    fields = {"value": F.col("value"), "at": F.col("ts"), "day": F.col("ts").cast("date"), "big": F.when(n % 5 != 0, F.col("value") * 1e15), "map": F.create_map(F.lit("zz"), F.lit(None).cast("long"), F.col("event_type"), n), "nested": F.struct(F.array(pair, F.lit(None)).alias("list"), (n % 2 == 0).alias("flag"))}
+    return e.select("event_id", canonical_text(e, fields).alias("canonical"))
+
+
 @query("f03_content_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def f03(s, d):
     return table(s, d, "documents").select("doc_id", H.content_digest(F.col("text")).alias("digest"))
@@ -34,7 +46,20 @@ def f03(s, d):
 @query("f04_digest_passthrough", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256(source) END AS digest FROM documents")
 def f04(s, d):
     given = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise(F.col("source"))
-    return table(s, d, "documents").select("doc_id", H.digest_or_pass(given).alias("digest"))
+    docs = table(s, d, "documents")
+    return docs.select("doc_id", spec_digest(docs, given).alias("digest"))
+
+
+#: The configuration that stands where a record has none.
+_CONFIG = {"batch_size": 1, "confidence_threshold": 0.5, "device": "cpu", "execution_provider": "CPUExecutionProvider", "extra_params": {}}
+
+
+@query("f04_spec_digests", """SELECT event_id, sha256(CASE WHEN event_id % 3 = 0 THEN '{"batch_size":1,"confidence_threshold":0.5,"device":"cpu","execution_provider":"CPUExecutionProvider","extra_params":{}}' ELSE '{"batch_size":' || user_id || ',"confidence_threshold":' || value || ',"device":"' || event_type || '"}' END) AS config, sha256('{"output":[' || value || ',' || (value / 4)::VARCHAR || ']}') AS output FROM events""")
+def f04_specs(s, d):
+    """Configurations, some of them missing, and lists of outputs."""
+    e = table(s, d, "events")
+    config = F.when(F.col("event_id") % 3 != 0, F.struct(F.col("event_type").alias("device"), F.col("user_id").alias("batch_size"), F.col("value").alias("confidence_threshold")))
+    return e.select("event_id", spec_digest(e, config, default=_CONFIG).alias("config"), spec_digest(e, F.array("value", F.col("value") / 4)).alias("output"))
 
 
 @query("f05_hamming", f"WITH {fx.GRID_HASH_SQL} SELECT a.vec_id, bit_count(xor(a.dh, b.dh))::INT AS distance FROM hashed a JOIN hashed b ON b.vec_id = a.vec_id + 1")

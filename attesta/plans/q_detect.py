@@ -91,12 +91,26 @@ def a06(s, d):
     return D.contributor_rollup(table(s, d, "documents"), _findings(s, d), "source", "check_type", "severity")
 
 
-@query("r08_sample_assessment", f"WITH {_FIND}, g AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS bad, bool_or(check_type <> 'EXACT_DUPLICATE') AS odd, max(metric)::DOUBLE AS score FROM f GROUP BY doc_id) SELECT doc_id, CASE WHEN bad THEN 'POISONED' WHEN odd THEN 'SUSPICIOUS' WHEN score IS NOT NULL THEN 'NEAR-DUPLICATE' ELSE 'CLEAN' END AS result, coalesce(score, 0) AS score FROM documents LEFT JOIN g USING (doc_id)")
+_R08 = f"{_FIND}, g AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS bad, bool_or(check_type <> 'EXACT_DUPLICATE' OR severity = 'MEDIUM') AS odd, max(metric)::DOUBLE AS score FROM f GROUP BY doc_id)"
+
+
+@query("r08_sample_assessment", f"WITH {_R08} SELECT doc_id, CASE WHEN bad THEN 'POISONED' WHEN odd OR (doc_id % 2 = 0 AND doc_id % 23 = 0) THEN 'SUSPICIOUS' WHEN score IS NOT NULL THEN 'NEAR-DUPLICATE' ELSE 'CLEAN' END AS result, coalesce(score, 0) AS score FROM documents LEFT JOIN g USING (doc_id)")
 def r08(s, d):
-    return D.assess(table(s, d, "documents"), _findings(s, d).withColumn("counts", F.lit(True)), "doc_id")
+    """Every second document is on record, some with another text."""
+    docs = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    history = docs.where("doc_id % 2 = 0").withColumn("digest", F.when(F.col("doc_id") % 23 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("digest")))
+    return D.assess(docs, _findings(s, d).withColumn("counts", F.lit(True)), "doc_id", D.changed_fingerprints(docs, history, "doc_id", "digest"))
+
+
+@query("r08_mild_duplicates", f"WITH {_R08.replace("'MEDIUM' AS severity", "CASE WHEN doc_id % 2 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity")} SELECT doc_id, CASE WHEN bad THEN 'POISONED' WHEN odd THEN 'SUSPICIOUS' WHEN score IS NOT NULL THEN 'NEAR-DUPLICATE' ELSE 'CLEAN' END AS result, coalesce(score, 0) AS score FROM documents LEFT JOIN g USING (doc_id)")
+def r08_mild(s, d):
+    """Copies count as mild for odd documents."""
+    f = _findings(s, d).withColumn("counts", F.lit(True))
+    mild = F.when((F.col("check_type") == "EXACT_DUPLICATE") & (F.col("doc_id") % 2 == 1), "LOW").otherwise(F.col("severity"))
+    return D.assess(table(s, d, "documents"), f.withColumn("severity", mild), "doc_id")
 
 
-_R07 = f"""{_FIND}, g AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS bad, bool_or(check_type <> 'EXACT_DUPLICATE') AS odd, list_sort(list(check_type)) AS findings FROM f GROUP BY doc_id),
+_R07 = f"""{_FIND}, g AS (SELECT doc_id, bool_or(severity IN ('CRITICAL', 'HIGH')) AS bad, bool_or(check_type <> 'EXACT_DUPLICATE' OR severity = 'MEDIUM') AS odd, list_sort(list(check_type)) AS findings FROM f GROUP BY doc_id),
 q AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - doc_id FROM documents WHERE doc_id % 100 = 0), x AS (SELECT q.doc_id, d.doc_id IS NOT NULL AS known, bad, odd, findings FROM q LEFT JOIN documents d ON d.doc_id = q.doc_id LEFT JOIN g ON g.doc_id = q.doc_id)"""
 
 

@@ -96,11 +96,43 @@ def a24(s, d):
     return M.tensor_summary(_probes(s, d), "vec_id", "a", [-1, 64])
 
 
-@query("r10_model_assurance", "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS is_valid, CASE WHEN p_partkey % 3 <> 0 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM part")
+#: A model and its baseline for each part: what differs follows from the part's number.
+_VERIFY = """v AS (SELECT p_partkey AS k, k % 7 <> 0 AS known, k % 17 = 0 AS closed, k % 11 = 0 AS modified, (k % 11 = 0 OR k % 13 = 0) AS other, (k % 5 = 0 AND k % 2 = 0) AS weights, (k % 19 = 0) AS arch, CASE WHEN k % 4 = 0 THEN 'UNAVAILABLE' WHEN k % 23 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS behavioural, CASE WHEN k % 3 = 0 THEN 'UNAVAILABLE' WHEN k % 29 = 0 THEN 'SUSPICIOUS' ELSE 'CLEAR' END AS trig FROM part),
+w AS (SELECT *, CASE WHEN NOT known THEN ['NO_BASELINE'] ELSE list_filter([CASE WHEN modified THEN 'ARTIFACT_MODIFIED' END, CASE WHEN other THEN 'BINARY' END, CASE WHEN weights THEN 'WEIGHTS:l1' END, CASE WHEN weights AND k % 3 = 0 THEN 'WEIGHTS:l2' END, CASE WHEN closed THEN 'STRUCTURE_UNAVAILABLE' END, CASE WHEN arch AND NOT closed THEN 'ARCHITECTURE' END, CASE WHEN k % 31 = 0 AND NOT closed THEN 'LAYER_COUNT' END, CASE WHEN k % 37 = 0 AND NOT closed THEN 'OUTPUTS' END, CASE WHEN behavioural = 'MISMATCH' THEN 'BEHAVIOUR' END, CASE WHEN trig = 'SUSPICIOUS' THEN 'TRIGGER' END], lambda x: x IS NOT NULL) END AS found FROM v)"""
+
+
+def _verified(s, d):
+    k, sha = F.col("p_partkey"), lambda *c: F.sha2(F.concat_ws("|", *c), 256)
+    p = table(s, d, "part")
+    none = F.lit(None).cast("string")
+    same = p.select(k.alias("model_id"), sha(F.col("p_name"), k).alias("artifact_hash"), F.when(k % 2 == 0, sha(F.lit("w"), k)).alias("weights_hash"), F.when(k % 6 == 0, "").when(k % 2 == 0, sha(F.lit("a"), k)).alias("architecture_hash"), sha(F.lit("i"), k).alias("identity_digest"), F.lit("WHITE_BOX").alias("access_mode"), F.col("p_size").alias("layer_count"), (F.col("p_size") * 100).alias("parameter_count"), F.array(F.col("p_brand")).alias("inputs"), F.array(F.col("p_type")).alias("outputs"))
+    n = F.col("model_id")
+    base = same.where(n % 7 != 0)
+    asked = same.withColumns({
+        "baseline_id": F.when(n % 2 == 0, n),
+        "artifact_hash": F.when((n % 13 == 0) & (n % 11 != 0), sha(F.lit("z"), n)).otherwise(F.col("artifact_hash")),
+        "current_hash": F.when(n % 11 == 0, sha(F.lit("now"), n)).when((n % 3 == 0) & (n % 13 != 0), F.col("artifact_hash")).otherwise(none),
+        "weights_hash": F.when((n % 5 == 0) & (n % 2 == 0), sha(F.lit("w2"), n)).otherwise(F.col("weights_hash")),
+        "changed_layers": F.when(n % 3 == 0, F.array(F.lit("l1"), F.lit("l2"))).otherwise(F.array(F.lit("l1"))),
+        "architecture_hash": F.when((n % 19 == 0) & (F.col("architecture_hash") != ""), sha(F.lit("a2"), n)).otherwise(F.col("architecture_hash")),
+        "identity_digest": F.when(n % 19 == 0, sha(F.lit("i2"), n)).otherwise(F.col("identity_digest")),
+        "access_mode": F.when(n % 17 == 0, "BLACK_BOX").otherwise(F.col("access_mode")),
+        "layer_count": F.when(n % 31 == 0, F.col("layer_count") + 1).otherwise(F.col("layer_count")),
+        "outputs": F.when(n % 37 == 0, F.array(F.lit("x"))).otherwise(F.col("outputs")),
+        "behavioural": F.when(n % 4 == 0, "UNAVAILABLE").when(n % 23 == 0, "MISMATCH").otherwise("MATCH"),
+        "trigger": F.when(n % 3 == 0, "UNAVAILABLE").when(n % 29 == 0, "SUSPICIOUS").otherwise("CLEAR"),
+    })
+    return M.verify_models(M.with_baseline(asked, base, ("baseline_id", "model_id"), ["model_id"]))
+
+
+@query("j05_model_verification", f"WITH {_VERIFY} SELECT k AS model_id, CASE WHEN NOT known THEN 'UNAVAILABLE' WHEN other THEN 'MISMATCH' ELSE 'MATCH' END AS binary_identity, CASE WHEN closed OR NOT known THEN 'UNAVAILABLE' WHEN arch THEN 'MISMATCH' ELSE 'MATCH' END AS structural_identity, CASE WHEN known THEN behavioural ELSE 'UNAVAILABLE' END AS behavioural_identity, CASE WHEN known THEN trig ELSE 'UNAVAILABLE' END AS trigger_status, known AND NOT weights AS weights_match, array_to_string(found, ',') AS discrepancies FROM w")
+def j05_verification(s, d):
+    return _verified(s, d).select("model_id", "binary_identity", "structural_identity", "behavioural_identity", "trigger_status", "weights_match", F.array_join("discrepancies", ",").alias("discrepancies"))
+
+
+@query("r10_model_assurance", f"WITH {_VERIFY} SELECT k AS model_id, known AND len(found) = 0 AS is_valid, CASE WHEN known AND NOT other THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN closed THEN 'BLACK_BOX' ELSE '' END AS limitations FROM w")
 def r10(s, d):
-    ok = lambda k, good, bad: F.when(F.col("p_partkey") % k != 0, good).otherwise(bad)
-    rows = table(s, d, "part").select("p_partkey", ok(3, "MATCH", "MISMATCH").alias("binary"), ok(5, "MATCH", "MISMATCH").alias("structure"), ok(7, "ACCEPTED", "QUARANTINED").alias("similarity"), F.lit(False).alias("trigger"))
-    return M.assurance(rows).select("p_partkey", "is_valid", "confidence")
+    return M.assurance(_verified(s, d)).select("model_id", "is_valid", "confidence", F.array_join("limitations", ",").alias("limitations"))
 
 
 def _linear():
