@@ -24,11 +24,6 @@ def content_digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def digest_or_pass(value: Column) -> Column:
-    """A 64-hex string in lower case as it is; the digest of any other."""
-    return F.when(value.rlike(HEX64), F.lower(value)).otherwise(F.sha2(value, 256))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

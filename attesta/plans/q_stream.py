@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions import pixels as P
@@ -196,6 +197,33 @@ def st05(s, d):
     return W.drained(out, _fresh(s, "st05"), _fresh(s, "st05-state")).agg(F.count("*").alias("first_sights"))
 
 
+@query("st05_replays_ever", """WITH e AS (SELECT event_id, CASE WHEN event_id % 50 = 49 THEN event_id // 50 ELSE event_id END AS nonce, CASE WHEN event_id % 70 = 69 THEN event_id - 69 ELSE event_id END AS record FROM events)
+SELECT event_id, event_id > min(event_id) OVER (PARTITION BY nonce) OR event_id > min(event_id) OVER (PARTITION BY record) AS replayed FROM e""")
+def st05_ever(s, d):
+    """Some events repeat the nonce of one from long before, some the record id of one of late."""
+    n = F.col("event_id")
+    e = _stream(s, d).withColumns({"nonce": F.when(n % 50 == 49, F.floor(n / 50)).otherwise(n), "record": F.when(n % 70 == 69, n - 69).otherwise(n)})
+    found = W.drained(W.replays_ever(e, "event_id", "event_id", ["nonce", "record"]), _fresh(s, "ever"), _fresh(s, "ever-state"))
+    return W.replayed_rows(found, "event_id")
+
+
+_BUFFER = "WITH r AS (SELECT event_type, event_id, floor(value)::BIGINT::VARCHAR AS h, event_id % 4000 = 3999 AS reset, sum((event_id % 4000 = 3999)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events), j AS (SELECT *, coalesce(list_contains(list(h) OVER (PARTITION BY event_type, g ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h), false) AS recent FROM r WHERE NOT reset)"
+
+
+@query("st03_verdict_buffer", f"{_BUFFER} SELECT event_type, event_id, h, recent, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS place FROM j WHERE g = (SELECT max(g) FROM r WHERE r.event_type = j.event_type) QUALIFY place <= 50")
+def st03_buffer(s, d):
+    """The newest fifty verdicts of each event type since its last reset, newest first."""
+    kind = F.when(F.col("event_id") % 4000 == 3999, "reset").otherwise("frame")
+    _, held = W.verdict_buffer(_stream(s, d).withColumn("kind", kind), "event_type", "event_id", "h", _fresh(s, "st03-buffer"))
+    return held.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("event_id"))))
+
+
+@query("st03_buffered_rows", f"{_BUFFER} SELECT event_type, event_id, h, recent FROM j")
+def st03_rows(s, d):
+    kind = F.when(F.col("event_id") % 4000 == 3999, "reset").otherwise("frame")
+    return W.verdict_buffer(_stream(s, d).withColumn("kind", kind), "event_type", "event_id", "h", _fresh(s, "st03-rows"))[0].select("event_type", "event_id", "h", "recent")
+
+
 @query("st05_rollbacks", "WITH e AS (SELECT user_id, event_id, event_id - CASE WHEN event_id % 20 = 3 THEN 2000 ELSE 0 END AS seq FROM events) SELECT user_id, event_id, seq, seq <= coalesce(max(seq) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rollback FROM e")
 def st05_rollbacks(s, d):
     e = _stream(s, d).withColumn("seq", F.col("event_id") - F.when(F.col("event_id") % 20 == 3, 2000).otherwise(0))

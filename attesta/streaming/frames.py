@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from attesta.plans.lineage import cut
+
 STATE = "hashes array<string>, last long"
 
 
@@ -55,10 +57,89 @@ def rolling_duplicates(stream: DataFrame, key: str, order: str, value: str, *, k
 
 
 def replay_guard(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First sights of ``keys``; repeats within the watermark's ``delay`` are dropped, which bounds what is remembered."""
+    """First sights of ``keys`` within the watermark's ``delay``, which bounds what is remembered; see :func:`replays_ever` for a guard
+    that never forgets."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def replays_ever(stream: DataFrame, row: str, order: str, values: list[str]) -> DataFrame:
+    """row, kind, replayed for each of ``values`` of each row (``kind`` is its name): whether the value was seen before, ever.
+
+    Nothing is forgotten: the state, which the checkpoint keeps over restarts, has a number for each value of each kind, and no watermark
+    clears it. Within a micro-batch a value's first row in ``order`` is the first sight. A null value is never a replay. A row is a
+    replay if one of its values is (see :func:`replayed_rows`); it makes its values known all the same.
+    """
+    types = {c: stream.schema[c].dataType.simpleString() for c in (row, order)}
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("kind"), F.col(v).cast("string").alias("value")) for v in values]))
+    tokens = stream.select(F.col(row).alias("row"), F.col(order).alias("at"), each.alias("x")).select("row", "at", "x.kind", "x.value").where("value is not null")
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, first = state.exists, None
+        show = lambda rows, again: pd.DataFrame({"row": rows["row"], "kind": k[0], "replayed": again})
+        for rows in batches:
+            if known:
+                yield show(rows, True)
+                continue
+            # the earliest row so far waits; all others are replays whatever comes
+            rows = rows if first is None else pd.concat([first, rows], ignore_index=True)
+            rows = rows.sort_values(["at", "row"])
+            first = rows.iloc[:1]
+            yield show(rows.iloc[1:], True)
+        if first is not None:
+            state.update((True,))
+            yield show(first, False)
+
+    found = tokens.groupBy("kind", "value").applyInPandasWithState(run, f"row {types[row]}, kind string, replayed boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return found.withColumnRenamed("row", row)
+
+
+def replayed_rows(found: DataFrame, row: str) -> DataFrame:
+    """row, replayed: of each row of a drained :func:`replays_ever`, whether any of its values was seen before."""
+    return found.groupBy(row).agg(F.bool_or("replayed").alias("replayed"))
+
+
+def verdict_buffer(stream: DataFrame, key: str, order: str, value: str, folder: str, *, kind: str = "kind", last: int = 5, held: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Drains a stream of frames: (all rows but resets with ``recent``, the buffer of each key: its newest ``held`` such rows).
+
+    ``recent`` tells whether the value is among the ``last`` of its key's buffer before it. Each micro-batch meets the buffers that the one
+    before left, in a table of at most ``held`` rows a key: windows over both give the verdicts and the next buffers, in the JVM. A row of
+    ``kind`` reset empties its key's buffer. Buffers and rows are written under the number of the micro-batch, so a batch that is
+    repeated after a failure starts from the same buffers and writes the same rows once.
+    """
+    kept = f"{key} {stream.schema[key].dataType.simpleString()}, {order} {stream.schema[order].dataType.simpleString()}, {value} {stream.schema[value].dataType.simpleString()}, recent boolean"
+    names = [key, order, value]
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(kept).parquet(f"{folder}/buffer/{number - 1}") if number else spark.createDataFrame([], kept)
+        rows = batch.select(*names, F.col(kind).alias("_kind"), F.lit(None).cast("boolean").alias("_recent")).unionByName(before.select(*names, F.lit("held").alias("_kind"), F.col("recent").alias("_recent")))
+        line = Window.partitionBy(key).orderBy(order)
+        rows = rows.withColumn("_part", F.sum((F.col("_kind") == "reset").cast("int")).over(line))
+        own = Window.partitionBy(key, "_part").orderBy(order)
+        shown = rows.where("_kind <> 'reset'").withColumn("_seen", F.array_contains(F.collect_list(value).over(own.rowsBetween(-last, -1)), F.col(value)))
+        judged = cut(shown.select(*names, F.coalesce("_recent", "_seen", F.lit(False)).alias("recent"), "_kind", "_part"))
+        judged.where("_kind <> 'held'").select(*names, "recent").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        newest = rows.groupBy(key).agg(F.max("_part").alias("_part"))
+        ranked = judged.join(newest, [key, "_part"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
+        ranked.where(F.col("_k") <= held).select(*names, "recent").write.mode("overwrite").parquet(f"{folder}/buffer/{number}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    done = query.lastProgress["batchId"] if query.lastProgress else -1
+    while done >= 0 and not _written(spark, f"{folder}/buffer/{done}"):
+        done -= 1
+    none = spark.createDataFrame([], kept)
+    if done < 0:
+        return none, none
+    return spark.read.schema(kept).parquet(f"{folder}/rows/batch=*"), spark.read.schema(kept).parquet(f"{folder}/buffer/{done}")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def rollbacks(stream: DataFrame, key: str, order: str, seq: str) -> DataFrame:
     """key, order, seq, rollback: whether a sequence number is not above the highest of its key before it, kept in state.
 

@@ -16,6 +16,7 @@ from attesta.operators import lineage as L
 from attesta.operators import merkle as M
 from attesta.operators.components import connected_components
 from attesta.operators.detectors import nearest
+from attesta.operators.similarity import _masks, hash_pairs
 
 
 def merkle(leaves):
@@ -216,3 +217,19 @@ def test_traces_of_many_roots_match_a_walk_of_each(spark):
             edge = {b for a, b in steps if a in edge and b not in depth}
             depth |= dict.fromkeys(edge, d)
         assert {k[1]: v for k, v in found.items() if k[0] == root} == {k: v for k, v in depth.items() if v}
+
+
+@pytest.mark.parametrize("n, budget", [(60, 4), (3000, 4), (3000, 3), (1500, 10)])
+def test_hash_pairs_match_brute_force(spark, n, budget):
+    """Random hashes, near ones at every distance, and the ends of the range."""
+    rng = random.Random(n + budget)
+    hashes = {rng.getrandbits(64) for _ in range(n)} | {0, 1, (1 << 64) - 1, 1 << 63}
+    for h in rng.sample(sorted(hashes), 50):
+        for d in range(1, budget + 3):
+            hashes.add(h ^ sum(1 << k for k in rng.sample(range(64), d)))
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    got = [tuple(r) for r in hash_pairs(spark.createDataFrame([(h,) for h in signed + signed[:9]], "h long"), "h", budget).collect()]
+    x = np.array(sorted(signed), np.int64)
+    want = {(int(x[i]), int(x[j]), int(c)) for i in range(len(x)) for c, j in zip(np.bitwise_count((x[i] ^ x[i + 1 :]).view(np.uint64)), range(i + 1, len(x))) if c <= budget}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [len(_masks(k, 4, 64)) for k in (1000, 10**5, 10**6, 10**8)] == [5, 15, 15, 35]
