@@ -9,8 +9,10 @@ from attesta.functions.canonical import canonical_sha256, zoneless_text
 from attesta.functions.hashing import canonical_digest
 from attesta.operators import chain as C
 from attesta.operators import merkle as M
+from attesta.operators.dashboard import scorecard
 from attesta.operators.rows import evidence_lines
 from attesta.plans import fixtures as fx
+from attesta.plans.lineage import cut
 from attesta.plans.prefix import dealt, scanned
 from attesta.plans.registry import query, table
 
@@ -52,6 +54,19 @@ def w07(s, d):
     return C.verdicts(C.checks(_bad(s, d))).where("first_bad is not null").select("chain", "first_bad", "reason")
 
 
+@query("a16_scorecard", f"""WITH {_CHECK}, n AS (SELECT chain, count(*) AS n FROM chained GROUP BY chain), v AS (SELECT chain, arg_min(reason, position) FILTER (reason IS NOT NULL) AS reason FROM reasons GROUP BY chain),
+o AS (SELECT CASE chain % 4 WHEN 1 THEN 'data' WHEN 2 THEN 'pointer' WHEN 3 THEN 'lost' ELSE 'whole' END AS kind, (chain % 4 = 1 AND n > 3) OR (chain % 4 = 2 AND n > 5) OR (chain % 4 = 3 AND n > 7) AS expected, reason IS NOT NULL AS found, reason = 'SEQUENCE' AS review FROM n LEFT JOIN v USING (chain))
+SELECT coalesce(kind, 'ALL') AS category, count(*) AS total, count(*) FILTER (expected AND found) AS detected, count(*) FILTER (expected AND NOT found) AS missed, count(*) FILTER (NOT expected AND found) AS false_positives, count(*) FILTER (review) AS reviewed, count(*) FILTER (found AND NOT review) AS blocked, round(count(*) FILTER (expected = found) / count(*)::DOUBLE, 4) AS accuracy FROM o GROUP BY ROLLUP (kind)""")
+def a16(s, d):
+    """The chain audit against what was planted: changed data and pointers are blocked, lost blocks go to review."""
+    built = cut(_built(s, d))
+    c, n = F.col("chain") % 4, F.col("n")
+    kind = F.when(c == 1, "data").when(c == 2, "pointer").when(c == 3, "lost").otherwise("whole")
+    sizes = built.groupBy("chain").agg(F.count("*").alias("n")).select("chain", kind.alias("kind"), ((c == 1) & (n > 3) | (c == 2) & (n > 5) | (c == 3) & (n > 7)).alias("expected"))
+    found = C.verdicts(C.checks(fx.break_chains(built))).select("chain", F.when(F.col("reason") == "SEQUENCE", "REVIEW").when(F.col("reason").isNotNull(), "BLOCK").otherwise("ALLOW").alias("actual"))
+    return scorecard(sizes.join(found, "chain", "left").na.fill("ALLOW", ["actual"]), category="kind", expected="expected", actual="actual")
+
+
 @query("c15_chain_state", f"WITH {_C} SELECT chain, count(*) AS records, max_by(current_hash, seq) AS tip FROM chained GROUP BY chain")
 def c15(s, d):
     return C.state(_built(s, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import tiers as T
+from attesta.operators import dashboard as B
 from attesta.operators import detectors as D
 from attesta.operators import fusion as U
 from attesta.operators import merkle as M
@@ -237,19 +238,27 @@ def a13_labels(s, d):
     return D.label_distribution(meta, "labels")
 
 
-@query("a14_system_overview", "SELECT (SELECT count(*) FROM documents) AS datasets, (SELECT count(*) FROM part) AS models, (SELECT count(*) FROM events) AS inferences, (SELECT count(*) FROM orders) AS reports, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS quarantined, (SELECT max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders) AS head")
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'QUARANTINED' WHEN 'P' THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END"
+_OVER = f"""WITH {_FIND}, o AS (SELECT *, {_STATUS} AS verdict FROM orders {{where}}), r AS (SELECT (SELECT count(*) FROM documents) AS datasets, (SELECT count(*) FROM part) AS models, (SELECT count(*) FROM events) AS inferences, count(*) AS reports, count(*) FILTER (verdict = 'QUARANTINED') AS q, count(*) FILTER (verdict = 'UNDER_REVIEW') AS under_review, count(*) FILTER (verdict = 'ACCEPTED') AS accepted, (SELECT count(*) FROM f WHERE severity IN ('CRITICAL', 'HIGH')) AS active_threats, (SELECT count(*) FROM f WHERE severity = 'CRITICAL') AS c, (SELECT max_by(sha256(event_id::VARCHAR), event_id) FROM events) AS chain_head FROM o)
+SELECT datasets, models, inferences, reports, CASE WHEN q = 0 THEN c ELSE q END AS quarantined, under_review, accepted, active_threats, chain_head, CASE WHEN q > 0 OR c > 0 THEN 'CRITICAL_ALERT' WHEN under_review > 0 OR active_threats > 0 THEN 'ELEVATED_RISK' ELSE 'OPERATIONAL' END AS status FROM r"""
+
+
+def _overview(s, d, reports):
+    inventory = {"datasets": table(s, d, "documents"), "models": table(s, d, "part"), "inferences": table(s, d, "events")}
+    verdict = T.lookup(F.col("o_orderstatus"), {"F": "QUARANTINED", "P": "UNDER_REVIEW"}, "ACCEPTED")
+    chain = table(s, d, "events").select(F.col("event_id").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("current_hash"))
+    return B.system_overview(inventory, reports.withColumn("overall_verdict", verdict), _findings(s, d), chain)
+
+
+@query("a14_system_overview", _OVER.format(where=""))
 def a14(s, d):
-    n = lambda t, name: table(s, d, t).agg(F.count("*").alias(name))
-    o = table(s, d, "orders").agg(F.count("*").alias("reports"), F.count_if(F.col("o_orderstatus") == "F").alias("quarantined"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("head"))
-    return n("documents", "datasets").join(n("part", "models")).join(n("events", "inferences")).join(o)
+    return _overview(s, d, table(s, d, "orders"))
 
 
-@query("a16_scorecard", "WITH r AS (SELECT lang, toxic = 1 AS expected, text ILIKE '%idiot%' OR text ILIKE '%moron%' AS actual FROM documents JOIN labels USING (doc_id)) SELECT coalesce(lang, 'ALL') AS category, count(*) AS total, count(*) FILTER (expected AND actual) AS detected, count(*) FILTER (expected AND NOT actual) AS missed, count(*) FILTER (NOT expected AND actual) AS false_positives, round(count(*) FILTER (expected = actual) / count(*)::DOUBLE, 4) AS accuracy FROM r GROUP BY ROLLUP (lang)")
-def a16(s, d):
-    low = F.lower("text")
-    r = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("lang", (F.col("toxic") == 1).alias("e"), (low.contains("idiot") | low.contains("moron")).alias("a"))
-    g = r.rollup("lang").agg(F.count("*").alias("total"), F.count_if(F.expr("e and a")).alias("detected"), F.count_if(F.expr("e and not a")).alias("missed"), F.count_if(F.expr("not e and a")).alias("false_positives"), F.round(F.count_if(F.expr("e = a")) / F.count("*"), 4).alias("accuracy"))
-    return g.withColumnRenamed("lang", "category").na.fill("ALL", ["category"])
+@query("a14_without_reports", _OVER.format(where="WHERE o_orderstatus = 'O'"))
+def a14_open(s, d):
+    """Where no report puts anything in quarantine, critical findings count."""
+    return _overview(s, d, table(s, d, "orders").where("o_orderstatus = 'O'"))
 
 
 @query("a17_coverage_matrix", "SELECT event_type AS scenario, string_agg(DISTINCT 'u' || user_id % 5, ', ' ORDER BY 'u' || user_id % 5) AS evidence, CASE WHEN count(*) > 100 THEN 'COVERED' ELSE 'PARTIAL' END AS status FROM events GROUP BY event_type")
@@ -372,3 +381,14 @@ def a25(s, d):
     rank = T.lookup(F.col("severity"), T.RANK, 0)
     g = fx.evidence(s, d).groupBy("target", "source").agg(F.count("*").alias("n"), F.max(rank).alias("rank"))
     return g.select("target", "source", "n", T.lookup(F.col("rank"), {4: "QUARANTINED", 3: "UNDER_REVIEW", 2: "UNDER_REVIEW"}, "ACCEPTED").alias("status"))
+
+
+@query("a25_section_overview", f"""WITH {_E}, c AS (SELECT DISTINCT target, source FROM (SELECT target, source FROM ev UNION ALL SELECT DISTINCT target, 'CRYPTO_VERIFICATION' FROM ev UNION ALL SELECT DISTINCT target, 'CUSTOM_SOURCE' FROM ev WHERE target % 3 = 0)), k AS (SELECT target, max(metric) * 1.5 AS risk FROM ev GROUP BY target),
+g AS (SELECT target, source, count(*) AS n, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank FROM ev GROUP BY ALL)
+SELECT c.target, c.source, CASE c.source {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in B.SECTION_NAMES.items())} ELSE 'Custom Source' END AS layer_name, coalesce(n, 0) AS n, CASE rank WHEN 4 THEN 'QUARANTINED' WHEN 3 THEN 'UNDER_REVIEW' WHEN 2 THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END AS status, least(risk, 1)::DOUBLE AS risk_contribution FROM c LEFT JOIN g USING (target, source) JOIN k USING (target)""")
+def a25_sections(s, d):
+    """Sections of each target's report: sources with evidence, one that was checked without any, one without a fixed name."""
+    ev = fx.evidence(s, d)
+    targets = ev.select("target").distinct()
+    checked = ev.select("target", "source").union(targets.withColumn("source", F.lit("CRYPTO_VERIFICATION"))).union(targets.where("target % 3 = 0").withColumn("source", F.lit("CUSTOM_SOURCE")))
+    return B.sections(ev, checked, ev.groupBy("target").agg((F.max("metric") * 1.5).alias("risk")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.operators import dashboard as B
 from attesta.operators import lineage as L
-from attesta.operators.detectors import latest
 from attesta.plans import fixtures as fx
 from attesta.plans.registry import query, table
 
@@ -184,10 +184,15 @@ def t02(s, d):
     return _risk(s, d).orderBy(F.desc("risk"), "contributor").limit(20).select("contributor", "risk")
 
 
-@query("a15_investigation", f"WITH {_FIND}, w AS (SELECT subject, max(CASE severity WHEN 'CRITICAL' THEN 3 ELSE 2 END) AS rank FROM findings GROUP BY subject), l AS (SELECT 'o' || o_orderkey AS id, max_by(o_orderkey, (o_orderdate, o_orderkey)) OVER (PARTITION BY o_custkey) AS latest FROM orders) SELECT id, latest, CASE rank WHEN 3 THEN 0.85 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS risk FROM l LEFT JOIN w ON subject = id")
+_INSPECT = f"""{_FIND}, m AS (SELECT subject AS id, CASE WHEN severity = 'HIGH' AND l % 3 = 0 THEN 'MEDIUM' WHEN severity = 'HIGH' AND l % 3 = 1 THEN 'low' ELSE severity END AS severity FROM (SELECT *, regexp_extract(subject, '[0-9]+')::BIGINT AS l FROM findings)),
+w AS (SELECT id, count(*) AS n, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank FROM m GROUP BY id), r AS (SELECT 'o' || (o_orderkey - o_orderkey % 3) AS id, max_by('rep_' || o_orderkey, (o_orderdate, 'rep_' || o_orderkey)) AS latest_report FROM orders GROUP BY ALL)"""
+
+
+@query("a15_investigation", f"WITH {_INSPECT} SELECT o.id, CASE rank WHEN 4 THEN 'QUARANTINED' WHEN 3 THEN 'UNDER_REVIEW' WHEN 2 THEN 'UNDER_REVIEW' ELSE 'ACCEPTED' END AS status, CASE rank WHEN 4 THEN 0.85 WHEN 3 THEN 0.5 WHEN 2 THEN 0.35 ELSE 0.0 END::DOUBLE AS risk, coalesce(n, 0) AS n_findings, CASE rank WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' END AS worst, latest_report FROM (SELECT 'o' || o_orderkey AS id FROM orders) o LEFT JOIN w USING (id) LEFT JOIN r USING (id)")
 def a15(s, d):
-    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("at"))
-    last = latest(o, ["o_custkey"], "at").select("o_custkey", F.col("o_orderkey").alias("latest"))
-    worst = fx.findings(s, d).groupBy(F.col("subject").alias("id")).agg(F.max(F.when(F.col("severity") == "CRITICAL", 3).otherwise(2)).alias("rank"))
-    rows = o.join(last, "o_custkey").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), "latest").join(worst, "id", "left")
-    return rows.select("id", "latest", F.when(F.col("rank") == 3, 0.85).when(F.col("rank") == 2, 0.5).otherwise(0.0).alias("risk"))
+    """Each order with its findings, of all severities, and the latest report about it; reports of three orders are about one."""
+    o, number = table(s, d, "orders"), F.regexp_extract("subject", "[0-9]+", 0).cast("long") % 3
+    high = F.col("severity") == "HIGH"
+    found = fx.findings(s, d).select(F.col("subject").alias("id"), F.when(high & (number == 0), "MEDIUM").when(high & (number == 1), "low").otherwise(F.col("severity")).alias("severity"))
+    reports = o.select(F.concat(F.lit("o"), F.col("o_orderkey") - F.col("o_orderkey") % 3).alias("target_asset_id"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("rep_"), "o_orderkey").alias("report_id"))
+    return B.investigations(o.select(F.concat(F.lit("o"), "o_orderkey").alias("id")), found, reports)
