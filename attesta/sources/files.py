@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.sources.json_arrays import array_objects
+
 # The file kinds and bands that are read.
 IMAGES = r"(?i)\.(png|jpe?g|bmp|tiff?|webp|ppm)$"
 BANDS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B11", "B12")
@@ -47,12 +49,20 @@ def image_folder(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.col("path").alias("sample_id"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), label.alias("label"))
 
 
-def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False) -> DataFrame:
-    """sample_id, width, height, labels: images of a COCO file that exist in ``files`` (path), with all their annotations. ``by_line``: one part of the file a line."""
-    doc = spark.read.schema(COCO).option("multiLine", not by_line).json(json_path)
-    images = doc.select(F.inline("images"))
-    cats = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("category"))
-    notes = doc.select(F.inline("annotations")).join(cats, "category_id", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False, whole: bool = False) -> DataFrame:
+    """sample_id, width, height, labels: images of a COCO file that exist in ``files`` (path), with all their annotations.
+
+    A document of any size is read in parts, object by object (:mod:`attesta.sources.json_arrays`). ``by_line``: one part of the
+    file a line; ``whole``: a small document in one piece.
+    """
+    if by_line or whole:
+        doc = spark.read.schema(COCO).option("multiLine", not by_line).json(json_path)
+        images, categories, annotations = (doc.select(F.inline(f.name)) for f in (COCO["images"], COCO["categories"], COCO["annotations"]))
+    else:
+        objects = array_objects(spark, json_path, COCO.names)
+        images, categories, annotations = (objects.where(F.col("section") == n).select(F.from_json("json", COCO[n].dataType.elementType).alias("x")).select("x.*") for n in ("images", "categories", "annotations"))
+    cats = categories.select(F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("category"))
+    notes = annotations.join(cats, "category_id", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
     labels = notes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("category", "category_id", "bbox"))).alias("labels"))
     kept = images.join(files.select(F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct(), "file_name", "left_semi")
     return kept.join(labels, kept["id"] == labels["image_id"], "left").select(F.col("file_name").alias("sample_id"), "width", "height", F.coalesce("labels", F.expr("cast(array() as array<struct<category:string,category_id:bigint,bbox:array<double>>>)")).alias("labels"))

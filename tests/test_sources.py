@@ -4,6 +4,7 @@ import pytest
 
 from attesta.functions import pixels as P
 from attesta.sources import files as S
+from attesta.sources.json_arrays import array_objects
 
 
 @pytest.fixture
@@ -58,3 +59,26 @@ def test_undecodable_content_is_a_row(spark):
     rows = spark.createDataFrame([("a", b"P5 2 1 255\n\x00\xff"), ("b", b"junk"), ("c", None)], "path string, content binary")
     got = {r.path: (r.status, r.px) for r in P.decode(rows, P.pgm).collect()}
     assert got == {"a": ("OK", [0.0, 255.0]), "b": ("UNDECODABLE", None), "c": ("UNDECODABLE", None)}
+
+
+def test_a_document_is_read_in_many_parts(spark, tmp_path):
+    """Small splits cut texts, nested objects and the seams of arrays."""
+    images = [{"id": k, "file_name": f"{k}.png", "width": k % 9, "height": 4, "note": 'brace } quote \\" back \\\\ { é'[: k % 30]} for k in range(300)]
+    notes = [{"id": k, "segmentation": {"counts": [1, {"x": {}}], "size": [2, 2]}, "image_id": k % 300, "category_id": k % 4, "bbox": [k / 4, 0, 1, 1], "text": "}{" * (k % 3)} for k in range(900)]
+    doc = {"info": {"a": {"b": 1}}, "images": images, "empty": [], "licenses": [{"id": 7}], "version": 2, "annotations": notes, "categories": [{"id": k, "name": f"k{k}"} for k in range(3)]}
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k, indent in enumerate((None, 2)):
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(doc, f, indent=indent, ensure_ascii=indent is None)
+        files = spark.createDataFrame([(f"x/{n}.png",) for n in range(0, 300, 2)], "path string")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 10
+            objects = array_objects(spark, path, ["images", "annotations", "categories"]).orderBy("number").collect()
+            found = S.coco(spark, path, files).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+        for name in ("images", "annotations", "categories"):
+            assert [json.loads(r.json) for r in objects if r.section == name] == doc[name]
+        assert sorted(found) == sorted(S.coco(spark, path, files, whole=True).collect()) and len(found) == 150
