@@ -23,15 +23,15 @@ def words_of(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Accepts every run of consecutive words of any item; built word by word, with one shared root."""
+    """Accepts every run of consecutive words of any item; built word by word, with one shared root. Items have any sortable names."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | int, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        ends: list[tuple[str, list[int]]] = []
+        ends: list[tuple[str | int, list[int]]] = []
         for item, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
             state = 0
@@ -68,11 +68,11 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return new
 
-    def _mark(self, items: list[tuple[str, list[int]]]) -> None:
+    def _mark(self, items: list[tuple[str | int, list[int]]]) -> None:
         """Which items hold a state's window, and which short items are whole at a state."""
         n, w = len(self.next), self.window
-        self.items: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.items: dict[int, set[str | int]] = {}
+        self.short: dict[int, list[tuple[int, str | int]]] = {}
         for item, ids in items:
             state = 0
             for c in ids:
@@ -88,17 +88,17 @@ class SuffixAutomaton:
                 self.short.setdefault(at, []).append((len(ids), item))
         #: For each state: its suffix-link ancestor whose strings include those of window length; short items on the way up.
         self.at_window = [0] * n
-        self.whole: list[tuple[tuple[int, str], ...]] = [()] * n
+        self.whole: list[tuple[tuple[int, str | int], ...]] = [()] * n
         for s in sorted(range(1, n), key=self.length.__getitem__):
             up = self.link[s]
             self.at_window[s] = s if self.length[s] >= w > self.length[up] else self.at_window[up]
             self.whole[s] = (*self.short.get(s, ()), *self.whole[up])
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | int]]:
         """Hit runs ``[begin, end)`` of a document's words, in order, and the items that they come from."""
         get = self.vocab.get
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | int] = set()
         step, link, length, whole, at_window, w = self.next, self.link, self.length, self.whole, self.at_window, self.window
         state = size = 0
         for i, word in enumerate(words):
@@ -148,9 +148,6 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-_SCHEMA = "_row string, _n_words long, _begin array<int>, _end array<int>, _items array<string>"
-
-
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The items in parts of about ``block_bytes``, so that no automaton and no broadcast grows with the benchmark."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), text_of(text_col).alias("text"))
@@ -164,8 +161,9 @@ def find_items(docs: DataFrame, items: DataFrame, *, window: int = 10, block_byt
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window. A word inside
     an occurrence of a window is hit. New columns: ``_n_words``, ``_begin``/``_end`` (word positions of maximal hit runs) and
-    ``_items`` (ids of the items with occurring windows, as strings, sorted). Null texts have no words; repeated rows give
-    repeated results; an empty benchmark hits nothing. The items are scanned in blocks of ``block_bytes``: one block is the
+    ``_items`` (ids of the items with occurring windows, as strings, sorted). Null texts have no words, texts of any length are
+    read whole; repeated rows give repeated results; an empty benchmark hits nothing, an empty table gives an empty result. Items of
+    equal words are scanned as one. The items are scanned in blocks of ``block_bytes``: one block is the
     usual case and needs no shuffle; more blocks are joined by row.
     """
     docs, named = sealed(docs)
@@ -185,7 +183,12 @@ def _found(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, tex
         names = docs.columns if len(blocks) == 1 else ["_row", text_col]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton([(i, words_of(t)) for i, t in sorted(sent.value)], window)
+            # items of the same words are one class, whose ids are put in once a document
+            classes: dict[tuple[bytes, ...], list[str]] = {}
+            for i, t in sorted(sent.value):
+                classes.setdefault(tuple(words_of(t)), []).append(i)
+            ids = list(classes.values())
+            automaton = SuffixAutomaton([(k, list(w)) for k, w in enumerate(classes)], window)
             for batch in batches:
                 n, begin, end, hit = [], [], [], []
                 for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -194,7 +197,7 @@ def _found(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, tex
                     n.append(len(words))
                     begin.append([a for a, _ in spans])
                     end.append([b for _, b in spans])
-                    hit.append(sorted(found))
+                    hit.append(sorted({i for k in found for i in ids[k]}))
                 new = [pa.array(n, pa.int64()), pa.array(begin, pa.list_(pa.int32())), pa.array(end, pa.list_(pa.int32())), pa.array(hit, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "_n_words", "_begin", "_end", "_items"])
 

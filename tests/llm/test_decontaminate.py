@@ -59,3 +59,11 @@ def test_awkward_rows(spark, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(awkward, none).count() == awkward.count()
     assert dc.find_items(awkward.limit(0), none).count() == 0
+
+
+def test_many_equal_items(spark):
+    """Copies of an item cost no more than one while a document is scanned."""
+    items = spark.range(40_000).selectExpr("cast(id as string) item_id", "'true' text")
+    docs = spark.createDataFrame([(1, "true " * 2000), (2, "false"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r._n_words, list(zip(r._begin, r._end)), len(r._items)) for r in dc.find_items(docs, items).collect()}
+    assert got == {1: (2000, [(0, 2000)], 40_000), 2: (1, [], 0), 3: (0, [], 0)}
