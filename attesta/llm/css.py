@@ -85,6 +85,8 @@ class Sheet:
 
     def said(self, tag: str, attrs: dict[str, str]) -> tuple[str | None, str | None]:
         """(display, visibility) of an element by its rules and its own style, which stands above rules that aren't important."""
+        if not self.rules and "style" not in attrs:
+            return None, None
         out: Said = {}
         if self.rules:
             own = {tag, *(f".{c}" for c in attrs.get("class", "").split())} | ({f"#{attrs['id']}"} if attrs.get("id") else set())

@@ -167,12 +167,10 @@ def tree(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         yield pop()
 
 
-def sheet_of(html: str) -> Sheet:
+def sheet_of(events: list[tuple[str, str, dict[str, str]]]) -> Sheet:
     """The rules of a page's ``style`` elements but those for other media than screens, wherever they stand."""
-    if "<style" not in html and "<style" not in html.lower():
-        return Sheet()
     texts, reading = [], False
-    for kind, tag, attrs in tree(html):
+    for kind, tag, attrs in events:
         if kind == "text":
             if reading:
                 texts.append(tag)
@@ -330,8 +328,11 @@ def render(html: str) -> str:
     skip = pre = 0
     indents = [""]
     visible = [True]
-    sheet = sheet_of(html)
-    for kind, tag, attrs in tree(html):
+    events, sheet = tree(html), Sheet()
+    if "<style" in html or "<style" in html.lower():
+        events = list(events)
+        sheet = sheet_of(events)
+    for kind, tag, attrs in events:
         if skip:
             skip += (kind == "open") - (kind == "close")
         elif kind == "text":
