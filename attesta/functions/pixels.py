@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Image bytes to (width, height, grey or RGB values row by row); None where they do not decode.
@@ -133,3 +133,34 @@ def corner_runs(images: DataFrame, key: str, px: str, width: int, height: int, *
         return pd.DataFrame(got, columns=["corner", "corner_width", "corner_height"]).astype({"corner_width": "Int32", "corner_height": "Int32"})
 
     return images.withColumn("_c", find(F.col(px).cast("array<double>"))).select(*images.columns, "_c.*")
+
+
+def corner_boxes(found: DataFrame, px: str, width: int, height: int) -> DataFrame:
+    """``found`` (see :func:`corner_runs`) with box (x, y, w, h), box_mean and box_std of the values inside it; null without a corner."""
+    w, h = F.least("corner_width", F.lit(width)), F.least("corner_height", F.lit(height))
+    x = F.when(F.col("corner").endswith("R"), width - w).otherwise(0)
+    y = F.when(F.col("corner").startswith("B"), height - h).otherwise(0)
+    inside = F.filter(px, lambda v, i: (i % width >= x) & (i % width < x + w) & (F.floor(i / width) >= y) & (F.floor(i / width) < y + h))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v.cast("double"))) / F.size(a)
+    mean = total(F.col("_box"), lambda v: v)
+    boxed = found.withColumn("_box", F.when(F.col("corner").isNotNull(), inside)).withColumn("_mean", mean)
+    deviation = F.sqrt(total(F.col("_box"), lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))))
+    there = F.col("corner").isNotNull()
+    return boxed.select(*found.columns, F.when(there, F.array(x.cast("int"), y.cast("int"), w, h)).alias("box"), F.round("_mean", 2).alias("box_mean"), F.round(deviation, 4).alias("box_std"))
+
+
+def planes(frames: DataFrame, decoder: Decoder, content: str = "content") -> DataFrame:
+    """``frames``, a table or a stream, with px: decoded once; null where the content does not decode."""
+
+    @F.pandas_udf("array<double>")
+    def values(data: pd.Series) -> pd.Series:
+        got = [decoder(bytes(c)) if c is not None else None for c in data]
+        return pd.Series([g[2].tolist() if g else None for g in got], dtype=object)
+
+    return frames.withColumn("px", values(content))
+
+
+def variance(px: str) -> Column:
+    """The population variance of an array of values."""
+    mean = F.aggregate(px, F.lit(0.0), lambda s, v: s + v) / F.size(px)
+    return F.aggregate(F.transform(px, lambda v: v * v), F.lit(0.0), lambda s, v: s + v) / F.size(px) - mean * mean

@@ -180,6 +180,15 @@ def st02(s, d):
     return P.corner_runs(fx.grid_dup(s, d), "vec_id", "px", 8, 8, least=2)
 
 
+_BOX = "list_filter(list_transform(range(0, 64), lambda i: CASE WHEN i % 8 >= x AND i % 8 < x + corner_width AND i // 8 >= y AND i // 8 < y + corner_height THEN px[i + 1] END), lambda v: v IS NOT NULL)"
+
+
+@query("st02_corner_boxes", f"WITH s AS ({{runs}}), b AS (SELECT *, CASE WHEN corner LIKE '%R' THEN 8 - corner_width ELSE 0 END AS x, CASE WHEN corner LIKE 'B%' THEN 8 - corner_height ELSE 0 END AS y FROM s), v AS (SELECT *, {_BOX} AS inside FROM b) SELECT vec_id, corner, CASE WHEN corner IS NOT NULL THEN [x, y, corner_width, corner_height] END AS box, CASE WHEN corner IS NOT NULL THEN round(list_avg(inside), 2) END AS box_mean, CASE WHEN corner IS NOT NULL THEN round(list_stddev_pop(inside), 4) END AS box_std FROM v".replace("{runs}", f"WITH {_ST02}"))
+def st02_boxes(s, d):
+    g = fx.grid_dup(s, d)
+    return P.corner_boxes(P.corner_runs(g, "vec_id", "px", 8, 8, least=2), "px", 8, 8).select("vec_id", "corner", "box", "box_mean", "box_std")
+
+
 # -- streams --------------------------------------------------------------------------------------------------------------
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -213,6 +222,24 @@ def st01(s, d):
     return out.groupBy("event_type", name.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+_FROZEN = _ST02.replace("FROM grid_dup g", "FROM frozen g").replace("FROM grid_dup", "FROM frozen").replace(", lines AS", ", frozen AS (SELECT vec_id, label, CASE WHEN vec_id % 7 = 3 THEN list_transform(range(0, 64), lambda i: 100) ELSE px END AS px FROM grid_dup), lines AS")
+
+
+@query("st01_pixel_verdicts", f"WITH s AS (WITH {_FROZEN}), j AS (SELECT label, vec_id, corner, list_var_pop(list_transform(px, lambda x: x::DOUBLE)) AS variance, coalesce(list_contains(list(array_to_string(px, ',')) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), array_to_string(px, ',')), false) AS recent FROM s) SELECT label, vec_id, CASE WHEN corner IS NOT NULL THEN 'POISONED' WHEN recent THEN 'NEAR-DUPLICATE' WHEN variance < 10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict FROM j")
+def st01_pixels(s, d):
+    """Frames as they come in, in base64: decoded once, then corner, five frames before and variance decide; some frames are frozen."""
+    path = _fresh(s, "pixels")
+    body = F.concat(F.lit("P5 8 8 255\n").cast("binary"), F.unhex(F.array_join(F.transform("px", lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+    frozen = F.when(F.col("vec_id") % 7 == 3, F.transform("px", lambda x: F.lit(100))).otherwise(F.col("px"))
+    head = F.when(F.col("vec_id") % 2 == 1, "data:image/x-portable-graymap;base64,").otherwise("")
+    fx.grid_dup(s, d).withColumn("px", frozen).select("vec_id", "label", F.concat(head, F.base64(body)).alias("frame_data")).write.parquet(path)
+    stream = W.decoded(s.readStream.schema(s.read.parquet(path).schema).parquet(path))
+    frames = P.planes(stream, P.pgm).select("vec_id", "label", F.sha2("content", 256).alias("h"), "px", F.lit("frame").alias("kind"))
+    found = P.corner_runs(frames.withColumn("variance", P.variance("px")), "vec_id", "px", 8, 8, least=2).drop("px")
+    rows, _ = W.verdict_buffer(found, "label", "vec_id", "h", _fresh(s, "pixels-buffer"), carry=("corner", "variance"))
+    return rows.select("label", "vec_id", W.verdict(F.col("corner").isNotNull(), F.col("recent"), F.col("variance"))[0].alias("verdict"))
+
+
 @query("st05_replay_guard", "SELECT count(DISTINCT (user_id, floor(value))) AS first_sights FROM events")
 def st05(s, d):
     out = W.replay_guard(_stream(s, d), ["user_id", "h"], delay="60 days").select("user_id", "h")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -98,16 +98,17 @@ def replayed_rows(found: DataFrame, row: str) -> DataFrame:
     return found.groupBy(row).agg(F.bool_or("replayed").alias("replayed"))
 
 
-def verdict_buffer(stream: DataFrame, key: str, order: str, value: str, folder: str, *, kind: str = "kind", last: int = 5, held: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Drains a stream of frames: (all rows but resets with ``recent``, the buffer of each key: its newest ``held`` such rows).
+def verdict_buffer(stream: DataFrame, key: str, order: str, value: str, folder: str, *, kind: str = "kind", last: int = 5, held: int = 50, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Drains a stream of frames: (all rows but resets with ``recent``, the buffer of each key: its newest ``held`` such rows). Columns
+    of ``carry`` go along.
 
     ``recent`` tells whether the value is among the ``last`` of its key's buffer before it. Each micro-batch meets the buffers that the one
     before left, in a table of at most ``held`` rows a key: windows over both give the verdicts and the next buffers, in the JVM. A row of
     ``kind`` reset empties its key's buffer. Buffers and rows are written under the number of the micro-batch, so a batch that is
     repeated after a failure starts from the same buffers and writes the same rows once.
     """
-    kept = f"{key} {stream.schema[key].dataType.simpleString()}, {order} {stream.schema[order].dataType.simpleString()}, {value} {stream.schema[value].dataType.simpleString()}, recent boolean"
-    names = [key, order, value]
+    names = [key, order, value, *carry]
+    kept = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in names) + ", recent boolean"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
