@@ -193,8 +193,12 @@ def st02_boxes(s, d):
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _stream(s, d):
-    e = W.frames(s, f"{d}/events.parquet*", _SCHEMA)
+#: What is there now comes as one micro-batch where rows count in the order of their ids, whatever files they lie in.
+_ALL = 1_000_000
+
+
+def _stream(s, d, files_per_trigger=1):
+    e = W.frames(s, f"{d}/events.parquet*", _SCHEMA, files_per_trigger)
     return e.withColumn("h", F.floor("value").cast("string"))
 
 
@@ -203,21 +207,21 @@ _W04 = "SELECT event_type, event_id, floor(value)::BIGINT::VARCHAR AS h, coalesc
 
 @query("st03_rolling_buffer", _W04)
 def st03(s, d):
-    out = W.rolling_duplicates(_stream(s, d).withColumn("kind", F.lit("frame")), "event_type", "event_id", "h")
-    return W.drained(out, _fresh(s, "st03"), _fresh(s, "st03-state"))
+    frames = _stream(s, d, _ALL).withColumn("kind", F.lit("frame"))
+    return W.verdict_buffer(frames, "event_type", "event_id", "h", _fresh(s, "st03"))[0].select("event_type", "event_id", "h", "recent")
 
 
 @query("st04_buffer_reset", "WITH r AS (SELECT event_type, event_id, floor(value) AS h, event_id % 10 = 9 AS reset, sum((event_id % 10 = 9)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events) SELECT event_type, event_id, h::BIGINT::VARCHAR AS h, coalesce(list_contains(list(h) OVER (PARTITION BY event_type, g ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h), false) AS recent FROM r WHERE NOT reset")
 def st04(s, d):
     """Every tenth event empties its type's buffer: what was seen before it counts no more."""
     kind = F.when(F.col("event_id") % 10 == 9, "reset").otherwise("frame")
-    out = W.rolling_duplicates(_stream(s, d).withColumn("kind", kind), "event_type", "event_id", "h")
-    return W.drained(out, _fresh(s, "st04"), _fresh(s, "st04-state"))
+    frames = _stream(s, d, _ALL).withColumn("kind", kind)
+    return W.verdict_buffer(frames, "event_type", "event_id", "h", _fresh(s, "st04"))[0].select("event_type", "event_id", "h", "recent")
 
 
 @query("st01_frame_verdicts", "WITH r AS (SELECT event_type, event_id, coalesce(list_contains(list(floor(value)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), floor(value)), false) AS recent, value FROM events) SELECT event_type, CASE WHEN floor(value) >= 300 THEN 'POISONED' WHEN recent THEN 'NEAR-DUPLICATE' WHEN floor(value) < 10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict, count(*) AS n FROM r GROUP BY ALL")
 def st01(s, d):
-    out = W.drained(W.rolling_duplicates(_stream(s, d).withColumn("kind", F.lit("frame")), "event_type", "event_id", "h"), _fresh(s, "st01"), _fresh(s, "st01-state"))
+    out, _ = W.verdict_buffer(_stream(s, d, _ALL).withColumn("kind", F.lit("frame")), "event_type", "event_id", "h", _fresh(s, "st01"))
     name, _ = W.verdict(F.col("h").cast("double") >= 300, F.col("recent"), F.col("h").cast("double"))
     return out.groupBy("event_type", name.alias("verdict")).agg(F.count("*").alias("n"))
 
@@ -251,9 +255,8 @@ SELECT event_id, event_id > min(event_id) OVER (PARTITION BY nonce) OR event_id
 def st05_ever(s, d):
     """Some events repeat the nonce of one from long before, some the record id of one of late."""
     n = F.col("event_id")
-    e = _stream(s, d).withColumns({"nonce": F.when(n % 50 == 49, F.floor(n / 50)).otherwise(n), "record": F.when(n % 70 == 69, n - 69).otherwise(n)})
-    found = W.drained(W.replays_ever(e, "event_id", "event_id", ["nonce", "record"]), _fresh(s, "ever"), _fresh(s, "ever-state"))
-    return W.replayed_rows(found, "event_id")
+    e = _stream(s, d, _ALL).withColumns({"nonce": F.when(n % 50 == 49, F.floor(n / 50)).otherwise(n), "record": F.when(n % 70 == 69, n - 69).otherwise(n)})
+    return W.known_replays(e, "event_id", "event_id", ["nonce", "record"], _fresh(s, "ever"))
 
 
 _BUFFER = "WITH r AS (SELECT event_type, event_id, floor(value)::BIGINT::VARCHAR AS h, event_id % 4000 = 3999 AS reset, sum((event_id % 4000 = 3999)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events), j AS (SELECT *, coalesce(list_contains(list(h) OVER (PARTITION BY event_type, g ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), h), false) AS recent FROM r WHERE NOT reset)"
@@ -275,8 +278,8 @@ def st03_rows(s, d):
 
 @query("st05_rollbacks", "WITH e AS (SELECT user_id, event_id, event_id - CASE WHEN event_id % 20 = 3 THEN 2000 ELSE 0 END AS seq FROM events) SELECT user_id, event_id, seq, seq <= coalesce(max(seq) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rollback FROM e")
 def st05_rollbacks(s, d):
-    e = _stream(s, d).withColumn("seq", F.col("event_id") - F.when(F.col("event_id") % 20 == 3, 2000).otherwise(0))
-    return W.drained(W.rollbacks(e, "user_id", "event_id", "seq"), _fresh(s, "roll"), _fresh(s, "roll-state"))
+    e = _stream(s, d, _ALL).withColumn("seq", F.col("event_id") - F.when(F.col("event_id") % 20 == 3, 2000).otherwise(0))
+    return W.rollback_rows(e, "user_id", "event_id", "seq", _fresh(s, "roll"))
 
 
 @query("st06_audit_tail", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

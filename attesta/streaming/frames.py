@@ -136,11 +136,76 @@ def verdict_buffer(stream: DataFrame, key: str, order: str, value: str, folder:
     return spark.read.schema(kept).parquet(f"{folder}/rows/batch=*"), spark.read.schema(kept).parquet(f"{folder}/buffer/{done}")
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+def _in_batches(stream: DataFrame, kept: str, folder: str, step) -> DataFrame:
+    """Drains a stream by ``step`` (rows of a micro-batch, folders of the states before it, folder of its state after, which it writes)
+    and gives all rows that the steps gave. State and rows lie under the number of the micro-batch, so one that is repeated after a
+    failure reads what it read before and writes the same again."""
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        out = step(batch, [f"{folder}/state/{k}" for k in range(number)], f"{folder}/state/{number}")
+        out.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not _exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], kept)
+    return spark.read.schema(kept).parquet(f"{folder}/rows/batch=*")
+
+
+def known_replays(stream: DataFrame, row: str, order: str, values: list[str], folder: str) -> DataFrame:
+    """row, replayed: :func:`replays_ever` with :func:`replayed_rows`, drained micro-batch by micro-batch in the JVM.
+
+    What is known lies in tables of distinct values, one a micro-batch; a micro-batch meets them in one join, so neither memory nor
+    Python calls follow the number of values. It may hold many files: its rows are put in ``order`` by windows that spill to disk.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("kind"), F.col(v).cast("string").alias("value")) for v in values]))
+    kept = f"{row} {stream.schema[row].dataType.simpleString()}, replayed boolean"
+    names = "kind string, value string"
+
+    def step(batch: DataFrame, before: list[str], after: str) -> DataFrame:
+        spark = batch.sparkSession
+        tokens = cut(batch.select(row, F.col(order).alias("_at"), each.alias("x")).select(row, "_at", "x.*"))
+        known = spark.read.schema(names).parquet(*before) if before else spark.createDataFrame([], names)
+        first = F.row_number().over(Window.partitionBy("kind", "value").orderBy("_at", row)) == 1
+        ranked = tokens.where("value is not null").withColumn("_first", first)
+        met = cut(ranked.join(known.withColumn("_known", F.lit(True)), ["kind", "value"], "left"))
+        met.where("_first and _known is null").select("kind", "value").write.mode("overwrite").parquet(after)
+        seen = met.select(row, (F.coalesce("_known", F.lit(False)) | ~F.col("_first")).alias("replayed"))
+        return seen.groupBy(row).agg(F.bool_or("replayed").alias("replayed"))
+
+    return _in_batches(stream, kept, folder, step)
+
+
+def rollback_rows(stream: DataFrame, key: str, order: str, seq: str, folder: str) -> DataFrame:
+    """:func:`rollbacks` drained micro-batch by micro-batch in the JVM: the highest number of each key is carried in a table. A micro-batch
+    may hold many files, whose rows are put in ``order`` whatever files they came in."""
+    types = {c: stream.schema[c].dataType.simpleString() for c in (key, order, seq)}
+    tops = f"{key} {types[key]}, _top long"
+
+    def step(batch: DataFrame, before: list[str], after: str) -> DataFrame:
+        spark = batch.sparkSession
+        held = spark.read.schema(tops).parquet(before[-1]) if before else spark.createDataFrame([], tops)
+        rows = batch.select(key, order, seq)
+        new = rows.select(key, F.col(seq).cast("long").alias("_top")).union(held).groupBy(key).agg(F.max("_top").alias("_top"))
+        new.write.mode("overwrite").parquet(after)
+        line = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        known = held.select(F.col(key).alias("_k"), "_top")
+        met = rows.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_before", F.max(seq).over(line))
+        return met.select(key, order, seq, (F.col(seq) <= F.greatest("_before", "_top", F.lit(-1))).alias("rollback"))
+
+    return _in_batches(stream, ", ".join(f"{c} {t}" for c, t in types.items()) + ", rollback boolean", folder, step)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
 def rollbacks(stream: DataFrame, key: str, order: str, seq: str) -> DataFrame:
     """key, order, seq, rollback: whether a sequence number is not above the highest of its key before it, kept in state.
 
