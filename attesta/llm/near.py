@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import first_rows, order_of, row_key, sealed, text_of, trimmed, unsealed
-from attesta.llm.simhash import back, lowered, majority, roots, trie_links, turned, turns_of
+from attesta.llm.simhash import back, lowered, majority, roots, trie_links, turns_of
 from attesta.operators.components import connected_components
 from attesta.plans.lineage import cut, shuffle_partitions
 
@@ -296,11 +296,26 @@ def _similar_blocks(blocks: DataFrame, rows: DataFrame, sets: DataFrame, percent
 
 
 def _turned_rows(own: DataFrame, turns: list, *more: str) -> DataFrame:
-    """A row for each turn of each fingerprint, where those meet that agree on top."""
-    at = F.array(*[F.struct(F.lit(k).alias("turn"), turned(F.col("fp"), t[0]).alias("key"), F.lit(t[1]).alias("bits")) for k, t in enumerate(turns)])
-    rows = own.select(F.explode(at).alias("t"), "sig", "n", *more).select("t.*", "sig", "n", *more)
-    n = shuffle_partitions(own.sparkSession)
-    return rows.withColumn("top", F.expr("shiftrightunsigned(key, 64 - bits)")).repartition(n, "turn", "top").select("turn", "key", "sig", "n", *more)
+    """A row for each turn of each fingerprint, where those meet that agree on top.
+
+    Fingerprints are turned in the tasks: as expressions, hundreds of turns would make a plan that fills the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for k, (order, bits) in enumerate(turns):
+                keys, at = np.zeros(len(fp), np.uint64), 64
+                for shift, width in order:
+                    at -= width
+                    keys |= ((fp >> _U(shift)) & _U((1 << width) - 1)) << _U(at)
+                made = (np.full(len(fp), k, np.int32), keys.view(np.int64), (keys >> _U(64 - bits)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), *batch.columns[1:]], ["turn", "key", "top", *rest])
+
+    rest = ["sig", "n", *more]
+    kept = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in rest)
+    rows = own.select("fp", *rest).mapInArrow(run, f"turn int, key long, top long, {kept}")
+    return rows.repartition(shuffle_partitions(own.sparkSession), "turn", "top").select("turn", "key", *rest)
 
 
 def turns_for(rows: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
