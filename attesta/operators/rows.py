@@ -114,6 +114,11 @@ def union_findings(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def common(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that both have, once each. Both are made distinct first, as Spark joins all rows of an intersection before that."""
+    return left.distinct().intersect(right.distinct())
+
+
 def register_batches(batches: DataFrame, dataset: str, order: str, count: str) -> DataFrame:
     """Batch numbers within each dataset, running sample counts, and the height of each batch in the global list (``order`` is unique).
 

@@ -324,8 +324,7 @@ def u03(s, d):
 
 @query("u04_common_keys", f"WITH {fx.FEATURES_SQL} SELECT DISTINCT feature FROM feats WHERE base AND value > 0.05 INTERSECT SELECT DISTINCT feature FROM feats WHERE NOT base")
 def u04(s, d):
-    f = fx.features(s, d)
-    return f.where("base and value > 0.05").select("feature").intersect(f.where("not base").select("feature"))
+    return R.common(*[fx.features(s, d).where(c).select("feature") for c in ("base and value > 0.05", "not base")])
 
 
 # -- scans with pushdown --------------------------------------------------------------------------------------------------
