@@ -115,8 +115,9 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 
 def common(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that both have, once each. Both are made distinct first, as Spark joins all rows of an intersection before that."""
-    return left.distinct().intersect(right.distinct())
+    """Rows that both have, once each, by one grouping: an intersection joins all rows of a kind in one task before it makes them distinct."""
+    both = left.withColumn("_side", F.lit(1)).union(right.withColumn("_side", F.lit(2)))
+    return both.groupBy(*left.columns).agg(F.bit_or("_side").alias("_side")).where("_side = 3").drop("_side")
 
 
 def register_batches(batches: DataFrame, dataset: str, order: str, count: str) -> DataFrame:
