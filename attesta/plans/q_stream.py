@@ -103,19 +103,20 @@ def s02(s, d):
 
 @query("s02_coco_document", "SELECT o_orderkey || '.png' AS sample_id, 'w' || o_orderkey AS first, count(*) FILTER (l_orderkey IS NOT NULL) AS n_labels, coalesce(round(sum(l_tax) FILTER (l_orderkey IS NOT NULL), 4), 0)::DOUBLE AS boxes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_discount >= 0.05 WHERE o_orderstatus <> 'P' GROUP BY o_orderkey")
 def s02_document(s, d):
-    """One JSON document in one file, with braces and quotes in texts, nested objects and a plain object between its arrays."""
+    """JSON documents of up to half a million images, each in one file, with braces and quotes in texts, nested objects and a plain object between its arrays."""
     path = _fresh(s, "coco-one")
     o, li = table(s, d, "orders"), table(s, d, "lineitem").where("l_discount >= 0.05")
-    line = lambda rows, k, shown: rows.select(F.lit(k).alias("k"), F.monotonically_increasing_id().alias("n"), F.concat(F.lit(","), F.to_json(shown)).alias("value"))
-    fixed = lambda k, text: s.range(1).select(F.lit(k).alias("k"), F.col("id").alias("n"), F.lit(text).alias("value"))
-    images = line(o, 1, F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderkey", F.lit(".png")).alias("file_name"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit('a "}" or \\ {').alias("note")))
-    boxes = line(li, 3, F.struct(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("category_id"), F.struct(F.array(F.lit(1), F.lit(2)).alias("counts")).alias("segmentation"), F.array("l_tax", "l_discount").alias("bbox")))
-    kinds = line(s.range(1, 8), 5, F.struct("id", F.concat(F.lit("k}"), "id").alias("name")))
+    files = o.count() // 500_000 + 1
+    line = lambda rows, k, doc, shown: rows.select(doc.cast("int").alias("doc"), F.lit(k).alias("k"), F.concat(F.lit(","), F.to_json(shown)).alias("value"))
+    fixed = lambda k, text: s.range(files).select(F.col("id").cast("int").alias("doc"), F.lit(k).alias("k"), F.lit(text).alias("value"))
+    images = line(o, 1, F.col("o_orderkey") % files, F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderkey", F.lit(".png")).alias("file_name"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit('a "}" or \\ {').alias("note")))
+    boxes = line(li, 3, F.col("l_orderkey") % files, F.struct(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("category_id"), F.struct(F.array(F.lit(1), F.lit(2)).alias("counts")).alias("segmentation"), F.array("l_tax", "l_discount").alias("bbox")))
+    kinds = line(s.range(1, 8).crossJoin(s.range(files).select(F.col("id").alias("doc"))), 5, F.col("doc"), F.struct("id", F.concat(F.lit("k}"), "id").alias("name")))
     parts = [fixed(0, '{"info": {"by": "x {"}, "images": [{"id": -1, "file_name": "none"}'), images, fixed(2, '], "extra": {"id": 5, "more": {}}, "annotations": [{"image_id": -1}'), boxes, fixed(4, '], "n": 3, "categories": [{"id": -1}'), kinds, fixed(6, "]}")]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
-    whole.coalesce(1).sortWithinPartitions("k", "n").select("value").write.text(path)
+    whole.repartitionById(files, "doc").sortWithinPartitions("k").select("value").write.text(path)
     present = o.where("o_orderstatus <> 'P'").select(F.concat(F.lit("x/"), "o_orderkey", F.lit(".png")).alias("path"))
     found = S.coco(s, path, present)
     total = F.aggregate("labels", F.lit(0.0), lambda a, x: a + x["bbox"][0])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.sources.json_arrays import array_objects
+from attesta.sources.json_arrays import array_objects, tasks_for
 
 # The file kinds and bands that are read.
 IMAGES = r"(?i)\.(png|jpe?g|bmp|tiff?|webp|ppm)$"
@@ -50,22 +50,24 @@ def image_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False, whole: bool = False) -> DataFrame:
-    """sample_id, width, height, labels: images of a COCO file that exist in ``files`` (path), with all their annotations.
+    """sample_id, width, height, labels: images of COCO documents that exist in ``files`` (path), with all their annotations.
 
-    A document of any size is read in parts, object by object (:mod:`attesta.sources.json_arrays`). ``by_line``: one part of the
-    file a line; ``whole``: a small document in one piece.
+    Documents of any size are read in parts, object by object (:mod:`attesta.sources.json_arrays`), and ids hold within a document.
+    ``by_line``: one document, a part of it a line; ``whole``: a small document in one piece.
     """
     if by_line or whole:
         doc = spark.read.schema(COCO).option("multiLine", not by_line).json(json_path)
-        images, categories, annotations = (doc.select(F.inline(f.name)) for f in (COCO["images"], COCO["categories"], COCO["annotations"]))
+        images, categories, annotations = (doc.select(F.lit("").alias("file"), F.inline(f.name)) for f in (COCO["images"], COCO["categories"], COCO["annotations"]))
+        dealt = lambda df, *by: df
     else:
-        objects = array_objects(spark, json_path, COCO.names)
-        images, categories, annotations = (objects.where(F.col("section") == n).select(F.from_json("json", COCO[n].dataType.elementType).alias("x")).select("x.*") for n in ("images", "categories", "annotations"))
-    cats = categories.select(F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("category"))
-    notes = annotations.join(cats, "category_id", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
-    labels = notes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("category", "category_id", "bbox"))).alias("labels"))
-    kept = images.join(files.select(F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct(), "file_name", "left_semi")
-    return kept.join(labels, kept["id"] == labels["image_id"], "left").select(F.col("file_name").alias("sample_id"), "width", "height", F.coalesce("labels", F.expr("cast(array() as array<struct<category:string,category_id:bigint,bbox:array<double>>>)")).alias("labels"))
+        objects, n = array_objects(spark, json_path, COCO.names), tasks_for(spark, json_path)
+        images, categories, annotations = (objects.where(F.col("section") == x).select("file", F.from_json("json", COCO[x].dataType.elementType).alias("x")).select("file", "x.*") for x in ("images", "categories", "annotations"))
+        dealt = lambda df, *by: df.repartition(n, *by)
+    cats = categories.select("file", F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("category"))
+    notes = annotations.join(cats, ["file", "category_id"], "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    labels = dealt(notes.select("file", F.col("image_id").alias("id"), "category", "category_id", "bbox"), "file", "id").groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("category", "category_id", "bbox"))).alias("labels"))
+    kept = dealt(images, "file_name").join(files.select(F.element_at(F.split("path", "/"), -1).alias("file_name")), "file_name", "left_semi")
+    return kept.join(labels, ["file", "id"], "left").select(F.col("file_name").alias("sample_id"), "width", "height", F.coalesce("labels", F.expr("cast(array() as array<struct<category:string,category_id:bigint,bbox:array<double>>>)")).alias("labels"))
 
 
 def yolo(spark: SparkSession, root: str) -> DataFrame:
