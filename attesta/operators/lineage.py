@@ -144,11 +144,26 @@ def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, n_in, n_out, n_neighbours) of every node."""
-    ends = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.lit(1).alias("out")).union(edges.select("target_id", "source_id", F.lit(0)))
-    known = ends.join(nodes.select(F.col("id").alias("other"), F.lit(True).alias("there")), "other", "left")
-    g = known.groupBy("id").agg(F.count_if(F.col("out") == 0).alias("n_in"), F.count_if(F.col("out") == 1).alias("n_out"), F.count_distinct(F.when(F.col("there") & (F.col("other") != F.col("id")), F.col("other"))).alias("n_neighbours"))
-    return nodes.select("id").join(g, "id", "left").na.fill(0)
+    """(id, n_in, n_out, n_neighbours) of every node.
+
+    Edges meet once, as pairs of ends whichever way they point, and each pair then counts for both. Neighbours that are no nodes are
+    taken off again, by the pairs of those ids alone.
+    """
+    s, t = F.col("source_id"), F.col("target_id")
+    held = F.coalesce(s <= t, F.lit(True))
+    ends = edges.select(F.when(held, s).otherwise(t).alias("a"), F.when(held, t).otherwise(s).alias("b"), held.cast("long").alias("to"), (~held).cast("long").alias("fro"))
+    pairs = cut(ends.groupBy("a", "b").agg(F.sum("to").alias("to"), F.sum("fro").alias("fro")))
+    two = F.coalesce((F.col("a") != F.col("b")).cast("long"), F.lit(0).cast("long")).alias("near")
+    at = lambda i, n_in, n_out: F.struct(F.col(i).alias("id"), F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out"), two, F.lit(0).alias("node"))
+    each = pairs.select(F.inline(F.array(at("a", "fro", "to"), at("b", "to", "fro")))).where("id is not null")
+    none = F.lit(0).cast("long")
+    both = each.union(nodes.select("id", none, none, none, F.lit(1))).groupBy("id").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("near").alias("near"), F.sum("node").alias("node"))
+    both = cut(both)
+    gone = cut(both.where("node = 0").select(F.col("id").alias("gone")))
+    lost = [pairs.where("a <> b").join(gone, F.col(x) == F.col("gone"), "left_semi").select(F.col(y).alias("id")) for x, y in (("a", "b"), ("b", "a"))]
+    lost = lost[0].union(lost[1]).groupBy("id").agg(F.count("*").alias("lost"))
+    known = both.where("node > 0").join(lost, "id", "left")
+    return known.select("id", "n_in", "n_out", (F.col("near") - F.coalesce("lost", F.lit(0))).alias("n_neighbours"), F.explode(F.array_repeat(F.lit(0), F.col("node").cast("int"))).alias("_")).drop("_")
 
 
 def quarantines(edges: DataFrame, nodes: DataFrame) -> DataFrame:

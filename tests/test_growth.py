@@ -1,12 +1,16 @@
 """What keeps the work of a task, a shuffle or the driver from growing faster than the tables."""
 
 import json
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from attesta.functions.canonical import double_text
 from attesta.operators import rows as R
+from attesta.operators.lineage import neighbours
+from attesta.operators.similarity import exempt_triggers
+from attesta.plans.prefix import dealt, scanned
 from attesta.sources import files as S
 
 
@@ -37,3 +41,43 @@ def test_doubles_of_few_digits_are_quick_and_right(spark):
 
     took(F.col("id") / 100)
     assert 2 * took(F.col("id") / 100) < took(F.sqrt("id"))
+
+
+def test_exemptions_are_those_of_all_pairs_with_any_pivots(spark):
+    rng = random.Random(5)
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(56), n))
+    rows = []
+    for f, (kinds, spread) in {"far": (40, 28), "close": (30, 4), "mixed": (30, 6), "one": (1, 0)}.items():
+        base = rng.getrandbits(56)
+        rows += [(f, len(rows) + k, flip(base, spread), flip(base, 28)) for k in range(kinds)]
+    rows.append(("mixed", 900, flip(rows[-2][2], 20), 0))
+    rows.append(("one", 901, *rows[-2][2:]))
+    near = lambda x, y: bin(x[2] ^ y[2]).count("1") <= 10 or bin(x[2] ^ y[3]).count("1") <= 10
+    of = lambda x: [y for y in rows if y[0] == x[0] and y[1] != x[1]]
+    want = {(x[0], x[1], not (of(x) and all(near(x, y) for y in of(x)))) for x in rows}
+    members = spark.createDataFrame(rows, "f string, s long, h long, m long")
+    for pivots in (0, 1, 8):
+        assert {tuple(r) for r in exempt_triggers(members, "f", "s", "h", "m", pivots=pivots).collect()} == want
+    assert {c for _, _, c in want} == {True, False}
+
+
+def test_neighbours_with_loops_copies_and_missing_ends(spark):
+    edges = [("a", "b"), ("a", "b"), ("b", "a"), ("a", "a"), ("c", "gone"), ("gone", "a"), (None, "c"), ("c", None), ("b", "c")]
+    nodes = spark.createDataFrame([(x, "T") for x in "abcd"], "id string, node_type string")
+    found = neighbours(spark.createDataFrame([(*e, "E") for e in edges], "source_id string, target_id string, edge_type string"), nodes)
+    assert {tuple(r) for r in found.collect()} == {("a", 3, 3, 1), ("b", 2, 2, 2), ("c", 2, 2, 1), ("d", 0, 0, 0)}
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_scan_moves_its_rows_once(spark):
+    rows = spark.createDataFrame([(k % 3 or None, k, 1) for k in range(50)], "k int, at int, one int")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = scanned(dealt(rows, ["k"], ["at"]), ["k"], ["at"], sums={"n": "one"})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4 and sorted(r.n for r in out.where("k is null").collect()) == [*range(1, 18)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
