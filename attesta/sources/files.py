@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.plans.lineage import shuffle_partitions
 from attesta.sources.json_arrays import array_objects, tasks_for
 
 # The file kinds and bands that are read.
@@ -163,5 +164,7 @@ def save(df: DataFrame, path: str, *, kind: str = "parquet", by: list[str] | Non
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and distinct edges of a stored graph (``nodes`` and ``edges`` below ``path``)."""
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").dropDuplicates(["source_id", "target_id", "edge_type"])
+    """Nodes and distinct edges of a stored graph (``nodes`` and ``edges`` below ``path``). Edges are dealt to a task for each million."""
+    edges, key = spark.read.parquet(f"{path}/edges"), ["source_id", "target_id", "edge_type"]
+    n = max(shuffle_partitions(spark), edges.count() // 1_000_000 + 1)
+    return spark.read.parquet(f"{path}/nodes"), edges.repartition(n, *key).dropDuplicates(key)
