@@ -35,7 +35,8 @@ def _bits(flags: Column) -> Column:
 def dhash(pixels: Column, width: int = 8, height: int = 8) -> Column:
     """One bit for each pixel and its right neighbour, row by row: 1 where the left one is brighter."""
     pairs = [r * width + c for r in range(height) for c in range(width - 1)]
-    return _bits(F.transform(F.array(*[F.lit(i) for i in pairs]), lambda i: (F.get(pixels, i) > F.get(pixels, i + 1)).cast("int")))
+    at = F.array(*[F.lit(i) for i in pairs])
+    return F.transform(F.array(pixels), lambda p: _bits(F.transform(at, lambda i: (F.get(p, i) > F.get(p, i + 1)).cast("int"))))[0]
 
 
 def ahash(pixels: Column) -> Column:
