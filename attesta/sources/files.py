@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.plans.lineage import shuffle_partitions
+from attesta.plans.lineage import cut, shuffle_partitions
 from attesta.sources.json_arrays import array_objects, tasks_for
 
 # The file kinds and bands that are read.
@@ -28,11 +29,59 @@ COCO = T.StructType(
 )
 
 
+def _store(root: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(re.sub("^file:/*", "file:///", root))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` through Spark's own reader: path (relative), length, content (read only where it is used)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    bare = root.rstrip("/").split("://")[-1].split("/")[-1]
-    return files.select(F.regexp_extract("path", f"/{bare}/(.*)$", 1).alias("path"), "length", "content")
+    """All files below ``root``: path (relative) and length.
+
+    Directories are listed by tasks, a level at a time, and each level is written to the shared folder, so the driver never has names
+    of files. Names that begin with ``_`` or ``.`` are left out, as Spark's readers do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = fs.get_file_info(FileSelector(f"{base}/{folder}".rstrip("/")))
+                names = [i.base_name for i in found]
+                seen = [k for k, n in enumerate(names) if not n.startswith(("_", "."))]
+                for at in range(0, len(seen), 10_000):
+                    part = seen[at : at + 10_000]
+                    paths = pa.array([f"{folder}/{names[k]}".lstrip("/") for k in part], pa.string())
+                    yield pa.RecordBatch.from_arrays([paths, pa.array([found[k].size for k in part], pa.int64()), pa.array([found[k].type == FileType.Directory for k in part], pa.bool_())], ["path", "length", "folder"])
+
+    n, levels = shuffle_partitions(spark), []
+    folders = spark.range(1).select(F.lit("").alias("path"))
+    while True:
+        levels.append(cut(folders.mapInArrow(run, "path string, length long, folder boolean")))
+        folders = levels[-1].where("folder").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(n)
+    whole = levels[0]
+    for level in levels[1:]:
+        whole = whole.union(level)
+    return whole.where("not folder").drop("folder")
+
+
+def digests(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path below ``root``, length) with sha256 of what they hold, read a MB at a time by as many tasks as shuffles have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        for batch in batches:
+            made = []
+            for path in batch.column(0).to_pylist():
+                h = hashlib.sha256()
+                with fs.open_input_stream(f"{base}/{path}") as content:
+                    while piece := content.read(1 << 20):
+                        h.update(piece)
+                made.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["path", "length", "sha256"])
+
+    return files.select("path", "length").repartition(shuffle_partitions(files.sparkSession)).mapInArrow(run, "path string, length long, sha256 string")
 
 
 def parent(path: Column) -> Column:
@@ -45,9 +94,9 @@ def stem(path: Column) -> Column:
 
 def image_folder(spark: SparkSession, root: str) -> DataFrame:
     """sample_id, sha256, size, label: every image, labelled by its directory unless it lies in the root."""
-    f = listing(spark, root).where(F.col("path").rlike(IMAGES))
+    f = digests(listing(spark, root).where(F.col("path").rlike(IMAGES)), root)
     label = F.when(F.instr("path", "/") > 0, parent(F.col("path")))
-    return f.select(F.col("path").alias("sample_id"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), label.alias("label"))
+    return f.select(F.col("path").alias("sample_id"), "sha256", F.col("length").alias("size"), label.alias("label"))
 
 
 def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False, whole: bool = False) -> DataFrame:
@@ -93,10 +142,10 @@ def yolo(spark: SparkSession, root: str) -> DataFrame:
 
 def patches(spark: SparkSession, root: str) -> DataFrame:
     """patch, one digest for each band (or MISSING_BAND), compound: directories with band files or label metadata."""
-    f = listing(spark, root).withColumn("patch", parent(F.col("path")))
     band = F.regexp_extract(F.upper(stem(F.col("path"))), "_(B[0-9]{1,2}A?)$", 1)
     meta = F.col("path").endswith("_labels_metadata.json")
-    rows = f.select("patch", F.when(meta, "META").otherwise(band).alias("band"), F.sha2("content", 256).alias("h")).where("band <> ''")
+    known = listing(spark, root).where(F.when(meta, "META").otherwise(band) != "")
+    rows = digests(known, root).select(parent(F.col("path")).alias("patch"), F.when(meta, "META").otherwise(band).alias("band"), F.col("sha256").alias("h"))
     wide = rows.groupBy("patch").pivot("band", [*BANDS, "META"]).agg(F.first("h"))
     wide = wide.select("patch", *[F.coalesce(b, F.lit(MISSING_BAND)).alias(b) for b in BANDS], F.coalesce("META", F.lit("")).alias("META"))
     return wide.withColumn("compound", F.sha2(F.to_json(F.struct(*BANDS, "META")), 256))
@@ -104,9 +153,9 @@ def patches(spark: SparkSession, root: str) -> DataFrame:
 
 def single_bands(spark: SparkSession, root: str) -> DataFrame:
     """sample_id, sha256, band: TIFF files, band from the name's end or UNKNOWN."""
-    f = listing(spark, root).where(F.col("path").rlike(r"(?i)\.tiff?$"))
+    f = digests(listing(spark, root).where(F.col("path").rlike(r"(?i)\.tiff?$")), root)
     band = F.regexp_extract(F.upper(stem(F.col("path"))), "(B[0-9]{1,2}A?)$", 1)
-    return f.select(F.col("path").alias("sample_id"), F.sha2("content", 256).alias("sha256"), F.when(band == "", "UNKNOWN").otherwise(band).alias("band"))
+    return f.select(F.col("path").alias("sample_id"), "sha256", F.when(band == "", "UNKNOWN").otherwise(band).alias("band"))
 
 
 def detect_format(files: DataFrame, coco_sources: DataFrame) -> DataFrame:
@@ -132,7 +181,7 @@ def write_files(files: DataFrame, root: str) -> None:
     """Writes ``content`` (text or bytes) of each row to ``path`` below ``root``, from the tasks; a file that is there is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = FileSystem.from_uri(re.sub("^file:/*", "file:///", root))
+        fs, base = _store(root)
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)

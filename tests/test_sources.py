@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -82,3 +83,21 @@ def test_a_document_is_read_in_many_parts(spark, tmp_path):
         for name in ("images", "annotations", "categories"):
             assert [json.loads(r.json) for r in objects if r.section == name] == doc[name]
         assert sorted(found) == sorted(S.coco(spark, path, files, whole=True).collect()) and len(found) == 150
+
+
+def test_files_are_listed_and_read_by_tasks(spark, root):
+    """No reader of Spark lists the folder, which takes all names through the driver."""
+    from pathlib import Path
+
+    for name in ("_hidden/a.png", "x/.part.png", "deep/er/still/ü %20.tif"):
+        f = Path(root) / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * 3_000_000)
+    (Path(root) / "nothing").mkdir()
+    found = S.listing(spark, root)
+    want = {str(f.relative_to(root)): f.stat().st_size for f in Path(root).rglob("*") if f.is_file() and not f.name.startswith(".") and "_hidden" not in str(f)}
+    assert {r.path: r.length for r in found.collect()} == want
+    for made in (found, S.single_bands(spark, root), S.patches(spark, root), S.image_folder(spark, root)):
+        assert not any(Path(f.split(":", 1)[1]).is_relative_to(root) for f in made.inputFiles())
+    bands = {r.sample_id: r.sha256 for r in S.single_bands(spark, root).collect()}
+    assert bands["deep/er/still/ü %20.tif"] == hashlib.sha256(b"x" * 3_000_000).hexdigest()
