@@ -1,12 +1,13 @@
 """What keeps the work of a task, a shuffle or the driver from growing faster than the tables."""
 
 import json
+import math
 import random
 import time
 
 from pyspark.sql import functions as F
 
-from attesta.functions.canonical import double_text
+from attesta.functions.canonical import double_text, zoneless_text
 from attesta.operators import rows as R
 from attesta.operators.lineage import neighbours
 from attesta.operators.similarity import exempt_triggers
@@ -43,6 +44,20 @@ def test_doubles_of_few_digits_are_quick_and_right(spark):
     assert 2 * took(F.col("id") / 100) < took(F.sqrt("id"))
 
 
+def test_doubles_of_many_digits_are_right(spark):
+    rng = random.Random(7)
+    some = [rng.uniform(1e15, 9.3e18) for _ in range(3000)] + [round(rng.uniform(0, 700), 2) * 1e15 for _ in range(3000)] + [10 ** rng.uniform(15, 24) for _ in range(2000)] + [10 ** rng.uniform(-8, 15) for _ in range(2000)] + [rng.uniform(0, 700) / 3 for _ in range(500)]
+    edges = [x for b in range(50, 66) for x in (2.0**b, math.nextafter(2.0**b, 0), math.nextafter(2.0**b, 1e300))] + [x for e in range(14, 24) for x in (10.0**e, math.nextafter(10.0**e, 0), math.nextafter(10.0**e, 1e300), 9 * 10.0**e)]
+    rows = spark.createDataFrame([(x,) for v in some + edges for x in (v, -v)] + [(None,)], "v double")
+    assert [(r.v, r.t) for r in rows.select("v", double_text(F.col("v")).alias("t")).collect() if r.t != (r.v if r.v is None else repr(r.v))] == []
+
+
+def test_times_without_zone_keep_their_digits(spark):
+    texts = ["2024-01-02 03:04:05", "2024-01-02 03:04:05.5", "2024-01-02 03:04:05.000001", "0001-01-01 00:00:00", "12024-01-02 03:04:05.25"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert [r.x for r in rows.select(zoneless_text(F.col("t")).alias("x")).collect()] == ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.500000+00:00", "2024-01-02T03:04:05.000001+00:00", "0001-01-01T00:00:00+00:00", "+12024-01-02T03:04:05.250000+00:00", None]
+
+
 def test_exemptions_are_those_of_all_pairs_with_any_pivots(spark):
     rng = random.Random(5)
     flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(56), n))
