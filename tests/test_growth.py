@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from attesta.functions.canonical import double_text, zoneless_text
+from attesta.operators import chain as C
 from attesta.operators import rows as R
 from attesta.operators.lineage import neighbours
 from attesta.operators.similarity import exempt_triggers
@@ -96,3 +97,32 @@ def test_a_scan_moves_its_rows_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_texts_of_ledger_events_are_compiled(spark):
+    events = spark.range(100).select(F.col("id").alias("seq"), *[F.concat(F.lit(f"{f} "), "id").alias(f) for f in C.LEDGER_FIELDS if f != "sequence"])
+    head, tail = C.ledger_envelope(events)
+    plan = events.select(head.alias("h"), tail.alias("t"))._jdf.queryExecution().executedPlan()
+    stages = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq(plan)
+    # HotSpot never compiles a method of over 8,000 bytes.
+    assert max([stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())], default=0) <= 8000
+    row = events.select(*events.columns, head.alias("h"), tail.alias("t")).where("seq = 7").first()
+    want = {f: row["seq" if f == "sequence" else f] for f in C.LEDGER_FIELDS} | {"previous_hash": "p"}
+    assert row.h + "p" + row.t == json.dumps(want, sort_keys=True, separators=(",", ":"))
+
+
+def test_chains_are_checked_without_building_them_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(c, k, f"s{k}", f"d{c}", c + k) for c in range(4) for k in range(25)], "chain int, seq int, stamp string, data_hash string, extra int")
+    built = C.build(links)
+    bad = built.withColumn("stamp", F.when(F.col("seq") == 9, F.col("chain").cast("string")).otherwise(F.col("stamp"))).mapInArrow(counted, built.schema)
+    found = C.checks(bad, keep=["extra"])
+    assert {(r.chain, r.seq, r.reason, r.extra) for r in found.collect() if r.reason} == {(c, 9, "HASH", c + 9) for c in range(4)}
+    assert seen.value == 100 and found.columns == ["chain", "seq", "extra", "prev_hash", "current_hash", "position", "expected_prev", "prev_seq", "reason"]
+    assert {"stamp", "data_hash"} <= {*C.checks(bad).columns}
