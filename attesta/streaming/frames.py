@@ -179,7 +179,8 @@ def known_replays(stream: DataFrame, row: str, order: str, values: list[str], fo
 
 def rollback_rows(stream: DataFrame, key: str, order: str, seq: str, folder: str) -> DataFrame:
     """:func:`rollbacks` drained micro-batch by micro-batch in the JVM: the highest number of each key is carried in a table. A micro-batch
-    may hold many files, whose rows are put in ``order`` whatever files they came in."""
+    may hold many files, whose rows are put in ``order`` whatever files they came in. A key's first number is held against -1, all
+    others against the highest before them, which may lie below that."""
     types = {c: stream.schema[c].dataType.simpleString() for c in (key, order, seq)}
     tops = f"{key} {types[key]}, _top long"
 
@@ -192,7 +193,7 @@ def rollback_rows(stream: DataFrame, key: str, order: str, seq: str, folder: str
         line = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         known = held.select(F.col(key).alias("_k"), "_top")
         met = rows.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_before", F.max(seq).over(line))
-        return met.select(key, order, seq, (F.col(seq) <= F.greatest("_before", "_top", F.lit(-1))).alias("rollback"))
+        return met.select(key, order, seq, (F.col(seq) <= F.coalesce(F.greatest("_before", "_top"), F.lit(-1))).alias("rollback"))
 
     return _in_batches(stream, ", ".join(f"{c} {t}" for c, t in types.items()) + ", rollback boolean", folder, step)
 
@@ -214,12 +215,12 @@ def rollbacks(stream: DataFrame, key: str, order: str, seq: str) -> DataFrame:
     types = {c: stream.schema[c].dataType.simpleString() for c in (key, order, seq)}
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[1] if state.exists else -1
+        last = state.get[1] if state.exists else None
         out = []
         rows = pd.concat(list(batches)).sort_values(order)
         for o, s in zip(rows[order], rows[seq], strict=True):
-            out.append((k[0], o, s, bool(s <= last)))
-            last = max(last, int(s))
+            out.append((k[0], o, s, bool(s <= (-1 if last is None else last))))
+            last = int(s) if last is None else max(last, int(s))
         state.update(([], last))
         yield pd.DataFrame(out, columns=[key, order, seq, "rollback"])
 

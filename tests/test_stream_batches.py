@@ -35,3 +35,17 @@ def test_stream_queries_match_sql_whatever_files_the_events_lie_in(spark, tmp_pa
         c = con.execute(ORACLE_SQL[name])
         names = [x[0] for x in c.description]
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == sorted(c.fetchall()), name
+
+
+def test_rollbacks_among_numbers_below_the_first_floor(spark, tmp_path):
+    events = spark.createDataFrame([(n, n % 2) for n in (3, 23, 43, 44, 63, 64, 83)], "event_id long, user_id long")
+    events.selectExpr("event_id", "timestamp_ntz'2024-01-01' AS ts", "user_id", "'view' AS event_type", "1D AS value", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    c = con.execute(ORACLE_SQL["st05_rollbacks"])
+    want = sorted(c.fetchall())
+    assert sorted(map(tuple, QUERIES["st05_rollbacks"](spark, str(tmp_path)).select(*[x[0] for x in c.description]).collect())) == want
+    assert [r[3] for r in want if r[0] == 1] == [True, False, False, False, False]
+    back = W.rollbacks(spark.readStream.schema("event_id long, user_id long").parquet(f"{tmp_path}/events.parquet").withColumn("seq", F.col("event_id") - 2000), "user_id", "event_id", "seq")
+    kept = W.drained(back, f"{tmp_path}/state-out", f"{tmp_path}/state")
+    assert [r.rollback for r in kept.where("user_id = 1").orderBy("event_id").collect()] == [True, False, False, False, False]
