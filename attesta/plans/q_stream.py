@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import pixels as P
 from attesta.plans import fixtures as fx
-from attesta.plans.lineage import shared_dir
+from attesta.plans.lineage import cleaned, cut, folder, passing, shared_dir
 from attesta.plans.registry import query, table
 from attesta.sources import files as S
 from attesta.streaming import frames as W
@@ -104,7 +104,6 @@ def s02(s, d):
 @query("s02_coco_document", "SELECT o_orderkey || '.png' AS sample_id, 'w' || o_orderkey AS first, count(*) FILTER (l_orderkey IS NOT NULL) AS n_labels, coalesce(round(sum(l_tax) FILTER (l_orderkey IS NOT NULL), 4), 0)::DOUBLE AS boxes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_discount >= 0.05 WHERE o_orderstatus <> 'P' GROUP BY o_orderkey")
 def s02_document(s, d):
     """JSON documents of up to half a million images, each in one file, with braces and quotes in texts, nested objects and a plain object between its arrays."""
-    path = _fresh(s, "coco-one")
     o, li = table(s, d, "orders"), table(s, d, "lineitem").where("l_discount >= 0.05")
     files = o.count() // 500_000 + 1
     line = lambda rows, k, doc, shown: rows.select(doc.cast("int").alias("doc"), F.lit(k).alias("k"), F.concat(F.lit(","), F.to_json(shown)).alias("value"))
@@ -116,11 +115,16 @@ def s02_document(s, d):
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
-    whole.repartitionById(files, "doc").sortWithinPartitions("k").select("value").write.text(path)
     present = o.where("o_orderstatus <> 'P'").select(F.concat(F.lit("x/"), "o_orderkey", F.lit(".png")).alias("path"))
-    found = S.coco(s, path, present)
-    total = F.aggregate("labels", F.lit(0.0), lambda a, x: a + x["bbox"][0])
-    return found.select("sample_id", F.concat(F.lit("w"), F.split_part("sample_id", F.lit("."), F.lit(1))).alias("first"), F.size("labels").cast("long").alias("n_labels"), F.round(total, 4).alias("boxes"))
+    with passing(s):
+        with passing(s):
+            # the documents go when their objects are read
+            path = f"{folder(s)}/coco"
+            with cleaned(s):
+                whole.repartitionById(files, "doc").sortWithinPartitions("k").select("value").write.text(path)
+            found = S.coco(s, path, present, keep=1)
+        total = F.aggregate("labels", F.lit(0.0), lambda a, x: a + x["bbox"][0])
+        return cut(found.select("sample_id", F.concat(F.lit("w"), F.split_part("sample_id", F.lit("."), F.lit(1))).alias("first"), F.size("labels").cast("long").alias("n_labels"), F.round(total, 4).alias("boxes")), keep=1)
 
 
 

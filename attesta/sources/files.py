@@ -99,18 +99,19 @@ def image_folder(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.col("path").alias("sample_id"), "sha256", F.col("length").alias("size"), label.alias("label"))
 
 
-def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False, whole: bool = False) -> DataFrame:
+def coco(spark: SparkSession, json_path: str, files: DataFrame, *, by_line: bool = False, whole: bool = False, keep: int = 0) -> DataFrame:
     """sample_id, width, height, labels: images of COCO documents that exist in ``files`` (path), with all their annotations.
 
     Documents of any size are read in parts, object by object (:mod:`attesta.sources.json_arrays`), and ids hold within a document.
-    ``by_line``: one document, a part of it a line; ``whole``: a small document in one piece.
+    ``by_line``: one document, a part of it a line; ``whole``: a small document in one piece. ``keep``: how long their objects stay, as in
+    :func:`attesta.plans.lineage.cut`.
     """
     if by_line or whole:
         doc = spark.read.schema(COCO).option("multiLine", not by_line).json(json_path)
         images, categories, annotations = (doc.select(F.lit("").alias("file"), F.inline(f.name)) for f in (COCO["images"], COCO["categories"], COCO["annotations"]))
         dealt = lambda df, *by: df
     else:
-        objects, n = array_objects(spark, json_path, COCO.names), tasks_for(spark, json_path)
+        objects, n = array_objects(spark, json_path, COCO.names, keep=keep), tasks_for(spark, json_path)
         images, categories, annotations = (objects.where(F.col("section") == x).select("file", F.from_json("json", COCO[x].dataType.elementType).alias("x")).select("file", "x.*") for x in ("images", "categories", "annotations"))
         dealt = lambda df, *by: df.repartition(n, *by)
     cats = categories.select("file", F.col("id").alias("category_id"), F.coalesce("name", F.col("id").cast("string")).alias("category"))

@@ -70,8 +70,8 @@ def test_tables_go_with_their_block(spark):
     assert len({f.split("/")[0] for f in left(spark) - before}) == 1
 
 
-@pytest.mark.parametrize("name", ["g04_upstream", "g06_full_lineage", "r05_contributor_risk", "u05_cluster_union", "g09_blast_radius", "g11_subgraph", "g11_batch_subgraph"])
-def test_a_trace_leaves_only_its_result(spark, name):
+@pytest.mark.parametrize("name", ["g04_upstream", "g06_full_lineage", "r05_contributor_risk", "u05_cluster_union", "g09_blast_radius", "g11_subgraph", "g11_batch_subgraph", "s02_coco_document"])
+def test_a_query_leaves_only_its_result(spark, name):
     before = left(spark)
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
     rest = {f.split("/")[-2] for f in left(spark) - before}
